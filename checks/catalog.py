@@ -91,3 +91,387 @@ def host_windows(spark, sf):
 @register
 def host_edges(spark, sf):
     return W.host_edges(flows(spark, sf), spec())
+
+
+# ------------------------------------------------------------------ graph
+from flowtide.cluster import materialise  # noqa: E402
+from flowtide.operators import (alerts as A, composition as C, counterfactual as CF,  # noqa: E402
+                                decisions as D, detectors as H, evaluation as E, forecast as M,
+                                graph as G, labelling as LB, scaling as SC, sequences as SQ,
+                                statistics as ST)
+
+THRESHOLD = 0.3
+FEW = ["out_flows", "in_flows", "out_failed_ratio", "in_distinct_src"]
+
+
+@register
+def host_graph(spark, sf):
+    return G.build_graph(flows(spark, sf))
+
+
+@register
+def top_pairs(spark, sf):
+    return G.top_pairs(flows(spark, sf))
+
+
+@register
+def top_hosts(spark, sf):
+    return G.top_hosts(flows(spark, sf))
+
+
+@register
+def neighbor_agg(spark, sf):
+    f = frame(spark, sf).select("host", "window", *FEW)
+    return rounded(G.neighbor_aggregate(f, W.host_edges(flows(spark, sf), spec()), FEW))
+
+
+def forecast_frame(spark, sf) -> DataFrame:
+    """Host windows with the mean of the persistence and stage-transition forecasts."""
+    f = materialise(frame(spark, sf))
+    t = M.TransitionModel.fit(f).forecast(f).withColumnsRenamed(
+        {"future": "_tf", "stage_future_probs": "_tp"})
+    half = lambda a, b: (a + b) / 2
+    both = M.persistence(t).withColumns({
+        "future": F.zip_with("future", "_tf", half),
+        "stage_future_probs": F.zip_with("stage_future_probs", "_tp", lambda p, q: F.zip_with(p, q, half))})
+    return both.withColumns({"lo": F.col("future"), "hi": F.col("future")}).drop("_tf", "_tp")
+
+
+def peak_risk(spark, sf) -> DataFrame:
+    return forecast_frame(spark, sf).select("window", "host", F.array_max("future").alias("risk"))
+
+
+@register
+def roles(spark, sf):
+    """Attacker and victim roles in every window that has alerting hosts."""
+    e = W.host_edges(flows(spark, sf), spec())
+    return G.role_links(e, peak_risk(spark, sf), THRESHOLD)["roles"]
+
+
+@register
+def role_victims(spark, sf):
+    e = W.host_edges(flows(spark, sf), spec())
+    return G.role_links(e, peak_risk(spark, sf), THRESHOLD)["links"].select("window", "attacker", "victim", "grp")
+
+
+SNAP = 400
+
+
+def _snapshot(spark, sf):
+    fc = forecast_frame(spark, sf)
+    e = materialise(W.host_edges(flows(spark, sf), spec()))
+    risk = fc.select("window", "host", F.array_max("future").alias("risk"),
+                     A.mean_probs(F.col("stage_future_probs")).alias("stage_probs"))
+    now = risk.filter(F.col("window") == SNAP)
+    links = G.role_links(e, now, THRESHOLD)
+    nodes = G.topology_nodes(fc, links["roles"], risk, SNAP, THRESHOLD, max_nodes=60)
+    return nodes, e, links
+
+
+@register
+def topology_nodes(spark, sf):
+    return _snapshot(spark, sf)[0]
+
+
+@register
+def topology_edges(spark, sf):
+    nodes, e, links = _snapshot(spark, sf)
+    return G.topology_edges(e, nodes, links["links"], SNAP)
+
+
+# ------------------------------------------------------------------ detectors
+@register
+def scan_detect(spark, sf):
+    return H.detect_scans(flows(spark, sf), 3600 * 24)
+
+
+def _on_auth_ports(spark, sf) -> DataFrame:
+    """Ports folded onto a small set so that auth ports occur in the given data."""
+    port = F.element_at(F.array(*[F.lit(p) for p in (22, 21, 80, 443)]),
+                        (F.col("dport") / 41 % 4 + 1).cast("int"))
+    pair = F.concat(F.lit("10.9.0."), (F.col("flow_id") % 7).cast("string"))
+    return flows(spark, sf).withColumns({"dport": port.cast("long"), "src_ip": pair})
+
+
+@register
+def brute_detect(spark, sf):
+    return H.detect_brute_force(_on_auth_ports(spark, sf), 3600 * 24, min_flows=4, min_share=0.25, burst=2)
+
+
+@register
+def campaign_rows(spark, sf):
+    f = _on_auth_ports(spark, sf)
+    return H.campaigns(H.detect_scans(flows(spark, sf), 3600 * 24),
+                       H.detect_brute_force(f, 3600 * 24, min_flows=4, min_share=0.25, burst=2), 3600 * 24)
+
+
+@register
+def window_count(spark, sf):
+    return H.window_count(flows(spark, sf), 3600 * 24)
+
+
+# ------------------------------------------------------------------ labels and sequences
+def _schedule(spark, sf) -> DataFrame:
+    """Attack stages per source and day, as a schedule; odd days name their targets."""
+    day = F.floor(F.col("ts_end") / 86400)
+    s = (flows(spark, sf).filter("label <> 'BENIGN'").groupBy(F.col("src_ip").alias("attacker"), day.alias("day"), "label")
+         .agg(F.min("ts_end").alias("start"), F.max("ts_end").alias("end"), F.max("dst_ip").alias("tgt")))
+    no = F.row_number().over(W.Window.partitionBy("attacker").orderBy("day", "label"))
+    tgt = F.when(F.col("day") % 2 == 1, F.array("tgt")).otherwise(F.array().cast("array<string>"))
+    return s.select("label", "attacker", tgt.alias("targets"), "start", "end", no.alias("entry_no"))
+
+
+@register
+def label_schedule(spark, sf):
+    return LB.label_flows(flows(spark, sf), _schedule(spark, sf)).select("flow_id", "label")
+
+
+KEYED = ["dataset", "capture"]
+
+
+def captures(spark, sf) -> DataFrame:
+    """The flows dealt to two datasets of two captures each."""
+    return flows(spark, sf).withColumns({
+        "dataset": F.concat(F.lit("d"), (F.col("flow_id") % 2).cast("string")),
+        "capture": F.concat(F.lit("c"), F.floor(F.col("flow_id") % 4 / 2).cast("string"))})
+
+
+def keyed_frame(spark, sf) -> DataFrame:
+    f = W.host_windows(captures(spark, sf), spec(keys=tuple(KEYED), max_hosts=50, min_flows=5))
+    return f.select(*KEYED, "host", "segment", "window", "t", *FEW, "stage", "label", "attack_out")
+
+
+@register
+def keyed_windows(spark, sf):
+    return rounded(keyed_frame(spark, sf))
+
+
+@register
+def episode_fill(spark, sf):
+    f = keyed_frame(spark, sf)
+    return LB.fill_episode_gaps(f, 5, KEYED).select(*KEYED, "host", "segment", "window", "stage", "episode_stage")
+
+
+@register
+def sequence_starts(spark, sf):
+    f = materialise(keyed_frame(spark, sf))
+    return SQ.sequence_starts(f, 15).select(*KEYED, "host", "segment", "window", "block", "split")
+
+
+def _sequences(spark, sf) -> DataFrame:
+    f = materialise(LB.fill_episode_gaps(keyed_frame(spark, sf), 5, KEYED))
+    t = SQ.with_targets(f, SQ.compromise())
+    return SQ.sequence_starts(t, 15)
+
+
+@register
+def future_target(spark, sf):
+    return _sequences(spark, sf).select(*KEYED, "host", "segment", "window", "split", "y_future", "y_now",
+                                        "hist_attack", "lead", "touches", "recon", "attack_rows")
+
+
+@register
+def balance_sample(spark, sf):
+    s = _sequences(spark, sf).filter("split = 'train'")
+    return SQ.balance_train(s).select(*KEYED, "host", "window", "touches")
+
+
+@register
+def sequence_weights(spark, sf):
+    s = _sequences(spark, sf).filter("split = 'train'")
+    return rounded(SQ.group_weights(s).withColumn("emphasis", SQ.emphasis()).select(
+        *KEYED, "host", "window", "weight", "emphasis"), 9)
+
+
+@register
+def positive_weight(spark, sf):
+    return rounded(SQ.positive_weight(_sequences(spark, sf).filter("split = 'train'")))
+
+
+@register
+def history_pad(spark, sf):
+    f = frame(spark, sf).select("host", "segment", "window", "out_flows", "in_flows")
+    h = SQ.histories(f, [-1.0, -2.0], 10, features=["out_flows", "in_flows"])
+    return h.select("host", "segment", "window", *[
+        F.col("history")[i][j].alias(f"h{i}_{c}") for i in range(10) for j, c in enumerate(["out", "in"])])
+
+
+@register
+def host_series(spark, sf):
+    f = materialise(frame(spark, sf, window_s=600).select("host", "window", "out_flows", "stage"))
+    return SQ.align_steps(f, {"out_flows": F.lit(0.0), "stage": F.lit(0)}).select(
+        "host", "step", "out_flows", "stage", "present")
+
+
+# ------------------------------------------------------------------ scaling, statistics
+@register
+def scaler_stats(spark, sf):
+    s = SC.FeatureScaler.statistics(frame(spark, sf))
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"mean_{f}").alias("mean"),
+                               F.col(f"std_{f}").alias("std")) for f in S.FEATURES])
+    return rounded(s.select(F.explode(pairs).alias("x")).select("x.*"))
+
+
+@register
+def scaled_features(spark, sf):
+    f = materialise(frame(spark, sf))
+    return rounded(SC.FeatureScaler.fit(f).transform(f).select("host", "window", *S.FEATURES), 5)
+
+
+@register
+def capture_norm(spark, sf):
+    f = materialise(keyed_frame(spark, sf))
+    SMALL = ["out_flows", "in_flows", "out_failed_ratio", "in_distinct_src"]
+    padded = f.withColumns({c: F.lit(0.0) for c in S.FEATURES if c not in SMALL})
+    st = SC.capture_stats(padded, KEYED)
+    return rounded(SC.capture_normalised(padded, st, KEYED).select(*KEYED, "host", "window", *SMALL), 5)
+
+
+@register
+def dataset_stats(spark, sf):
+    return ST.capture_summary(captures(spark, sf), keyed_frame(spark, sf), KEYED)
+
+
+@register
+def top_labels(spark, sf):
+    return ST.top_labels(captures(spark, sf), KEYED)
+
+
+@register
+def stage_windows(spark, sf):
+    return ST.stage_windows(keyed_frame(spark, sf))
+
+
+@register
+def typical(spark, sf):
+    return ST.typical(frame(spark, sf))
+
+
+# ------------------------------------------------------------------ evaluation
+def _scored(spark, sf) -> DataFrame:
+    """Sequences scored by the failed-connection share of their last history row."""
+    f = materialise(LB.fill_episode_gaps(keyed_frame(spark, sf), 5, KEYED))
+    last = F.lead("out_failed_ratio", 9).over(SQ._order(KEYED))
+    busy = F.lead("in_flows", 9).over(SQ._order(KEYED))
+    t = SQ.with_targets(f, SQ.compromise()).withColumn("score", F.round(last + 0.1 * busy, 6))
+    return SQ.sequence_starts(t, 15)
+
+
+@register
+def persistence_metrics(spark, sf):
+    return E.metrics(_sequences(spark, sf), 0.5, "y_future", "y_now", ["dataset"])
+
+
+@register
+def average_precision(spark, sf):
+    return rounded(E.average_precision(_scored(spark, sf), "y_future", "score", ["dataset"]))
+
+
+@register
+def pick_threshold(spark, sf):
+    return rounded(E.pick_threshold(_scored(spark, sf), "y_future", "score"))
+
+
+@register
+def pick_threshold_macro(spark, sf):
+    return rounded(E.pick_threshold_macro(materialise(_scored(spark, sf)), "dataset", "y_future"))
+
+
+@register
+def onset_metrics(spark, sf):
+    return E.onset_metrics(_scored(spark, sf), 0.2, "score", 3600)
+
+
+@register
+def macro_ap(spark, sf):
+    return rounded(E.macro_average_precision(_scored(spark, sf), "dataset", "y_future"))
+
+
+# ------------------------------------------------------------------ transition forecast
+@register
+def transition_table(spark, sf):
+    return rounded(M.transition_table(frame(spark, sf)), 9)
+
+
+@register
+def markov_rollout(spark, sf):
+    return rounded(M.rollout_table(materialise(M.transition_table(frame(spark, sf)))), 9)
+
+
+@register
+def calibrate(spark, sf):
+    from flowtide.functions.risk import calibrate as cal
+
+    return rounded(frame(spark, sf).select("host", "window", cal(F.col("out_failed_ratio"), 1.7, -0.4).alias("p")))
+
+
+# ------------------------------------------------------------------ alerts
+@register
+def first_alert(spark, sf):
+    return A.first_alerts(forecast_frame(spark, sf), THRESHOLD)
+
+
+@register
+def overview(spark, sf):
+    return A.overview(forecast_frame(spark, sf), THRESHOLD, window_s=3600)
+
+
+@register
+def lead_times(spark, sf):
+    return A.timeline_summary(forecast_frame(spark, sf), THRESHOLD, window_s=3600)
+
+
+@register
+def lead_time_check(spark, sf):
+    return A.lead_time_check(forecast_frame(spark, sf), THRESHOLD, 3600)
+
+
+@register
+def stage_hysteresis(spark, sf):
+    t = A.timeline(forecast_frame(spark, sf), THRESHOLD)
+    return t.select("host", "step", "raw_stage", "held_stage", "stage_now")
+
+
+# ------------------------------------------------------------------ decisions
+def _requests(hosts: DataFrame) -> DataFrame:
+    return hosts.filter("first_alert_step IS NOT NULL").select("host", F.col("first_alert_step").alias("step"))
+
+
+def _context(spark, sf) -> DataFrame:
+    fc, fl = forecast_frame(spark, sf), flows(spark, sf)
+    e = materialise(W.host_edges(fl, spec()))
+    asks = _requests(A.first_alerts(fc, THRESHOLD)).unionByName(
+        fc.select("host").distinct().withColumn("step", F.lit(SNAP)))
+    return D.decision_context(fc, e, fl, materialise(asks), THRESHOLD, W.origin(fl, 3600), 3600)
+
+
+@register
+def decision_context(spark, sf):
+    c = _context(spark, sf)
+    return c.withColumn("c2_peers", F.array_join("c2_peers", ","))
+
+
+@register
+def recommend(spark, sf):
+    c = D.recommend(_context(spark, sf))
+    return c.select("host", "step", "decision_stage", "recommended.id", "recommended.kind", "recommended.label",
+                    F.size("alternatives").alias("n_alternatives"))
+
+
+ACTION_BLOCK = {"kind": "block_source", "target": "10.0.0.5"}
+ACTION_RATE = {"kind": "rate_limit", "target": "10.0.0.5"}
+
+
+def _midpoint(spark, sf) -> float:
+    r = flows(spark, sf).agg(F.min("ts_end"), F.max("ts_end")).first()
+    return float(int((r[0] + r[1]) / 2))
+
+
+@register
+def counterfactual_block(spark, sf):
+    return CF.apply_to_flows(flows(spark, sf), ACTION_BLOCK, _midpoint(spark, sf)).select("flow_id", "src_ip", "dst_ip")
+
+
+@register
+def counterfactual_throttle(spark, sf):
+    return CF.apply_to_flows(flows(spark, sf), ACTION_RATE, _midpoint(spark, sf)).select("flow_id", "src_ip", "dst_ip")

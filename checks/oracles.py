@@ -34,3 +34,240 @@ oracle("host_windows", f"""
 SELECT host, segment, "window", t, {rcols(S.FEATURES)}, label, stage, attack_out FROM q_frame
 """)
 oracle("host_edges", "SELECT * FROM q_edges")
+
+from checks.sqlparts import THR, stage_case  # noqa: E402
+
+oracle("host_graph", "SELECT src_ip, dst_ip, count(*) AS flows, sum(fwd_bytes) AS bytes FROM q_flows GROUP BY src_ip, dst_ip")
+oracle("top_pairs", "SELECT src_ip, dst_ip, count(*) AS flows FROM q_flows GROUP BY src_ip, dst_ip ORDER BY flows DESC, src_ip, dst_ip LIMIT 70")
+oracle("top_hosts", """
+SELECT host, count(*) AS flows, regexp_extract(host, '^(\\d+\\.\\d+\\.\\d+)\\.', 1) || '.0/24' AS subnet
+FROM (SELECT src_ip AS host FROM q_flows UNION ALL SELECT dst_ip FROM q_flows)
+GROUP BY host ORDER BY flows DESC, host LIMIT 26""")
+
+FEW = ["out_flows", "in_flows", "out_failed_ratio", "in_distinct_src"]
+oracle("neighbor_agg", f"""
+SELECT f.host, f."window", {rcols(FEW, prefix='f.')},
+  {", ".join(f"{r(f'coalesce(n.nb_mean_{c}, 0)')} AS nb_mean_{c}, {r(f'coalesce(n.nb_max_{c}, 0)')} AS nb_max_{c}" for c in FEW)},
+  {r('coalesce(n.deg, 0)')} AS nb_log_degree
+FROM q_frame f LEFT JOIN (
+  SELECT u.host, u."window", {", ".join(f"avg(p.{c}) AS nb_mean_{c}, max(p.{c}) AS nb_max_{c}" for c in FEW)}, ln(1 + count(*)) AS deg
+  FROM (SELECT a AS host, b AS peer, "window" FROM q_edges UNION SELECT b, a, "window" FROM q_edges) u
+  JOIN q_frame p ON p.host = u.peer AND p."window" = u."window" GROUP BY u.host, u."window") n
+ON n.host = f.host AND n."window" = f."window"
+""")
+oracle("roles", "SELECT * FROM q_roles")
+oracle("role_victims", 'SELECT "window", attacker, victim, grp FROM q_links')
+
+_NODES = f"""
+SELECT n.host, round(coalesce(f.risk, 0), 4) AS risk, coalesce(f.mapped, 0) AS stage, coalesce(n.role, 'normal') AS role,
+  coalesce(f.risk, 0) >= {THR} AS alerting, CAST(coalesce(n.now, 0) AS BIGINT) AS flows_now, CAST(coalesce(n.total, 0) AS BIGINT) AS flows_total
+FROM (SELECT *, row_number() OVER (PARTITION BY role IS NULL ORDER BY total DESC, host) AS rn FROM
+  (SELECT coalesce(v.host, x.host) AS host, v.total, v.now, x.role FROM
+    (SELECT host, sum(out_flows + in_flows) AS total, sum(out_flows + in_flows) FILTER ("window" = 400) AS now
+     FROM q_frame WHERE "window" <= 400 GROUP BY host) v
+    FULL JOIN (SELECT * FROM q_roles WHERE "window" = 400) x ON x.host = v.host) WHERE total > 0 OR role IS NOT NULL) n
+LEFT JOIN q_fc f ON f.host = n.host AND f."window" = 400
+WHERE n.role IS NOT NULL OR n.rn <= 60 - (SELECT count(*) FROM q_roles WHERE "window" = 400)
+"""
+oracle("topology_nodes", _NODES)
+oracle("topology_edges", f"""
+SELECT u.a, u.b, u.flows, u.active, u.active > 0 AND p.a IS NOT NULL AS hot FROM
+  (SELECT least(a, b) AS a, greatest(a, b) AS b, CAST(sum(flows) AS BIGINT) AS flows,
+     CAST(coalesce(sum(flows) FILTER ("window" > 397), 0) AS BIGINT) AS active
+   FROM q_edges WHERE "window" <= 400 GROUP BY 1, 2) AS u(a, b, flows, active)
+LEFT JOIN (SELECT DISTINCT least(attacker, victim) AS a, greatest(attacker, victim) AS b FROM q_links WHERE "window" = 400) p
+  ON p.a = u.a AND p.b = u.b
+WHERE u.a IN (SELECT host FROM ({_NODES})) AND u.b IN (SELECT host FROM ({_NODES}))
+""")
+
+DAY = 86400
+_SCAN = f"""
+SELECT s.src_ip AS src, regexp_extract(t.dst_ip, '^(\\d+\\.\\d+\\.\\d+)\\.', 1) || '.0/24' AS dst, s.distinct_dst, s.distinct_dport,
+  coalesce(b.w, s.first_w) AS onset_window
+FROM (SELECT src_ip, count(DISTINCT dst_ip) AS distinct_dst, count(DISTINCT dport) AS distinct_dport,
+        arg_min(w, (ts_start, flow_id)) AS first_w FROM q_day GROUP BY src_ip) s
+LEFT JOIN (SELECT src_ip, min(w) AS w FROM (SELECT src_ip, w FROM q_day GROUP BY src_ip, w HAVING count(DISTINCT dst_ip) >= 8)
+           GROUP BY src_ip) b ON b.src_ip = s.src_ip
+JOIN (SELECT src_ip, dst_ip FROM (SELECT src_ip, dst_ip, row_number() OVER (PARTITION BY src_ip ORDER BY count(*) DESC, dst_ip) AS rn
+      FROM q_day GROUP BY src_ip, dst_ip) WHERE rn = 1) t ON t.src_ip = s.src_ip
+WHERE s.distinct_dst >= 15 AND s.distinct_dport >= 15
+"""
+from checks.sqlparts import part  # noqa: E402
+
+part("q_day", f"SELECT *, CAST(floor((ts_start - (SELECT min(ts_start) FROM q_flows)) / {DAY}) AS BIGINT) AS w FROM q_flows")
+part("q_auth", f"""
+SELECT '10.9.0.' || CAST(flow_id % 7 AS VARCHAR) AS src_ip, dst_ip, ts_start, flow_id, w,
+  ([22, 21, 80, 443])[CAST(dport / 41 % 4 AS BIGINT) + 1] AS dport FROM q_day""".replace("dport / 41 %", "dport // 41 %"))
+_BRUTE = """
+SELECT src_ip AS src, dst_ip AS dst, CAST(port AS BIGINT) AS port, service, n AS auth_flows, total, onset_window FROM (
+  SELECT g.src_ip, g.dst_ip, p.port, p.service, g.n, t.total, coalesce(b.w, g.first_w) AS onset_window,
+    row_number() OVER (PARTITION BY g.src_ip, g.dst_ip ORDER BY p.ord) AS rn
+  FROM (SELECT src_ip, dst_ip, dport, count(*) AS n, arg_min(w, (ts_start, flow_id)) AS first_w FROM q_auth GROUP BY ALL) g
+  JOIN (VALUES (22, 'SSH', 0), (21, 'FTP', 1), (3389, 'RDP', 2), (23, 'Telnet', 3)) p(port, service, ord) ON p.port = g.dport
+  JOIN (SELECT src_ip, dst_ip, count(*) AS total FROM q_auth GROUP BY ALL) t ON t.src_ip = g.src_ip AND t.dst_ip = g.dst_ip
+  LEFT JOIN (SELECT src_ip, dst_ip, dport, min(w) AS w FROM (SELECT src_ip, dst_ip, dport, w FROM q_auth GROUP BY ALL HAVING count(*) >= 2)
+             GROUP BY ALL) b ON b.src_ip = g.src_ip AND b.dst_ip = g.dst_ip AND b.dport = g.dport
+  WHERE g.n >= 4 AND g.n >= 0.25 * t.total) WHERE rn = 1
+"""
+oracle("scan_detect", _SCAN)
+oracle("brute_detect", _BRUTE)
+oracle("campaign_rows", f"""
+SELECT name, stage, src, dst, greatest(1, greatest(2, onset_window) - 2) AS alert_step,
+  greatest(greatest(1, greatest(2, onset_window) - 2) + 1, greatest(2, onset_window)) AS onset_step,
+  (greatest(greatest(1, greatest(2, onset_window) - 2) + 1, greatest(2, onset_window)) - greatest(1, greatest(2, onset_window) - 2)) * {DAY} AS lead_s
+FROM (SELECT 'Network service scan' AS name, 1 AS stage, src, dst, onset_window FROM ({_SCAN})
+      UNION ALL SELECT service || ' brute force', 2, src, dst, onset_window FROM ({_BRUTE}))
+ORDER BY alert_step, src, stage, dst LIMIT 4
+""")
+oracle("window_count", f"SELECT CAST(greatest(12, least(40, floor((max(ts_start) - min(ts_start)) / {DAY}) + 2)) AS INTEGER) AS n_windows FROM q_flows")
+
+part("q_sched", """
+SELECT *, row_number() OVER (PARTITION BY attacker ORDER BY day, label) AS no FROM
+  (SELECT src_ip AS attacker, floor(ts_end / 86400) AS day, label, min(ts_end) AS lo, max(ts_end) + 30 AS hi, max(dst_ip) AS tgt
+   FROM q_flows WHERE label <> 'BENIGN' GROUP BY ALL)""")
+oracle("label_schedule", """
+SELECT f.flow_id, coalesce(arg_max(s.label, s.no), 'BENIGN') AS label FROM q_flows f
+LEFT JOIN q_sched s ON s.attacker = f.src_ip AND f.ts_end BETWEEN s.lo AND s.hi AND (CAST(s.day AS BIGINT) % 2 = 0 OR f.dst_ip = s.tgt)
+GROUP BY f.flow_id
+""")
+K = "dataset, capture"
+oracle("keyed_windows", f'SELECT {K}, host, segment, "window", t, {rcols(FEW)}, stage, label, attack_out FROM q_kframe')
+oracle("episode_fill", f'SELECT {K}, host, segment, "window", stage, episode_stage FROM q_kepi')
+oracle("sequence_starts", f'SELECT {K}, host, segment, "window", block, split FROM q_kstarts')
+oracle("future_target", f'SELECT {K}, host, segment, "window", split, y_future, y_now, hist_attack, lead, touches, recon, attack_rows FROM q_kseq')
+oracle("balance_sample", f"""
+SELECT {K}, host, "window", touches FROM q_kseq WHERE split = 'train' AND (touches > 0 OR
+  CAST('0x' || substr(md5('7|keep|' || dataset || '|' || capture || '|' || host || '|' || CAST("window" AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < 0.15)
+""")
+oracle("sequence_weights", f"""
+SELECT {K}, host, "window", {r('1.0 / count(*) OVER (PARTITION BY dataset, touches) / (SELECT count(DISTINCT (dataset, touches)) FROM q_kseq WHERE split = $$train$$)', 9)} AS weight,
+  {r('1 + 4 * CASE WHEN hist_attack = 0 AND y_future > 0 THEN 1 ELSE 0 END + 10 * recon', 9)} AS emphasis
+FROM q_kseq WHERE split = 'train'
+""")
+oracle("positive_weight", f"""
+SELECT {r('p')} AS positive_share, {r('least(20.0, (1 - p) / greatest(p, 1e-6))')} AS pos_weight
+FROM (SELECT sum(attack_rows / 15.0) / count(*) AS p FROM q_kseq WHERE split = 'train')
+""")
+_H = [(i, c, d, n) for i in range(10) for c, d, n in (("out_flows", -1.0, "out"), ("in_flows", -2.0, "in"))]
+oracle("history_pad", "SELECT host, segment, \"window\", " + ", ".join(
+    f"CAST(coalesce(lag({c}, {9 - i}) OVER g, {d}) AS DOUBLE) AS h{i}_{n}" for i, c, d, n in _H)
+    + ' FROM q_frame WINDOW g AS (PARTITION BY host, segment ORDER BY "window")')
+
+oracle("scaler_stats", " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, " + ("0.0::DOUBLE AS mean, 1.0::DOUBLE AS std" if f in S.MASK_FEATURES else
+    f"{r(f'avg({x})')} AS mean, {r(f'stddev_pop({x}) + 1e-6')} AS std") + " FROM q_frame"
+    for f in S.FEATURES for x in [f"ln(1 + greatest({f}, 0))" if f in S.LOG_FEATURES else f]))
+part("q_scale", "SELECT " + ", ".join(
+    f"avg({x}) AS m_{f}, stddev_pop({x}) + 1e-6 AS s_{f}" for f in S.FEATURES if f not in S.MASK_FEATURES
+    for x in [f"ln(1 + greatest({f}, 0))" if f in S.LOG_FEATURES else f]) + " FROM q_frame")
+oracle("scaled_features", 'SELECT host, "window", ' + ", ".join(
+    f"{r(f, 5)} AS {f}" if f in S.MASK_FEATURES else
+    f"{r(f'greatest(-10.0, least(10.0, ({x} - m_{f}) / s_{f}))', 5)} AS {f}"
+    for f in S.FEATURES for x in [f"ln(1 + greatest({f}, 0))" if f in S.LOG_FEATURES else f])
+    + " FROM q_frame CROSS JOIN q_scale")
+part("q_klog", f'SELECT {K}, host, "window", out_flows + in_flows > 0 AS act, ' + ", ".join(
+    f"{'ln(1 + ' + f + ')' if f in S.LOG_FEATURES else f} AS {f}" for f in FEW) + " FROM q_kframe")
+oracle("capture_norm", f'SELECT l.dataset, l.capture, l.host, l."window", ' + ", ".join(
+    r(f"(l.{f} - q.m_{f}) / greatest(q.u_{f} - q.l_{f}, 0.25)", 5) + f" AS {f}" for f in FEW)
+    + f" FROM q_klog l JOIN (SELECT {K}, " + ", ".join(
+        f"quantile_cont({f}, 0.5) AS m_{f}, quantile_cont({f}, 0.75) AS u_{f}, quantile_cont({f}, 0.25) AS l_{f}" for f in FEW)
+    + f" FROM (SELECT *, count(*) FILTER (act) OVER (PARTITION BY {K}) AS na FROM q_klog) WHERE act OR na < 5 GROUP BY {K}) q"
+    + " ON q.dataset = l.dataset AND q.capture = l.capture")
+oracle("dataset_stats", f"""
+SELECT f.*, w.hosts, w.windows, w.attack_windows FROM
+  (SELECT {K}, count(*) AS flows, count(*) FILTER (stage > 0) AS attack_flows FROM q_kflows GROUP BY {K}) f
+JOIN (SELECT {K}, count(DISTINCT host) AS hosts, count(*) AS windows, count(*) FILTER (stage > 0) AS attack_windows FROM q_kframe GROUP BY {K}) w
+ON w.dataset = f.dataset AND w.capture = f.capture
+""")
+oracle("top_labels", f"""
+SELECT * FROM (SELECT {K}, label, count(*) AS flows, CAST(row_number() OVER (PARTITION BY {K} ORDER BY count(*) DESC, label) AS INTEGER) AS rank
+FROM q_kflows GROUP BY {K}, label) WHERE rank <= 12""")
+oracle("stage_windows", """
+SELECT dataset, stage, count(*) AS windows, (['BENIGN', 'RECONNAISSANCE', 'INITIAL_ACCESS', 'LATERAL_MOVEMENT',
+  'COMMAND_AND_CONTROL', 'EXFILTRATION', 'IMPACT'])[stage + 1] AS stage_name FROM q_kframe GROUP BY dataset, stage""")
+oracle("typical", " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round(quantile_cont({f}, 0.5), 4) AS typical FROM q_frame WHERE out_flows + in_flows > 0" for f in S.FEATURES))
+
+# ------------------------------------------------------------------ evaluation
+def _pr(y: str, score: str, by: str) -> str:
+    g = f"PARTITION BY {by} " if by else ""
+    return f"""SELECT *, sum(pos) OVER ({g}ORDER BY score DESC) AS cp, sum(n) OVER ({g}ORDER BY score DESC) AS cn,
+      sum(pos) OVER ({g.strip()}) AS tot FROM (SELECT {by + ',' if by else ''} {score} AS score, count(*) AS n, sum({y}) AS pos
+      FROM q_kseq GROUP BY {by + ',' if by else ''} {score})"""
+
+
+oracle("persistence_metrics", f"""
+SELECT m.*, round(a.pr_auc, 4) AS pr_auc FROM (
+  SELECT dataset, tp, fp, fn, tn, positives, n, round(tp / greatest(tp + fp, 1), 4) AS precision, round(tp / greatest(tp + fn, 1), 4) AS recall,
+    round(2 * (tp / greatest(tp + fp, 1)) * (tp / greatest(tp + fn, 1)) / greatest(tp / greatest(tp + fp, 1) + tp / greatest(tp + fn, 1), 1e-12), 4) AS f1,
+    round(fp / greatest(fp + tn, 1), 5) AS fpr, CAST(0.5 AS DOUBLE) AS threshold
+  FROM (SELECT dataset, count(*) FILTER (y_now >= 0.5 AND y_future > 0) AS tp, count(*) FILTER (y_now >= 0.5 AND y_future = 0) AS fp,
+    count(*) FILTER (y_now < 0.5 AND y_future > 0) AS fn, count(*) FILTER (y_now < 0.5 AND y_future = 0) AS tn,
+    count(*) FILTER (y_future > 0) AS positives, count(*) AS n FROM q_kseq GROUP BY dataset)) m
+JOIN (SELECT dataset, sum(pos / tot * (cp / cn)) AS pr_auc FROM ({_pr('y_future', 'y_now', 'dataset')}) GROUP BY dataset) a USING (dataset)
+""")
+oracle("average_precision", f"SELECT dataset, {r('sum(pos / tot * (cp / cn))')} AS pr_auc FROM ({_pr('y_future', 'score', 'dataset')}) GROUP BY dataset")
+oracle("macro_ap", f"SELECT {r('avg(a)')} AS macro_pr_auc FROM (SELECT sum(pos / tot * (cp / cn)) AS a FROM ({_pr('y_future', 'score', 'dataset')}) GROUP BY dataset)")
+oracle("pick_threshold", f"""
+SELECT {r('score')} AS threshold, {r('f1')} AS f1 FROM (SELECT score, 2 * (cp / cn) * (cp / tot) / greatest(cp / cn + cp / tot, 1e-12) AS f1
+FROM ({_pr('y_future', 'score', '')})) ORDER BY f1 DESC, score LIMIT 1""")
+oracle("pick_threshold_macro", f"""
+SELECT {r('cand')} AS threshold, {r('round(m, 12)')} AS mean_f1 FROM (
+  SELECT cand, avg(f) AS m FROM (
+    SELECT c.cand, s.dataset, 2.0 * count(*) FILTER (score >= cand AND y_future > 0) / greatest(2 * count(*) FILTER (score >= cand AND y_future > 0)
+      + count(*) FILTER (score >= cand AND y_future = 0) + count(*) FILTER (score < cand AND y_future > 0), 1) AS f
+    FROM q_kseq s CROSS JOIN (SELECT DISTINCT unnest(quantile_cont(score, {[i / 100 for i in range(101)]})) AS cand FROM q_kseq WHERE y_future > 0) c
+    GROUP BY c.cand, s.dataset HAVING count(*) FILTER (y_future > 0) > 0) GROUP BY cand)
+ORDER BY round(m, 12) DESC, cand LIMIT 1""")
+oracle("onset_metrics", """
+SELECT count(*) FILTER (o) AS onsets, round(count(*) FILTER (o AND score >= 0.2) / count(*) FILTER (o), 4) AS early_warning_recall,
+  round(count(*) FILTER (q AND score >= 0.2) / count(*) FILTER (q), 5) AS quiet_false_alarm_rate,
+  quantile_cont(CASE WHEN o AND score >= 0.2 THEN lead * 3600.0 END, 0.5)::DOUBLE AS median_lead_s,
+  round(avg(CASE WHEN o AND score >= 0.2 THEN lead * 3600.0 END), 1) AS mean_lead_s
+FROM (SELECT *, y_future > 0 AND hist_attack = 0 AS o, y_future = 0 AND hist_attack = 0 AS q FROM q_kseq)
+""")
+oracle("transition_table", f"SELECT from_stage, to_stage, n, {r('p', 9)} AS p FROM q_trans")
+oracle("markov_rollout", f"SELECT s AS start_stage, CAST(k AS INTEGER) AS step, z AS stage, {r('p', 9)} AS p FROM q_rolled")
+oracle("calibrate", f"""
+SELECT host, "window", {r('1 / (1 + exp(-(1.7 * ln(q / (1 - q)) - 0.4)))')} AS p
+FROM (SELECT host, "window", least(greatest(out_failed_ratio, 1e-6), 1 - 1e-6) AS q FROM q_frame)""")
+
+# ------------------------------------------------------------------ alerts
+part("q_host", f"""
+SELECT f.host, a.first_alert_step, min(step) FILTER (stage = 1) AS recon, min(step) FILTER (stage >= 2) AS comp,
+  min(step) FILTER (stage > 0) AS atk, max(risk) AS peak, CAST(sum(out_flows + in_flows) AS BIGINT) AS flows,
+  count(*) FILTER (stage > 0) AS truth, arg_min(mapped, (-risk, step)) AS st,
+  min(step) FILTER (stage = 2) AS brute, min(step) FILTER (risk >= {THR}) AS single
+FROM q_fc f LEFT JOIN q_alert a ON a.host = f.host GROUP BY f.host, a.first_alert_step""")
+part("q_hit", f"""
+SELECT h.host, min(f.step) AS hit FROM q_host h JOIN q_fc f ON f.host = h.host AND f.step BETWEEN coalesce(h.comp, h.atk) - 5 AND coalesce(h.comp, h.atk) - 1
+WHERE f.future[coalesce(h.comp, h.atk) - f.step] >= {THR} GROUP BY h.host""")
+oracle("first_alert", "SELECT host, CAST(first_alert_step AS INTEGER) AS first_alert_step FROM q_host")
+oracle("overview", """
+SELECT h.host, round(peak, 4) AS peak, CAST(first_alert_step AS INTEGER) AS first_alert_step, st AS stage, (['BENIGN', 'RECONNAISSANCE', 'INITIAL_ACCESS',
+  'LATERAL_MOVEMENT', 'COMMAND_AND_CONTROL', 'EXFILTRATION', 'IMPACT'])[st + 1] AS stage_name, flows, truth AS truth_attack_steps,
+  CAST(comp AS INTEGER) AS first_compromise_step, CAST((comp - first_alert_step) * 3600 AS INTEGER) AS compromise_lead_s,
+  CAST((coalesce(comp, atk) - hit) * 3600 AS INTEGER) AS forecast_lead_s FROM q_host h LEFT JOIN q_hit USING (host)""")
+oracle("lead_times", f"""
+SELECT h.host, CAST(first_alert_step AS INTEGER) AS first_alert_step,
+  CAST(3600 * CASE WHEN list_max(f.future) >= 0.5 THEN list_position(list_transform(f.future, lambda x: x >= 0.5), true)
+    ELSE list_position(f.future, list_max(f.future)) END AS INTEGER) AS predicted_compromise_s_after_alert,
+  CAST(recon AS INTEGER) AS first_recon_step, CAST(comp AS INTEGER) AS first_compromise_step, CAST(coalesce(comp, recon) AS INTEGER) AS actual_first_attack_step,
+  CAST(hit AS INTEGER) AS forecast_hit_step, CAST((coalesce(comp, recon) - first_alert_step) * 3600 AS INTEGER) AS lead_time_s,
+  CAST((comp - first_alert_step) * 3600 AS INTEGER) AS compromise_lead_s, CAST((coalesce(comp, recon) - hit) * 3600 AS INTEGER) AS forecast_lead_s,
+  coalesce(recon < comp, false) AS recon_before_compromise
+FROM q_host h LEFT JOIN q_hit USING (host) LEFT JOIN q_fc f ON f.host = h.host AND f.step = h.first_alert_step""")
+oracle("lead_time_check", """
+SELECT h.host, CAST(single AS INTEGER) AS first_alert_step, CAST(brute AS INTEGER) AS first_brute_step,
+  CAST((brute - single) * 3600 AS INTEGER) AS lead_s, coalesce(f.stage = 1, false) AS recon_at_alert
+FROM q_host h LEFT JOIN q_fc f ON f.host = h.host AND f.step = h.single""")
+
+# ------------------------------------------------------------------ counterfactuals
+_MID = "(SELECT floor((min(ts_end) + max(ts_end)) / 2) FROM q_flows)"
+oracle("counterfactual_block", f"""
+SELECT flow_id, src_ip, dst_ip FROM q_flows WHERE NOT ((src_ip = '10.0.0.5' OR dst_ip = '10.0.0.5') AND ts_end >= {_MID})""")
+oracle("counterfactual_throttle", f"""
+SELECT flow_id, src_ip, dst_ip FROM (SELECT *, (src_ip = '10.0.0.5' OR dst_ip = '10.0.0.5') AND ts_end >= {_MID} AS hit FROM q_flows)
+WHERE NOT hit UNION ALL
+SELECT flow_id, src_ip, dst_ip FROM (SELECT *, row_number() OVER (ORDER BY ts_end, flow_id) AS rn FROM q_flows
+WHERE (src_ip = '10.0.0.5' OR dst_ip = '10.0.0.5') AND ts_end >= {_MID}) WHERE (rn - 1) % 10 = 0""")

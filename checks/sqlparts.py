@@ -164,3 +164,192 @@ SELECT src_ip AS a, dst_ip AS b, w AS "window", count(*) AS flows FROM q_cut
 WHERE src_ip <> dst_ip AND src_ip IN (SELECT host FROM q_hosts) AND dst_ip IN (SELECT host FROM q_hosts)
 GROUP BY src_ip, dst_ip, w
 """)
+
+# ------------------------------------------------------------------ forecasts
+part("q_trans", """
+SELECT a.i AS from_stage, b.i AS to_stage, coalesce(n, 0) AS n,
+  (coalesce(n, 0) + 1.0) / (sum(coalesce(n, 0)) OVER (PARTITION BY a.i) + 7.0) AS p
+FROM (SELECT CAST(unnest(range(7)) AS INTEGER) AS i) a CROSS JOIN (SELECT CAST(unnest(range(7)) AS INTEGER) AS i) b
+LEFT JOIN (SELECT stage, nxt, count(*) AS n FROM
+  (SELECT stage, lead(stage) OVER (PARTITION BY host, segment ORDER BY "window") AS nxt FROM q_frame)
+  WHERE nxt IS NOT NULL GROUP BY stage, nxt) c ON c.stage = a.i AND c.nxt = b.i
+""")
+part("q_roll1", "SELECT from_stage AS s, to_stage AS z, p FROM q_trans")
+for _k in range(2, 6):
+    part(f"q_roll{_k}", f"""
+SELECT d.s, t.to_stage AS z, sum(d.p * t.p) AS p FROM q_roll{_k - 1} d JOIN q_trans t ON t.from_stage = d.z
+GROUP BY d.s, t.to_stage""")
+part("q_rolled", " UNION ALL ".join(f"SELECT s, {k} AS k, z, p FROM q_roll{k}" for k in range(1, 6)))
+part("q_bystage", """
+SELECT s, list(r ORDER BY k) AS future, list(m ORDER BY k) AS probs FROM (
+  SELECT s, k, sum(q) FILTER (z > 0) AS r, list(q ORDER BY z) AS m FROM
+    (SELECT s, k, z, (p + CASE WHEN z = s THEN 1.0 ELSE 0.0 END) / 2 AS q FROM q_rolled) GROUP BY s, k)
+GROUP BY s
+""")
+part("q_mean", """
+SELECT s, list(q ORDER BY z) AS m FROM
+  (SELECT s, z, avg((p + CASE WHEN z = s THEN 1.0 ELSE 0.0 END) / 2) AS q FROM q_rolled GROUP BY s, z) GROUP BY s
+""")
+THR = 0.3
+part("q_fc", f"""
+SELECT f.host, f."window", f."window" - (SELECT min("window") FROM q_frame) AS step, f.stage, f.out_flows, f.in_flows,
+  b.future, list_max(b.future) AS risk, m.m AS probs, b.probs AS kprobs,
+  CAST(CASE WHEN list_max(b.future) < {THR} * 0.5 THEN 0
+            ELSE list_position(m.m[2:7], list_max(m.m[2:7])) END AS INTEGER) AS mapped
+FROM q_frame f JOIN q_bystage b ON b.s = f.stage JOIN q_mean m ON m.s = f.stage
+""")
+part("q_alert", f"""
+SELECT host, min(step) AS first_alert_step FROM
+  (SELECT host, step, risk, lag(risk) OVER w AS pr, lag(step) OVER w AS ps FROM q_fc
+   WINDOW w AS (PARTITION BY host ORDER BY step))
+WHERE risk >= {THR} AND pr >= {THR} AND step - ps = 1 GROUP BY host
+""")
+
+# ------------------------------------------------------------------ roles
+part("q_recent", """
+SELECT w AS "window", a, b, CAST(sum(flows) AS BIGINT) AS flows FROM
+  (SELECT a, b, flows, unnest(range("window", "window" + 3)) AS w FROM q_edges) GROUP BY w, a, b
+""")
+part("q_dir", """
+SELECT "window", host, sum(o) AS o, sum(i) AS i FROM
+  (SELECT "window", a AS host, flows AS o, 0 AS i FROM q_recent UNION ALL SELECT "window", b, 0, flows FROM q_recent)
+GROUP BY "window", host
+""")
+part("q_alerting", f"""
+SELECT f."window", f.host, row_number() OVER (PARTITION BY f."window" ORDER BY f.risk DESC, f.host) AS pos,
+  coalesce(d.o, 0) >= coalesce(d.i, 0) AS attacks
+FROM q_fc f LEFT JOIN q_dir d ON d."window" = f."window" AND d.host = f.host WHERE f.risk >= {THR}
+""")
+part("q_heavy_src", """
+SELECT "window", b AS host, a AS peer FROM
+  (SELECT *, row_number() OVER (PARTITION BY "window", b ORDER BY flows DESC, a) AS rn FROM q_recent) WHERE rn = 1
+""")
+part("q_heavy_dst", """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "window", a ORDER BY flows DESC, b) AS rn FROM q_recent)
+WHERE rn <= 3
+""")
+part("q_vict", """
+SELECT v."window", v.host AS victim, v.pos, s.peer AS attacker FROM q_alerting v
+JOIN q_heavy_src s ON s."window" = v."window" AND s.host = v.host WHERE NOT v.attacks
+""")
+part("q_targets", """
+SELECT h."window", h.a AS attacker, h.b AS victim, h.rn, x.pos FROM q_heavy_dst h
+JOIN q_alerting x ON x."window" = h."window" AND x.host = h.a WHERE x.attacks
+""")
+part("q_links", """
+SELECT "window", attacker, victim, 0 AS grp, pos, rn FROM q_targets
+UNION ALL
+SELECT v."window", v.attacker, v.victim, 1, v.pos, 0 FROM q_vict v
+LEFT JOIN q_alerting x ON x."window" = v."window" AND x.host = v.attacker AND x.attacks
+WHERE (x.pos IS NULL OR v.pos > x.pos) AND NOT EXISTS
+  (SELECT 1 FROM q_targets t WHERE t."window" = v."window" AND t.attacker = v.attacker AND t.victim = v.victim)
+""")
+part("q_entered", """
+SELECT "window", attacker, min(pos) AS entry FROM
+  (SELECT "window", host AS attacker, pos FROM q_alerting WHERE attacks
+   UNION ALL SELECT "window", attacker, pos FROM q_vict) GROUP BY "window", attacker
+""")
+part("q_roles", """
+SELECT "window", attacker AS host, 'attacker' AS role, CAST(NULL AS VARCHAR) AS attacker FROM q_entered
+UNION ALL
+SELECT "window", host, 'victim', coalesce(named, listed_by) FROM
+  (SELECT coalesce(l."window", v."window") AS "window", coalesce(l.host, v.victim) AS host, v.attacker AS named, l.listed_by
+   FROM (SELECT k."window", k.victim AS host, arg_max(k.attacker, e.entry) AS listed_by FROM q_links k
+         JOIN q_entered e ON e."window" = k."window" AND e.attacker = k.attacker GROUP BY k."window", k.victim) l
+   FULL JOIN q_vict v ON v."window" = l."window" AND v.victim = l.host)
+WHERE NOT EXISTS (SELECT 1 FROM q_entered e WHERE e."window" = "window" AND FALSE)
+""")
+PARTS["q_roles"] = PARTS["q_roles"].replace(
+    'WHERE NOT EXISTS (SELECT 1 FROM q_entered e WHERE e."window" = "window" AND FALSE)',
+    'AS r WHERE NOT EXISTS (SELECT 1 FROM q_entered e WHERE e."window" = r."window" AND e.attacker = r.host)')
+
+# ------------------------------------------------------------------ captures and sequences
+part("q_kflows", f"""
+SELECT *, 'd' || CAST(flow_id % 2 AS VARCHAR) AS dataset,
+  'c' || CAST(CAST(floor(flow_id % 4 / 2.0) AS BIGINT) AS VARCHAR) AS capture, {stage_case('label')} AS stage,
+  CAST(floor(ts_end / {W}) AS BIGINT) AS aw, CASE WHEN bwd_pkts <= 0 OR rst > 0 THEN 1 ELSE 0 END AS failed
+FROM q_flows
+""")
+part("q_kcut", "SELECT *, aw - min(aw) OVER (PARTITION BY dataset, capture) AS w FROM q_kflows")
+part("q_khosts", """
+SELECT dataset, capture, host FROM
+  (SELECT dataset, capture, host, row_number() OVER (PARTITION BY dataset, capture ORDER BY n DESC, host) AS rn FROM
+    (SELECT dataset, capture, host, count(*) AS n FROM
+      (SELECT dataset, capture, src_ip AS host FROM q_kflows UNION ALL SELECT dataset, capture, dst_ip FROM q_kflows)
+     GROUP BY dataset, capture, host HAVING count(*) >= 5)) WHERE rn <= 50
+""")
+part("q_kout", "SELECT c.*, h.host FROM q_kcut c JOIN q_khosts h ON h.dataset = c.dataset AND h.capture = c.capture AND h.host = c.src_ip")
+part("q_kin", "SELECT c.*, h.host FROM q_kcut c JOIN q_khosts h ON h.dataset = c.dataset AND h.capture = c.capture AND h.host = c.dst_ip")
+part("q_ksegs", """
+SELECT dataset, capture, w, segment, min(w) OVER (PARTITION BY dataset, capture, segment) AS lo,
+  max(w) OVER (PARTITION BY dataset, capture, segment) AS hi, aw FROM
+  (SELECT *, CAST(sum(CASE WHEN w - prev <= 10 THEN 0 ELSE 1 END) OVER (PARTITION BY dataset, capture ORDER BY w) - 1 AS INTEGER) AS segment
+   FROM (SELECT *, lag(w) OVER (PARTITION BY dataset, capture ORDER BY w) AS prev FROM
+     (SELECT DISTINCT dataset, capture, w, aw FROM q_kcut)))
+""")
+part("q_kactive", """
+SELECT dataset, capture, host, w, sum(o) AS out_flows, sum(i) AS in_flows, sum(f) AS failed,
+  count(DISTINCT src) AS in_distinct_src, sum(ao) AS atk_out, sum(ai) AS atk_in FROM
+  (SELECT dataset, capture, host, w, 1 AS o, 0 AS i, failed AS f, NULL AS src, CASE WHEN stage > 0 THEN 1 ELSE 0 END AS ao, 0 AS ai FROM q_kout
+   UNION ALL SELECT dataset, capture, host, w, 0, 1, 0, src_ip, 0, CASE WHEN stage > 0 THEN 1 ELSE 0 END FROM q_kin)
+GROUP BY dataset, capture, host, w
+""")
+part("q_klabel", """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, capture, host, w ORDER BY n DESC, stage, label) AS rn FROM
+  (SELECT dataset, capture, host, w, stage, label, count(*) AS n FROM
+    (SELECT dataset, capture, host, w, stage, label FROM q_kout WHERE stage > 0
+     UNION ALL SELECT dataset, capture, host, w, stage, label FROM q_kin WHERE stage > 0)
+   GROUP BY dataset, capture, host, w, stage, label)) WHERE rn = 1
+""")
+part("q_kgrid", """
+SELECT dataset, capture, host, segment, unnest(range(lo, hi + 1)) AS w FROM
+  (SELECT DISTINCT a.dataset, a.capture, a.host, s.segment, s.lo, s.hi FROM q_kactive a
+   JOIN q_ksegs s ON s.dataset = a.dataset AND s.capture = a.capture AND s.w = a.w)
+""")
+part("q_kframe", f"""
+SELECT g.dataset, g.capture, g.host, g.segment, g.w AS "window",
+  ((SELECT min(k.aw) FROM q_kflows k WHERE k.dataset = g.dataset AND k.capture = g.capture) + g.w) * {W}.0 AS t,
+  CAST(coalesce(a.out_flows, 0) AS DOUBLE) AS out_flows, CAST(coalesce(a.in_flows, 0) AS DOUBLE) AS in_flows,
+  coalesce(a.failed / nullif(a.out_flows, 0), 0.0) AS out_failed_ratio,
+  CAST(coalesce(a.in_distinct_src, 0) AS DOUBLE) AS in_distinct_src,
+  coalesce(l.stage, 0) AS stage, coalesce(l.label, 'BENIGN') AS label,
+  CASE WHEN coalesce(l.stage, 0) > 0 AND a.atk_out >= a.atk_in AND a.atk_out > 0 THEN 1 ELSE 0 END AS attack_out
+FROM q_kgrid g
+LEFT JOIN q_kactive a ON a.dataset = g.dataset AND a.capture = g.capture AND a.host = g.host AND a.w = g.w
+LEFT JOIN q_klabel l ON l.dataset = g.dataset AND l.capture = g.capture AND l.host = g.host AND l.w = g.w
+""")
+part("q_kepi", """
+SELECT * EXCLUDE (n, pn, ps, qn), CASE WHEN stage = 0 AND qn - pn <= 6 THEN ps ELSE stage END AS episode_stage FROM
+  (SELECT *, max(CASE WHEN stage > 0 THEN n END) OVER (g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pn,
+     last_value(CASE WHEN stage > 0 THEN stage END IGNORE NULLS) OVER (g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ps,
+     min(CASE WHEN stage > 0 THEN n END) OVER (g ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS qn
+   FROM (SELECT *, row_number() OVER (PARTITION BY dataset, capture, host, segment ORDER BY "window") AS n FROM q_kframe)
+   WINDOW g AS (PARTITION BY dataset, capture, host, segment ORDER BY "window"))
+""")
+part("q_kblock", """
+SELECT f.*, CAST(floor((f."window" - c.w0) / 60.0) AS BIGINT) AS block, c.no,
+  CASE WHEN f.dataset = 'lab' THEN 'train' ELSE
+    (['train', 'train', 'val', 'train', 'test'])[CAST((floor((f."window" - c.w0) / 60.0) + c.no) % 5 AS BIGINT) + 1] END AS split
+FROM q_kepi f JOIN (SELECT dataset, capture, min("window") AS w0,
+  row_number() OVER (ORDER BY dataset, capture) - 1 AS no FROM q_kepi GROUP BY dataset, capture) c
+ON c.dataset = f.dataset AND c.capture = f.capture
+""")
+part("q_kstarts", """
+SELECT * FROM (SELECT *, lead(block, 14) OVER (PARTITION BY dataset, capture, host, segment ORDER BY "window") AS lastb,
+  lead(out_failed_ratio, 9) OVER (PARTITION BY dataset, capture, host, segment ORDER BY "window") AS s_ratio,
+  lead(in_flows, 9) OVER (PARTITION BY dataset, capture, host, segment ORDER BY "window") AS s_busy FROM q_kblock)
+WHERE lastb = block
+""")
+part("q_kseq", """
+SELECT s.dataset, s.capture, s.host, s.segment, s."window", s.split,
+  round(any_value(s.s_ratio) + 0.1 * any_value(s.s_busy), 6) AS score,
+  max(CASE WHEN r.d >= 10 THEN r.risk END) AS y_future, max(CASE WHEN r.d = 9 THEN r.risk END) AS y_now,
+  max(CASE WHEN r.d < 10 THEN r.risk END) AS hist_attack,
+  coalesce(min(CASE WHEN r.d >= 10 AND r.risk > 0 THEN r.d - 9 END), 0) AS lead, max(r.risk) AS touches,
+  max(CASE WHEN r.d >= 10 THEN CASE WHEN r.stage = 1 THEN 1 ELSE 0 END END) AS recon, CAST(sum(r.risk) AS INTEGER) AS attack_rows
+FROM q_kstarts s JOIN
+  (SELECT e.*, CASE WHEN episode_stage BETWEEN 1 AND 6 THEN 1 ELSE 0 END AS risk, o.d, e."window" - o.d AS start_w
+   FROM q_kepi e CROSS JOIN (SELECT CAST(unnest(range(15)) AS INTEGER) AS d) o) r
+ON r.dataset = s.dataset AND r.capture = s.capture AND r.host = s.host AND r.segment = s.segment AND r.start_w = s."window"
+GROUP BY s.dataset, s.capture, s.host, s.segment, s."window", s.split
+""")

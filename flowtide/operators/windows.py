@@ -266,7 +266,9 @@ def segments(w: DataFrame, spec: WindowSpec) -> DataFrame:
     keys = list(spec.keys)
     order = Window.partitionBy(*keys).orderBy("window")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    onward = order.rowsBetween(0, Window.unboundedFollowing)
+    # a descending running frame: the ascending "to the end" frame is quadratic
+    onward = (Window.partitionBy(*keys).orderBy(F.desc("window"))
+              .rowsBetween(Window.unboundedPreceding, 0))
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     opens = F.coalesce(F.col("window") - F.lag("window").over(order) > spec.gap, F.lit(True))
     closes = F.coalesce(F.lead("window").over(order) - F.col("window") > spec.gap, F.lit(True))
@@ -275,7 +277,7 @@ def segments(w: DataFrame, spec: WindowSpec) -> DataFrame:
             .select(*keys, "window",
                     (F.sum(F.col("_o").cast("int")).over(upto) - 1).cast("int").alias("segment"),
                     F.last(F.when(F.col("_o"), F.col("window")), True).over(upto).alias("seg_start"),
-                    F.first(F.when(F.col("_c"), F.col("window")), True).over(onward).alias("seg_end"),
+                    F.last(F.when(F.col("_c"), F.col("window")), True).over(onward).alias("seg_end"),
                     F.first("window").over(whole).alias("base")))
 
 

@@ -34,6 +34,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
                        for c, t in df.dtypes])
 
 
+def no_nulls(df: DataFrame) -> DataFrame:
+    """-1 for missing numbers and '' for missing text, so that types survive the comparison."""
+    return df.select(*[F.coalesce(F.col(c), F.lit("") if t == "string" else F.lit(-1).cast(t)).alias(c)
+                       if t in ("string", "int", "bigint", "double") else F.col(c) for c, t in df.dtypes])
+
+
 def frame(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     return W.host_windows(flows(spark, sf_dir), spec(**kw))
 
@@ -145,7 +151,7 @@ def peak_risk(spark, sf) -> DataFrame:
 def roles(spark, sf):
     """Attacker and victim roles in every window that has alerting hosts."""
     e = W.host_edges(flows(spark, sf), spec())
-    return G.role_links(e, peak_risk(spark, sf), THRESHOLD)["roles"]
+    return no_nulls(G.role_links(e, peak_risk(spark, sf), THRESHOLD)["roles"])
 
 
 @register
@@ -299,7 +305,7 @@ def history_pad(spark, sf):
 @register
 def host_series(spark, sf):
     f = materialise(frame(spark, sf, window_s=600).select("host", "window", "out_flows", "stage"))
-    return SQ.align_steps(f, {"out_flows": F.lit(0.0), "stage": F.lit(0)}).select(
+    return SQ.align_steps(f, {"out_flows": "0.0D", "stage": "0"}).select(
         "host", "step", "out_flows", "stage", "present")
 
 
@@ -408,22 +414,22 @@ def calibrate(spark, sf):
 # ------------------------------------------------------------------ alerts
 @register
 def first_alert(spark, sf):
-    return A.first_alerts(forecast_frame(spark, sf), THRESHOLD)
+    return no_nulls(A.first_alerts(forecast_frame(spark, sf), THRESHOLD))
 
 
 @register
 def overview(spark, sf):
-    return A.overview(forecast_frame(spark, sf), THRESHOLD, window_s=3600)
+    return no_nulls(A.overview(forecast_frame(spark, sf), THRESHOLD, window_s=3600))
 
 
 @register
 def lead_times(spark, sf):
-    return A.timeline_summary(forecast_frame(spark, sf), THRESHOLD, window_s=3600)
+    return no_nulls(A.timeline_summary(forecast_frame(spark, sf), THRESHOLD, window_s=3600))
 
 
 @register
 def lead_time_check(spark, sf):
-    return A.lead_time_check(forecast_frame(spark, sf), THRESHOLD, 3600)
+    return no_nulls(A.lead_time_check(forecast_frame(spark, sf), THRESHOLD, 3600))
 
 
 @register
@@ -448,7 +454,7 @@ def _context(spark, sf) -> DataFrame:
 @register
 def decision_context(spark, sf):
     c = _context(spark, sf)
-    return c.withColumn("c2_peers", F.array_join("c2_peers", ","))
+    return no_nulls(c.withColumn("c2_peers", F.array_join("c2_peers", ",")))
 
 
 @register

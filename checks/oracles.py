@@ -55,7 +55,7 @@ FROM q_frame f LEFT JOIN (
   JOIN q_frame p ON p.host = u.peer AND p."window" = u."window" GROUP BY u.host, u."window") n
 ON n.host = f.host AND n."window" = f."window"
 """)
-oracle("roles", "SELECT * FROM q_roles")
+oracle("roles", "SELECT \"window\", host, role, coalesce(attacker, '') AS attacker FROM q_roles")
 oracle("role_victims", 'SELECT "window", attacker, victim, grp FROM q_links')
 
 _NODES = f"""
@@ -154,7 +154,7 @@ oracle("history_pad", "SELECT host, segment, \"window\", " + ", ".join(
     + ' FROM q_frame WINDOW g AS (PARTITION BY host, segment ORDER BY "window")')
 
 oracle("scaler_stats", " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, " + ("0.0::DOUBLE AS mean, 1.0::DOUBLE AS std" if f in S.MASK_FEATURES else
+    f"SELECT '{f}' AS feature, " + ("max(0.0)::DOUBLE AS mean, max(1.0)::DOUBLE AS std" if f in S.MASK_FEATURES else
     f"{r(f'avg({x})')} AS mean, {r(f'stddev_pop({x}) + 1e-6')} AS std") + " FROM q_frame"
     for f in S.FEATURES for x in [f"ln(1 + greatest({f}, 0))" if f in S.LOG_FEATURES else f]))
 part("q_scale", "SELECT " + ", ".join(
@@ -242,24 +242,24 @@ FROM q_fc f LEFT JOIN q_alert a ON a.host = f.host GROUP BY f.host, a.first_aler
 part("q_hit", f"""
 SELECT h.host, min(f.step) AS hit FROM q_host h JOIN q_fc f ON f.host = h.host AND f.step BETWEEN coalesce(h.comp, h.atk) - 5 AND coalesce(h.comp, h.atk) - 1
 WHERE f.future[coalesce(h.comp, h.atk) - f.step] >= {THR} GROUP BY h.host""")
-oracle("first_alert", "SELECT host, CAST(first_alert_step AS INTEGER) AS first_alert_step FROM q_host")
+oracle("first_alert", "SELECT host, CAST(coalesce(first_alert_step, -1) AS INTEGER) AS first_alert_step FROM q_host")
 oracle("overview", """
-SELECT h.host, round(peak, 4) AS peak, CAST(first_alert_step AS INTEGER) AS first_alert_step, st AS stage, (['BENIGN', 'RECONNAISSANCE', 'INITIAL_ACCESS',
+SELECT h.host, round(peak, 4) AS peak, CAST(coalesce(first_alert_step, -1) AS INTEGER) AS first_alert_step, st AS stage, (['BENIGN', 'RECONNAISSANCE', 'INITIAL_ACCESS',
   'LATERAL_MOVEMENT', 'COMMAND_AND_CONTROL', 'EXFILTRATION', 'IMPACT'])[st + 1] AS stage_name, flows, truth AS truth_attack_steps,
-  CAST(comp AS INTEGER) AS first_compromise_step, CAST((comp - first_alert_step) * 3600 AS INTEGER) AS compromise_lead_s,
-  CAST((coalesce(comp, atk) - hit) * 3600 AS INTEGER) AS forecast_lead_s FROM q_host h LEFT JOIN q_hit USING (host)""")
+  CAST(coalesce(comp, -1) AS INTEGER) AS first_compromise_step, CAST(coalesce((comp - first_alert_step) * 3600, -1) AS INTEGER) AS compromise_lead_s,
+  CAST(coalesce((coalesce(comp, atk) - hit) * 3600, -1) AS INTEGER) AS forecast_lead_s FROM q_host h LEFT JOIN q_hit USING (host)""")
 oracle("lead_times", f"""
-SELECT h.host, CAST(first_alert_step AS INTEGER) AS first_alert_step,
-  CAST(3600 * CASE WHEN list_max(f.future) >= 0.5 THEN list_position(list_transform(f.future, lambda x: x >= 0.5), true)
-    ELSE list_position(f.future, list_max(f.future)) END AS INTEGER) AS predicted_compromise_s_after_alert,
-  CAST(recon AS INTEGER) AS first_recon_step, CAST(comp AS INTEGER) AS first_compromise_step, CAST(coalesce(comp, recon) AS INTEGER) AS actual_first_attack_step,
-  CAST(hit AS INTEGER) AS forecast_hit_step, CAST((coalesce(comp, recon) - first_alert_step) * 3600 AS INTEGER) AS lead_time_s,
-  CAST((comp - first_alert_step) * 3600 AS INTEGER) AS compromise_lead_s, CAST((coalesce(comp, recon) - hit) * 3600 AS INTEGER) AS forecast_lead_s,
+SELECT h.host, CAST(coalesce(first_alert_step, -1) AS INTEGER) AS first_alert_step,
+  CAST(coalesce(3600 * CASE WHEN list_max(f.future) >= 0.5 THEN list_position(list_transform(f.future, lambda x: x >= 0.5), true)
+    ELSE list_position(f.future, list_max(f.future)) END, -1) AS INTEGER) AS predicted_compromise_s_after_alert,
+  CAST(coalesce(recon, -1) AS INTEGER) AS first_recon_step, CAST(coalesce(comp, -1) AS INTEGER) AS first_compromise_step, CAST(coalesce(coalesce(comp, recon), -1) AS INTEGER) AS actual_first_attack_step,
+  CAST(coalesce(hit, -1) AS INTEGER) AS forecast_hit_step, CAST(coalesce((coalesce(comp, recon) - first_alert_step) * 3600, -1) AS INTEGER) AS lead_time_s,
+  CAST(coalesce((comp - first_alert_step) * 3600, -1) AS INTEGER) AS compromise_lead_s, CAST(coalesce((coalesce(comp, recon) - hit) * 3600, -1) AS INTEGER) AS forecast_lead_s,
   coalesce(recon < comp, false) AS recon_before_compromise
 FROM q_host h LEFT JOIN q_hit USING (host) LEFT JOIN q_fc f ON f.host = h.host AND f.step = h.first_alert_step""")
 oracle("lead_time_check", """
-SELECT h.host, CAST(single AS INTEGER) AS first_alert_step, CAST(brute AS INTEGER) AS first_brute_step,
-  CAST((brute - single) * 3600 AS INTEGER) AS lead_s, coalesce(f.stage = 1, false) AS recon_at_alert
+SELECT h.host, CAST(coalesce(single, -1) AS INTEGER) AS first_alert_step, CAST(coalesce(brute, -1) AS INTEGER) AS first_brute_step,
+  CAST(coalesce((brute - single) * 3600, -1) AS INTEGER) AS lead_s, coalesce(f.stage = 1, false) AS recon_at_alert
 FROM q_host h LEFT JOIN q_fc f ON f.host = h.host AND f.step = h.single""")
 
 # ------------------------------------------------------------------ counterfactuals

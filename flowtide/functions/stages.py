@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -79,10 +78,19 @@ def is_benign(label: Column, benign: Sequence[str] = BENIGN_LABELS) -> Column:
 
 def label_to_stage(label: Column, rules: Sequence[tuple[str, int]] = LABEL_RULES,
                    benign: Sequence[str] = BENIGN_LABELS, fallback: int = FALLBACK_STAGE) -> Column:
-    s = _norm(label)
-    start = F.when(is_benign(label, benign), F.lit(0))
-    return reduce(lambda acc, r: acc.when(s.contains(r[0]), F.lit(r[1])), rules, start).otherwise(
-        F.lit(fallback)).cast("int")
+    """Stage of a raw label: benign, else the first rule contained in it, else the fallback.
+
+    The rules are one constant array; the normalised label is bound once per row.
+    """
+    table = F.expr("array(" + ", ".join(
+        "named_struct('text', '{}', 'stage', {})".format(m.replace("'", "\\'"), s) for m, s in rules) + ")")
+
+    def stage_of(s: Column) -> Column:
+        quiet = F.when(s.startswith("flow="), ~s.contains("botnet")).otherwise(s.isin(*benign))
+        hits = F.filter(table, lambda r: s.contains(r["text"]))
+        return F.when(quiet, F.lit(0)).otherwise(F.coalesce(F.get(hits, F.lit(0))["stage"], F.lit(fallback)))
+
+    return F.transform(F.array(_norm(label)), stage_of)[0].cast("int")
 
 
 def map_stage(risk: Column, probs: Column, threshold: float | Column, gate: float = 0.5) -> Column:

@@ -92,12 +92,12 @@ def timeline(frame: DataFrame, threshold: float, horizon: int = S.HORIZON_K,
     """Every step of every (chosen) host: risk, forecast, stages with hysteresis, truth."""
     if hosts is not None:
         frame = frame.join(hosts.select("host"), "host", "left_semi")
-    zeros = F.array_repeat(F.lit(0.0), horizon)
-    calm = F.array_repeat(F.array(F.lit(1.0), *[F.lit(0.0)] * (S.N_STAGES - 1)), horizon)
+    zeros = f"array_repeat(0.0D, {horizon})"
+    calm = f"array_repeat(array(1.0D{', 0.0D' * (S.N_STAGES - 1)}), {horizon})"
     traffic = ["out_flows", "in_flows", "out_distinct_dst", "out_distinct_dport", "in_distinct_src"]
     cols = ["host", "window", "stage", "future", "lo", "hi", "now", "stage_future_probs", *traffic]
-    idle = {"stage": F.lit(0), "future": zeros, "lo": zeros, "hi": zeros, "now": F.lit(0.0),
-            "stage_future_probs": calm, **{c: F.lit(0.0) for c in traffic}}
+    idle = {"stage": "0", "future": zeros, "lo": zeros, "hi": zeros, "now": "0.0D",
+            "stage_future_probs": calm, **{c: "0.0D" for c in traffic}}
     f = align_steps(frame.select(*cols), idle)
     f = f.withColumns({"risk": F.array_max("future"), "probs": mean_probs(F.col("stage_future_probs"))})
     f = f.withColumns({

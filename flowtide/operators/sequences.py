@@ -146,7 +146,7 @@ def sequence_vectors(frame: DataFrame, length: int = S.HISTORY_L, keys: Sequence
     return frame.withColumn("_v", vector(features)).withColumn("history", got).drop("_v")
 
 
-def align_steps(frame: DataFrame, idle: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+def align_steps(frame: DataFrame, idle: dict[str, str], keys: Sequence[str] = ()) -> DataFrame:
     """Every host on the whole step axis of its capture; missing steps take `idle` values."""
     keys = list(keys)
     span = frame.groupBy(*keys).agg(F.min("window").alias("_lo"), F.max("window").alias("_hi"))
@@ -156,5 +156,5 @@ def align_steps(frame: DataFrame, idle: dict[str, Column], keys: Sequence[str] =
         f = frame.withColumns({"_lo": span.select("_lo").scalar(), "_hi": span.select("_hi").scalar()})
     f = f.withColumns({"_first": F.col("_lo"), "present": F.lit(True)})
     wide = fill_gaps(f.withColumnsRenamed({"_lo": "_s", "_hi": "_e"}), [*keys, "host"], "_s", "_e",
-                     {**idle, "present": F.lit(False)})
+                     {**idle, "present": "false"})
     return wide.withColumn("step", (F.col("window") - F.col("_first")).cast("int")).drop("_s", "_e", "_first")

@@ -19,8 +19,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtide import schema as S
-from flowtide.functions.risk import entropy_bits
-from flowtide.functions.stages import label_to_stage
+from flowtide.functions.stages import is_benign, label_to_stage
 
 
 @dataclass(frozen=True)
@@ -71,7 +70,6 @@ def with_measures(flows: DataFrame, spec: WindowSpec) -> DataFrame:
         "dur": F.col("ts_end") - F.col("ts_start"),
         "failed": ((F.col("bwd_pkts") <= 0) | (F.col("rst") > 0)).cast("int"),
         "small": (pkts <= 3).cast("int"),
-        "stage": label_to_stage(F.col("label")),
     })
 
 
@@ -122,36 +120,31 @@ def _mark_selected(w: DataFrame, spec: WindowSpec) -> tuple[DataFrame, bool]:
 
 
 # ------------------------------------------------------------------ partial tables
-def _pair_sums() -> dict[str, Column]:
-    return {
-        "pkts": F.sum("pkts"), "bytes": F.sum("bytes"),
-        "fwd_bytes": F.sum("fwd_bytes"), "bwd_bytes": F.sum("bwd_bytes"),
-        "failed": F.sum("failed"), "small": F.sum("small"), "syn": F.sum("syn"),
-        "dur": F.sum("dur"),
-        "tcp": F.count_if(F.col("proto") == "tcp"), "udp": F.count_if(F.col("proto") == "udp"),
-        "icmp": F.count_if(F.col("proto") == "icmp"),
-        "wellknown": F.count_if(F.col("dport") < 1024),
-        "ttl_sum": F.sum("ttl"), "ttl_n": F.count("ttl"),
-        "win_sum": F.sum("tcp_win"), "win_n": F.count("tcp_win"),
-        "rt_sum": F.sum("retrans"), "rt_n": F.count("retrans"),
-        "rt_pkts": F.sum(F.when(F.col("retrans").isNotNull(), F.col("fwd_pkts"))),
-        "atk_out": F.count_if(F.col("stage") > 0),
+# additive measures of a (src, dst, window) cell; as SQL text they reach the JVM in one call
+_PAIR_SUMS = {
+    "flows": "count(*)", "pkts": "sum(pkts)", "bytes": "sum(bytes)",
+    "fwd_bytes": "sum(fwd_bytes)", "bwd_bytes": "sum(bwd_bytes)",
+    "failed": "sum(failed)", "small": "sum(small)", "syn": "sum(syn)", "dur": "sum(dur)",
+    "tcp": "count_if(proto = 'tcp')", "udp": "count_if(proto = 'udp')",
+    "icmp": "count_if(proto = 'icmp')", "wellknown": "count_if(dport < 1024)",
+    "ttl_sum": "sum(ttl)", "ttl_n": "count(ttl)",
+    "win_sum": "sum(tcp_win)", "win_n": "count(tcp_win)",
+    "rt_sum": "sum(retrans)", "rt_n": "count(retrans)",
+    "rt_pkts": "sum(CASE WHEN retrans IS NOT NULL THEN fwd_pkts END)",
 }
 
 
 def pair_cells(w: DataFrame, spec: WindowSpec) -> DataFrame:
-    aggs = [F.count("*").alias("flows"), *[c.alias(n) for n, c in _pair_sums().items()],
-            F.count_if(F.col("stage").isin(*spec.targeted)).alias("atk_in")]
-    return w.groupBy(*spec.keys, "src_ip", "dst_ip", "window", "out_sel", "in_sel").agg(*aggs)
+    return w.groupBy(*spec.keys, "src_ip", "dst_ip", "window", "out_sel", "in_sel").agg(
+        *[F.expr(f"{e} AS {n}") for n, e in _PAIR_SUMS.items()])
 
 
 def _sides(df: DataFrame, spec: WindowSpec, *cols) -> DataFrame:
     """One row per selected end of a flow (or pair): side 0 = source, 1 = destination."""
-    ends = F.filter(F.array(
+    ends = F.array(
         F.struct(F.lit(0).alias("side"), F.col("src_ip").alias("host"), F.col("out_sel").alias("on")),
-        F.struct(F.lit(1).alias("side"), F.col("dst_ip").alias("host"), F.col("in_sel").alias("on"))),
-        lambda e: e["on"])
-    return (df.select(*spec.keys, "window", *cols, F.explode(ends).alias("_e"))
+        F.struct(F.lit(1).alias("side"), F.col("dst_ip").alias("host"), F.col("in_sel").alias("on")))
+    return (df.select(*spec.keys, "window", *cols, F.explode(ends).alias("_e")).filter("_e.on")
             .select(*spec.keys, "_e.host", "window", "_e.side", *cols))
 
 
@@ -166,16 +159,25 @@ def first_contacts(w: DataFrame, spec: WindowSpec) -> DataFrame:
 
 
 def label_cells(w: DataFrame, spec: WindowSpec) -> DataFrame:
-    """Attack flows per (host, window, stage, label) over both ends."""
-    hit = w.filter(F.col("stage") > 0).withColumn(
-        "in_sel", F.col("in_sel") & F.col("stage").isin(*spec.targeted))
-    return (_sides(hit, spec, "stage", "label").groupBy(*spec.keys, "host", "window", "stage", "label")
-            .agg(F.count("*").alias("n")))
+    """Attack flows per (host, window, side, stage, label).
+
+    Benign rows leave on one string test; the ordered label rules then run once per
+    counted label instead of once per flow.
+    """
+    cells = (_sides(w.filter(~is_benign(F.col("label"))), spec, "label")
+             .groupBy(*spec.keys, "host", "window", "side", "label").agg(F.count("*").alias("n"))
+             .withColumn("stage", label_to_stage(F.col("label"))))
+    return cells.filter((F.col("side") == 0) | F.col("stage").isin(*spec.targeted))
+
+
+def _label_totals(w: DataFrame, spec: WindowSpec) -> DataFrame:
+    return label_cells(w, spec).groupBy(*spec.keys, "host", "window", "stage", "label").agg(
+        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("side") == 0, F.col("n"))), F.lit(0)).alias("n_out"))
 
 
 def dominant_labels(w: DataFrame, spec: WindowSpec) -> DataFrame:
     """Most frequent attack label per host window: count desc, stage asc, label asc."""
-    return (label_cells(w, spec).groupBy(*spec.keys, "host", "window")
+    return (_label_totals(w, spec).groupBy(*spec.keys, "host", "window")
             .agg(F.min(F.struct((-F.col("n")).alias("neg"), "stage", "label")).alias("_l"))
             .select(*spec.keys, "host", "window", F.col("_l.stage").alias("stage"),
                     F.col("_l.label").alias("label")))
@@ -184,15 +186,15 @@ def dominant_labels(w: DataFrame, spec: WindowSpec) -> DataFrame:
 # ------------------------------------------------------------------ feature frame
 def _stack(w: DataFrame, spec: WindowSpec) -> DataFrame:
     keys = list(spec.keys)
-    pairs = _sides(pair_cells(w, spec), spec, "flows", "atk_in", *_pair_sums())
+    pairs = _sides(pair_cells(w, spec), spec, *_PAIR_SUMS)
     n = F.col("n").cast("double")
     ports = port_cells(w, spec).select(
         *keys, "host", "window", "side", F.lit(1).alias("ports"), n.alias("port_n"),
         (n * F.log2(n)).alias("port_nlogn"))
     peers = first_contacts(w, spec).select(
         *keys, F.col("src_ip").alias("host"), "window", F.lit(1).alias("new_peer"))
-    labels = label_cells(w, spec).select(
-        *keys, "host", "window",
+    labels = _label_totals(w, spec).select(
+        *keys, "host", "window", F.col("n_out").alias("atk_out"), (F.col("n") - F.col("n_out")).alias("atk_in"),
         F.struct((-F.col("n")).alias("neg"), "stage", "label").alias("lab"))
     stacked = pairs
     for part in (ports, peers, labels):
@@ -200,61 +202,61 @@ def _stack(w: DataFrame, spec: WindowSpec) -> DataFrame:
     return stacked
 
 
-def _on(side: int, value: str) -> Column:
-    return F.sum(F.when(F.col("side") == side, F.col(value)))
+_OUT_SUMS = ["flows", "pkts", "bytes", "failed", "small", "syn", "dur", "fwd_bytes", "bwd_bytes",
+             "tcp", "udp", "icmp", "wellknown", "ports", "port_n", "port_nlogn"]
+_IN_SUMS = ["flows", "pkts", "bytes", "failed", "small", "syn", "ports"]
+_BOTH_SUMS = ["ttl_sum", "ttl_n", "win_sum", "win_n", "rt_sum", "rt_n", "rt_pkts"]
+
+
+def _share(num: str, den: str) -> str:
+    return f"IF({den} > 0, {num} / {den}, 0.0D)"
+
+
+# features from the reduced sums; o_ = as source, i_ = as destination, p_ = either
+_FEATURE_SQL = {
+    "out_flows": "o_flows", "out_pkts": "o_pkts", "out_bytes": "o_bytes",
+    "out_distinct_dst": "o_peers", "out_distinct_dport": "o_ports",
+    "out_dport_entropy": "IF(o_port_n > 0, greatest(log2(o_port_n) - o_port_nlogn / o_port_n, 0.0D), 0.0D)",
+    "out_new_peers": "o_new",
+    "out_failed_ratio": _share("o_failed", "o_flows"),
+    "out_small_flow_ratio": _share("o_small", "o_flows"),
+    "out_syn_ratio": _share("o_syn", "o_flows"),
+    "out_mean_dur": _share("o_dur", "o_flows"),
+    "out_mean_pkt_size": "o_bytes / greatest(o_pkts, 1.0D)",
+    "out_bwd_fwd_ratio": "o_bwd_bytes / (o_fwd_bytes + 1)",
+    "out_tcp_frac": _share("o_tcp", "o_flows"), "out_udp_frac": _share("o_udp", "o_flows"),
+    "out_icmp_frac": _share("o_icmp", "o_flows"),
+    "out_wellknown_port_frac": _share("o_wellknown", "o_flows"),
+    "in_flows": "i_flows", "in_pkts": "i_pkts", "in_bytes": "i_bytes",
+    "in_distinct_src": "i_peers", "in_distinct_dport": "i_ports",
+    "in_failed_ratio": _share("i_failed", "i_flows"),
+    "in_small_flow_ratio": _share("i_small", "i_flows"),
+    "in_syn_ratio": _share("i_syn", "i_flows"),
+    "ttl_mean": _share("p_ttl_sum", "p_ttl_n"),
+    "tcp_win_mean": _share("p_win_sum", "p_win_n"),
+    "retrans_rate": "p_rt_sum / greatest(p_rt_pkts, 1.0D)",
+    "ttl_mean_mask": "IF(p_ttl_n > 0, 1.0D, 0.0D)",
+    "tcp_win_mean_mask": "IF(p_win_n > 0, 1.0D, 0.0D)",
+    "retrans_rate_mask": "IF(p_rt_n > 0, 1.0D, 0.0D)",
+}
 
 
 def active_features(w: DataFrame, spec: WindowSpec) -> DataFrame:
     """Feature rows of the windows in which a host was seen."""
     keys = list(spec.keys)
-    out = ["flows", "pkts", "bytes", "failed", "small", "syn", "dur", "fwd_bytes", "bwd_bytes",
-           "tcp", "udp", "icmp", "wellknown", "atk_out", "ports", "port_n", "port_nlogn"]
-    inn = ["flows", "pkts", "bytes", "failed", "small", "syn", "atk_in", "ports"]
-    both = ["ttl_sum", "ttl_n", "win_sum", "win_n", "rt_sum", "rt_n", "rt_pkts"]
-    sums = ([_on(0, c).alias(f"o_{c}") for c in out] + [_on(1, c).alias(f"i_{c}") for c in inn]
-            + [F.sum(c).alias(f"p_{c}") for c in both]
-            + [F.count_if((F.col("side") == 0) & F.col("flows").isNotNull()).alias("o_peers"),
-               F.count_if((F.col("side") == 1) & F.col("flows").isNotNull()).alias("i_peers"),
-               F.sum("new_peer").alias("o_new"), F.min("lab").alias("lab")])
-    g = _stack(w, spec).groupBy(*keys, "host", "window").agg(*sums)
-
-    def z(c: str) -> Column:
-        return F.coalesce(F.col(c), F.lit(0)).cast("double")
-
-    def share(num: str, den: str) -> Column:
-        return F.when(z(den) > 0, z(num) / z(den)).otherwise(F.lit(0.0))
-
-    feats = {
-        "out_flows": z("o_flows"), "out_pkts": z("o_pkts"), "out_bytes": z("o_bytes"),
-        "out_distinct_dst": z("o_peers"), "out_distinct_dport": z("o_ports"),
-        "out_dport_entropy": F.coalesce(entropy_bits(z("o_port_n"), z("o_port_nlogn")), F.lit(0.0)),
-        "out_new_peers": z("o_new"),
-        "out_failed_ratio": share("o_failed", "o_flows"),
-        "out_small_flow_ratio": share("o_small", "o_flows"),
-        "out_syn_ratio": share("o_syn", "o_flows"),
-        "out_mean_dur": share("o_dur", "o_flows"),
-        "out_mean_pkt_size": z("o_bytes") / F.greatest(z("o_pkts"), F.lit(1.0)),
-        "out_bwd_fwd_ratio": z("o_bwd_bytes") / (z("o_fwd_bytes") + 1),
-        "out_tcp_frac": share("o_tcp", "o_flows"), "out_udp_frac": share("o_udp", "o_flows"),
-        "out_icmp_frac": share("o_icmp", "o_flows"),
-        "out_wellknown_port_frac": share("o_wellknown", "o_flows"),
-        "in_flows": z("i_flows"), "in_pkts": z("i_pkts"), "in_bytes": z("i_bytes"),
-        "in_distinct_src": z("i_peers"), "in_distinct_dport": z("i_ports"),
-        "in_failed_ratio": share("i_failed", "i_flows"),
-        "in_small_flow_ratio": share("i_small", "i_flows"),
-        "in_syn_ratio": share("i_syn", "i_flows"),
-        "ttl_mean": share("p_ttl_sum", "p_ttl_n"),
-        "tcp_win_mean": share("p_win_sum", "p_win_n"),
-        "retrans_rate": z("p_rt_sum") / F.greatest(z("p_rt_pkts"), F.lit(1.0)),
-        "ttl_mean_mask": (z("p_ttl_n") > 0).cast("double"),
-        "tcp_win_mean_mask": (z("p_win_n") > 0).cast("double"),
-        "retrans_rate_mask": (z("p_rt_n") > 0).cast("double"),
-    }
-    stage = F.coalesce(F.col("lab.stage"), F.lit(0))
-    attack_out = (stage > 0) & (z("o_atk_out") >= z("i_atk_in")) & (z("o_atk_out") > 0)
-    return g.select(*keys, "host", "window", *[c.alias(n) for n, c in feats.items()],
-                    F.coalesce(F.col("lab.label"), F.lit("BENIGN")).alias("label"),
-                    stage.cast("int").alias("stage"), attack_out.cast("int").alias("attack_out"))
+    sums = {f"o_{c}": f"sum(IF(side = 0, {c}, NULL))" for c in _OUT_SUMS}
+    sums |= {f"i_{c}": f"sum(IF(side = 1, {c}, NULL))" for c in _IN_SUMS}
+    sums |= {f"p_{c}": f"sum({c})" for c in _BOTH_SUMS}
+    sums |= {"o_peers": "count_if(side = 0 AND flows IS NOT NULL)",
+             "i_peers": "count_if(side = 1 AND flows IS NOT NULL)",
+             "o_new": "sum(new_peer)", "atk_out": "sum(atk_out)", "atk_in": "sum(atk_in)"}
+    g = _stack(w, spec).groupBy(*keys, "host", "window").agg(
+        *[F.expr(f"CAST(coalesce({e}, 0) AS DOUBLE) AS {n}") for n, e in sums.items()],
+        F.expr("min(lab) AS lab"))
+    return g.selectExpr(
+        *keys, "host", "window", *[f"{e} AS {n}" for n, e in _FEATURE_SQL.items()],
+        "coalesce(lab.label, 'BENIGN') AS label", "coalesce(lab.stage, 0) AS stage",
+        "CAST(coalesce(lab.stage, 0) > 0 AND atk_out >= atk_in AND atk_out > 0 AS INT) AS attack_out")
 
 
 def segments(w: DataFrame, spec: WindowSpec) -> DataFrame:
@@ -282,27 +284,24 @@ def segments(w: DataFrame, spec: WindowSpec) -> DataFrame:
 
 
 def fill_gaps(df: DataFrame, part: Sequence[str], start: str, end: str,
-              idle: dict[str, Column]) -> DataFrame:
+              idle: dict[str, str]) -> DataFrame:
     """One row per window from `start` to `end` in each group of `part`.
 
     Every active row yields itself and the idle windows up to its successor; the first
-    also yields the windows before it. One sort per group replaces a grid join.
+    also yields the windows before it. One sort per group replaces a grid join. `idle`
+    maps columns to the SQL text of their value in an idle window.
     """
-    order = Window.partitionBy(*part).orderBy("window")
-    lo = F.when(F.lag("window").over(order).isNull(), F.col(start)).otherwise(F.col("window"))
-    hi = F.coalesce(F.lead("window").over(order) - 1, F.col(end))
-    wide = (df.withColumns({"_lo": lo, "_hi": hi})
-            .withColumn("_w", F.explode(F.sequence("_lo", "_hi"))))
-    here = F.col("_w") == F.col("window")
-    cols = [F.col("_w").alias("window") if c == "window"
-            else F.when(here, F.col(c)).otherwise(idle[c]).alias(c) if c in idle else F.col(c)
-            for c in df.columns]
-    return wide.select(*cols)
+    order = f"OVER (PARTITION BY {', '.join(part)} ORDER BY window)"
+    wide = df.selectExpr(
+        "*", f"IF(lag(window) {order} IS NULL, {start}, window) AS _lo",
+        f"coalesce(lead(window) {order} - 1, {end}) AS _hi").selectExpr(
+        "*", "explode(sequence(_lo, _hi)) AS _w")
+    return wide.selectExpr(*[
+        "_w AS window" if c == "window" else f"IF(_w = window, {c}, {idle[c]}) AS {c}" if c in idle else c
+        for c in df.columns])
 
 
-def idle_row() -> dict[str, Column]:
-    return {**{f: F.lit(0.0) for f in S.FEATURES}, "label": F.lit("BENIGN"),
-            "stage": F.lit(0), "attack_out": F.lit(0)}
+IDLE_ROW = {**{f: "0.0D" for f in S.FEATURES}, "label": "'BENIGN'", "stage": "0", "attack_out": "0"}
 
 
 def host_windows(flows: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
@@ -315,7 +314,7 @@ def host_windows(flows: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame
         seen = F.sum(F.col("out_flows") + F.col("in_flows")).over(Window.partitionBy(*keys, "host"))
         frame = frame.withColumn("_seen", seen).filter(F.col("_seen") >= spec.min_flows).drop("_seen")
     if spec.densify:
-        frame = fill_gaps(frame, [*keys, "host", "segment"], "seg_start", "seg_end", idle_row())
+        frame = fill_gaps(frame, [*keys, "host", "segment"], "seg_start", "seg_end", IDLE_ROW)
     t = F.col("window").cast("double") * float(spec.window_s) + _anchor(spec)
     window = F.col("window") - F.col("base") if spec.t0 is None else F.col("window")
     return frame.select(*keys, "host", "segment", window.cast("long").alias("window"), t.alias("t"),

@@ -481,3 +481,213 @@ def counterfactual_block(spark, sf):
 @register
 def counterfactual_throttle(spark, sf):
     return CF.apply_to_flows(flows(spark, sf), ACTION_RATE, _midpoint(spark, sf)).select("flow_id", "src_ip", "dst_ip")
+
+
+# ------------------------------------------------------------------ boards and reports
+from flowtide.operators import attribution as AT  # noqa: E402
+from flowtide.plans import analysis as AN, training as TR  # noqa: E402
+from flowtide.streaming import assembly as PA, live as LV  # noqa: E402
+
+
+def _decisions(spark, sf) -> DataFrame:
+    """One decision per attacking source: its kind, target, time and enforcement."""
+    s = (flows(spark, sf).filter("label <> 'BENIGN'").groupBy(F.col("src_ip").alias("host"))
+         .agg(F.count("*").alias("n"), F.max("ts_end").alias("at"), F.max("dst_ip").alias("peer")))
+    kinds = F.array(*[F.lit(k) for k in ("block_source", "isolate_host", "rate_limit", "block_pair", "monitor")])
+    kind = F.element_at(kinds, (F.col("n") % 5 + 1).cast("int"))
+    applied = (F.col("n") % 3 > 0) & (kind != "monitor")
+    return s.select("host", kind.alias("kind"), F.col("host").alias("target"), "peer",
+                    F.array().cast("array<string>").alias("peers"), F.lit(300).alias("ttl_s"), "at",
+                    F.when(kind == "monitor", "reject").otherwise("accept").alias("choice"), applied.alias("applied"),
+                    F.when(applied, F.col("at") + 300).alias("expires_at"), F.lit("none").alias("mode"),
+                    F.concat(kind, F.lit(" "), "host").alias("action_label"), F.lit("").alias("message"))
+
+
+@register
+def event_feed(spark, sf):
+    h = A.overview(forecast_frame(spark, sf), THRESHOLD, window_s=3600)
+    return D.event_feed(h, _decisions(spark, sf), 3600, 400)
+
+
+@register
+def campaign_board(spark, sf):
+    h = A.overview(forecast_frame(spark, sf), THRESHOLD, window_s=3600)
+    hit = _decisions(spark, sf).filter("applied AND kind IN ('block_source', 'isolate_host')").select("host")
+    return no_nulls(D.campaign_board(h, THRESHOLD, hit))
+
+
+@register
+def causal_status(spark, sf):
+    h = A.overview(forecast_frame(spark, sf), THRESHOLD, window_s=3600)
+    return no_nulls(D.causal_status(h, 300))
+
+
+@register
+def kill_chain_progress(spark, sf):
+    return no_nulls(D.kill_chain_progress(A.timeline(forecast_frame(spark, sf), THRESHOLD)))
+
+
+@register
+def eligibility(spark, sf):
+    e = D.eligibility(_decisions(spark, sf), protected=["10.0.0.5", "10.0.0.7"], live=True, enforce=True)
+    return no_nulls(e.select("host", "kind", "enforcement.applied", "enforcement.message",
+                             F.col("enforcement.expires_at").cast("double").alias("expires_at")))
+
+
+@register
+def whatif_menu(spark, sf):
+    opts = D.all_options(D.recommend(_context(spark, sf)))
+    return D.whatif_menu(opts).select("host", "step", "position", "option.kind", "option.label", "scope", "containment")
+
+
+@register
+def auto_contain(spark, sf):
+    return D.auto_contain(D.recommend(_context(spark, sf)), THRESHOLD).select(
+        "host", "choice", "step", "action.kind", "action.label")
+
+
+@register
+def narration(spark, sf):
+    c = D.recommend(_context(spark, sf))
+    return c.select("host", "step", D.narration(c).alias("text"))
+
+
+@register
+def incident_rows(spark, sf):
+    fc = forecast_frame(spark, sf)
+    return no_nulls(D.incident_rows(A.overview(fc, THRESHOLD, window_s=3600),
+                                    A.timeline_summary(fc, THRESHOLD, window_s=3600), THRESHOLD, 3600))
+
+
+def _live_now(spark, sf) -> float:
+    return float(flows(spark, sf).filter("label <> 'BENIGN'").agg(F.percentile_approx("ts_end", 0.9)).first()[0])
+
+
+@register
+def containment(spark, sf):
+    d = _decisions(spark, sf)
+    now = d.agg(F.max("at") - 150).first()[0]
+    fresh = d.withColumn("expires_at", F.col("at") + 86400 * 2)
+    return LV.containment_spread(flows(spark, sf), fresh, float(now))
+
+
+@register
+def remap_compose(spark, sf):
+    """An attack episode cut around its dominant pair, renamed, retagged and copied thrice."""
+    scan = F.col("label") == "PortScan"
+    ep = C.cut_episode(flows(spark, sf), scan, "10.13.37.5", "10.20.0.11", 10, 60 * 24, 60 * 24 * 5)
+    three = C.replicas(C.retag_compromise(ep, "Exfiltration"), 3, 1920.0, lambda i: {
+        "10.13.37.5": f"10.13.{37 + i}.5", "10.20.0.11": f"10.20.{i}.11"})
+    return rounded(three.select("flow_id", "ts_start", "ts_end", "src_ip", "dst_ip", "label"), 4)
+
+
+@register
+def scenario_compose(spark, sf):
+    """Traffic among a pair of hosts from time zero, renamed and relabelled."""
+    top = G.top_pairs(flows(spark, sf).filter("src_ip <> dst_ip"), 1).first()
+    s = C.scenario(flows(spark, sf), [top["src_ip"], top["dst_ip"]], ["10.50.0.11", "10.60.0.11"], "Botnet beacon")
+    return rounded(s.select("flow_id", "ts_start", "ts_end", "src_ip", "dst_ip", "label"), 4)
+
+
+@register
+def clock_slice(spark, sf):
+    return C.clock_slice(flows(spark, sf), "09:25", "10:25").select("flow_id")
+
+
+@register
+def outcome(spark, sf):
+    """Counterfactual replay of blocking one source from the middle of the recording."""
+    fl = flows(spark, sf)
+    f = materialise(frame(spark, sf))
+    model = M.TransitionModel.fit(f)
+
+    def both(d: DataFrame) -> DataFrame:
+        t = model.forecast(d).withColumnsRenamed({"future": "_tf", "stage_future_probs": "_tp"})
+        half = lambda a, b: (a + b) / 2
+        return M.persistence(t).withColumns({
+            "future": F.zip_with("future", "_tf", half),
+            "stage_future_probs": F.zip_with("stage_future_probs", "_tp", lambda p, q: F.zip_with(p, q, half))
+        }).drop("_tf", "_tp")
+
+    base = AN.analyze(fl, both, THRESHOLD, spec())
+    branch = AN.replay(base, ACTION_BLOCK, 300)
+    return no_nulls(AN.outcomes(base, branch, "10.0.0.5", 300, "10.0.0.5", ["10.0.0.35", "10.0.0.36"],
+                                "Block all traffic from 10.0.0.5"))
+
+
+# ------------------------------------------------------------------ packets
+def packets(spark, sf) -> DataFrame:
+    """Events as packets of few long conversations: time runs 60 times faster."""
+    fl = flows(spark, sf)
+    k = (F.col("dport") / 41).cast("long")
+    lo = F.concat(F.lit("10.1.0."), (F.col("flow_id") % 3).cast("string"))
+    hi = F.concat(F.lit("10.2.0."), (F.col("flow_id") % 2).cast("string"))
+    out = k % 3 > 0
+    tcp = F.col("proto") == "tcp"
+    return fl.select(
+        (F.floor(F.col("ts_start") / 60 * 1e6) / 1e6).alias("ts"), F.when(out, lo).otherwise(hi).alias("src"),
+        F.when(out, hi).otherwise(lo).alias("dst"), F.when(out, 5000).otherwise(80).cast("long").alias("sport"),
+        F.when(out, 80).otherwise(5000).cast("long").alias("dport"), F.lit("tcp").alias("proto"),
+        (40 + k * 10).alias("size"), (30 + k % 30).cast("double").alias("ttl"),
+        F.when(k % 5 == 0, "S").when(k % 7 == 0, "FA").otherwise("A").alias("flags"),
+        F.when(k % 4 == 0, 1024.0 + k).alias("win"), (k % 6).alias("seq"), (k % 2).alias("plen"),
+        F.lit(False).alias("frag"), F.col("flow_id").alias("packet_id"))
+
+
+@register
+def flow_assembly(spark, sf):
+    f = PA.packets_to_flows(packets(spark, sf))
+    return no_nulls(rounded(f.select("ts_start", "ts_end", "src_ip", "dst_ip", "sport", "dport", "fwd_pkts", "bwd_pkts",
+                                     "fwd_bytes", "bwd_bytes", "syn", "rst", "fin", "ttl", "tcp_win", "retrans")))
+
+
+@register
+def live_tick(spark, sf):
+    """Host features of the live buffer at a moment inside the recording."""
+    t = LV.tick(flows(spark, sf), _live_now(spark, sf), 3600.0)
+    return rounded(t.frame.select("host", "segment", "window", *FEW, "stage"))
+
+
+@register
+def stream_windows(spark, sf):
+    """The events table read as a stream through sliding host windows into memory."""
+    import uuid
+
+    src = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).option(
+        "pathGlobFilter", "events.parquet").parquet(sf)
+    name = "stream_windows_" + uuid.uuid4().hex
+    q = (LV.sliding_features(LV.with_event_time(flows_from_events(src), 3600), 3600, 1800)
+         .writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.table(name).select("host", "window_start", "out_flows", "in_flows")
+
+
+# ------------------------------------------------------------------ fitted models
+def _training_set(spark, sf) -> TR.SequenceSet:
+    f = W.host_windows(captures(spark, sf), spec(keys=tuple(KEYED), max_hosts=50, min_flows=5))
+    return TR.build_sequences(materialise(f))
+
+
+@register
+def logreg_forecast(spark, sf):
+    """Logistic forecast trained, thresholded and evaluated per dataset beside persistence."""
+    data = _training_set(spark, sf)
+    base = TR.train_baseline(data, max_iter=30)
+    return TR.evaluate_baseline(base, data.split("test"), 3600, ["dataset"])
+
+
+@register
+def shap_top(spark, sf):
+    data = _training_set(spark, sf)
+    base = TR.train_baseline(data, max_iter=30)
+    return TR.important_features(base, data.split("train"), data.split("test"))
+
+
+@register
+def multi_horizon(spark, sf):
+    """K per-step models with a stage model and a bagged band."""
+    f = materialise(frame(spark, sf))
+    x = SC.FeatureScaler.fit(f).transform(f).withColumn("x", M.array_to_vector(SQ.vector()))
+    rows = materialise(x.select("host", "segment", "window", "stage", "x"))
+    m = M.HorizonModel.fit(rows, bags=1, max_iter=8)
+    return m.forecast(rows).select("host", "window", "future", "lo", "hi", "now", "stage_now")

@@ -271,3 +271,167 @@ SELECT flow_id, src_ip, dst_ip FROM (SELECT *, (src_ip = '10.0.0.5' OR dst_ip =
 WHERE NOT hit UNION ALL
 SELECT flow_id, src_ip, dst_ip FROM (SELECT *, row_number() OVER (ORDER BY ts_end, flow_id) AS rn FROM q_flows
 WHERE (src_ip = '10.0.0.5' OR dst_ip = '10.0.0.5') AND ts_end >= {_MID}) WHERE (rn - 1) % 10 = 0""")
+
+# ------------------------------------------------------------------ boards
+part("q_dec", """
+SELECT host, kind, CASE WHEN kind = 'monitor' THEN 'reject' ELSE 'accept' END AS choice, made, kind <> 'monitor' AND n % 3 > 0 AS applied,
+  kind || ' ' || host AS action_label, peer, host AS target FROM
+  (SELECT src_ip AS host, count(*) AS n, max(ts_end) AS made, max(dst_ip) AS peer,
+     (['block_source', 'isolate_host', 'rate_limit', 'block_pair', 'monitor'])[count(*) % 5 + 1] AS kind
+   FROM q_flows WHERE label <> 'BENIGN' GROUP BY src_ip)""")
+part("q_over", """
+SELECT h.host, round(peak, 4) AS peak, first_alert_step, st, (['BENIGN', 'RECONNAISSANCE', 'INITIAL_ACCESS',
+  'LATERAL_MOVEMENT', 'COMMAND_AND_CONTROL', 'EXFILTRATION', 'IMPACT'])[st + 1] AS stage_name,
+  (comp - first_alert_step) * 3600 AS clead, recon, comp, coalesce(comp, recon) AS a0 FROM q_host h""")
+oracle("event_feed", """
+SELECT made AS "at", kind, text FROM (
+  SELECT first_alert_step * 3600.0 AS made, 'alert' AS kind, 'forecast alert on ' || host || ' - ' || stage_name || ' (' ||
+    CAST(CAST(round_even(peak * 100, 0) AS INTEGER) AS VARCHAR) || '%)' AS text FROM q_over WHERE first_alert_step IS NOT NULL
+  UNION ALL SELECT made, 'decision', upper(choice) || ' on ' || host || ' - ' || action_label || ' (' ||
+    CASE WHEN applied THEN 'applied' WHEN choice = 'reject' THEN 'rejected' ELSE 'not enforced' END || ')' FROM q_dec)
+ORDER BY made DESC, kind, text LIMIT 400""")
+oracle("campaign_board", f"""
+SELECT host, stage_name, peak, CAST(coalesce(first_alert_step, -1) AS INTEGER) AS first_alert_step,
+  CAST(coalesce(CASE WHEN clead > 0 THEN clead END, -1) AS INTEGER) AS lead_s,
+  CASE WHEN host IN (SELECT host FROM q_dec WHERE applied AND kind IN ('block_source', 'isolate_host')) THEN 'contained' ELSE 'alerting' END AS status
+FROM q_over WHERE first_alert_step IS NOT NULL OR peak >= {THR} ORDER BY peak DESC, host LIMIT 10""")
+oracle("causal_status", """
+SELECT count(*) AS alerting_hosts, CAST(coalesce(min(first_alert_step), -1) AS INTEGER) AS first_alert_step,
+  CAST(coalesce((SELECT clead FROM q_over WHERE first_alert_step <= 300 ORDER BY first_alert_step, peak DESC, host LIMIT 1), -1) AS INTEGER) AS first_lead_s,
+  CAST(coalesce(max(clead) FILTER (clead <> 0), -1) AS INTEGER) AS best_lead_s FROM q_over WHERE first_alert_step <= 300""")
+oracle("incident_rows", f"""
+SELECT host, stage_name, peak, peak >= {THR} AS above, 't+' || CAST(CAST(first_alert_step * 60 AS BIGINT) AS VARCHAR) || ' min' AS first_alert,
+  CASE WHEN recon < comp AND clead > 0 THEN '+' || CAST(clead AS VARCHAR) || 's (' || CAST(clead // 60 AS VARCHAR) || ' min) during recon'
+       WHEN a0 IS NOT NULL THEN 'at onset' ELSE '-' END AS early_warning
+FROM q_over WHERE first_alert_step IS NOT NULL ORDER BY first_alert_step, peak DESC, host LIMIT 12""")
+oracle("eligibility", """
+SELECT host, kind, CASE WHEN kind = 'monitor' THEN false WHEN kind IN ('block_source', 'isolate_host', 'block_pair', 'rate_limit')
+    AND (host IN ('10.0.0.5', '10.0.0.7') OR peer IN ('10.0.0.5', '10.0.0.7')) THEN false ELSE true END AS applied,
+  CASE WHEN kind = 'monitor' THEN 'Monitor only - nothing applied.'
+    WHEN host IN ('10.0.0.5', '10.0.0.7') AND peer IN ('10.0.0.5', '10.0.0.7') THEN 'Refused: [''' || host || ''', ''' || peer || '''] is a protected management address.'
+    WHEN host IN ('10.0.0.5', '10.0.0.7') THEN 'Refused: [''' || host || '''] is a protected management address.'
+    WHEN peer IN ('10.0.0.5', '10.0.0.7') THEN 'Refused: [''' || peer || '''] is a protected management address.'
+    ELSE 'Rule applied on the sensor.' END AS message,
+  CASE WHEN kind = 'monitor' OR host IN ('10.0.0.5', '10.0.0.7') OR peer IN ('10.0.0.5', '10.0.0.7') THEN -1 ELSE made + 300 END::DOUBLE AS expires_at
+FROM q_dec""")
+part("q_force", "SELECT * FROM q_dec WHERE applied AND (SELECT max(made) - 150 FROM q_dec) < made + 172800")
+oracle("containment", """
+SELECT host, bool_or(b) AS neutralised FROM (
+  SELECT unnest([target, peer]) AS host, kind <> 'rate_limit' AS b FROM q_force
+  UNION ALL SELECT f.dst_ip, a.kind <> 'rate_limit' FROM q_flows f JOIN q_force a ON a.target = f.src_ip
+  UNION ALL SELECT f.src_ip, a.kind <> 'rate_limit' FROM q_flows f JOIN q_force a ON a.target = f.dst_ip
+  UNION ALL SELECT dst_ip, true FROM (SELECT src_ip, dst_ip, count(*) AS n, sum(count(*)) OVER (PARTITION BY dst_ip) AS t FROM q_flows GROUP BY src_ip, dst_ip)
+    WHERE n / t > 0.5 AND src_ip IN (SELECT target FROM q_force WHERE kind IN ('block_source', 'isolate_host')))
+GROUP BY host""")
+part("q_epi", """
+SELECT * FROM (SELECT arg_min(src_ip, (-n, src_ip)) AS s FROM (SELECT src_ip, count(*) AS n FROM q_flows WHERE label = 'PortScan' GROUP BY src_ip))
+CROSS JOIN (SELECT min(ts_start) AS t FROM q_flows WHERE label = 'PortScan')""")
+part("q_epd", """
+SELECT e.s, e.t, (SELECT dst_ip FROM q_flows WHERE label = 'PortScan' AND src_ip = e.s GROUP BY dst_ip ORDER BY count(*) DESC, dst_ip LIMIT 1) AS d FROM q_epi e""")
+_REN = ", ".join(f"CASE {c} WHEN e.s THEN CASE i WHEN 0 THEN '10.13.37.5' ELSE '10.13.' || CAST(37 + i AS VARCHAR) || '.5' END "
+                 f"WHEN e.d THEN '10.20.' || CAST(i AS VARCHAR) || '.11' ELSE {c} END AS {c}" for c in ("src_ip", "dst_ip"))
+oracle("remap_compose", f"""
+SELECT flow_id, {r('ts_start - e.t + 600 + i * 1920.0', 4)} AS ts_start, {r('ts_end - e.t + 600 + i * 1920.0', 4)} AS ts_end, {_REN},
+  CASE WHEN {stage_case('label')} >= 2 THEN 'Exfiltration' ELSE label END AS label
+FROM q_flows CROSS JOIN q_epd e CROSS JOIN (VALUES (0), (1), (2)) AS rep(i)
+WHERE (src_ip IN (e.s, e.d) OR dst_ip IN (e.s, e.d)) AND ts_start BETWEEN e.t - 86400 AND e.t + 432000""")
+part("q_top1", "SELECT src_ip AS s, dst_ip AS d FROM q_flows WHERE src_ip <> dst_ip GROUP BY src_ip, dst_ip ORDER BY count(*) DESC, src_ip, dst_ip LIMIT 1")
+oracle("scenario_compose", f"""
+SELECT flow_id, {r('ts_start - min(ts_start) OVER ()', 4)} AS ts_start, {r('ts_end - min(ts_start) OVER ()', 4)} AS ts_end,
+  CASE src_ip WHEN s THEN '10.50.0.11' ELSE '10.60.0.11' END AS src_ip, CASE dst_ip WHEN s THEN '10.50.0.11' ELSE '10.60.0.11' END AS dst_ip,
+  CASE WHEN label <> 'BENIGN' AND label <> 'PortScan' THEN 'Botnet beacon' ELSE label END AS label
+FROM q_flows, q_top1 WHERE src_ip IN (s, d) AND dst_ip IN (s, d)""")
+oracle("clock_slice", "SELECT flow_id FROM q_flows WHERE ts_start - floor(ts_start / 86400) * 86400 BETWEEN 33900 AND 37500")
+
+# ------------------------------------------------------------------ replay: the same parts on the filtered flows
+import re as _re  # noqa: E402
+
+from checks.sqlparts import PARTS  # noqa: E402
+
+_CHAIN = ["q_cut", "q_out", "q_in", "q_outagg", "q_inagg", "q_entropy", "q_peers", "q_packet", "q_label", "q_segments",
+          "q_active", "q_grid", "q_frame"]
+_REPLAY_T = "(SELECT min(t) + 300 * 3600 FROM q_frame)"
+part("qb_flows", f"SELECT * FROM q_flows WHERE NOT ((src_ip = '10.0.0.5' OR dst_ip = '10.0.0.5') AND ts_end >= {_REPLAY_T})")
+
+
+def _branch(sql: str) -> str:
+    keep = _re.sub(r"\(SELECT floor\(min\(ts_end\) / 3600\) \* 3600 FROM q_flows\)", "(SELECT floor(min(ts_end) / 3600) * 3600 FROM q_ORIG)", sql)
+    for n in ["q_flows", *_CHAIN]:
+        keep = _re.sub(rf"\b{n}\b", "q_b" + n[2:], keep)
+    return keep.replace("q_ORIG", "q_flows")
+
+
+PARTS["q_bflows"] = PARTS.pop("qb_flows")
+for _n in _CHAIN:
+    PARTS["q_b" + _n[2:]] = _branch(PARTS[_n])
+part("q_both", """
+SELECT 'without_action' AS branch, f.host, f."window" AS w, list_max(b.future) AS risk FROM q_frame f JOIN q_bystage b ON b.s = f.stage
+UNION ALL SELECT 'with_action', f.host, f."window", list_max(b.future) FROM q_bframe f JOIN q_bystage b ON b.s = f.stage""")
+part("q_axis", """
+SELECT branch, w, coalesce(x.risk, 0.0) AS risk FROM (SELECT unnest(['without_action', 'with_action']) AS branch)
+CROSS JOIN (SELECT unnest(range((SELECT min("window") + 300 FROM q_frame), (SELECT max("window") + 1 FROM q_frame))) AS w) g
+LEFT JOIN (SELECT branch, w, risk FROM q_both WHERE host = '10.0.0.5') x USING (branch, w)""")
+part("q_after", f"""
+SELECT 'without_action' AS branch, * FROM q_flows WHERE ts_end >= {_REPLAY_T}
+UNION ALL SELECT 'with_action', * FROM q_bflows WHERE ts_end >= {_REPLAY_T}""")
+oracle("outcome", f"""
+SELECT a.branch, round(max(risk), 4) AS peak_risk, round(avg(risk), 4) AS mean_risk,
+  CAST(count(*) FILTER (risk >= {THR}) * 60 AS BIGINT) AS minutes_above_threshold,
+  CAST(coalesce((min(w) FILTER (risk < {THR}) - min(w)) * 3600, -1) AS BIGINT) AS risk_below_threshold_after_s,
+  any_value(f.av) AS attacker_victim_flows, any_value(f.lab) AS labelled_attack_flows,
+  'Block all traffic from 10.0.0.5' AS action_label, true AS applied
+FROM q_axis a JOIN (SELECT branch, count(*) FILTER ((src_ip = '10.0.0.5' AND dst_ip IN ('10.0.0.35', '10.0.0.36'))
+    OR (dst_ip = '10.0.0.5' AND src_ip IN ('10.0.0.35', '10.0.0.36'))) AS av, count(*) FILTER ({stage_case('label')} > 0) AS lab
+  FROM q_after GROUP BY branch) f ON f.branch = a.branch GROUP BY a.branch""")
+
+# ------------------------------------------------------------------ packets: the flow chain as a recursion
+part("q_pk", """
+SELECT flow_id, CAST(floor(ts_start / 60 * 1e6) AS BIGINT) AS us, k % 3 > 0 AS o, '10.1.0.' || CAST(flow_id % 3 AS VARCHAR) AS lo,
+  '10.2.0.' || CAST(flow_id % 2 AS VARCHAR) AS hi, 40 + k * 10 AS size, 30 + k % 30 AS ttl, CASE WHEN k % 4 = 0 THEN 1024 + k END AS win,
+  k % 6 AS seq, k % 2 AS plen, CASE WHEN k % 5 = 0 THEN 'S' WHEN k % 7 = 0 THEN 'FA' ELSE 'A' END AS flags
+FROM (SELECT *, dport // 41 AS k FROM q_flows)""")
+part("q_pko", """
+SELECT *, coalesce(us - lag(us) OVER (PARTITION BY lo, hi ORDER BY us, flow_id) > 60000000, true) AS opens FROM q_pk""")
+oracle("flow_assembly", f"""
+SELECT {r('fs / 1e6')} AS ts_start, {r('ls / 1e6')} AS ts_end, CASE WHEN fo THEN lo ELSE hi END AS src_ip, CASE WHEN fo THEN hi ELSE lo END AS dst_ip,
+  CAST(CASE WHEN fo THEN 5000 ELSE 80 END AS BIGINT) AS sport, CAST(CASE WHEN fo THEN 80 ELSE 5000 END AS BIGINT) AS dport,
+  CAST(fp AS DOUBLE) AS fwd_pkts, CAST(bp AS DOUBLE) AS bwd_pkts, CAST(fb AS DOUBLE) AS fwd_bytes, CAST(bb AS DOUBLE) AS bwd_bytes,
+  syn, 0 AS rst, fin, {r('ttl')} AS ttl, {r('coalesce(win, -1)')} AS tcp_win, CAST(dat - uni AS DOUBLE) AS retrans FROM (
+  SELECT lo, hi, fs, max(us) AS ls, any_value(fo) AS fo, count(*) FILTER (o = fo) AS fp, count(*) FILTER (o <> fo) AS bp,
+    coalesce(sum(size) FILTER (o = fo), 0) AS fb, coalesce(sum(size) FILTER (o <> fo), 0) AS bb, avg(ttl) FILTER (o = fo) AS ttl,
+    avg(win) FILTER (o = fo) AS win, max(CASE WHEN contains(flags, 'S') THEN 1 ELSE 0 END) AS syn, max(CASE WHEN contains(flags, 'F') THEN 1 ELSE 0 END) AS fin,
+    count(*) FILTER (plen > 0) AS dat, count(DISTINCT (o, seq)) FILTER (plen > 0) AS uni
+  FROM (SELECT p.*, s.us AS fs, first_value(p.o) OVER (PARTITION BY p.lo, p.hi, s.us ORDER BY p.us, p.flow_id) AS fo
+        FROM q_pk p ASOF JOIN q_chain s ON s.lo = p.lo AND s.hi = p.hi AND p.us >= s.us)
+  GROUP BY lo, hi, fs)""")
+ORACLES["flow_assembly"] = query("""SELECT 1 FROM q_pko""").split("\nSELECT 1")[0].replace("WITH ", "WITH RECURSIVE ", 1) + """,
+q_chain AS (
+  SELECT lo, hi, min(us) AS us FROM q_pko GROUP BY lo, hi
+  UNION ALL
+  SELECT c.lo, c.hi, min(p.us) FROM q_chain c JOIN q_pko p ON p.lo = c.lo AND p.hi = c.hi AND p.us > c.us
+    AND (p.us - c.us > 60000000 OR p.opens) GROUP BY c.lo, c.hi)
+""" + ORACLES["flow_assembly"][ORACLES["flow_assembly"].index("\nSELECT") :] if "\nSELECT" in ORACLES["flow_assembly"] else ORACLES["flow_assembly"]
+
+# ------------------------------------------------------------------ aligned series
+part("q_f600", """
+SELECT * FROM (SELECT host, w AS "window", count(*) FILTER (d = 0) AS out_flows FROM (
+  SELECT src_ip AS host, w, 0 AS d FROM q_c600 UNION ALL SELECT dst_ip, w, 1 FROM q_c600)
+  WHERE host IN (SELECT host FROM q_hosts) GROUP BY host, w)""")
+part("q_c600", f"""
+SELECT *, CAST(floor((ts_end - (SELECT floor(min(ts_end) / 600) * 600 FROM q_flows)) / 600) AS BIGINT) AS w, {stage_case('label')} AS stage FROM q_flows""")
+part("q_l600", """
+SELECT host, w, stage FROM (SELECT host, w, stage, row_number() OVER (PARTITION BY host, w ORDER BY count(*) DESC, stage, label) AS rn FROM (
+  SELECT src_ip AS host, w, stage, label FROM q_c600 WHERE stage > 0 UNION ALL SELECT dst_ip, w, stage, label FROM q_c600 WHERE stage > 0)
+  GROUP BY host, w, stage, label) WHERE rn = 1""")
+part("q_s600", """
+SELECT w, seg, min(w) OVER (PARTITION BY seg) AS lo, max(w) OVER (PARTITION BY seg) AS hi FROM
+  (SELECT w, sum(CASE WHEN w - p <= 10 THEN 0 ELSE 1 END) OVER (ORDER BY w) AS seg FROM
+    (SELECT w, lag(w) OVER (ORDER BY w) AS p FROM (SELECT DISTINCT w FROM q_c600)))""")
+part("q_g600", """
+SELECT host, unnest(range(lo, hi + 1)) AS w FROM (SELECT DISTINCT f.host, s.lo, s.hi FROM q_f600 f JOIN q_s600 s ON s.w = f."window")""")
+oracle("host_series", """
+SELECT h.host, CAST(a.w - m.lo AS INTEGER) AS step, CAST(coalesce(f.out_flows, 0) AS DOUBLE) AS out_flows, coalesce(l.stage, 0) AS stage, g.w IS NOT NULL AS present
+FROM (SELECT DISTINCT host FROM q_f600) h CROSS JOIN (SELECT min(w) AS lo, max(w) AS hi FROM q_g600) m
+CROSS JOIN LATERAL (SELECT unnest(range(m.lo, m.hi + 1)) AS w) a
+LEFT JOIN q_g600 g ON g.host = h.host AND g.w = a.w LEFT JOIN q_f600 f ON f.host = h.host AND f."window" = a.w
+LEFT JOIN q_l600 l ON l.host = h.host AND l.w = a.w""")

@@ -148,11 +148,9 @@ class HorizonModel:
         ahead = {f"_s{k}": F.lead(stage, k).over(order) for k in range(1, horizon + 1)}
         data = rows.withColumns(ahead).filter(F.col(f"_s{horizon}").isNotNull())
         data = data.withColumns({f"_y{k}": (F.col(f"_s{k}") > 0).cast("int") for k in range(1, horizon + 1)})
-        coming = F.array(*[F.col(f"_s{k}") for k in range(1, horizon + 1)])
-        first = F.element_at(F.filter(F.concat(coming, F.array(F.col(stage))), lambda s: s > 0), 1)
-        data = materialise(data.withColumns({"_y0": (F.col(stage) > 0).cast("int"),
-                                             "_stage": F.coalesce(F.get(F.filter(coming, lambda s: s > 0), 0),
-                                                                  first).cast("int")})
+        coming = F.array(*[F.col(f"_s{k}") for k in range(1, horizon + 1)], F.col(stage))
+        nearest = F.coalesce(F.get(F.filter(coming, lambda s: s > 0), F.lit(0)), F.lit(0)).cast("int")
+        data = materialise(data.withColumns({"_y0": (F.col(stage) > 0).cast("int"), "_stage": nearest})
                            .select("x", "_stage", *[f"_y{k}" for k in range(horizon + 1)], *identity))
         models = [fit_logistic(data, f"_y{k}", max_iter=max_iter) for k in range(horizon + 1)]
         attacks = data.filter(F.col("_stage") > 0).withColumn("_c", (F.col("_stage") - 1).cast("double"))

@@ -19,6 +19,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtide import schema as S
+from flowtide.cluster import small_side
 from flowtide.functions.stages import is_benign, label_to_stage
 
 
@@ -111,7 +112,10 @@ def _mark_selected(w: DataFrame, spec: WindowSpec) -> tuple[DataFrame, bool]:
     chosen = chosen.select(*keys, "host")
     # at most max_hosts rows when there is one capture: a proven bound. With several
     # captures the planner decides from the measured size.
-    side = F.broadcast(chosen) if not keys and spec.hosts is None else chosen
+    if not keys and spec.hosts is None:
+        side = F.broadcast(chosen)
+    else:
+        side = small_side(chosen) if isinstance(spec.hosts, DataFrame) else chosen
     for end, flag in (("src_ip", "out_sel"), ("dst_ip", "in_sel")):
         mark = side.select(*keys, F.col("host").alias(end), F.lit(True).alias(flag))
         w = w.join(mark, [*keys, end], "left")

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowtide import schema as S
+from flowtide.cluster import materialise
 from flowtide.sources.flows import finalise
 
 CHUNK_S = 600
@@ -108,7 +109,7 @@ def _enter(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _long_starts(long: DataFrame, active_us: int, chunk_us: int) -> DataFrame:
     """Flow starts per (key, session, chunk) of sessions longer than the active timeout."""
-    times = long.select("key", "session", "chunk", "us").distinct()
+    times = materialise(long.select("key", "session", "chunk", "us").distinct())
 
     def steps(pdf: pd.DataFrame) -> pd.DataFrame:
         return _steps(pdf.assign(edge=pdf["chunk"] * chunk_us), active_us, int(pdf["session"].iloc[0]))

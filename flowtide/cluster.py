@@ -1,8 +1,8 @@
 """Session defaults, reliable materialisation and size-checked broadcasts."""
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -27,21 +27,30 @@ def session(app: str = "flowtide", master: str | None = None, **conf) -> SparkSe
     return b.getOrCreate()
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only a session without one gets its own."""
-    if spark.sparkContext.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="flowtide-ckpt-"))
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: the one the cluster names in `spark.checkpoint.dir`.
+    Only a local session without one gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="flowtide-")
+        spark.sparkContext.setCheckpointDir(named)
+        named = spark.sparkContext.getCheckpointDir()
+    return named
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage to shared storage, so several branches read one computed copy
-    and a lost executor costs a re-read rather than a re-run."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` once to shared storage and read it back.
+
+    Several branches then read one computed copy, each only the columns it needs; the
+    planner sees the table's real size; and a lost executor costs a re-read, not a re-run.
+    Tables live under `<shared folder>/flowtide-<application id>` until that is removed.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/flowtide-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
@@ -54,10 +63,3 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     if len(rows) > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the session's shared checkpoint folder."""
-    _checkpoint_dir(spark)
-    root = spark.sparkContext.getCheckpointDir()
-    return os.path.join(root, name)

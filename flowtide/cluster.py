@@ -63,3 +63,9 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     if len(rows) > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def settled(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Compute `df` now, once: as a broadcast side when it is small, else as a stored table."""
+    side = small_side(df, max_rows)
+    return materialise(df) if side is df else side

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtide import schema as S
-from flowtide.cluster import small_side
+from flowtide.cluster import settled
 from flowtide.functions.stages import is_benign, label_to_stage
 
 
@@ -49,6 +49,12 @@ class WindowSpec:
 LIVE = WindowSpec(min_flows=3, max_hosts=150)
 
 
+@dataclass(frozen=True)
+class _Settled:
+    """A host selection that is already computed."""
+    side: DataFrame
+
+
 # ------------------------------------------------------------------ preparation
 def origin(flows: DataFrame, window_s: float) -> Column:
     """Start of the first window, as a scalar subquery usable in any expression."""
@@ -92,6 +98,16 @@ def select_hosts(flows: DataFrame, min_flows: int = 20, max_hosts: int | None =
     return busy.withColumn("_r", rank).filter(F.col("_r") <= max_hosts).drop("_r")
 
 
+def _chosen_hosts(flows: DataFrame, spec: WindowSpec) -> DataFrame:
+    """The selection, computed once: every branch of the plan joins it twice."""
+    if isinstance(spec.hosts, _Settled):
+        return spec.hosts.side
+    if isinstance(spec.hosts, DataFrame):
+        return settled(spec.hosts.select(*spec.keys, "host"))
+    chosen = select_hosts(flows, spec.min_flows, spec.max_hosts, spec.keys)
+    return settled(chosen.select(*spec.keys, "host"))
+
+
 def _mark_selected(w: DataFrame, spec: WindowSpec) -> tuple[DataFrame, bool]:
     """Flag flow ends that belong to a selected host.
 
@@ -100,22 +116,12 @@ def _mark_selected(w: DataFrame, spec: WindowSpec) -> tuple[DataFrame, bool]:
     """
     if spec.hosts is None and spec.max_hosts is None:
         return w.withColumns({"out_sel": F.lit(True), "in_sel": F.lit(True)}), True
-    if spec.hosts is None:
-        chosen = select_hosts(w, spec.min_flows, spec.max_hosts, spec.keys)
-    elif isinstance(spec.hosts, DataFrame):
-        chosen = spec.hosts
-    else:
+    keys = list(spec.keys)
+    if spec.hosts is not None and not isinstance(spec.hosts, (DataFrame, _Settled)):
         listed = list(dict.fromkeys(spec.hosts))
         return w.withColumns({"out_sel": F.col("src_ip").isin(listed),
                               "in_sel": F.col("dst_ip").isin(listed)}), False
-    keys = list(spec.keys)
-    chosen = chosen.select(*keys, "host")
-    # at most max_hosts rows when there is one capture: a proven bound. With several
-    # captures the planner decides from the measured size.
-    if not keys and spec.hosts is None:
-        side = F.broadcast(chosen)
-    else:
-        side = small_side(chosen) if isinstance(spec.hosts, DataFrame) else chosen
+    side = _chosen_hosts(w, spec)
     for end, flag in (("src_ip", "out_sel"), ("dst_ip", "in_sel")):
         mark = side.select(*keys, F.col("host").alias(end), F.lit(True).alias(flag))
         w = w.join(mark, [*keys, end], "left")
@@ -358,7 +364,11 @@ class HostFeatures:
     @classmethod
     def from_flows(cls, flows: DataFrame, spec: WindowSpec = WindowSpec(),
                    source: str = "flows") -> "HostFeatures":
-        return cls(host_windows(flows, spec), host_edges(flows, spec), flows, spec, source)
+        if spec.max_hosts is not None and (spec.hosts is None or isinstance(spec.hosts, DataFrame)):
+            fixed = spec.but(hosts=_Settled(_chosen_hosts(flows, spec)))
+        else:
+            fixed = spec
+        return cls(host_windows(flows, fixed), host_edges(flows, fixed), flows, spec, source)
 
     @property
     def keys(self) -> tuple[str, ...]:

@@ -45,6 +45,16 @@ def frame(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
 
 
 # ------------------------------------------------------------------ windowing
+@register
+def clean_flows(spark, sf):
+    """The flow table written as text cells and coerced back."""
+    from flowtide.sources.flows import finalise
+
+    raw = flows(spark, sf)
+    text = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns])
+    return no_nulls(rounded(finalise(text)).withColumns({c: F.col(c).cast("int") for c in ("syn", "rst", "fin")}))
+
+
 @register
 def select_hosts(spark, sf):
     return W.select_hosts(flows(spark, sf))

@@ -11,6 +11,10 @@ def oracle(name: str, sql: str) -> None:
     ORACLES[name] = query(sql)
 
 
+oracle("clean_flows", f"""
+SELECT flow_id, {r('ts_start')} AS ts_start, {r('ts_end')} AS ts_end, src_ip, dst_ip, sport, dport, proto, fwd_pkts, bwd_pkts, fwd_bytes, bwd_bytes,
+  syn, rst, fin, coalesce(ttl, -1) AS ttl, coalesce(tcp_win, -1) AS tcp_win, coalesce(retrans, -1) AS retrans, label FROM q_flows
+""")
 oracle("select_hosts", "SELECT * FROM q_hosts")
 oracle("out_features", f"""
 SELECT host, w AS "window", {rcols(S.OUT_FEATURES)} FROM q_outagg

@@ -6,7 +6,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowtide.cluster import shared_dir
-from flowtide.llm import fingerprints, secrets, sharding, token_counts, token_store
+from flowtide.llm import (decontaminate, fingerprints, licenses, mixing, near_dup, secrets, sharding, token_counts,
+                          token_store, toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,10 +66,50 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents as files source/lang/id.txt; one that is little more than its notice speaks for its
+    directory."""
+    docs = _table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")),
+                                              F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),
+                        "text", mixing.tokens_of(F.coalesce("text", F.lit(""))).alias("_words"))
+    return licenses.scan(files, F.col("_words") <= 8 * F.col("license_words")).select(
+        "doc_id", "path", "own_license", "cosine", "license", "inherited_from")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by the model of the table's labels."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated sampling of all documents by source, language and topic."""
+    return mixing.calibrate(_table(spark, sf_dir, "documents"), mixing.POWER)
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked at 85 % of common five-word shingles or more."""
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_store": op2_token_store,
     "op3_fingerprints": op3_fingerprints,
     "op4_byte_shards": op4_byte_shards,
     "op5_token_counts": op5_token_counts,
+    "op6_license_scan": op6_license_scan,
+    "op7_toxicity": op7_toxicity,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_near_duplicates": op9_near_duplicates,
+    "op10_decontamination": op10_decontamination,
 }

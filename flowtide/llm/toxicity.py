@@ -27,8 +27,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.llm.decontaminate import _FOLD
 
-PER_CLASS, STEMS, LEXICON_VOTERS, CUT = 3000, 400, 10, 0.7
+PER_CLASS, STEMS, LEXICON_VOTERS, CUT, LABEL_WEIGHT = 3000, 400, 10, 0.7, 4.0
 PREFIXES = (4, 5, 6, 8)
+#: Likelihood ratio that a stem must exceed: a chance of 1e-6 for one stem, as a great many are looked at.
+EVIDENCE = 24.0
 
 #: General English insults.
 GENERAL = ("bastard clown crap creep disgusting dumb fool freak garbage hate hateful idiot idiotic imbecile jerk kill liar "
@@ -40,8 +42,8 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 3 == 1
 
 
-def distinct_words(text: str | None) -> set[bytes]:
-    return set(text.lower().encode().translate(_FOLD).split()) if text else set()
+def words_of(text: str | None) -> list[bytes]:
+    return text.lower().encode().translate(_FOLD).split() if text else []
 
 
 def stems_of(words: set[bytes]) -> set[bytes]:
@@ -56,31 +58,35 @@ class Model:
     """Stems with their weights, weights of the counted features, and the intercept."""
     stems: list[bytes] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    extra: np.ndarray = field(default_factory=lambda: np.zeros(5))
+    extra: np.ndarray = field(default_factory=lambda: np.zeros(EXTRA))
     intercept: float = 0.0
     prepared: tuple | None = None
 
-    def find(self, text: str | None) -> tuple[list[int], np.ndarray]:
-        """Indexes of the stems in a text, and the counted features."""
+    def find(self, text: str | None) -> tuple[list[int], list[float], list[float]]:
+        """Indexes of the stems in a text, the logarithms of their counts, and the counted features."""
         if self.prepared is None:
             place = {s: i for i, s in enumerate(self.stems)}
-            self.prepared = place, {s[:4] for s in self.stems}, sorted({len(s) for s in self.stems})
+            self.prepared = place, {s[:4] for s in self.stems}, sorted({len(s) for s in self.stems}, reverse=True)
         place, heads, sizes = self.prepared
-        found: set[int] = set()
-        for w in distinct_words(text):
-            if w[:4] in heads:
-                for n in sizes:
-                    if n <= len(w) and (i := place.get(w[:n])) is not None:
-                        found.add(i)
-        general = 0 if not text else sum(self.stems[i] in _GENERAL for i in found)
-        return sorted(found), np.array([np.log1p(len(found)), len(found) > 1, general > 0, *patterns(text)], float)
+        words, found, general = words_of(text), Counter(), 0
+        hits = [w for w in words if w[:4] in heads]
+        told = 0
+        for w in hits:
+            own = {place[w[:n]] for n in sizes if n <= len(w) and w[:n] in place}
+            found.update(own)
+            told += bool(own)
+            general += w in _GENERAL
+        at = sorted(found)
+        return at, [float(np.log1p(found[i])) for i in at], [
+            float(np.log1p(told)), float(told > 1), float(general > 0), 100.0 * told / (len(words) + 20), *patterns(text)]
 
     def score(self, text: str | None) -> float:
-        found, extra = self.find(text)
-        z = self.intercept + float(self.weights[found].sum()) + float(extra @ self.extra)
+        at, counts, extra = self.find(text)
+        z = self.intercept + float(self.weights[at] @ counts if at else 0.0) + float(self.extra @ extra)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+EXTRA = 6
 _GENERAL = frozenset(GENERAL)
 
 
@@ -115,7 +121,7 @@ def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for batch in batches:
         for y, t in zip(batch.column("_y").to_pylist(), batch.column("_t").to_pylist()):
-            counts[y].update(stems_of(distinct_words(t)))
+            counts[y].update(stems_of(set(words_of(t))))
     for y, c in counts.items():
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array([y] * len(c), pa.int32()),
                                           pa.array(list(c.values()), pa.int64())], names=["stem", "_y", "n"])
@@ -127,10 +133,18 @@ def mine_stems(rows: DataFrame, sizes: dict[int, int], most: int = STEMS) -> lis
     if not t or not c:
         return []
     ratio = F.log(((F.col("t") + 0.5) / (t + 1)) / ((F.col("c") + 0.5) / (c + 1)))
+
+    def part(seen: Column, n: int) -> Column:       # of the likelihood ratio statistic, with and without the stem
+        both = F.col("t") + F.col("c")
+        share = both / float(t + c)
+        return sum((F.when(x > 0, x * F.log(x / (n * p))).otherwise(0.0) for x, p in ((seen, share), (n - seen, 1 - share))),
+                   F.lit(0.0))
+
+    evidence = 2 * (part(F.col("t"), t) + part(F.col("c"), c))
     got = (rows.mapInArrow(_count_stems, "stem binary, _y int, n bigint").groupBy("stem")
            .agg(F.sum(F.when(F.col("_y") == 1, F.col("n")).otherwise(0)).alias("t"),
                 F.sum(F.when(F.col("_y") == 0, F.col("n")).otherwise(0)).alias("c"))
-           .filter((F.col("t") >= max(3, t // 300)) & (ratio > 2.5)).withColumn("gain", ratio * F.col("t"))
+           .filter((F.col("t") >= 3) & (ratio > 2.0) & (evidence > EVIDENCE)).withColumn("gain", ratio * F.col("t"))
            .orderBy(F.col("gain").desc(), "stem").limit(4 * most).collect())
     support = {bytes(r["stem"]): r["t"] for r in got}
     # of stems with the same documents the longest stays
@@ -138,9 +152,9 @@ def mine_stems(rows: DataFrame, sizes: dict[int, int], most: int = STEMS) -> lis
     return [s for s in support if s not in covered][:most]
 
 
-def votes_of(found: list[list[int]], extra: np.ndarray, n_stems: int, labels: np.ndarray) -> np.ndarray:
-    """Votes (1 toxic, 0 clean, -1 none) of every voter on every row."""
-    out = -np.ones((len(found), LEXICON_VOTERS + 6), np.int8)
+def votes_of(found: list[list[int]], extra: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Votes (1 toxic, 0 clean, -1 none) of every voter on every row; the last voter is the label."""
+    out = -np.ones((len(found), LEXICON_VOTERS + 7), np.int8)
     for row, stems in enumerate(found):
         for i in stems:
             out[row, i % LEXICON_VOTERS] = 1
@@ -149,17 +163,22 @@ def votes_of(found: list[list[int]], extra: np.ndarray, n_stems: int, labels: np
     at = LEXICON_VOTERS + 1
     out[extra[:, 1] > 0, at] = 1
     out[extra[:, 2] > 0, at + 1] = 1
-    out[:, at + 2] = extra[:, 3] > 0
+    out[extra[:, 3] > 1, at + 2] = 1
     out[:, at + 3] = extra[:, 4] > 0
-    out[:, at + 4] = labels
+    out[:, at + 4] = extra[:, 5] > 0
+    out[:, at + 5] = labels
     return out
 
 
-def label_model(votes: np.ndarray, prior: float = 0.5, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior chance of toxic for each row; for each voter the chances of its three votes by class; its weight."""
+def label_model(votes: np.ndarray, prior: float = 0.5, rounds: int = 50, trusted: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior chance of toxic for each row; for each voter the chances of its three votes by class; its weight.
+
+    `trusted` is the weight of the last voter, if it is one that correlations do not lessen.
+    """
     shown = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
     n, m, _ = shown.shape
     weight = np.ones(m)
+    weight[-1] = trusted or 1.0
     theta = np.empty((2, m, 3))
     theta[0], theta[1] = (0.5, 0.4, 0.1), (0.5, 0.1, 0.4)       # a voter is thought right until seen otherwise
     post = np.full(n, prior)
@@ -179,10 +198,11 @@ def label_model(votes: np.ndarray, prior: float = 0.5, rounds: int = 50) -> tupl
             together = np.clip((fired.T @ fired) / np.outer(spread, spread), 0, 1)
             np.fill_diagonal(together, 0)
             weight = 1 / (1 + np.where(together > 0.1, together, 0).sum(axis=1))
+            weight[-1] = trusted or weight[-1]
     return post, theta, weight
 
 
-def train_linear(x: np.ndarray, p: np.ndarray, ridge: float = 0.05, rounds: int = 25) -> tuple[np.ndarray, float]:
+def train_linear(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Newton steps."""
     design = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(design.shape[1])
@@ -211,19 +231,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [shared.value.find(t) for t in batch.column("_t").to_pylist()]
+        for batch in filter(len, batches):
+            at, counts, extra = zip(*[shared.value.find(t) for t in batch.column("_t").to_pylist()])
             yield pa.RecordBatch.from_arrays([
-                batch.column("_y"), pa.array([f for f, _ in got], pa.list_(pa.int32())),
-                pa.array([list(e) for _, e in got], pa.list_(pa.float64()))], names=["y", "found", "extra"])
+                batch.column("_y"), pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float64())),
+                pa.array(extra, pa.list_(pa.float64()))], names=["y", "at", "counts", "extra"])
 
-    got = rows.mapInArrow(features, "y int, found array<int>, extra array<double>").collect()   # 2 * per_class rows
-    got.sort(key=lambda r: (r["y"], r["found"], r["extra"]))
-    found, extra = [r["found"] for r in got], np.array([r["extra"] for r in got])
-    posterior, _, _ = label_model(votes_of(found, extra, len(model.stems), np.array([r["y"] for r in got])))
+    got = rows.mapInArrow(features, "y int, at array<int>, counts array<double>, extra array<double>").collect()
+    got.sort(key=lambda r: (r["y"], r["at"], r["counts"], r["extra"]))          # 2 * per_class rows
+    extra = np.array([r["extra"] for r in got])
+    posterior, _, _ = label_model(votes_of([r["at"] for r in got], extra, np.array([r["y"] for r in got])), trusted=LABEL_WEIGHT)
     x = np.zeros((len(got), len(model.stems)))
-    for row, stems in enumerate(found):
-        x[row, stems] = 1
+    for row, r in enumerate(got):
+        x[row, r["at"]] = r["counts"]
     weights, model.intercept = train_linear(np.hstack([x, extra]), posterior)
     model.weights, model.extra = weights[:len(model.stems)], weights[len(model.stems):]
     return model

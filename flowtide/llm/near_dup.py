@@ -32,7 +32,7 @@ from flowtide.llm.components import connected_components
 from flowtide.llm.text import _mix, shingles
 
 SYMBOLS = 64
-BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
+BLOCK, SET_BLOCK, BLOCK_SHINGLES = 1000, 250, 500_000
 NULL_ID = -(1 << 63)
 _A = _mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = _mix(np.arange(1001, SYMBOLS + 1001, dtype=np.uint64))
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
     members = materialise(classes.join(groups, "rep").select("comp", "rep", "digest", "sig", "n"))
     sizes = materialise(members.groupBy("comp").agg(F.greatest(
-        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb")))
+        F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb")))
     dealt = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
     sets = rows.join(dealt.withColumn("id", F.col("rep")), "id").select(
         "comp", "rep", "nb", "block", "digest", "sig", "text").mapInArrow(_with_sets, _SETS)

@@ -424,6 +424,7 @@ def test_near_query(spark, sf):
 def test_near_large_group(spark, monkeypatch):
     """Blocks far smaller than the group: every pair of blocks is a task, and no link is lost."""
     monkeypatch.setattr(near_dup, "BLOCK", 7)
+    monkeypatch.setattr(near_dup, "SET_BLOCK", 11)
     pairs = []
     for k in range(120):
         w = prose(4, 90).split()

@@ -57,14 +57,18 @@ def clean_flows(spark, sf):
 
 @register
 def select_hosts(spark, sf):
-    return W.select_hosts(flows(spark, sf))
+    return W.select_hosts(flows(spark, sf), max_hosts=200)
+
+
+def _of_hosts(fl, sp, df) -> DataFrame:
+    return df.join(W.select_hosts(fl, sp.min_flows).select("host"), "host", "left_semi")
 
 
 def _active(spark, sf) -> DataFrame:
     fl, sp = flows(spark, sf), spec()
     marked, _ = W._mark_selected(W.with_measures(fl, sp), sp)
     base = F.floor(W.origin(fl, sp.window_s) / sp.window_s)
-    return W.active_features(marked, sp).withColumn("window", F.col("window") - base)
+    return _of_hosts(fl, sp, W.active_features(marked, sp).withColumn("window", F.col("window") - base))
 
 
 @register
@@ -87,7 +91,7 @@ def dominant_label(spark, sf):
     fl, sp = flows(spark, sf), spec()
     marked, _ = W._mark_selected(W.with_measures(fl, sp), sp)
     base = F.floor(W.origin(fl, sp.window_s) / sp.window_s)
-    return W.dominant_labels(marked, sp).withColumn("window", F.col("window") - base)
+    return _of_hosts(fl, sp, W.dominant_labels(marked, sp).withColumn("window", F.col("window") - base))
 
 
 @register
@@ -137,8 +141,8 @@ def top_hosts(spark, sf):
 
 @register
 def neighbor_agg(spark, sf):
-    f = frame(spark, sf).select("host", "window", *FEW)
-    return rounded(G.neighbor_aggregate(f, W.host_edges(flows(spark, sf), spec()), FEW))
+    f = frame(spark, sf).select("host", "window", *S.FEATURES)
+    return rounded(G.neighbor_aggregate(f, W.host_edges(flows(spark, sf), spec()), S.FEATURES))
 
 
 def forecast_frame(spark, sf) -> DataFrame:
@@ -253,7 +257,7 @@ def captures(spark, sf) -> DataFrame:
 
 
 def keyed_frame(spark, sf) -> DataFrame:
-    f = W.host_windows(captures(spark, sf), spec(keys=tuple(KEYED), max_hosts=50, min_flows=5))
+    f = W.host_windows(captures(spark, sf), spec(keys=tuple(KEYED), min_flows=5))
     return f.select(*KEYED, "host", "segment", "window", "t", *FEW, "stage", "label", "attack_out")
 
 
@@ -674,7 +678,7 @@ def stream_windows(spark, sf):
 
 # ------------------------------------------------------------------ fitted models
 def _training_set(spark, sf) -> TR.SequenceSet:
-    f = W.host_windows(captures(spark, sf), spec(keys=tuple(KEYED), max_hosts=50, min_flows=5))
+    f = W.host_windows(captures(spark, sf), spec(keys=tuple(KEYED), min_flows=5))
     return TR.build_sequences(materialise(f))
 
 
@@ -682,14 +686,14 @@ def _training_set(spark, sf) -> TR.SequenceSet:
 def logreg_forecast(spark, sf):
     """Logistic forecast trained, thresholded and evaluated per dataset beside persistence."""
     data = _training_set(spark, sf)
-    base = TR.train_baseline(data, max_iter=30)
+    base = TR.train_baseline(data)
     return TR.evaluate_baseline(base, data.split("test"), 3600, ["dataset"])
 
 
 @register
 def shap_top(spark, sf):
     data = _training_set(spark, sf)
-    base = TR.train_baseline(data, max_iter=30)
+    base = TR.train_baseline(data)
     return TR.important_features(base, data.split("train"), data.split("test"))
 
 

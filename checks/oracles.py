@@ -15,7 +15,7 @@ oracle("clean_flows", f"""
 SELECT flow_id, {r('ts_start')} AS ts_start, {r('ts_end')} AS ts_end, src_ip, dst_ip, sport, dport, proto, fwd_pkts, bwd_pkts, fwd_bytes, bwd_bytes,
   syn, rst, fin, coalesce(ttl, -1) AS ttl, coalesce(tcp_win, -1) AS tcp_win, coalesce(retrans, -1) AS retrans, label FROM q_flows
 """)
-oracle("select_hosts", "SELECT * FROM q_hosts")
+oracle("select_hosts", "SELECT * FROM q_hosts ORDER BY appearances DESC, host LIMIT 200")
 oracle("out_features", f"""
 SELECT host, w AS "window", {rcols(S.OUT_FEATURES)} FROM q_outagg
 LEFT JOIN q_entropy USING (host, w) LEFT JOIN q_peers USING (host, w)
@@ -50,11 +50,11 @@ GROUP BY host ORDER BY flows DESC, host LIMIT 26""")
 
 FEW = ["out_flows", "in_flows", "out_failed_ratio", "in_distinct_src"]
 oracle("neighbor_agg", f"""
-SELECT f.host, f."window", {rcols(FEW, prefix='f.')},
-  {", ".join(f"{r(f'coalesce(n.nb_mean_{c}, 0)')} AS nb_mean_{c}, {r(f'coalesce(n.nb_max_{c}, 0)')} AS nb_max_{c}" for c in FEW)},
+SELECT f.host, f."window", {rcols(S.FEATURES, prefix='f.')},
+  {", ".join(f"{r(f'coalesce(n.nb_mean_{c}, 0)')} AS nb_mean_{c}, {r(f'coalesce(n.nb_max_{c}, 0)')} AS nb_max_{c}" for c in S.FEATURES)},
   {r('coalesce(n.deg, 0)')} AS nb_log_degree
 FROM q_frame f LEFT JOIN (
-  SELECT u.host, u."window", {", ".join(f"avg(p.{c}) AS nb_mean_{c}, max(p.{c}) AS nb_max_{c}" for c in FEW)}, ln(1 + count(*)) AS deg
+  SELECT u.host, u."window", {", ".join(f"avg(p.{c}) AS nb_mean_{c}, max(p.{c}) AS nb_max_{c}" for c in S.FEATURES)}, ln(1 + count(*)) AS deg
   FROM (SELECT a AS host, b AS peer, "window" FROM q_edges UNION SELECT b, a, "window" FROM q_edges) u
   JOIN q_frame p ON p.host = u.peer AND p."window" = u."window" GROUP BY u.host, u."window") n
 ON n.host = f.host AND n."window" = f."window"

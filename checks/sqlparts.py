@@ -78,7 +78,7 @@ FROM q_flows
 part("q_hosts", """
 SELECT host, count(*) AS appearances FROM
   (SELECT src_ip AS host FROM q_flows UNION ALL SELECT dst_ip FROM q_flows)
-GROUP BY host HAVING count(*) >= 20 ORDER BY appearances DESC, host LIMIT 200
+GROUP BY host HAVING count(*) >= 20
 """)
 part("q_out", "SELECT src_ip AS host, * EXCLUDE (src_ip) FROM q_cut WHERE src_ip IN (SELECT host FROM q_hosts)")
 part("q_in", "SELECT dst_ip AS host, * EXCLUDE (dst_ip) FROM q_cut WHERE dst_ip IN (SELECT host FROM q_hosts)")
@@ -273,10 +273,8 @@ FROM q_flows
 part("q_kcut", "SELECT *, aw - min(aw) OVER (PARTITION BY dataset, capture) AS w FROM q_kflows")
 part("q_khosts", """
 SELECT dataset, capture, host FROM
-  (SELECT dataset, capture, host, row_number() OVER (PARTITION BY dataset, capture ORDER BY n DESC, host) AS rn FROM
-    (SELECT dataset, capture, host, count(*) AS n FROM
-      (SELECT dataset, capture, src_ip AS host FROM q_kflows UNION ALL SELECT dataset, capture, dst_ip FROM q_kflows)
-     GROUP BY dataset, capture, host HAVING count(*) >= 5)) WHERE rn <= 50
+  (SELECT dataset, capture, src_ip AS host FROM q_kflows UNION ALL SELECT dataset, capture, dst_ip FROM q_kflows)
+GROUP BY dataset, capture, host HAVING count(*) >= 5
 """)
 part("q_kout", "SELECT c.*, h.host FROM q_kcut c JOIN q_khosts h ON h.dataset = c.dataset AND h.capture = c.capture AND h.host = c.src_ip")
 part("q_kin", "SELECT c.*, h.host FROM q_kcut c JOIN q_khosts h ON h.dataset = c.dataset AND h.capture = c.capture AND h.host = c.dst_ip")

@@ -99,35 +99,3 @@ def map_stage(risk: Column, probs: Column, threshold: float | Column, gate: floa
     attack = F.slice(probs, 2, 6)
     return F.when(risk < thr * gate, F.lit(0)).otherwise(
         F.array_position(attack, F.array_max(attack)).cast("int")).cast("int")
-
-
-def map_sequence(risks: Column, probs: Column, threshold: float, gate: float = 0.5,
-                 hold: int = 2) -> Column:
-    """Stage per step with hysteresis, as one fold over the ordered arrays.
-
-    Entering or leaving an attack is immediate; a change between two attack stages
-    needs `hold` equal readings in a row.
-    """
-    raw = F.zip_with(risks, probs, lambda r, p: map_stage(r, p, threshold, gate))
-    return hold_sequence(raw, hold)
-
-
-def hold_sequence(raw: Column, hold: int = 2) -> Column:
-    zero = F.struct(F.lit(0).alias("cur"), F.lit(0).alias("streak"), F.lit(-1).alias("cand"),
-                    F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        same = s == acc["cur"]
-        edge = (s == 0) | (acc["cur"] == 0)
-        run = F.when(s == acc["cand"], acc["streak"] + 1).otherwise(F.lit(1))
-        switch = run >= hold
-        cur = F.when(same, acc["cur"]).when(edge, s).when(switch, s).otherwise(acc["cur"])
-        streak = (F.when(same, F.lit(0)).when(edge, acc["streak"]).when(switch, F.lit(0))
-                  .otherwise(run))
-        cand = (F.when(same, F.lit(-1)).when(edge, acc["cand"]).when(switch, F.lit(-1))
-                .otherwise(s))
-        return F.struct(cur.cast("int").alias("cur"), streak.cast("int").alias("streak"),
-                        cand.cast("int").alias("cand"),
-                        F.concat(acc["out"], F.array(cur.cast("int"))).alias("out"))
-
-    return F.aggregate(raw, zero, step, lambda acc: acc["out"])

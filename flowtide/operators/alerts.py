@@ -5,13 +5,15 @@ from the first window of the whole frame. A missing window counts as risk 0.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtide import schema as S
 from flowtide.functions.risk import first_at_least
-from flowtide.functions.stages import hold_sequence, map_stage, stage_name
+from flowtide.functions.stages import map_stage, stage_name
 from flowtide.operators.sequences import align_steps
 
 
@@ -108,25 +110,47 @@ def timeline(frame: DataFrame, threshold: float, horizon: int = S.HORIZON_K,
 
 
 def hold_stages(steps: DataFrame, keys: Sequence[str] = ("host",), hold: int = 2) -> DataFrame:
-    """Add `held_stage`: `raw_stage` after hysteresis, folded over each host's run starts.
+    """Add `held_stage`: `raw_stage` after hysteresis.
 
-    Rows between two changes of the raw stage need no fold: from the third equal reading
-    on the held stage cannot change. The fold therefore sees at most `hold + 1` rows per
-    run, and the rest carry the last value forward.
+    Entering or leaving an attack is immediate; a change between two attack stages needs `hold` equal readings, which
+    one benign reading in between does not undo. One pass over each host's ordered rows, a run of equal readings at a
+    time; what is carried from batch to batch is four numbers.
     """
-    order = Window.partitionBy(*keys).orderBy("step")
-    changed = F.coalesce(F.col("raw_stage") != F.lag("raw_stage").over(order), F.lit(True))
-    f = steps.withColumn("_c", changed)
-    f = f.withColumn("_lead", F.max(F.col("_c").cast("int")).over(order.rowsBetween(-hold, 0)))
-    seq = F.sort_array(F.collect_list(F.struct("step", "raw_stage")))
-    folded = (f.filter("_lead = 1").groupBy(*keys).agg(seq.alias("s"))
-              .select(*keys, F.explode(F.arrays_zip(
-                  F.col("s.step").alias("step"),
-                  hold_sequence(F.col("s.raw_stage"), hold).alias("held"))).alias("x"))
-              .select(*keys, "x.step", F.col("x.held").alias("_h")))
-    out = f.join(folded, [*keys, "step"], "left")
-    carried = F.last("_h", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("held_stage", carried).drop("_c", "_lead", "_h")
+    keys = list(keys)
+    rows = steps.withColumn("held_stage", F.lit(None).cast("int"))
+    ordered = rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "step")
+    return ordered.mapInArrow(_holding(keys, hold), rows.schema)
+
+
+def _holding(keys: list[str], hold: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, held, waiting, count = None, 0, None, 0
+        for batch in batches:
+            owners = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            raw = batch.column("raw_stage").to_numpy(zero_copy_only=False)
+            fresh = np.array([a != b for a, b in zip(owners, [owner, *owners[:-1]])], bool)
+            starts = np.flatnonzero(fresh | (np.diff(raw, prepend=raw[:1]) != 0) | (np.arange(len(raw)) == 0))
+            out = np.empty(len(raw), np.int32)
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(raw)]):
+                value, n = int(raw[lo]), hi - lo
+                if fresh[lo]:
+                    held, waiting, count = 0, None, 0
+                if value == held or value == 0 or held == 0:        # agrees, or enters or leaves at once
+                    if value == held or n > 1:
+                        waiting, count = None, 0
+                    out[lo:hi] = held = value
+                    continue
+                needed = hold - (count if waiting == value else 0)
+                out[lo:hi] = held
+                if n >= needed:
+                    out[lo + needed - 1:hi] = held = value
+                    waiting, count = None, 0
+                else:
+                    waiting, count = value, hold - needed + n
+            owner = owners[-1] if owners else owner
+            columns = [pa.array(out, f.type) if f.name == "held_stage" else batch.column(f.name) for f in batch.schema]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+    return run
 
 
 def timeline_summary(frame: DataFrame, threshold: float, n: int = S.ALERT_RUN,

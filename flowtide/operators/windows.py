@@ -34,7 +34,7 @@ class WindowSpec:
     """
     window_s: float = S.WINDOW_S
     min_flows: int = 20
-    max_hosts: int | None = 200
+    max_hosts: int | None = None
     hosts: Sequence[str] | DataFrame | None = field(default=None, compare=False)
     t0: float | Column | None = None
     densify: bool = True
@@ -46,7 +46,7 @@ class WindowSpec:
         return replace(self, **kw)
 
 
-LIVE = WindowSpec(min_flows=3, max_hosts=150)
+LIVE = WindowSpec(min_flows=3)
 
 
 @dataclass(frozen=True)
@@ -85,9 +85,9 @@ def appearances(flows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
             .groupBy(*keys, "host").agg(F.count("*").alias("appearances")))
 
 
-def select_hosts(flows: DataFrame, min_flows: int = 20, max_hosts: int | None = 200,
+def select_hosts(flows: DataFrame, min_flows: int = 20, max_hosts: int | None = None,
                  keys: Sequence[str] = ()) -> DataFrame:
-    """Busiest hosts by appearances as source or destination; ties fall to the lower name."""
+    """Hosts by appearances as source or destination; with `max_hosts` the busiest, ties falling to the lower name."""
     busy = appearances(flows, keys).filter(F.col("appearances") >= min_flows)
     if max_hosts is None:
         return busy

@@ -198,35 +198,67 @@ _OUT = ("ts_start double, ts_end double, src_ip string, dst_ip string, sport lon
 _OUT_NAMES = [f.strip().split()[0] for f in _OUT.split(",")]
 
 
-def _closed(f: dict) -> tuple:
-    return (f["first"] / 1e6, f["last"] / 1e6, f["src"], f["dst"], f["sport"], f["dport"], f["proto"],
-            float(f["fp"]), float(f["bp"]), float(f["fb"]), float(f["bb"]), f["syn"], f["rst"], f["fin"],
-            f["ttl"] / f["ttl_n"] if f["ttl_n"] else None, f["win"] / f["win_n"] if f["win_n"] else None,
-            float(f["rt"]) if f["proto"] == "tcp" else None, "")
-
-
-def _opened(p) -> dict:
-    return dict(first=p.us, last=p.us, src=p.src, dst=p.dst, sport=p.sport, dport=p.dport, proto=p.proto, fp=0, bp=0,
-                fb=0, bb=0, syn=0, rst=0, fin=0, ttl=0.0, ttl_n=0, win=0.0, win_n=0, rt=0, seen=set())
-
-
-def _count(f: dict, p) -> None:
-    fwd = (p.src, p.sport) == (f["src"], f["sport"])
-    f["last"] = max(f["last"], p.us)
-    f["fp" if fwd else "bp"] += 1
-    f["fb" if fwd else "bb"] += p.size
-    if fwd:
-        if p.ttl == p.ttl:
-            f["ttl"], f["ttl_n"] = f["ttl"] + p.ttl, f["ttl_n"] + 1
-        if p.win == p.win:
-            f["win"], f["win_n"] = f["win"] + p.win, f["win_n"] + 1
-    if p.proto == "tcp":
-        for name, mark in (("syn", "S"), ("rst", "R"), ("fin", "F")):
-            f[name] |= int(mark in (p.flags or ""))
-        if p.plen > 0 and p.seq >= 0:
-            token = f"{int(fwd)}:{p.seq}"
-            f["rt"] += token in f["seen"]
-            f["seen"].add(token)
+_SUMS = ["fp", "bp", "fb", "bb", "ttl", "ttl_n", "win", "win_n", "rt"]
+
+
+def _cut(t: np.ndarray, idle_us: int, active_us: int, first: int | None, last: int | None) -> np.ndarray:
+    """Number of the flow of each ordered time; flow 0 goes on from the open one, if there is one."""
+    pauses = np.flatnonzero(np.diff(t) > idle_us) + 1
+    out, number, at = np.zeros(len(t), np.int64), 0, 0
+    begin = t[0] if first is None else first
+    if first is not None and (t[0] - last > idle_us or t[0] - first > active_us):
+        number, begin = 1, t[0]
+    while at < len(t):
+        pause = np.searchsorted(pauses, at, side="right")
+        silent = pauses[pause] if pause < len(pauses) else len(t)
+        stop = min(int(silent), int(np.searchsorted(t, begin + active_us, side="right")))
+        out[at:stop] = number
+        at, number = stop, number + 1
+        begin = t[at] if at < len(t) else begin
+    return out
+
+
+def _partial(rows: pd.DataFrame, number: np.ndarray, held: pd.Series | None) -> pd.DataFrame:
+    """State columns of each numbered flow: sums over its packets, and over what the open flow had before."""
+    g = rows.reset_index(drop=True).assign(n=number)
+    head = g.groupby("n")[["us", "src", "dst", "sport", "dport", "proto"]].first().rename(columns={"us": "first"})
+    if held is not None:
+        kept = held[["first", "src", "dst", "sport", "dport", "proto"]]
+        head = pd.concat([pd.DataFrame([kept.tolist()], columns=kept.index, index=[0]), head[head.index > 0]])
+    lead = head.reindex(g["n"])
+    fwd = (g["src"].to_numpy() == lead["src"].to_numpy()) & (g["sport"].to_numpy() == lead["sport"].to_numpy())
+    tcp = (g["proto"] == "tcp").to_numpy()
+    flags = g["flags"].fillna("")
+    ttl, win = g["ttl"].where(fwd), g["win"].where(fwd)
+    each = pd.DataFrame({
+        "n": number, "last": g["us"], "fp": fwd * 1, "bp": ~fwd * 1, "fb": g["size"] * fwd, "bb": g["size"] * ~fwd,
+        **{name: (tcp & flags.str.contains(mark)).astype(int) for name, mark in (("syn", "S"), ("rst", "R"), ("fin", "F"))},
+        "ttl": ttl.fillna(0.0), "ttl_n": ttl.notna() * 1, "win": win.fillna(0.0), "win_n": win.notna() * 1})
+    data = tcp & (g["plen"] > 0).to_numpy() & (g["seq"] >= 0).to_numpy()
+    token = pd.DataFrame({"n": number, "token": np.where(fwd, "1:", "0:") + g["seq"].astype(str)})[data]
+    before = pd.DataFrame({"n": 0, "token": list(held["seen"]) if held is not None else []})
+    tokens = pd.concat([before, token])
+    again = tokens.duplicated().to_numpy()
+    each["rt"] = 0
+    each.loc[token.index, "rt"] = again[len(before):] * 1
+    sums = each.groupby("n").agg({"last": "max", "syn": "max", "rst": "max", "fin": "max"} | {c: "sum" for c in _SUMS})
+    if held is not None:
+        was = pd.DataFrame([held[sums.columns.tolist()].tolist()], columns=sums.columns, index=[0])
+        both = pd.concat([was, sums])
+        sums = both.groupby(level=0).agg({"last": "max", "syn": "max", "rst": "max", "fin": "max"} | {c: "sum" for c in _SUMS})
+    seen = tokens[~again].groupby("n")["token"].agg(list).reindex(sums.index)
+    return head.join(sums).assign(seen=[v if isinstance(v, list) else [] for v in seen])
+
+
+def _flow_rows(f: pd.DataFrame) -> pd.DataFrame:
+    """Finished flows of state columns, in the columns of the output."""
+    mean = lambda total, n: (f[total] / f[n].where(f[n] > 0)).astype(float)
+    return pd.DataFrame({
+        "ts_start": f["first"] / 1e6, "ts_end": f["last"] / 1e6, "src_ip": f["src"], "dst_ip": f["dst"], "sport": f["sport"],
+        "dport": f["dport"], "proto": f["proto"], "fwd_pkts": f["fp"].astype(float), "bwd_pkts": f["bp"].astype(float),
+        "fwd_bytes": f["fb"].astype(float), "bwd_bytes": f["bb"].astype(float), "syn": f["syn"], "rst": f["rst"], "fin": f["fin"],
+        "ttl": mean("ttl", "ttl_n"), "tcp_win": mean("win", "win_n"),
+        "retrans": f["rt"].astype(float).where(f["proto"] == "tcp"), "label": ""})[_OUT_NAMES]
 
 
 def stream_flows(packets: DataFrame, idle_s: float = S.FLOW_IDLE_S, active_s: float = S.FLOW_ACTIVE_S,
@@ -245,30 +277,22 @@ def stream_flows(packets: DataFrame, idle_s: float = S.FLOW_IDLE_S, active_s: fl
         F.timestamp_micros("us").alias("event_time")).withWatermark("event_time", delay)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, flow = [], None
-        if state.exists:
-            flow = dict(zip(names, state.get))
-            flow["seen"] = set(flow["seen"])
+        held = pd.Series(list(state.get), index=names, dtype=object) if state.exists else None
         if state.hasTimedOut:
-            done.append(_closed(flow))
             state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["us", "_tie"])
-            for pkt in rows.itertuples(index=False):
-                if flow and (pkt.us - flow["last"] > idle_us or pkt.us - flow["first"] > active_us):
-                    done.append(_closed(flow))
-                    flow = None
-                flow = flow or _opened(pkt)
-                _count(flow, pkt)
-            if flush_active:
-                done.append(_closed(flow))
-                if state.exists:
-                    state.remove()
-            else:
-                flow["seen"] = sorted(flow["seen"])
-                state.update(tuple(flow[n] for n in names))
-                due = min(flow["last"] + idle_us, flow["first"] + active_us) // 1000 + 1
-                state.setTimeoutTimestamp(int(max(due, state.getCurrentWatermarkMs() + 1)))
-        yield pd.DataFrame(done, columns=_OUT_NAMES)
+            yield _flow_rows(held.to_frame().T.astype({c: float for c in _SUMS}))
+            return
+        rows = pd.concat(list(batches)).sort_values(["us", "_tie"])
+        ends = (None, None) if held is None else (held["first"], held["last"])
+        number = _cut(rows["us"].to_numpy(), idle_us, active_us, *ends)
+        found = _partial(rows, number, held).sort_index()
+        done, open_ = (found, None) if flush_active else (found.iloc[:-1], found.iloc[-1])
+        if open_ is not None:
+            state.update(tuple(v.item() if hasattr(v, "item") else v for v in open_[names]))
+            due = min(open_["last"] + idle_us, open_["first"] + active_us) // 1000 + 1
+            state.setTimeoutTimestamp(int(max(due, state.getCurrentWatermarkMs() + 1)))
+        elif state.exists:
+            state.remove()
+        yield _flow_rows(done)
 
     return p.groupBy("key").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

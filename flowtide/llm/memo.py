@@ -10,28 +10,23 @@ class Memo(dict):
     `compute` takes a list of keys and gives a value for each, so that many missing keys are computed by one call.
     """
 
-    def __init__(self, compute: Callable[[list], Iterable], limit: int = 250_000):
+    def __init__(self, compute: Callable[[list], Iterable], limit: int = 500_000):
         super().__init__()
-        self.compute, self.limit, self.old, self.missing = compute, limit, {}, set()
+        self.compute, self.limit, self.old = compute, limit, {}
 
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            self.missing.add(key)
-        else:
-            self[key] = value
-        return value
-
-    def gather(self, groups: list[list]) -> list[list]:
-        """The values of each group of keys; what is missing is computed at once and then known."""
+    def learn(self, keys: set) -> None:
+        """Have the values of these keys at hand; `compute` may add further keys."""
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        get = self.__getitem__
-        got = [list(map(get, g)) for g in groups]
-        if self.missing:
-            new = list(self.missing)
-            self.missing = set()
+        keys = keys.difference(self)
+        known = keys.intersection(self.old)
+        self.update(zip(known, map(self.old.__getitem__, known)))
+        new = list(keys.difference(known))
+        if new:
             self.update(zip(new, self.compute(new)))
-            got = [list(map(get, g)) if None in v else v for g, v in zip(groups, got)]
-        return got
+
+    def gather(self, groups: list[list]) -> list[list]:
+        """The values of each group of keys."""
+        self.learn(set().union(*groups))
+        return [list(map(self.__getitem__, g)) for g in groups]

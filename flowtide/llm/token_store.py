@@ -100,11 +100,11 @@ class Encoder:
     """Ids of texts by a file of the tokenizers library, with a memory of what recurs.
 
     Texts are cut at ASCII white space, which no pre-token holds, and the ids of a word are remembered. A new word of
-    plain characters is cut into pre-tokens, whose ids are remembered too, so that the library encodes each once; a
-    word with any other character, or with the opening of a special token, goes to the whole tokenizer as it stands.
+    plain characters is cut into pre-tokens, which are remembered too, so that the library encodes each once; a word
+    with any other character, or with the opening of a special token, goes to the whole tokenizer as it stands.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         from flowtide.llm.memo import Memo
@@ -116,13 +116,19 @@ class Encoder:
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.array([(self.whole.id_to_token(i) or "").endswith("</w>")
                               for i in range(self.whole.get_vocab_size())])
-        self.words, self.pre = Memo(self._words, limit), Memo(self._pre, limit)
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        cut = [_PRE.findall(w) if w[0] != "\0" else None for w in words]
-        self.pre.gather([c for c in cut if c])
-        other = iter(self._other([w[1:] for w, c in zip(words, cut) if c is None]))
-        return [next(other) if c is None else b"".join(map(self.pre.__getitem__, c)) for c in cut]
+        self.memo = Memo(self._new, limit)
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        """Ids of words and pre-tokens; a word of letters is a pre-token itself."""
+        cut = [None if w.isalpha() or w[0] == "\0" else _PRE.findall(w) for w in words]
+        parts = set().union(*filter(None, cut)).difference(self.memo)
+        single = list(parts.union([w for w, c in zip(words, cut) if c is None and w[0] != "\0"]))
+        ids = dict(zip(single, self._pre(single)))
+        self.memo.update((p, ids[p]) for p in parts)
+        other = iter(self._other([w[1:] for w in words if w[0] == "\0"]))
+        get = self.memo.__getitem__
+        return [ids[w] if c is None and w[0] != "\0" else next(other) if c is None else b"".join(map(get, c))
+                for w, c in zip(words, cut)]
 
     def _pre(self, tokens: list[str]) -> Iterator[bytes]:
         for at in range(0, len(tokens), 500):
@@ -145,7 +151,7 @@ class Encoder:
         cut = [t.lower().split() if "<|" not in t and _PLAIN.fullmatch(t) else
                [w.lower() if "<|" not in w and _PLAIN.fullmatch(w) else "\0" + w for w in _SPACES.findall(t)]
                for t in texts]
-        return [b"".join(g) for g in self.words.gather(cut)]
+        return [b"".join(g) for g in self.memo.gather(cut)]
 
 
 def _encoder(path: str) -> Encoder:
@@ -183,9 +189,9 @@ def _segments(tokenizer: str, end_id: int, bits: int, block: int, segment: int):
 
         for batch in batches:
             column = batch.column("text")
-            for at in range(0, batch.num_rows, 256):
-                texts = column.slice(at, 256).to_pylist()
-                for doc, packed in zip(batch.column("doc_id").slice(at, 256).to_pylist(), encoder.encode(texts)):
+            for at in range(0, batch.num_rows, 512):
+                texts = column.slice(at, 512).to_pylist()
+                for doc, packed in zip(batch.column("doc_id").slice(at, 512).to_pylist(), encoder.encode(texts)):
                     ids.append(doc)
                     lengths.append(len(packed) // 4 + 1)
                     parts.append(packed + end)

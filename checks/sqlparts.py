@@ -4,9 +4,15 @@ from __future__ import annotations
 import re
 
 from flowtide import schema as S
-from flowtide.functions.stages import BENIGN_LABELS, FALLBACK_STAGE, LABEL_RULES
 
 W = 3600
+#: The label rules in their order, stated here again so that the oracle does not share them.
+BENIGN = ["benign", "normal", "background", "0", ""]
+RULES = {1: ["portscan", "reconnaissance", "analysis", "recon-", "vulnerabilityscan", "scan"], 5: ["heartbleed", "exfil"],
+         3: ["infilt", "worm"], 4: ["botnet", "bot", "backdoor", "mirai"], 6: ["ddos", "dos"],
+         2: ["patator", "brute", "web attack", "sql", "xss", "injection", "exploit", "shellcode", "fuzzer", "generic", "spoof",
+             "mitm", "hijack", "upload"]}
+OTHER = 2
 PARTS: dict[str, str] = {}
 
 
@@ -40,10 +46,10 @@ def rcols(cols, digits: int = 6, prefix: str = "") -> str:
 
 def stage_case(col: str) -> str:
     s = f"lower(trim(coalesce({col}, '')))"
-    benign = ", ".join(f"'{b}'" for b in BENIGN_LABELS)
-    rules = " ".join(f"WHEN contains({s}, '{m}') THEN {k}" for m, k in LABEL_RULES)
+    benign = ", ".join(f"'{b}'" for b in BENIGN)
+    rules = " ".join(f"WHEN contains({s}, '{m}') THEN {k}" for k, marks in RULES.items() for m in marks)
     return (f"CASE WHEN (CASE WHEN starts_with({s}, 'flow=') THEN NOT contains({s}, 'botnet') "
-            f"ELSE {s} IN ({benign}) END) THEN 0 {rules} ELSE {FALLBACK_STAGE} END")
+            f"ELSE {s} IN ({benign}) END) THEN 0 {rules} ELSE {OTHER} END")
 
 
 part("q_flows", f"""

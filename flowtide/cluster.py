@@ -1,4 +1,4 @@
-"""Session defaults, reliable materialisation and size-checked broadcasts."""
+"""Session defaults and reliable materialisation."""
 from __future__ import annotations
 
 import tempfile
@@ -6,8 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-SMALL_ROWS = 100_000
-
 
 def session(app: str = "flowtide", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the plans are written for; `conf` overrides."""
@@ -51,21 +49,3 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/flowtide-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast `df` when it is checked to hold at most `max_rows` rows.
-
-    The check reads at most `max_rows + 1` rows to the driver and keeps them as the
-    broadcast side; a larger table is returned unchanged and joins by shuffle.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
-def settled(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Compute `df` now, once: as a broadcast side when it is small, else as a stored table."""
-    side = small_side(df, max_rows)
-    return materialise(df) if side is df else side

@@ -67,13 +67,25 @@ def clock24_epoch(c: Column) -> Column:
                   .cast("double"))
 
 
+#: Date-times that are not ISO-like, after "/" and "," are "-" and nothing; the first form that fits holds, so a month
+#: stands before a day wherever it can.
+_FORMS = ("M-d-yyyy H:mm[:ss][.SSSSSS]", "M-d-yyyy h:mm[:ss][.SSSSSS] a", "d-M-yyyy H:mm[:ss][.SSSSSS]", "yyyy-M-d h:mm[:ss][.SSSSSS] a",
+          "MMM d yyyy H:mm[:ss]", "MMM d yyyy h:mm[:ss] a", "d MMM yyyy H:mm[:ss]", "d-MMM-yyyy H:mm[:ss]")
+
+
 def calendar_epoch(c: Column) -> Column:
-    """ISO-like date-times; a zone offset is honoured, a bare time counts as UTC."""
+    """Date-times in mixed forms: ISO-like, month-first, by month name, with or without AM/PM; a zone offset is
+    honoured, a bare time counts as UTC."""
     s = F.regexp_replace(text(c), "/", "-")
     naive = s.try_cast("timestamp_ntz")
     zoned = F.when(s.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & s.contains(":"), s.try_cast("timestamp"))
     micros = F.coalesce(F.unix_micros(zoned), ntz_micros(naive))
-    return micros / F.lit(1e6)
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, ",", ""), r"([A-Za-z]{3})[a-z]+(?=[ -])", "$1"),
+                         r"\s*([AaPp])\.?[Mm]\.?$", " $1M")
+    t = F.regexp_replace(t, r"\s+", " ")
+    # read in the session's zone and taken back out of it, which leaves the bare time
+    forms = [ntz_micros(F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz")) for f in _FORMS]
+    return F.coalesce(micros, *forms) / F.lit(1e6)
 
 
 def ntz_micros(c: Column) -> Column:

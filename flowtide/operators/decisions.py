@@ -445,7 +445,3 @@ def decision_rows(decisions: DataFrame, n: int = 8) -> DataFrame:
         "not enforced")
     return decisions.orderBy(F.desc("at"), "host").limit(n).select(
         F.upper("choice").alias("choice"), "host", "action_label", state.alias("state"), "message")
-
-
-def stage_label(stage: Column) -> Column:
-    return stage_name(stage)

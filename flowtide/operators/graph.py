@@ -34,11 +34,6 @@ def top_pairs(flows: DataFrame, n: int = 70) -> DataFrame:
             .orderBy(F.desc("flows"), "src_ip", "dst_ip").limit(n))
 
 
-def subnets(hosts: DataFrame) -> DataFrame:
-    """Distinct /24 networks of a host list."""
-    return hosts.select(subnet24(F.col("host")).alias("subnet")).distinct()
-
-
 def neighbor_aggregate(frame: DataFrame, edges: DataFrame, features: Sequence[str],
                        keys: Sequence[str] = ()) -> DataFrame:
     """Mean and max of the neighbours' features and log1p(degree) for every frame row.
@@ -176,10 +171,11 @@ def topology_nodes(frame: DataFrame, roles: DataFrame, risk: DataFrame, window:
               .filter((F.col("flows_total") > 0) | F.col("_role").isNotNull()))
     # role hosts always stay; they also use up places
     n_roles = acting.agg(F.count("*")).scalar()
-    rank = F.row_number().over(Window.partitionBy("_free").orderBy(F.desc("flows_total"), "host"))
-    kept = (ranked.withColumn("_free", F.col("_role").isNull())
-            .withColumn("_r", F.when(F.col("_free"), rank).otherwise(F.lit(0)))
-            .filter(~F.col("_free") | (F.col("_r") <= F.lit(max_nodes) - n_roles)))
+    # at most max_nodes others are ever shown: those few are numbered, not all hosts
+    few = ranked.filter(F.col("_role").isNull()).orderBy(F.desc("flows_total"), "host").limit(max_nodes)
+    rank = F.row_number().over(Window.orderBy(F.desc("flows_total"), "host"))
+    kept = ranked.filter(F.col("_role").isNotNull()).unionByName(
+        few.withColumn("_r", rank).filter(F.col("_r") <= F.lit(max_nodes) - n_roles).drop("_r"))
     r = F.coalesce("risk", F.lit(0.0))
     stage = F.when(F.col("stage_probs").isNotNull(), map_stage(r, F.col("stage_probs"), threshold)).otherwise(0)
     role = F.when(F.col("host").isin(list(mitigated)), "mitigated") if mitigated else F.lit(None).cast("string")

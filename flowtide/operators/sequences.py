@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtide import schema as S
-from flowtide.cluster import small_side
 from flowtide.operators.windows import fill_gaps
 
 KEYS = ("dataset", "capture")
@@ -30,7 +29,7 @@ def capture_numbers(frame: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def with_blocks(frame: DataFrame, keys: Sequence[str] = KEYS,
                 block: int = S.BLOCK_WINDOWS) -> DataFrame:
     """Add the time block of each row and the split that block belongs to."""
-    f = frame.join(small_side(capture_numbers(frame, keys)), list(keys))
+    f = frame.join(capture_numbers(frame, keys), list(keys))
     number = F.floor((F.col("window") - F.col("first_window")) / block)
     cycle = F.array(*[F.lit(s) for s in S.SPLIT_CYCLE])
     turn = F.element_at(cycle, ((number + F.col("capture_no")) % len(S.SPLIT_CYCLE) + 1).cast("int"))
@@ -96,7 +95,7 @@ def group_weights(seqs: DataFrame, by: Sequence[str] = ("dataset", "touches")) -
     """Weight 1/size of the (dataset, attack) group, normalised to sum to one."""
     sizes = seqs.groupBy(*by).agg(F.count("*").alias("_n"))
     groups = sizes.agg(F.count("*")).scalar()
-    return (seqs.join(small_side(sizes), list(by))
+    return (seqs.join(sizes, list(by))
             .withColumn("weight", 1 / F.col("_n") / groups).drop("_n"))
 
 
@@ -151,7 +150,7 @@ def align_steps(frame: DataFrame, idle: dict[str, str], keys: Sequence[str] = ()
     keys = list(keys)
     span = frame.groupBy(*keys).agg(F.min("window").alias("_lo"), F.max("window").alias("_hi"))
     if keys:
-        f = frame.join(small_side(span), keys)
+        f = frame.join(span, keys)
     else:
         f = frame.withColumns({"_lo": span.select("_lo").scalar(), "_hi": span.select("_hi").scalar()})
     f = f.withColumns({"_first": F.col("_lo"), "present": F.lit(True)})

@@ -16,8 +16,9 @@ def capture_summary(flows: DataFrame, frame: DataFrame, keys: Sequence[str]) ->
     Hosts are counted from (capture, host) cells, so one big capture is not one task.
     """
     keys = list(keys)
-    f = flows.groupBy(*keys).agg(
-        F.count("*").alias("flows"), F.count_if(label_to_stage(F.col("label")) > 0).alias("attack_flows"))
+    per_label = flows.groupBy(*keys, "label").agg(F.count("*").alias("n"))
+    attack = F.when(label_to_stage(F.col("label")) > 0, F.col("n")).otherwise(0)
+    f = per_label.groupBy(*keys).agg(F.sum("n").alias("flows"), F.sum(attack).alias("attack_flows"))
     cells = frame.groupBy(*keys, "host").agg(
         F.count("*").alias("n"), F.count_if(F.col("stage") > 0).alias("a"))
     w = cells.groupBy(*keys).agg(F.count("*").alias("hosts"), F.sum("n").alias("windows"),

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtide import schema as S
-from flowtide.cluster import settled
+from flowtide.cluster import materialise
 from flowtide.functions.stages import is_benign, label_to_stage
 
 
@@ -103,9 +103,9 @@ def _chosen_hosts(flows: DataFrame, spec: WindowSpec) -> DataFrame:
     if isinstance(spec.hosts, _Settled):
         return spec.hosts.side
     if isinstance(spec.hosts, DataFrame):
-        return settled(spec.hosts.select(*spec.keys, "host"))
+        return materialise(spec.hosts.select(*spec.keys, "host"))
     chosen = select_hosts(flows, spec.min_flows, spec.max_hosts, spec.keys)
-    return settled(chosen.select(*spec.keys, "host"))
+    return materialise(chosen.select(*spec.keys, "host"))
 
 
 def _mark_selected(w: DataFrame, spec: WindowSpec) -> tuple[DataFrame, bool]:

@@ -8,11 +8,11 @@ uses, whether times are numeric) are taken per file over all its rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowtide import schema as S
-from flowtide.cluster import small_side
 from flowtide.functions import parsing as P
 
 
@@ -108,7 +108,7 @@ def _read_csv(spark: SparkSession, path, header: bool, columns: Sequence[str] |
 def _per_file(df: DataFrame, facts: dict[str, Column]) -> DataFrame:
     """Attach aggregates of each row's file."""
     per = df.groupBy("capture").agg(*[c.alias(n) for n, c in facts.items()])
-    return df.join(small_side(per), "capture")
+    return df.join(per, "capture")
 
 
 def _epoch_by_file(df: DataFrame, raw: str, calendar: Callable[[Column], Column] = P.calendar_epoch) -> DataFrame:
@@ -216,6 +216,7 @@ def register_format(name: str, detect: Callable[[str, list[str]], bool],
     _FORMATS.insert(0 if first else len(_FORMATS), (name, detect, to_flows))
 
 
+#: Column names that tell the format.
 _CIC_MARKS = {"source ip", "src ip", "src_ip", "flow duration", "flow_duration", "dst port", "destination port"}
 
 register_format("argus", lambda p, c: str(p).endswith(".binetflow") or {"starttime", "srcaddr", "dstaddr"} <= set(c),
@@ -226,18 +227,41 @@ register_format("unsw", lambda p, c: len(c) == len(UNSW_COLUMNS) and not {"srcip
 register_format("cic", lambda p, c: bool(_CIC_MARKS & set(c)), load_cic)
 
 
-def detect_format(spark: SparkSession, path) -> str:
-    """Name of the first registered format that accepts the path and its first line."""
-    head = spark.read.text(path).limit(1).collect()
-    line = (head[0][0] if head else "").replace("﻿", "")
+def _format_of(path, line: str) -> str:
+    line = line.replace("\ufeff", "")
     cells = [c.strip().lower() for c in line.split(",")]
     for name, detect, _ in _FORMATS:
         if detect(path, cells):
             return name
-    raise UnsupportedFormat(f"unrecognised flow file header: {line[:120]!r}")
+    raise UnsupportedFormat(f"{path}: no registered format has the first line {line[:120]!r}")
+
+
+def detect_format(spark: SparkSession, path) -> str:
+    """Name of the first registered format that accepts the path and its first line."""
+    head = spark.read.text(path).limit(1).collect()
+    return _format_of(path, head[0][0] if head else "")
 
 
 def load_flows(spark: SparkSession, path) -> tuple[DataFrame, str]:
-    """Flows of a path in any registered format, and the format's name."""
-    name = detect_format(spark, path)
-    return next(load for n, _, load in _FORMATS if n == name)(spark, path), name
+    """Flows of a path in any registered formats, and the format's name ("mixed" for several).
+
+    Every file of a folder is judged by its own first line; files of one format and header are read together.
+    """
+    files = spark.read.text(path).inputFiles()
+    if len(files) < 2:
+        name = detect_format(spark, path)
+        return _loader(name)(spark, path), name
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                                         F.monotonically_increasing_id().alias("n"), "value").filter("at = 0")
+    heads = lines.groupBy("file").agg(F.min_by("value", "n").alias("head")).collect()      # a row a file
+    groups: dict[tuple[str, str], list[str]] = {}
+    for r in heads:
+        name = _format_of(r["file"], r["head"])
+        groups.setdefault((name, r["head"] if name != "unsw" else ""), []).append(r["file"])
+    parts = [_loader(name)(spark, sorted(paths)) for (name, _), paths in sorted(groups.items())]
+    names = {name for name, _ in groups}
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), names.pop() if len(names) == 1 else "mixed"
+
+
+def _loader(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return next(load for n, _, load in _FORMATS if n == name)

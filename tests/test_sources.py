@@ -104,3 +104,30 @@ def test_dataset_store_and_schedule(spark, tmp_path):
     p = tmp_path / "s.jsonl"
     p.write_text('{"label":"A","attacker":"x","targets":[],"start":1,"end":2}\n\n{"label":"B","attacker":"x","targets":["y"],"start":1,"end":2}\n')
     assert [(r["entry_no"], r["label"]) for r in datasets.load_schedule(spark, str(p)).orderBy("entry_no").collect()] == [(1, "A"), (2, "B")]
+
+
+def test_calendar_forms(spark):
+    base = 1499247000.0                                  # 2017-07-05 09:30:00 UTC
+    want = {"2017-07-05 09:30:00": base, "7/5/2017 9:30:00 AM": base, "7/5/2017 9:30 PM": base + 12 * 3600, "7/5/2017 9:30": base,
+            "2017-07-05 09:30:00 AM": base, "2017/07/05 09:30:00.250000": base + 0.25, "Jul 5, 2017 09:30": base,
+            "July 5 2017 9:30:05 pm": base + 12 * 3600 + 5, "5 Jul 2017 09:30:00": base, "05-Jul-2017 09:30": base,
+            "2017-07-05T09:30:00Z": base, "2017-07-05 11:30:00+02:00": base, "7/5/2017 12:00 AM": base - 9.5 * 3600,
+            "25/7/2017 09:30": base + 20 * 86400, "Xyz 5, 2017 09:30": None, "13/13/2017 9:30": None, "": None, "7/5/2017 25:00": None}
+    df = spark.createDataFrame(list(want.items()), "t string, want double")
+    for r in df.withColumn("got", P.calendar_epoch(F.col("t"))).collect():
+        assert r["got"] == pytest.approx(r["want"]) if r["want"] is not None else r["got"] is None, r["t"]
+
+
+def test_folder_of_several_formats(spark, tmp_path):
+    cic(tmp_path)
+    head = HEAD.split(",")
+    (tmp_path / "other.csv").write_text(",".join(head[::-1]) + "\nBENIGN,8192,0,1,0,80,120,2,3,1000,5/7/2017 9:30,6,80,10.0.0.2,7,10.0.0.1\n")
+    (tmp_path / "x.binetflow").write_text(
+        "StartTime,Dur,Proto,SrcAddr,Sport,Dir,DstAddr,Dport,State,sTos,dTos,TotPkts,TotBytes,SrcBytes,Label\n"
+        "2011/08/18 09:56:29.146156,1.5,tcp,1.1.1.1,0x0303,->,2.2.2.2,80,FSPA_SRA,0,0,10,1000,250,flow=From-Botnet-V1\n")
+    f, name = load_flows(spark, str(tmp_path))
+    assert name == "mixed" and f.count() == 62
+    assert {(r["capture"], r["n"]) for r in f.groupBy("capture").agg(F.count("*").alias("n")).collect()} == {
+        ("cic", 60), ("other", 1), ("x", 1)}
+    one = f.filter("capture = 'other'").first()
+    assert (one["src_ip"], one["dst_ip"], one["dport"], one["fwd_bytes"]) == ("10.0.0.1", "10.0.0.2", 80, 120.0)

@@ -1,4 +1,96 @@
-"""DuckDB SQL for the rows of the training-data queries that SQL can express."""
+"""DuckDB SQL for the rows of the training-data queries that SQL can express.
+
+Not expressed: token ids and counts of the tokenizers' files, fingerprints, trained models, and the raked mixture; their
+tests compare with the libraries, exact sets, held-out labels and the targets.
+"""
 from __future__ import annotations
 
+from flowtide.llm.secrets import BASE, FURTHER
+
 ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: The patterns in the form of the other engine, whose (?i) also folds letters beyond ASCII.
+_KINDS = [
+    ("assign", "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"
+               "[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]
+_KINDS += [(r.kind, r.pattern, r.group, r.least) for r in FURTHER]
+assert [k[0] for k in _KINDS] == [r.kind for r in BASE + FURTHER]
+
+
+def _found(kind: str, pattern: str, group: int, least: int, rank: int) -> str:
+    return f"""
+SELECT doc_id, '{kind}' AS kind, {rank} AS rk, i, length(gaps[i]) AS gap, length(hits[i]) AS size, length(parts[i]) >= {least} AS counts
+FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+  SELECT doc_id, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', 0) AS hits,
+    regexp_extract_all(t, '{pattern}', {group}) AS parts FROM d WHERE regexp_matches(t, '{pattern}')))"""
+
+
+def _joined(where: str) -> str:
+    return (f"coalesce(string_agg(kind || ':' || CAST(stop - size AS VARCHAR) || ':' || CAST(stop AS VARCHAR), ',' "
+            f"ORDER BY stop - size, rk) FILTER ({where}), '')")
+
+
+ORACLES["op1_secret_scan"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_found(*k, rank) for rank, k in enumerate(_KINDS))}),
+s AS (SELECT *, sum(gap + size) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM f)
+SELECT d.doc_id, sha256(any_value(d.t)) AS blob, count(*) FILTER (kind = 'assign') AS n_assign,
+  count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256({_joined("kind IN ('assign', 'access', 'hex')")}) AS base_sha256, {_joined("kind IS NOT NULL")} AS spans
+FROM d LEFT JOIN (SELECT * FROM s WHERE counts) s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+_CRC = [0]
+for _n in range(1, 16):         # the checksum's table for four bits at a time, by its rule
+    _c = _n
+    for _ in range(4):
+        _c = (_c >> 1) ^ (0xEDB88320 if _c & 1 else 0)
+    _CRC.append(_c)
+
+#: Hexadecimal digits, the low one of each byte first, are folded into the checksum.
+_CRC32 = f"""xor(list_reduce(list_transform(string_split(regexp_replace(hex(encode(t)), '(.)(.)', '\\2\\1', 'g'), ''),
+    lambda h: CAST(strpos('0123456789ABCDEF', h) - 1 AS BIGINT)),
+  lambda a, x: xor((({_CRC})::BIGINT[])[(xor(a, x) & 15) + 1], a >> 4), 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+ORACLES["op4_byte_shards"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size, CASE WHEN t = '' THEN 0 ELSE {_CRC32} END AS text_crc32 FROM d),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, size, text_crc32) - size AS before, sum(size) OVER () AS total,
+  row_number() OVER (ORDER BY doc_id, size, text_crc32) AS rn FROM s),
+c AS (SELECT *, CAST(least(15, (2 * before + size) * 16 // (2 * total)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(rn - min(rn) OVER (PARTITION BY shard) AS BIGINT) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard FROM c
+"""
+
+ORACLES["op9_near_duplicates"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM
+  (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+e AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.b AS component_id, d.doc_id = m.b AS kept
+FROM documents d JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLES["op10_decontamination"] = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g FROM
+  (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+v AS (SELECT doc_id, p, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM
+  (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM w, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)),
+h AS (SELECT doc_id, p, v.k, item_id FROM v JOIN i ON i.k = v.k AND i.g = v.g),
+a AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM h) GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS items_sha256 FROM
+  (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY doc_id)
+SELECT w.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN a ON a.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
+"""

@@ -659,21 +659,27 @@ def flow_assembly(spark, sf):
 def live_tick(spark, sf):
     """Host features of the live buffer at a moment inside the recording."""
     t = LV.tick(flows(spark, sf), _live_now(spark, sf), 3600.0)
-    return rounded(t.frame.select("host", "segment", "window", *FEW, "stage"))
+    return rounded(t.frame.select("host", "segment", "window", *S.FEATURES, "stage"))
 
 
 @register
 def stream_windows(spark, sf):
-    """The events table read as a stream through sliding host windows into memory."""
+    """The events table read as a stream through sliding host windows; each window is appended to a table when the
+    watermark has passed its end, and its state goes."""
     import uuid
 
+    from flowtide.cluster import shared_dir
+
     src = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).option(
         "pathGlobFilter", "events.parquet").parquet(sf)
-    name = "stream_windows_" + uuid.uuid4().hex
+    folder = f"{shared_dir(spark)}/flowtide-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
     q = (LV.sliding_features(LV.with_event_time(flows_from_events(src), 3600), 3600, 1800)
-         .writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start())
+         .writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append")
+         .trigger(availableNow=True).start(f"{folder}/windows"))
     q.awaitTermination()
-    return spark.table(name).select("host", "window_start", "out_flows", "in_flows")
+    return rounded(spark.read.parquet(f"{folder}/windows").select(
+        "host", F.unix_timestamp("window_start").alias("window_start"), "out_flows", "out_pkts", "out_bytes", "out_failed_ratio",
+        "out_small_flow_ratio", "in_flows", "in_pkts", "in_bytes", "in_failed_ratio", "in_small_flow_ratio"))
 
 
 # ------------------------------------------------------------------ fitted models

@@ -439,3 +439,16 @@ FROM (SELECT DISTINCT host FROM q_f600) h CROSS JOIN (SELECT min(w) AS lo, max(w
 CROSS JOIN LATERAL (SELECT unnest(range(m.lo, m.hi + 1)) AS w) a
 LEFT JOIN q_g600 g ON g.host = h.host AND g.w = a.w LEFT JOIN q_f600 f ON f.host = h.host AND f."window" = a.w
 LEFT JOIN q_l600 l ON l.host = h.host AND l.w = a.w""")
+
+# windows of an hour every half hour, those that end before the watermark, twelve hours behind the last flow
+oracle("stream_windows", f"""
+SELECT host, CAST(s AS BIGINT) AS window_start, count(*) FILTER (side = 0) AS out_flows, {r('coalesce(sum(pkts) FILTER (side = 0), 0)')} AS out_pkts,
+  {r('coalesce(sum(bytes) FILTER (side = 0), 0)')} AS out_bytes, {r('coalesce(avg(failed) FILTER (side = 0), 0)')} AS out_failed_ratio,
+  {r('coalesce(avg(small) FILTER (side = 0), 0)')} AS out_small_flow_ratio, count(*) FILTER (side = 1) AS in_flows, {r('coalesce(sum(pkts) FILTER (side = 1), 0)')} AS in_pkts,
+  {r('coalesce(sum(bytes) FILTER (side = 1), 0)')} AS in_bytes, {r('coalesce(avg(failed) FILTER (side = 1), 0)')} AS in_failed_ratio,
+  {r('coalesce(avg(small) FILTER (side = 1), 0)')} AS in_small_flow_ratio
+FROM (SELECT *, unnest([floor(ts_end / 1800) * 1800, floor(ts_end / 1800) * 1800 - 1800]) AS s FROM
+  (SELECT src_ip AS host, 0 AS side, ts_end, pkts, bytes, failed, small FROM q_cut
+   UNION ALL SELECT dst_ip, 1, ts_end, pkts, bytes, failed, small FROM q_cut))
+WHERE s + 3600 <= (SELECT max(ts_end) FROM q_flows) - 43200 GROUP BY host, s
+""")

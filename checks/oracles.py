@@ -452,3 +452,26 @@ FROM (SELECT *, unnest([floor(ts_end / 1800) * 1800, floor(ts_end / 1800) * 1800
    UNION ALL SELECT dst_ip, 1, ts_end, pkts, bytes, failed, small FROM q_cut))
 WHERE s + 3600 <= (SELECT max(ts_end) FROM q_flows) - 43200 GROUP BY host, s
 """)
+
+# the readings of each host folded in order; an element carries what is held, what waits for a second reading, and the steps so far
+part("q_held", f"""
+SELECT host, unnest(out) AS x FROM (
+  SELECT host, list_reduce(list({{'held': mapped, 'waits': -1, 'step': CAST(step AS BIGINT), 'out': CAST([] AS STRUCT(step BIGINT, held INTEGER)[])}} ORDER BY step),
+    lambda a, r: CASE
+      WHEN r.held = a.held THEN {{'held': a.held, 'waits': -1, 'step': r.step, 'out': list_append(a.out, {{'step': r.step, 'held': a.held}})}}
+      WHEN r.held = 0 OR a.held = 0 THEN {{'held': r.held, 'waits': a.waits, 'step': r.step, 'out': list_append(a.out, {{'step': r.step, 'held': r.held}})}}
+      WHEN r.held = a.waits THEN {{'held': r.held, 'waits': -1, 'step': r.step, 'out': list_append(a.out, {{'step': r.step, 'held': r.held}})}}
+      ELSE {{'held': a.held, 'waits': r.held, 'step': r.step, 'out': list_append(a.out, {{'step': r.step, 'held': a.held}})}} END,
+    {{'held': 0, 'waits': -1, 'step': CAST(-1 AS BIGINT), 'out': CAST([] AS STRUCT(step BIGINT, held INTEGER)[])}}).out AS out
+  FROM q_fc GROUP BY host)
+""")
+_BEST = "list_position(f.kprobs[{k}][2:7], list_max(f.kprobs[{k}][2:7]))"
+oracle("stage_hysteresis", f"""
+SELECT f.host, CAST(f.step AS INTEGER) AS step, f.mapped AS raw_stage, h.x.held AS held_stage,
+  CAST(CASE WHEN f.stage = 0 THEN 0 ELSE {_BEST.format(k=1)} END AS INTEGER) AS stage_now
+FROM q_fc f JOIN q_held h ON h.host = f.host AND h.x.step = f.step""")
+_AHEAD = ", ".join(f"CASE WHEN f.future[{k}] < {THR} * 0.5 THEN 0 ELSE {_BEST.format(k=k)} END" for k in range(1, 6))
+oracle("kill_chain_progress", f"""
+SELECT host, reached, CAST(CASE WHEN ahead > reached THEN ahead ELSE -1 END AS INTEGER) AS forecast FROM (
+  SELECT f.host, max(greatest(f.stage, h.x.held)) AS reached, max(greatest({_AHEAD})) AS ahead
+  FROM q_fc f JOIN q_held h ON h.host = f.host AND h.x.step = f.step GROUP BY f.host)""")

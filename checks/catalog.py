@@ -560,6 +560,19 @@ def auto_contain(spark, sf):
         "host", "choice", "step", "action.kind", "action.label")
 
 
+@register
+def decide(spark, sf):
+    """Every third recommendation accepted, rejected, or changed to its last alternative; every ninth to one not offered."""
+    r = materialise(D.recommend(_context(spark, sf)))
+    n = F.pmod(F.xxhash64("host"), F.lit(9))
+    choice = F.when(n < 3, "accept").when(n < 6, "reject").otherwise("modify")
+    last = F.element_at("alternatives", -1)["id"]
+    picks = r.select("host", "step", choice.alias("choice"), F.when(n == 8, "no-such-option").when(n > 5, last).alias("option_id"))
+    d = D.decide(r, picks)
+    return no_nulls(d.select("host", "step", "choice", "option_id", "valid", F.col("action.kind").alias("kind"),
+                             F.col("counterfactual.kind").alias("turned_down")))
+
+
 @register
 def narration(spark, sf):
     c = D.recommend(_context(spark, sf))

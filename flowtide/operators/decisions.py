@@ -445,3 +445,22 @@ def decision_rows(decisions: DataFrame, n: int = 8) -> DataFrame:
         "not enforced")
     return decisions.orderBy(F.desc("at"), "host").limit(n).select(
         F.upper("choice").alias("choice"), "host", "action_label", state.alias("state"), "message")
+
+
+def decide(recommended: DataFrame, choices: DataFrame) -> DataFrame:
+    """Decision records of `choices` (host, step, choice, option_id) on recommendations.
+
+    accept takes the recommended action; modify takes the offered option named by option_id, and is refused when no
+    such option was offered; reject takes none, and keeps the recommended action as `counterfactual`, whose replay
+    shows what it would have changed. A choice without a recommendation, or of another word, is refused.
+    """
+    offered = F.concat(F.array("recommended"), "alternatives")
+    met = choices.join(recommended.select("host", "step", "recommended", offered.alias("_offered")), ["host", "step"], "left")
+    named = F.get(F.filter("_offered", lambda o: o["id"] == F.col("option_id")), F.lit(0))
+    known = F.col("recommended").isNotNull()
+    valid = (F.when(F.col("choice") == "accept", known).when(F.col("choice") == "modify", named.isNotNull())
+             .when(F.col("choice") == "reject", known).otherwise(False))
+    taken = F.when(F.col("choice") == "accept", F.col("recommended")).when(F.col("choice") == "modify", named)
+    return met.select(
+        "host", "step", "choice", "option_id", F.coalesce(valid, F.lit(False)).alias("valid"), taken.alias("action"),
+        F.when((F.col("choice") == "reject") & known, F.col("recommended")).alias("counterfactual"))

@@ -53,6 +53,11 @@ class Analysis:
                 .select("host", F.col("first_alert_step").alias("step")))
         return D.recommend(self.context(materialise(asks)))
 
+    def decide(self, choices: DataFrame) -> DataFrame:
+        """Records of (host, step, choice, option_id) rows on what is recommended there."""
+        asks = materialise(choices.select("host", "step").distinct())
+        return D.decide(D.recommend(self.context(asks)), choices)
+
     def campaigns(self, limit: int = 12) -> DataFrame:
         """One action per (alerting host, stage it reaches) for the first `limit` hosts."""
         top = (self.overview().filter("first_alert_step IS NOT NULL").orderBy(*A.overview_order()).limit(limit))
@@ -124,3 +129,11 @@ def outcomes(base: Analysis, branch: Analysis, host: str, step: int, attacker: s
                                base.window_s, int(first[2] - first[0])).select(F.lit(name).alias("branch"), "*"))
     return rows[0].unionByName(rows[1]).withColumns({
         "action_label": F.lit(action_label), "applied": F.lit(applied)})
+
+
+def without_decision(base: Analysis, record: dict) -> DataFrame | None:
+    """For a rejected recommendation, the risk with and without the action that was turned down; else None."""
+    turned_down = record.get("counterfactual")
+    if record["choice"] != "reject" or turned_down is None:
+        return None
+    return compare(base, replay(base, turned_down, record["step"]), record["step"])

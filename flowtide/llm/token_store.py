@@ -167,6 +167,21 @@ _STORE_ARROW = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("firs
                           ("data", pa.binary())])
 
 
+def _portions(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of rows that hold about `most` characters together, or of one longer row."""
+    docs, texts, held = [], [], 0
+    for batch in batches:
+        for doc, text in zip(batch.column("doc_id"), batch.column("text")):
+            docs.append(doc.as_py())
+            texts.append(text.as_py())
+            held += len(texts[-1])
+            if held >= most:
+                yield docs, texts
+                docs, texts, held = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 def _segments(tokenizer: str, end_id: int, bits: int, block: int, segment: int):
     end = np.array([end_id], "<u4").tobytes()
 
@@ -187,17 +202,14 @@ def _segments(tokenizer: str, end_id: int, bits: int, block: int, segment: int):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _STORE_ARROW)], schema=_STORE_ARROW)
 
-        for batch in batches:
-            column = batch.column("text")
-            for at in range(0, batch.num_rows, 512):
-                texts = column.slice(at, 512).to_pylist()
-                for doc, packed in zip(batch.column("doc_id").slice(at, 512).to_pylist(), encoder.encode(texts)):
-                    ids.append(doc)
-                    lengths.append(len(packed) // 4 + 1)
-                    parts.append(packed + end)
-                    held += lengths[-1]
-                    if held >= segment:
-                        yield flush()
+        for docs, texts in _portions(batches):
+            for doc, packed in zip(docs, encoder.encode(texts)):
+                ids.append(doc)
+                lengths.append(len(packed) // 4 + 1)
+                parts.append(packed + end)
+                held += lengths[-1]
+                if held >= segment:
+                    yield flush()
         if ids:
             yield flush()
 

@@ -98,7 +98,7 @@ def _keys(limit: int):
                     key = np.full(len(sig), k + 1, np.uint64)
                     for p in places:
                         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, p])
-                    out[:, k] = key
+                    out[:, k] = key & ~np.uint64(SYMBOLS - 1) | np.uint64(k)       # the low bits name the key's pattern
                 reps = np.repeat(np.asarray(part.column("rep"), np.int64), len(use))
                 yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1).view(np.int64)), pa.array(reps)],
                                                  names=["key", "rep"])
@@ -147,11 +147,28 @@ def _search(sig: np.ndarray, limit: int, confirm=None) -> tuple[list[int], list[
     return a, b
 
 
+def _first_key(limit: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The first pattern by which two signatures (rows of `one` and `two`) share a key.
+
+    Patterns are numbered by the symbol they leave out; a chunk with one differing symbol has the pattern of that
+    symbol, and one without has all of its patterns.
+    """
+    off = one != two
+    cuts = np.linspace(0, SYMBOLS, limit // 2 + 2).astype(int)[:-1]
+    wrong = np.add.reduceat(off, cuts, axis=1, dtype=np.int64)
+    chunk = (wrong <= 1).argmax(axis=1)
+    begin = cuts[chunk]
+    places = np.arange(SYMBOLS)
+    inside = off & (places >= begin[:, None]) & (places < np.append(cuts, SYMBOLS)[chunk + 1][:, None])
+    return np.where(inside.any(axis=1), inside.argmax(axis=1), begin)
+
+
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _meet(limit: int):
-    """Links within each task's classes by signature."""
+    """Links within each task's classes by signature. A link is left to the task of the first key that its two ends
+    share, where they are linked too, so a large group does not return a tree for each of its keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
         b: list[int] = []
@@ -161,8 +178,9 @@ def _meet(limit: int):
             reps = np.asarray(group.column("rep"), np.int64)
             sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(-1, SYMBOLS)
             x, y = _search(sig, limit)
-            a += reps[x].tolist()
-            b += reps[y].tolist()
+            own = _first_key(limit, sig[x], sig[y]) == group.column("key")[0].as_py() % SYMBOLS if x else []
+            a += reps[x][own].tolist()
+            b += reps[y][own].tolist()
             if len(a) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGE)
                 a, b = [], []

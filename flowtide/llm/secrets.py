@@ -6,8 +6,8 @@ that stands at a thousand paths or returns in a later snapshot is scanned once,
 blobs for that rule alone. Findings are then joined back to all paths.
 
 Defined results: a null text is an empty text; repeated rows and equal texts share one blob and each row gets the
-blob's findings; an empty table gives no rows; other columns of the versions are kept, and names that begin with
-`_s_` are reserved for the scan.
+blob's findings; an empty table gives no rows; other columns of the versions are kept, but for those named blob or
+findings, which the results replace.
 """
 from __future__ import annotations
 
@@ -130,7 +130,7 @@ def scan_versions(versions: DataFrame, ledger_path: str, rules: Sequence[Rule] =
            .select("blob", F.struct(F.col("f.start").alias("start"), _rank(F.col("f.kind"), rank).alias("rank"),
                                     F.col("f.kind").alias("kind"), F.col("f.end").alias("end")).alias("f"))
            .groupBy("blob").agg(F.array_sort(F.collect_list("f")).alias("findings")))
-    return (versions.withColumn("blob", blob_id(F.col(text))).drop(text).join(one, "blob", "left")
+    return (versions.drop("blob", "findings").withColumn("blob", blob_id(F.col(text))).drop(text).join(one, "blob", "left")
             .withColumn("findings", F.coalesce("findings", F.array().cast(one.schema["findings"].dataType))))
 
 

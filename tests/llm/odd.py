@@ -28,5 +28,5 @@ def documents(spark, rows=None, extra=True):
     df = spark.createDataFrame([(*r, len(r[1] or "")) for r in (TEXTS if rows is None else rows)],
                                "doc_id long, text string, lang string, source string, n_chars long")
     if extra:       # names that the operators use themselves
-        df = df.withColumns({c: F.lit("own") for c in ("blob", "key", "n", "id", "_b", "rep", "score", "dir", "shard", "size")})
+        df = df.withColumns({c: F.lit("own") for c in ("blob", "findings", "key", "n", "id", "_b", "rep", "score", "dir", "shard", "size")})
     return df

@@ -76,13 +76,13 @@ def test_ledger_is_incremental(spark, tmp_path):
 
 
 def test_secret_odd(spark, tmp_path):
-    got = rows(secrets.scan_versions(documents(spark).drop("blob"), str(tmp_path / "a")))
+    got = rows(secrets.scan_versions(documents(spark), str(tmp_path / "a")))
     assert len(got) == len(TEXTS)
     want = {(i, blob_text(t)): [(a, k, b) for a, _, k, b in base_spans(t)] for i, t, *_ in TEXTS}
     for r in got:
         spans = [(f["start"], f["kind"], f["end"]) for f in r["findings"]]
         assert spans in [v for (i, _), v in want.items() if i == r["doc_id"]]
-    assert rows(secrets.scan_versions(documents(spark, []).drop("blob"), str(tmp_path / "b"))) == []
+    assert rows(secrets.scan_versions(documents(spark, []), str(tmp_path / "b"))) == []
 
 
 def blob_text(t):
@@ -288,7 +288,8 @@ def test_licenses(spark):
         ("h.py", "This work is licensed under the GNU General Public License, version 2."), (None, "x"),
     ], "path string, text string")
     speaks = F.col("path").rlike(r"(^|/)LICENSE$")
-    got = sorted((r["path"], r["own_license"], r["license"], r["inherited_from"]) for r in rows(licenses.scan(files, speaks)))
+    clash = files.withColumns({c: F.lit("own") for c in ("license", "cosine", "own_license", "inherited_from", "dir", "_dir")})
+    got = sorted((r["path"], r["own_license"], r["license"], r["inherited_from"]) for r in rows(licenses.scan(clash, speaks)))
     assert got == sorted([
         ("", None, "MIT", ""), ("LICENSE", "MIT", "MIT", None), ("a/x.py", None, "MIT", ""), ("a/b/y.py", None, "Apache-2.0", "a/b"),
         ("a/b/LICENSE", "Apache-2.0", "Apache-2.0", None), ("a/b/c/z.py", None, "Apache-2.0", "a/b"),
@@ -446,6 +447,10 @@ def test_near_reach():
         for _ in range(300):
             off = set(rng.choice(64, limit, replace=False).tolist())
             assert any(not off & set(u) for u in use)
+            one = rng.integers(0, 9, (1, 64)).astype("<u2")
+            two = one.copy()
+            two[0, sorted(off)] += 1
+            assert near_dup._first_key(limit, one, two)[0] == next(k for k, u in enumerate(use) if not off & set(u))
 
 
 def test_near_odd(spark):

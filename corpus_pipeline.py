@@ -42,8 +42,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens meet the target shares of sources, languages and topics."""
-    drawn = mixing.calibrate(docs, mixing.POWER).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    return mixing.draw(docs, mixing.POWER)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -382,6 +382,58 @@ def test_mixing_odd(spark):
     assert rows(mixing.calibrate(documents(spark, []), mixing.POWER)) == []
 
 
+def mixed(spark, cells, **kw):
+    """Rows of one document for each (source, lang, topic, words), calibrated."""
+    df = spark.createDataFrame([(i, " ".join(["w"] * (n - 1)), s, g, t) for i, (s, g, t, n) in enumerate(cells)],
+                               "doc_id long, text string, source string, lang string, topic string")
+    return {r["doc_id"]: r for r in rows(mixing.calibrate(df, mixing.POWER, topic=F.col("topic"), **kw))}
+
+
+def expected(got):
+    return sum(r["n_tokens"] * r["probability"] for r in got.values()) / sum(r["n_tokens"] for r in got.values())
+
+
+def test_mixing_rare_source(spark):
+    """One short document of its own source neither empties the mixture nor is itself left out."""
+    even = [(s, g, t, 3000) for s in "abc" for g in ("en", "de") for t in ("x", "y")]
+    assert expected(mixed(spark, even)) > 0.99
+    got = mixed(spark, [*even, ("rare", "en", "x", 5)])
+    assert abs(expected(got) - mixing.KEEP) < 1e-6 and got[len(even)]["probability"] == 1
+    assert min(r["probability"] for r in got.values()) > 0.3
+    assert abs(expected(mixed(spark, [*even, ("rare", "en", "x", 5)], keep=0.9)) - 0.9) < 1e-6
+
+
+def test_mixing_targets_that_do_not_hold_together(spark):
+    """A value of source and lang with the same documents has two targets for one cell; a source within a language of
+    almost no others has a target beyond what the language gets."""
+    even = [(s, g, t, 2000 + 100 * k) for k, s in enumerate("abc") for g in ("en", "de") for t in ("x", "y")]
+    for odd in ([(None, None, "x", 50)], [("A", "is", "x", 1000), ("a", "is", "x", 3)]):
+        cells = [*even, *odd]
+        got = mixed(spark, cells)
+        assert len(got) == len(cells) and all(0.01 < r["probability"] <= 1 for r in got.values())
+        assert expected(got) >= mixing.KEEP - 1e-6
+        for margin, power in mixing.POWER.items():      # the values that others share are near their targets
+            own, kept = defaultdict(float), defaultdict(float)
+            for r in got.values():
+                if r["source"] in ("a", "b", "c") and r["lang"] in ("en", "de"):
+                    own[r[margin]] += r["n_tokens"]
+                    kept[r[margin]] += r["n_tokens"] * r["probability"]
+            want = {k: v ** power for k, v in own.items()}
+            for k in want:
+                assert abs(kept[k] / sum(kept.values()) - want[k] / sum(want.values())) < 0.02
+
+
+def test_mixing_draw_is_of_rows(spark):
+    """Rows without an id, or with that of another, are drawn by themselves."""
+    docs_ = [(None if k % 3 else k, prose(k, 20), "en", "ab"[k % 2]) for k in range(400)]
+    df = documents(spark, docs_ + [(500, prose(9, 5000), "en", "a")])
+    got = rows(mixing.draw(df, mixing.POWER, keep=0.3))
+    free = sum(r["doc_id"] is None for r in got)
+    assert 0 < free < sum(r[0] is None for r in docs_)
+    want = [r for r in rows(mixing.calibrate(df, mixing.POWER, keep=0.3)) if r["kept"]]
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r["doc_id"]) for r in want)
+
+
 # --- 9 near duplicates ------------------------------------------------------------------------------------------------
 
 def grams(text):

@@ -27,11 +27,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies, the one of least id; of rows that repeat an id one stays. Rows without an
-    id all share the null id and are one document."""
-    found = near_dup.near_duplicates(docs, NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return (docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-            .dropDuplicates(["doc_id"]).select(*docs.columns))
+    """One document of each group of copies, the one of least id. A document is an id and a text: of rows equal in both
+    one stays, and texts that share an id, or have none, are documents of their own."""
+    found = near_dup.groups_of(docs, NEAR_PERCENT).filter("kept").select(
+        F.col("id").alias("_kept"), F.col("mark").alias("_kept_mark")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_mark") == F.col("_kept_mark"))
+    return (docs.withColumn("_mark", near_dup.mark(F.col("text"))).join(found, same, "left_semi")
+            .dropDuplicates(["doc_id", "_mark"]).select(*docs.columns))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ a document. Two documents of similarity t differ in a symbol with chance 1 - t,
 with at most one differing symbol (pigeonhole); each chunk gives one key for every symbol left out, so every pair
 within `reach` shares a key. No pair within `reach` is lost.
 
-1. Equal shingle sets are one class; a class is searched once, by its least id.
+1. Equal shingle sets are one class; a class is searched once, under a key of its own, and its least document (by id,
+   then by digest of the text) stands for it. The keys have the order of these documents.
 2. Classes that share a key meet in a task, which links those within `reach` by a search that compares a class with
    the ones not yet reached only, and returns a tree and not all pairs. A key with many classes is dealt in blocks,
    and each pair of blocks is a task.
@@ -15,8 +16,9 @@ within `reach` shares a key. No pair within `reach` is lost.
 4. Components of the confirmed links, and of equal sets, give each document its group.
 
 Defined results: a null text is an empty text; a document without words has no shingles and is linked with nothing;
-with fewer words than a shingle, the whole sequence is the one shingle; rows that share an id are one document and
-share their links; a null id counts as the least one; an empty table gives no rows; other columns are not carried.
+with fewer words than a shingle, the whole sequence is the one shingle; a document is an id and a text, so rows that
+share an id, or have none, are told apart by their texts, and only rows equal in both are one document; a null id counts
+as the greatest one; an empty table gives no rows; other columns are not carried.
 """
 from __future__ import annotations
 
@@ -25,7 +27,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.cluster import materialise
 from flowtide.llm.components import connected_components
@@ -33,7 +35,6 @@ from flowtide.llm.text import _mix, shingles
 
 SYMBOLS = 64
 BLOCK, SET_BLOCK, BLOCK_SHINGLES = 1000, 250, 500_000
-NULL_ID = -(1 << 63)
 _A = _mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = _mix(np.arange(1001, SYMBOLS + 1001, dtype=np.uint64))
 
@@ -69,7 +70,7 @@ def _digest(sets: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(sets.tobytes())
 
 
-_SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
+_SIGNED = pa.schema([("id", pa.int64()), ("mark", pa.binary()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,8 +82,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(s))
             digest.append(_digest(s) if len(s) else None)
             sig.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
-                                          pa.array(sig, pa.binary())], schema=_SIGNED)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark").cast(pa.binary()), pa.array(n, pa.int64()),
+                                          pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], schema=_SIGNED)
 
 
 def _keys(limit: int):
@@ -194,22 +195,29 @@ _SETS_ARROW = pa.schema([("comp", pa.int64()), ("rep", pa.int64()), ("nb", pa.in
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of the texts that belong to the class; other texts of the same id go."""
+    """Shingle sets of the classes' documents; rows that repeat a document go."""
+    done: set[int] = set()
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            sets = [shingles(t.as_py() or b"") for t in part.column("text").cast(pa.binary())]
-            keep = [len(s) > 0 and _digest(s) == d for s, d in zip(sets, part.column("digest").to_pylist())]
+            keep = []
+            for rep in part.column("rep").to_pylist():
+                keep.append(rep not in done)
+                done.add(rep)
             table = part.filter(pa.array(keep, pa.bool_()))
+            sets = [shingles(t.as_py() or b"") for t in table.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([
                 *[table.column(c).cast(_SETS_ARROW.field(c).type) for c in ("comp", "rep", "nb", "block", "sig")],
-                pa.array([s.tobytes() for s, k in zip(sets, keep) if k], pa.binary())], schema=_SETS_ARROW)
+                pa.array([s.tobytes() for s in sets], pa.binary())], schema=_SETS_ARROW)
 
 
 def _confirm(limit: int, percent: int):
     """Links within each task's classes by their full sets: 100 * intersection >= percent * union."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["comp", "i", "j"]):
+            once = np.unique(np.asarray(group.column("rep"), np.int64), return_index=True)[1]
+            if len(once) < group.num_rows:      # a document's rows, read in several tasks
+                group = group.take(pa.array(once))
             if group.num_rows < 2:
                 continue
             reps = np.asarray(group.column("rep"), np.int64)
@@ -243,14 +251,21 @@ def _tasks(df: DataFrame) -> DataFrame:
         *[c for c in df.columns if c not in ("nb", "block")], "_pair.i", "_pair.j")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable over links of `percent` or more) and kept."""
+def mark(text: Column) -> Column:
+    """What tells documents of one id, or of none, apart."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
+def groups_of(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, mark, n (shingles), component_id and kept of every row; rows equal in id and mark are one document."""
     limit = reach(percent)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
-                       F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = materialise(rows.mapInArrow(_sign, "id bigint, n bigint, digest binary, sig binary"))
-    classes = materialise(signed.filter("n > 0").groupBy("digest").agg(
-        F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n")))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("mark", mark(F.col("text")))
+    signed = materialise(rows.mapInArrow(_sign, "id bigint, mark binary, n bigint, digest binary, sig binary"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("lead")
+    classes = signed.filter("n > 0").groupBy("digest").agg(least, F.first("sig").alias("sig"), F.first("n").alias("n"))
+    classes = materialise(classes.orderBy("lead").select(
+        "digest", "lead.id", "lead.mark", "sig", "n", F.monotonically_increasing_id().alias("rep")))
 
     keys = classes.select("rep", "sig").mapInArrow(_keys(limit), "key bigint, rep bigint")
     shared = materialise(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
@@ -261,20 +276,29 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
               .select("key", "i", "j", "rep", "sig").mapInArrow(_meet(limit), "a bigint, b bigint"))
     groups = materialise(connected_components(linked).select(F.col("node").alias("rep"), F.col("component").alias("comp")))
 
-    members = materialise(classes.join(groups, "rep").select("comp", "rep", "digest", "sig", "n"))
+    members = materialise(classes.join(groups, "rep").select("comp", "rep", "id", "mark", "sig", "n"))
     sizes = materialise(members.groupBy("comp").agg(F.greatest(
         F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb")))
     dealt = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
-    sets = rows.join(dealt.withColumn("id", F.col("rep")), "id").select(
-        "comp", "rep", "nb", "block", "digest", "sig", "text").mapInArrow(_with_sets, _SETS)
+    dealt = dealt.select("comp", "rep", "nb", "block", "sig", F.col("id").alias("_id"), F.col("mark").alias("_mark"))
+    sets = rows.join(dealt, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select(
+        "comp", "rep", "nb", "block", "sig", "text").mapInArrow(_with_sets, _SETS)
     links = (_tasks(sets).repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
              .select("comp", "i", "j", "rep", "sig", "grams").mapInArrow(_confirm(limit, percent), "a bigint, b bigint"))
-    found = connected_components(links)
-
-    named = materialise(classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-                        .select("digest", F.coalesce("component", "rep").alias("component")))
-    back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return (signed.select("id", "n", "digest").join(named, "digest", "left")
-            .withColumn("component", F.coalesce("component", "id"))
-            .select(back("id").alias(id_col), F.col("n").alias("n_shingles"), back("component").alias("component_id"),
-                    (F.col("id") == F.col("component")).alias("kept")))
+    found = connected_components(links).filter("node != component")
+
+    heads = classes.select(F.col("rep").alias("component"), F.col("id").alias("_head"))
+    linked = materialise(found.join(heads, "component").select(F.col("node").alias("rep"), "_head", F.lit(True).alias("_in")))
+    named = materialise(classes.join(linked, "rep", "left").select(
+        "digest", F.when(F.col("_in"), F.col("_head")).otherwise(F.col("id")).alias("_component"),
+        F.col("_in").isNull().alias("_first"), F.col("id").alias("_id"), F.col("mark").alias("_mark")))
+    own = F.col("digest").isNull()              # without words: linked with nothing
+    return signed.select("id", "mark", "n", "digest").join(named, "digest", "left").select(
+        "id", "mark", "n", F.when(own, F.col("id")).otherwise(F.col("_component")).alias("component_id"),
+        (own | (F.col("_first") & F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id reachable over links of `percent` or more) and kept."""
+    return groups_of(docs, percent, id_col, text).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")

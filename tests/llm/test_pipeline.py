@@ -4,7 +4,7 @@ import hashlib
 import corpus_pipeline
 from flowtide.llm import toxicity
 
-from .odd import TEXTS, documents
+from .odd import TEXTS, documents, prose
 from .test_contracts import bwords, check_shards, contaminated, near_brute
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +70,16 @@ def test_extra_columns_stay(spark):
     docs = documents(spark)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns, name
+
+
+def test_near_dedup_keeps_every_text(spark):
+    """Different texts without an id, or of one id, are all kept once, and copies of them link no other classes."""
+    one, two, three, four = (prose(70 + k, 60) for k in range(4))
+    rows = [(5, one), (None, one), (9, two), (None, two), (None, three), (None, three + " more"), (None, four),
+            (7, prose(80, 60)), (7, prose(81, 60)), (7, prose(81, 60)), (None, ""), (3, None), (3, "")]
+    got = corpus_pipeline.drop_near_duplicates(spark, documents(spark, [(i, t, "en", "a") for i, t in rows]), SF)
+    left = sorted((str(i), t or "") for i, t in pairs(got))
+    shown = [r for r in left if not r[1].startswith(three)]
+    assert shown == sorted([("5", one), ("9", two), ("None", four), ("7", prose(80, 60)), ("7", prose(81, 60)),
+                            ("None", ""), ("3", "")])
+    assert len(left) == len(shown) + 1

@@ -300,11 +300,56 @@ def _strip(columns_chars: str | None, text_col: str, least: int, share: float):
     return of
 
 
+def _cut(text_col: str, chars: str | None, least: int, share: float):
+    """Without the hit stretches that all parts found, with _c_whole (the words at first), _c_gone (those removed) and
+    _c_open (whether the text is to be read again); texts that lost too much go."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                texts, whole, gone, again = [], [], [], []
+                for value, n, hits, first, lost in zip(*[part.column(c).to_pylist() for c in (
+                        text_col, "_d_words", "_d_hits", "_c_whole", "_c_gone")]):
+                    spans = [s for s in zip(hits[::2], hits[1::2]) if s[1] - s[0] >= least]
+                    texts.append(without(value.encode(), spans).decode() if spans else value)
+                    whole.append(n if first is None else first)
+                    gone.append(lost + sum(b - a for a, b in spans))
+                    again.append(bool(spans))
+                new = {text_col: pa.array(texts, part.schema.field(text_col).type), "_c_whole": pa.array(whole, pa.int64()),
+                       "_c_gone": pa.array(gone, pa.int64()), "_c_open": pa.array(again)}
+                if chars:
+                    new[chars] = pa.array([len(t) if cut else c for t, cut, c in zip(
+                        texts, again, part.column(chars).to_pylist())], part.schema.field(chars).type)
+                table = pa.RecordBatch.from_arrays([new.get(n, part.column(n)) for n in part.schema.names], schema=part.schema)
+                yield table.filter(pa.array([g <= share * w for g, w in zip(gone, whole)], pa.bool_()))
+    return run
+
+
+def _clean_in_parts(docs: DataFrame, parts: dict, text: str, chars: str | None, least: int, share: float) -> DataFrame:
+    """Rounds of finding by every part, then removing; texts that lost something are read again by every part."""
+    now, done = docs.withColumns({"_c_whole": F.lit(None).cast("bigint"), "_c_gone": F.lit(0).cast("bigint"),
+                                  "_c_open": F.lit(None).cast("boolean")}), None
+    while True:
+        found = matches(now, text=text, **parts)
+        now = materialise(found.mapInArrow(_cut(text, chars, least, share), found.schema).drop(
+            "_d_text", "_d_words", "_d_hits", "_d_items"))
+        still = now.filter(~F.col("_c_open"))
+        done = still if done is None else done.unionAll(still)
+        now = now.filter("_c_open")
+        if now.isEmpty():
+            return done.select(*docs.columns)
+
+
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", chars: str | None = "n_chars", item_id: str = "item_id",
           item_text: str = "text", window: int = WINDOW, least: int = 1, share: float = 0.5,
           most: int = ITEM_WORDS) -> DataFrame:
     """`docs` without their hit stretches of `least` words or more, and without the documents that would lose more than
     `share` of their words. A text is read again after a removal, as what closes up may hold a window. `chars`, if it
-    is a column, gets the new length."""
-    return _passes(docs, items, item_id, item_text, window, most,
-                   _strip(chars if chars in docs.columns else None, text, least, share))
+    is a column, gets the new length. The result does not depend on the number of parts that the items make."""
+    chars = chars if chars in docs.columns else None
+    parts = parts_of(items, item_id, item_text, most)
+    next(parts)
+    if next(parts, None) is not None:
+        return _clean_in_parts(docs, {"items": items, "item_id": item_id, "item_text": item_text, "window": window,
+                                      "most": most}, text, chars, least, share)
+    return _passes(docs, items, item_id, item_text, window, most, _strip(chars, text, least, share))

@@ -570,3 +570,17 @@ def test_clean(spark):
     assert got[5]["text"].split() == prose(1, 50).split()               # what closed up went as well
     assert rows(decontaminate.clean(documents(spark, []), items)) == []
     assert len(rows(decontaminate.clean(documents(spark), items.limit(0)))) == len(TEXTS)
+
+
+def test_clean_in_parts(spark):
+    """One part or many: documents that lose their words to several parts, and windows that close up over an earlier
+    part's item, are judged alike."""
+    one, two = (" ".join(f"{c}{i}" for i in range(12)) for c in "ab")
+    docs_ = [(1, one + " " + prose(1, 6) + " " + two, "en", "a"), (2, one + " " + prose(2, 40), "en", "a"), (3, None, "en", "a"),
+             (4, "a0 a1 a2 a3 a4 a5 " + two + " a6 a7 a8 a9 a10 a11 " + prose(3, 90), "en", "a"), (5, "", "en", "a"),
+             (6, "b0 b1 b2 b3 b4 b5 " + one + " b6 b7 b8 b9 b10 b11 " + prose(4, 90), "en", "a"), (7, prose(5, 30), "en", "a")]
+    items = spark.createDataFrame([(1, one), (2, two)], "item_id long, text string")
+    got = [{r["doc_id"]: tuple(r) for r in rows(decontaminate.clean(documents(spark, docs_), items, most=most))}
+           for most in (1_000_000, 3)]
+    assert got[0] == got[1] and sorted(got[0]) == [2, 3, 4, 5, 6, 7]
+    assert got[1][4][1].split() == prose(3, 90).split() and got[1][6][1].split() == prose(4, 90).split()

@@ -94,3 +94,55 @@ SELECT w.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
   coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN a ON a.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
 """
+
+ORACLES["op11_source_divergence"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+c AS (SELECT r, lang, source, t, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS t FROM d) GROUP BY ALL),
+k AS (SELECT lang, t, CAST(sum(n) AS HUGEINT) AS whole FROM c GROUP BY ALL HAVING count(*) >= 10),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(whole) AS n FROM k GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT c.lang, source, c.t, CAST(sum(n) AS HUGEINT) AS n FROM c JOIN k ON k.lang = c.lang AND k.t = c.t GROUP BY ALL),
+s AS (SELECT lang, source, sum(n) AS total FROM n GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.t, coalesce(n.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(n.n, 0) + 2) // (coalesce(s.total, 0) + 2 * v.v) AS p,
+    1 + 1000000000::HUGEINT * (k.whole + 2) // (v.n + 2 * v.v) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.t = k.t),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', t, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM f)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+_SPLIT = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+ORACLES["op12_substring_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SPLIT} AS w FROM documents),
+g AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+h AS (SELECT r, i FROM g JOIN (SELECT g FROM g GROUP BY g HAVING count(*) > 1) USING (g)),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM h),
+l AS (SELECT r, list(p) AS gone FROM c GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(coalesce(gone, [])) AS n_removed, sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
+    list_transform(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(gone, j)), lambda j: w[j]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN l ON l.r = d.r
+"""
+
+ORACLES["op13_fill_in_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+n AS (SELECT *, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || h[k:k + 7] AS BIGINT)) AS k FROM d),
+c AS (SELECT *, least(k[1] % (len(u) + 1), k[2] % (len(u) + 1)) AS a, greatest(k[1] % (len(u) + 1), k[2] % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR k[3] % 100 >= 100 THEN 'plain'
+      WHEN k[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM n),
+x AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, len(u) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM x
+"""

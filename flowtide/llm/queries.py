@@ -6,8 +6,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowtide.cluster import shared_dir
-from flowtide.llm import (decontaminate, fingerprints, licenses, mixing, near_dup, secrets, sharding, token_counts,
-                          token_store, toxicity)
+from flowtide.llm import (decontaminate, divergence, fim, fingerprints, licenses, mixing, near_dup, secrets, sharding,
+                          substring_dedup, token_counts, token_store, toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +101,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all pairs of sources of each language, and the terms that set each source apart."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts without the sequences of 35 words that start at more than one place."""
+    kept = substring_dedup.without_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts cut and put together for filling in the middle, and restored from that."""
+    return fim.transform(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_store": op2_token_store,
@@ -112,4 +128,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_decontamination": op10_decontamination,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }

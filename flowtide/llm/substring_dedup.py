@@ -12,14 +12,15 @@ short windows are counted first and only repeated ones are extended to twice the
 
 Where nothing is left after a level, the later ones read nothing.
 
-Texts are packed once into blocks of a few MB (a table in the shared folder). At each level a block sends its distinct
-hashes, split by hash range, with a mark where it holds one more than once; a range finds the hashes that several blocks
-hold or one marks, and returns to each block those of its own. A passage that stands in a third of all documents is thus
-one entry a block, in every range, and no group of places is ever gathered or paired. Hash ranges hold about
-`RANGE_HASHES` entries each, however many documents there are.
+Texts are packed once into blocks of a few MB, a table that is bucketed by block, so that the levels join it without
+moving texts again. At each level a block sends its distinct hashes, split by hash range, with a mark where it holds one
+more than once; a range finds the hashes that several blocks hold or one marks, and answers each block with one bit for
+each of its hashes. The next reader of the block computes the same hashes again. A passage that stands in a third of all
+documents is thus one entry a block, in every range, and no group of places is ever gathered or paired. Hash ranges hold
+at most `RANGE_HASHES` entries on average, however many documents there are.
 
-The first levels compare 64 bits and only filter; the last compares 96 bits of two independent hashes, so that two
-different windows among 10^13 agree with a chance of about 10^-3.
+The first levels compare 64 bits and only filter; the last compares 80 bits of two independent hashes: among 10^13
+windows some ten are expected to agree with a different one.
 
 Defined results: a null text has no words; a text of fewer words than the target loses nothing; repeated rows, and rows
 that share an id or have none, are places of their own; an empty table gives no rows; other columns are not carried. A
@@ -27,7 +28,9 @@ task holds a block, or one text that is larger than a block.
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import compress
 
 import numpy as np
@@ -36,7 +39,7 @@ import pyspark
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from flowtide.cluster import materialise
+from flowtide.cluster import materialise, shared_dir
 from flowtide.llm.text import _grown, _mix, _powers
 
 TARGET, FIRST = 35, 9
@@ -132,36 +135,32 @@ class Block:
             return of
         values = windows(self.words, levels[0], _BASES[0])
         at = _least(values, self.target - levels[0] + 1)[of]
-        for size in levels[1:level + 1]:
-            at = np.minimum(at, of + self.target - size)
+        for had, size in zip(levels, levels[1:level + 1]):
+            to_the_left = np.maximum(at + had - size, of)
+            at = np.where(at + size <= of + self.target, at, to_the_left)
         return at
 
     def hashes(self, size: int, at: np.ndarray, base: int = 0) -> np.ndarray:
         return windows(self.words, size, _BASES[base])[at] if len(at) else np.empty(0, np.uint64)
 
 
-def known(keys: np.ndarray, marks: np.ndarray, found: np.ndarray, found_marks: np.ndarray) -> np.ndarray:
-    """Whether each (key, mark) is one of the found ones, which are sorted by both."""
-    out = np.zeros(len(keys), bool)
-    if not len(found):
-        return out
-    at, last = np.searchsorted(found, keys), len(found) - 1
-    live = np.flatnonzero(found[np.minimum(at, last)] == keys)
-    while len(live):                # more than one round only where two windows agree in 64 bits
-        here = at[live]
-        out[live] |= found_marks[here] == marks[live]
-        at[live] += 1
-        live = live[(at[live] <= last) & ~out[live]]
-        live = live[found[at[live]] == keys[live]]
-    return out
-
-
-def _distinct(keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, mark) in order, and how often each occurs."""
+def _distinct(keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, mark) in order, how often each occurs, and which of them each given one is."""
     order = np.lexsort((marks, keys)) if marks.any() else np.argsort(keys, kind="stable")
     keys, marks = keys[order], marks[order]
-    new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1])))[:len(keys)])
-    return keys[new], marks[new], np.diff(np.append(new, len(keys)))
+    opens = np.concatenate(([True], (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1])))[:len(keys)]
+    new, which = np.flatnonzero(opens), np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(opens) - 1
+    return keys[new], marks[new], np.diff(np.append(new, len(keys))), which
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, all first bytes, then all second ones, ...; the high ones are mostly 0."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
 # --- blocks of texts --------------------------------------------------------------------------------------------------
@@ -169,7 +168,7 @@ def _distinct(keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _packed(id_type: pa.DataType, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = pyspark.TaskContext.get().partitionId() << 32
-        names = ["block", "ids", "sizes", "texts", "n_words"]
+        names = ["block", "ids", "sizes", "texts", "most_words"]
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             ids, texts, held = [], [], 0
@@ -183,7 +182,7 @@ def _packed(id_type: pa.DataType, size: int):
                         pa.array([block], pa.int64()), pa.array([ids], pa.list_(id_type)),
                         pa.array([np.array([len(x) for x in texts], "<i8").tobytes()], pa.binary()),
                         pa.array([squeeze(b"".join(texts))], pa.binary()),
-                        pa.array([sum(len(x) for x in texts) // 2], pa.int64())], names=names)
+                        pa.array([sum(len(x) // 2 + 1 for x in texts)], pa.int64())], names=names)
                     ids, texts, held = [], [], 0
     return run
 
@@ -198,96 +197,112 @@ def _blocks(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)),
                            T.StructField("sizes", T.BinaryType()), T.StructField("texts", T.BinaryType()),
-                           T.StructField("n_words", T.LongType())])
+                           T.StructField("most_words", T.LongType())])
     from pyspark.sql.pandas.types import to_arrow_type
 
-    return materialise(rows.mapInArrow(_packed(to_arrow_type(rows.schema["id"].dataType), size), schema))
+    return bucketed(rows.mapInArrow(_packed(to_arrow_type(rows.schema["id"].dataType), size), schema), "block")
 
 
-# --- a level: distinct hashes of blocks to ranges, repeated ones back to blocks ---------------------------------------
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write `df` once to the shared folder in buckets of `key`; joins on it then move the other side only."""
+    spark, name = df.sparkSession, f"flowtide_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/flowtide-{spark.sparkContext.applicationId}/{name}"
+    df.repartition(n, key).write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
 
-_SENT = "range long, block long, keys binary, marks binary, twice binary"
-_BACK = "block long, keys binary, marks binary"
 
+# --- a level: distinct hashes of blocks to ranges, a bit for each back to its block ------------------------------------
 
-def _alive(block: Block, level: int, levels: list[int], back: list[dict] | None) -> np.ndarray:
-    """The target windows whose window of this level is repeated, by what came back; all before the first level."""
-    if back is None:
-        return block.starts
-    keys = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(b["keys"], "<u8") for b in back]])
-    marks = np.concatenate([np.empty(0, np.uint32), *[np.frombuffer(b["marks"], "<u4") for b in back]])
-    order = np.lexsort((marks, keys))
-    own, check = _keys(block, level, levels, block.starts)
-    return block.starts[known(own, check, keys[order], marks[order])]
+_SENT = "range long, block long, keys binary, marks binary, twice binary"
+_BACK = "block long, level int, range long, bits binary"
 
 
 def _keys(block: Block, level: int, levels: list[int], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = block.short(level, levels, of)
     keys = block.hashes(levels[level], at)
     if level < len(levels) - 1:
-        return keys, np.zeros(len(keys), np.uint32)
-    return keys, (block.hashes(levels[level], at, 1) >> np.uint64(32)).astype(np.uint32)
+        return keys, np.zeros(len(keys), np.uint16)
+    return keys, (block.hashes(levels[level], at, 1) >> np.uint64(48)).astype(np.uint16)
 
 
-def _sending(level: int, levels: list[int], ranges: int):
+def _edges(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Where the hash ranges begin and end among sorted keys."""
     width = (1 << 64) // ranges + 1
+    return np.concatenate(([0], np.searchsorted(keys, np.array([k * width for k in range(1, ranges)], np.uint64)), [len(keys)]))
+
+
+def _alive(block: Block, levels: list[int], ranges: list[int], back: list[dict] | None) -> np.ndarray:
+    """The target windows that all levels so far have found repeated, by the bits that came back."""
+    of = block.starts
+    for level, n in enumerate(ranges):
+        keys, _, _, which = _distinct(*_keys(block, level, levels, of))
+        edges, hit = _edges(keys, n), np.zeros(len(keys), bool)
+        for b in back or ():
+            if b["level"] == level:
+                lo, hi = edges[b["range"]:b["range"] + 2]
+                hit[lo:hi] = np.unpackbits(np.frombuffer(b["bits"], np.uint8), count=hi - lo).view(bool)
+        of = of[hit[which]]
+    return of
+
+
+def _sending(levels: list[int], ranges: list[int]):
+    """What blocks send at the level that the last of `ranges` is for."""
+    level = len(ranges) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = np.array([k * width for k in range(1, ranges)], np.uint64)
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1).to_pylist()[0]
                 block = Block(_texts(row["sizes"], row["texts"]), levels[-1])
-                alive = _alive(block, level - 1, levels, row.get("back"))
-                keys, marks, n = _distinct(*_keys(block, level, levels, alive))
-                if not len(keys):
-                    continue
-                edges = np.concatenate(([0], np.searchsorted(keys, cuts), [len(keys)]))
-                out = [(k, row["block"], keys[a:b].tobytes(), marks[a:b].tobytes() if marks.any() else b"",
-                        np.packbits(n[a:b] > 1).tobytes())
-                       for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
-                    names=["range", "block", "keys", "marks", "twice"])
+                alive = _alive(block, levels, ranges[:-1], row.get("back"))
+                keys, marks, n, _ = _distinct(*_keys(block, level, levels, alive))
+                edges = _edges(keys, ranges[-1]).tolist()
+                out = [(k, row["block"], _packed_keys(keys[a:b]), marks[a:b].tobytes() if level == len(levels) - 1 else b"",
+                        np.packbits(n[a:b] > 1).tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (
+                        pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+                        names=["range", "block", "keys", "marks", "twice"])
     return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """Of a hash range: the keys that two blocks hold or one holds twice, to each block its own."""
-    sent = [np.frombuffer(k, "<u8") for k in table.column("keys").to_pylist()]
-    size = [len(k) for k in sent]
-    keys = np.concatenate(sent)
-    marks = np.concatenate([np.frombuffer(m, "<u4") if m else np.zeros(n, np.uint32)
-                            for m, n in zip(table.column("marks").to_pylist(), size)])
-    twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=n).view(bool)
-                            for t, n in zip(table.column("twice").to_pylist(), size)])
-    order = np.lexsort((marks, keys)) if marks.any() else np.argsort(keys, kind="stable")
-    k, m = keys[order], marks[order]
-    same = (k[1:] == k[:-1]) & (m[1:] == m[:-1])
-    again = twice[order]
-    again[1:] |= same
-    again[:-1] |= same
-    hit = np.zeros(len(keys), bool)
-    hit[order] = again
-    out, at = [], 0
-    for b, n in zip(table.column("block").to_pylist(), size):
-        own = hit[at:at + n]
-        if own.any():
-            out.append((b, keys[at:at + n][own].tobytes(), marks[at:at + n][own].tobytes()))
-        at += n
-    columns = list(zip(*out)) or [(), (), ()]
-    return pa.table({"block": pa.array(columns[0], pa.int64()), "keys": pa.array(columns[1], pa.binary()),
-                     "marks": pa.array(columns[2], pa.binary())})
-
-
-def _with_back(blocks: DataFrame, back: DataFrame, how: str) -> DataFrame:
-    mine = back.groupBy("block").agg(F.collect_list(F.struct("keys", "marks")).alias("back"))
-    return blocks.join(mine, "block", how)
+def _repeated(level: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of a hash range: which keys two blocks hold or one holds twice, to each block a bit for each of its own."""
+        sent = [_unpacked_keys(k) for k in table.column("keys").to_pylist()]
+        size = [len(k) for k in sent]
+        keys = np.concatenate(sent)
+        marks = np.concatenate([np.frombuffer(m, "<u2") if m else np.zeros(n, np.uint16)
+                                for m, n in zip(table.column("marks").to_pylist(), size)])
+        twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=n).view(bool)
+                                for t, n in zip(table.column("twice").to_pylist(), size)])
+        _, _, n, which = _distinct(keys, marks)
+        hit = twice | (n > 1)[which]
+        out, at = [], 0
+        for b, k in zip(table.column("block").to_pylist(), size):
+            own = hit[at:at + k]
+            if own.any():
+                out.append((b, np.packbits(own).tobytes()))
+            at += k
+        number = table.column("range")[0].as_py()
+        return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "level": pa.array([level] * len(out), pa.int32()),
+                         "range": pa.array([number] * len(out), pa.int64()), "bits": pa.array([x for _, x in out], pa.binary())})
+    return run
+
+
+def _with_back(blocks: DataFrame, back: list[DataFrame], how: str) -> DataFrame:
+    """Blocks with the bits of all levels; with "inner" those that the last level left something of."""
+    mine = reduce(DataFrame.unionAll, back).groupBy("block").agg(
+        F.collect_list(F.struct("level", "range", "bits")).alias("back"), F.max("level").alias("last"))
+    if how == "inner":
+        mine = mine.filter(F.col("last") == len(back) - 1)
+    return blocks.join(mine.drop("last"), "block", how)
 
 
 # --- the operator -----------------------------------------------------------------------------------------------------
 
-def _kept(id_type: pa.DataType, levels: list[int]):
+def _kept(id_type: pa.DataType, levels: list[int], ranges: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
@@ -297,7 +312,7 @@ def _kept(id_type: pa.DataType, levels: list[int]):
                 gone = np.zeros(int(counts.sum()) + 1, np.int64)
                 if row["back"]:
                     block = Block([b" ".join(t) for t in texts], levels[-1])
-                    starts = _alive(block, len(levels) - 1, levels, row["back"])
+                    starts = _alive(block, levels, ranges, row["back"])
                     gone[starts] += 1
                     np.subtract.at(gone, starts + levels[-1], 1)
                 stays = np.cumsum(gone)[:-1] == 0
@@ -318,17 +333,19 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     levels = lengths(first, target)
     blocks = _blocks(docs, id_col, text, block_bytes)
-    most = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    back = None
+    most = blocks.agg(F.coalesce(F.sum("most_words"), F.lit(0))).first()[0]
+    back: list[DataFrame] = []
+    ranges: list[int] = []
     for level, size in enumerate(levels):
-        share = 2 / (target - size + 2) if level == 0 else 1 if size == target else 4 / (target - levels[0] + 2)
-        ranges = max(1, int(most * share) // range_hashes)
-        rows = (blocks if back is None else _with_back(blocks, back, "inner")).drop("ids", "n_words")
-        back = materialise(rows.mapInArrow(_sending(level, levels, ranges), _SENT)
-                           .groupBy("range").applyInArrow(_repeated, _BACK))
+        # distinct windows of a level to a word: the least ones of `target`, those at both of their sides, all
+        share = 2 / (target - size + 2) if level == 0 else 4 / (target - first + 2) if size < target else 1
+        ranges.append(max(1, int(most * min(share, 1)) // range_hashes))
+        rows = (_with_back(blocks, back, "inner") if back else blocks).drop("ids", "most_words")
+        back.append(materialise(rows.mapInArrow(_sending(levels, list(ranges)), _SENT)
+                                .groupBy("range").applyInArrow(_repeated(level), _BACK)))
     id_type = blocks.schema["ids"].dataType.elementType
-    out = _with_back(blocks, back, "left").drop("n_words").mapInArrow(
-        _kept(to_arrow_type(id_type), levels),
+    out = _with_back(blocks, back, "left").drop("most_words").mapInArrow(
+        _kept(to_arrow_type(id_type), levels, ranges),
         T.StructType([T.StructField("id", id_type), T.StructField("n_words", T.LongType()),
                       T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
     return out.withColumnRenamed("id", id_col)

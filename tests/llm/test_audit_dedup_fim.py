@@ -123,7 +123,7 @@ def test_removal_query(spark):
     assert got(QUERIES["op12_substring_dedup"](spark, SF), "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
 
-@pytest.mark.parametrize("kw", [{}, {"block_bytes": 1, "range_hashes": 50}, {"target": 10, "first": 3}, {"target": 5, "first": 5},
+@pytest.mark.parametrize("kw", [{}, {"block_bytes": 1, "range_hashes": 50}, {"target": 10, "first": 3}, {"target": 5, "first": 5}, {"target": 40, "first": 2},
                                 {"target": 1, "first": 9}])
 def test_removal_odd(spark, kw):
     df = documents(spark)
@@ -148,7 +148,7 @@ def test_removal_hot(spark):
     assert got(substring_dedup.without_repeats(df), *KEPT) == wanted(rows)
     levels = substring_dedup.lengths()
     blocks = substring_dedup._blocks(df, "doc_id", "text", 1 << 20)
-    sent = blocks.drop("ids", "n_words").mapInArrow(substring_dedup._sending(2, levels, 1), substring_dedup._SENT).collect()
+    sent = blocks.drop("ids", "most_words").mapInArrow(substring_dedup._sending(levels[-1:], [1]), substring_dedup._SENT).collect()
     assert sum(len(r["keys"]) // 8 for r in sent) < 400 * 66 - 398 * 25
 
 
@@ -158,10 +158,12 @@ def test_removal_empty(spark):
 
 
 def test_agreeing_keys():
-    """Windows that agree in 64 bits are told apart by the other 32."""
-    found, marks = np.array([5, 5, 5, 9], np.uint64), np.array([1, 3, 7, 2], np.uint32)
-    keys, own = np.array([5, 5, 5, 9, 9, 4, 11], np.uint64), np.array([1, 2, 7, 2, 3, 1, 1], np.uint32)
-    assert substring_dedup.known(keys, own, found, marks).tolist() == [True, False, True, True, False, False, False]
+    """Windows that agree in 64 bits are told apart by the others; keys are packed without loss."""
+    keys, marks = np.array([9, 5, 5, 5, 5], np.uint64), np.array([2, 7, 1, 7, 3], np.uint16)
+    k, m, n, which = substring_dedup._distinct(keys, marks)
+    assert (k.tolist(), m.tolist(), n.tolist(), which.tolist()) == ([5, 5, 5, 9], [1, 3, 7, 2], [1, 1, 2, 1], [3, 2, 0, 2, 1])
+    for sent in ([], [0], [1, 2 ** 63, 2 ** 64 - 1], sorted(np.random.default_rng(1).integers(0, 2 ** 63, 999).tolist())):
+        assert substring_dedup._unpacked_keys(substring_dedup._packed_keys(np.array(sent, np.uint64))).tolist() == sent
 
 
 # --- 13 fill in the middle --------------------------------------------------------------------------------------------

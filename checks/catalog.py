@@ -121,7 +121,6 @@ from flowtide.operators import (alerts as A, composition as C, counterfactual as
                                 statistics as ST)
 
 THRESHOLD = 0.3
-FEW = ["out_flows", "in_flows", "out_failed_ratio", "in_distinct_src"]
 
 
 @register
@@ -206,23 +205,24 @@ def scan_detect(spark, sf):
 
 
 def _on_auth_ports(spark, sf) -> DataFrame:
-    """Ports folded onto a small set so that auth ports occur in the given data."""
-    port = F.element_at(F.array(*[F.lit(p) for p in (22, 21, 80, 443)]),
-                        (F.col("dport") / 41 % 4 + 1).cast("int"))
-    pair = F.concat(F.lit("10.9.0."), (F.col("flow_id") % 7).cast("string"))
-    return flows(spark, sf).withColumns({"dport": port.cast("long"), "src_ip": pair})
+    """Ports and hosts folded onto small sets, so that auth ports occur in the given data and meet the detector's own limits."""
+    port = F.element_at(F.array(*[F.lit(p) for p in (22, 22, 21, 80, 443)]),
+                        (F.col("dport") / 41 % 5 + 1).cast("int"))
+    few = {"src_ip": ("10.9.0.", 3), "dst_ip": ("10.8.0.", 2)}
+    return flows(spark, sf).withColumns({"dport": port.cast("long"), **{
+        c: F.concat(F.lit(net), (F.col("flow_id") % n).cast("string")) for c, (net, n) in few.items()}})
 
 
 @register
 def brute_detect(spark, sf):
-    return H.detect_brute_force(_on_auth_ports(spark, sf), 3600 * 24, min_flows=4, min_share=0.25, burst=2)
+    return H.detect_brute_force(_on_auth_ports(spark, sf), 3600 * 24)
 
 
 @register
 def campaign_rows(spark, sf):
     f = _on_auth_ports(spark, sf)
     return H.campaigns(H.detect_scans(flows(spark, sf), 3600 * 24),
-                       H.detect_brute_force(f, 3600 * 24, min_flows=4, min_share=0.25, burst=2), 3600 * 24)
+                       H.detect_brute_force(f, 3600 * 24), 3600 * 24)
 
 
 @register
@@ -256,9 +256,14 @@ def captures(spark, sf) -> DataFrame:
         "capture": F.concat(F.lit("c"), F.floor(F.col("flow_id") % 4 / 2).cast("string"))})
 
 
-def keyed_frame(spark, sf) -> DataFrame:
-    f = W.host_windows(captures(spark, sf), spec(keys=tuple(KEYED), min_flows=5))
-    return f.select(*KEYED, "host", "segment", "window", "t", *FEW, "stage", "label", "attack_out")
+def keyed_frame(spark, sf, features=S.FEATURES) -> DataFrame:
+    f = W.host_windows(captures(spark, sf), spec(keys=tuple(KEYED), min_flows=5), features)
+    return f.select(*KEYED, "host", "segment", "window", "t", *features, "stage", "label", "attack_out")
+
+
+def keyed_stages(spark, sf, features=()) -> DataFrame:
+    """The keyed frame with nothing but stages and the features a query reads."""
+    return keyed_frame(spark, sf, features).drop("t", "label", "attack_out")
 
 
 @register
@@ -268,18 +273,18 @@ def keyed_windows(spark, sf):
 
 @register
 def episode_fill(spark, sf):
-    f = keyed_frame(spark, sf)
+    f = keyed_stages(spark, sf)
     return LB.fill_episode_gaps(f, 5, KEYED).select(*KEYED, "host", "segment", "window", "stage", "episode_stage")
 
 
 @register
 def sequence_starts(spark, sf):
-    f = materialise(keyed_frame(spark, sf))
+    f = materialise(keyed_stages(spark, sf))
     return SQ.sequence_starts(f, 15).select(*KEYED, "host", "segment", "window", "block", "split")
 
 
 def _sequences(spark, sf) -> DataFrame:
-    f = materialise(LB.fill_episode_gaps(keyed_frame(spark, sf), 5, KEYED))
+    f = materialise(LB.fill_episode_gaps(keyed_stages(spark, sf), 5, KEYED))
     t = SQ.with_targets(f, SQ.compromise())
     return SQ.sequence_starts(t, 15)
 
@@ -310,10 +315,10 @@ def positive_weight(spark, sf):
 
 @register
 def history_pad(spark, sf):
-    f = frame(spark, sf).select("host", "segment", "window", "out_flows", "in_flows")
-    h = SQ.histories(f, [-1.0, -2.0], 10, features=["out_flows", "in_flows"])
+    f = frame(spark, sf).select("host", "segment", "window", *S.FEATURES)
+    h = SQ.histories(f, [-1.0 - k for k in range(len(S.FEATURES))], 10)
     return h.select("host", "segment", "window", *[
-        F.col("history")[i][j].alias(f"h{i}_{c}") for i in range(10) for j, c in enumerate(["out", "in"])])
+        F.transform(F.col("history")[i], lambda x: F.round(x, 6) + 0.0).alias(f"h{i}") for i in range(10)])
 
 
 @register
@@ -341,15 +346,13 @@ def scaled_features(spark, sf):
 @register
 def capture_norm(spark, sf):
     f = materialise(keyed_frame(spark, sf))
-    SMALL = ["out_flows", "in_flows", "out_failed_ratio", "in_distinct_src"]
-    padded = f.withColumns({c: F.lit(0.0) for c in S.FEATURES if c not in SMALL})
-    st = SC.capture_stats(padded, KEYED)
-    return rounded(SC.capture_normalised(padded, st, KEYED).select(*KEYED, "host", "window", *SMALL), 5)
+    st = SC.capture_stats(f, KEYED)
+    return rounded(SC.capture_normalised(f, st, KEYED).select(*KEYED, "host", "window", *S.FEATURES), 5)
 
 
 @register
 def dataset_stats(spark, sf):
-    return ST.capture_summary(captures(spark, sf), keyed_frame(spark, sf), KEYED)
+    return ST.capture_summary(captures(spark, sf), keyed_stages(spark, sf), KEYED)
 
 
 @register
@@ -359,7 +362,7 @@ def top_labels(spark, sf):
 
 @register
 def stage_windows(spark, sf):
-    return ST.stage_windows(keyed_frame(spark, sf))
+    return ST.stage_windows(keyed_stages(spark, sf))
 
 
 @register
@@ -370,7 +373,7 @@ def typical(spark, sf):
 # ------------------------------------------------------------------ evaluation
 def _scored(spark, sf) -> DataFrame:
     """Sequences scored by the failed-connection share of their last history row."""
-    f = materialise(LB.fill_episode_gaps(keyed_frame(spark, sf), 5, KEYED))
+    f = materialise(LB.fill_episode_gaps(keyed_stages(spark, sf, ("out_failed_ratio", "in_flows")), 5, KEYED))
     last = F.lead("out_failed_ratio", 9).over(SQ._order(KEYED))
     busy = F.lead("in_flows", 9).over(SQ._order(KEYED))
     t = SQ.with_targets(f, SQ.compromise()).withColumn("score", F.round(last + 0.1 * busy, 6))
@@ -566,7 +569,7 @@ def decide(spark, sf):
     r = materialise(D.recommend(_context(spark, sf)))
     n = F.pmod(F.xxhash64("host"), F.lit(9))
     choice = F.when(n < 3, "accept").when(n < 6, "reject").otherwise("modify")
-    last = F.element_at("alternatives", -1)["id"]
+    last = F.try_element_at("alternatives", F.lit(-1))["id"]
     picks = r.select("host", "step", choice.alias("choice"), F.when(n == 8, "no-such-option").when(n > 5, last).alias("option_id"))
     d = D.decide(r, picks)
     return no_nulls(d.select("host", "step", "choice", "option_id", "valid", F.col("action.kind").alias("kind"),
@@ -675,24 +678,36 @@ def live_tick(spark, sf):
     return rounded(t.frame.select("host", "segment", "window", *S.FEATURES, "stage"))
 
 
-@register
-def stream_windows(spark, sf):
-    """The events table read as a stream through sliding host windows; each window is appended to a table when the
-    watermark has passed its end, and its state goes."""
+def _streamed(spark, sf, window_s: int, stride_s: int) -> DataFrame:
+    """The events table read as a stream into host windows with all features. Windows are appended when the watermark
+    has passed their end; those after the last watermark are added from the table."""
     import uuid
 
     from flowtide.cluster import shared_dir
+    from flowtide.streaming import features as SF
 
-    src = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).option(
-        "pathGlobFilter", "events.parquet").parquet(sf)
+    table = spark.read.parquet(f"{sf}/events.parquet")
+    src = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     folder = f"{shared_dir(spark)}/flowtide-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
-    q = (LV.sliding_features(LV.with_event_time(flows_from_events(src), 3600), 3600, 1800)
-         .writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append")
-         .trigger(availableNow=True).start(f"{folder}/windows"))
-    q.awaitTermination()
-    return rounded(spark.read.parquet(f"{folder}/windows").select(
-        "host", F.unix_timestamp("window_start").alias("window_start"), "out_flows", "out_pkts", "out_bytes", "out_failed_ratio",
-        "out_small_flow_ratio", "in_flows", "in_pkts", "in_bytes", "in_failed_ratio", "in_small_flow_ratio"))
+    with SF.rocksdb_state(spark):
+        q = (SF.stream_features(LV.with_event_time(flows_from_events(src), window_s), window_s, stride_s)
+             .writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append")
+             .trigger(availableNow=True).start(f"{folder}/windows"))
+        q.awaitTermination()
+    appended = spark.read.schema(SF.ROWS).parquet(f"{folder}/windows")
+    return SF.closed(appended, flows_from_events(table), SF.watermark_of(q), window_s, stride_s)
+
+
+@register
+def stream_features(spark, sf):
+    """All features of hourly host windows."""
+    return rounded(_of_hosts(flows(spark, sf), spec(), _streamed(spark, sf, 3600, 3600)))
+
+
+@register
+def stream_windows(spark, sf):
+    """All features of host windows of an hour that begin every half hour."""
+    return rounded(_streamed(spark, sf, 3600, 1800))
 
 
 # ------------------------------------------------------------------ fitted models

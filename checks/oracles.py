@@ -48,7 +48,6 @@ SELECT host, count(*) AS flows, regexp_extract(host, '^(\\d+\\.\\d+\\.\\d+)\\.',
 FROM (SELECT src_ip AS host FROM q_flows UNION ALL SELECT dst_ip FROM q_flows)
 GROUP BY host ORDER BY flows DESC, host LIMIT 26""")
 
-FEW = ["out_flows", "in_flows", "out_failed_ratio", "in_distinct_src"]
 oracle("neighbor_agg", f"""
 SELECT f.host, f."window", {rcols(S.FEATURES, prefix='f.')},
   {", ".join(f"{r(f'coalesce(n.nb_mean_{c}, 0)')} AS nb_mean_{c}, {r(f'coalesce(n.nb_max_{c}, 0)')} AS nb_max_{c}" for c in S.FEATURES)},
@@ -100,8 +99,8 @@ from checks.sqlparts import part  # noqa: E402
 
 part("q_day", f"SELECT *, CAST(floor((ts_start - (SELECT min(ts_start) FROM q_flows)) / {DAY}) AS BIGINT) AS w FROM q_flows")
 part("q_auth", f"""
-SELECT '10.9.0.' || CAST(flow_id % 7 AS VARCHAR) AS src_ip, dst_ip, ts_start, flow_id, w,
-  ([22, 21, 80, 443])[CAST(dport / 41 % 4 AS BIGINT) + 1] AS dport FROM q_day""".replace("dport / 41 %", "dport // 41 %"))
+SELECT '10.9.0.' || CAST(flow_id % 3 AS VARCHAR) AS src_ip, '10.8.0.' || CAST(flow_id % 2 AS VARCHAR) AS dst_ip, ts_start, flow_id, w,
+  ([22, 22, 21, 80, 443])[dport // 41 % 5 + 1] AS dport FROM q_day""")
 _BRUTE = """
 SELECT src_ip AS src, dst_ip AS dst, CAST(port AS BIGINT) AS port, service, n AS auth_flows, total, onset_window FROM (
   SELECT g.src_ip, g.dst_ip, p.port, p.service, g.n, t.total, coalesce(b.w, g.first_w) AS onset_window,
@@ -109,9 +108,9 @@ SELECT src_ip AS src, dst_ip AS dst, CAST(port AS BIGINT) AS port, service, n AS
   FROM (SELECT src_ip, dst_ip, dport, count(*) AS n, arg_min(w, (ts_start, flow_id)) AS first_w FROM q_auth GROUP BY ALL) g
   JOIN (VALUES (22, 'SSH', 0), (21, 'FTP', 1), (3389, 'RDP', 2), (23, 'Telnet', 3)) p(port, service, ord) ON p.port = g.dport
   JOIN (SELECT src_ip, dst_ip, count(*) AS total FROM q_auth GROUP BY ALL) t ON t.src_ip = g.src_ip AND t.dst_ip = g.dst_ip
-  LEFT JOIN (SELECT src_ip, dst_ip, dport, min(w) AS w FROM (SELECT src_ip, dst_ip, dport, w FROM q_auth GROUP BY ALL HAVING count(*) >= 2)
+  LEFT JOIN (SELECT src_ip, dst_ip, dport, min(w) AS w FROM (SELECT src_ip, dst_ip, dport, w FROM q_auth GROUP BY ALL HAVING count(*) >= 15)
              GROUP BY ALL) b ON b.src_ip = g.src_ip AND b.dst_ip = g.dst_ip AND b.dport = g.dport
-  WHERE g.n >= 4 AND g.n >= 0.25 * t.total) WHERE rn = 1
+  WHERE g.n >= 40 AND g.n >= 0.35 * t.total) WHERE rn = 1
 """
 oracle("scan_detect", _SCAN)
 oracle("brute_detect", _BRUTE)
@@ -135,7 +134,7 @@ LEFT JOIN q_sched s ON s.attacker = f.src_ip AND f.ts_end BETWEEN s.lo AND s.hi
 GROUP BY f.flow_id
 """)
 K = "dataset, capture"
-oracle("keyed_windows", f'SELECT {K}, host, segment, "window", t, {rcols(FEW)}, stage, label, attack_out FROM q_kframe')
+oracle("keyed_windows", f'SELECT {K}, host, segment, "window", t, {rcols(S.FEATURES)}, stage, label, attack_out FROM q_kfull')
 oracle("episode_fill", f'SELECT {K}, host, segment, "window", stage, episode_stage FROM q_kepi')
 oracle("sequence_starts", f'SELECT {K}, host, segment, "window", block, split FROM q_kstarts')
 oracle("future_target", f'SELECT {K}, host, segment, "window", split, y_future, y_now, hist_attack, lead, touches, recon, attack_rows FROM q_kseq')
@@ -152,9 +151,8 @@ oracle("positive_weight", f"""
 SELECT {r('p')} AS positive_share, {r('least(20.0, (1 - p) / greatest(p, 1e-6))')} AS pos_weight
 FROM (SELECT sum(attack_rows / 15.0) / count(*) AS p FROM q_kseq WHERE split = 'train')
 """)
-_H = [(i, c, d, n) for i in range(10) for c, d, n in (("out_flows", -1.0, "out"), ("in_flows", -2.0, "in"))]
 oracle("history_pad", "SELECT host, segment, \"window\", " + ", ".join(
-    f"CAST(coalesce(lag({c}, {9 - i}) OVER g, {d}) AS DOUBLE) AS h{i}_{n}" for i, c, d, n in _H)
+    f"list_value({', '.join(r(f'coalesce(lag({c}, {9 - i}) OVER g, {-1.0 - k})') for k, c in enumerate(S.FEATURES))}) AS h{i}" for i in range(10))
     + ' FROM q_frame WINDOW g AS (PARTITION BY host, segment ORDER BY "window")')
 
 oracle("scaler_stats", " UNION ALL ".join(
@@ -169,14 +167,14 @@ oracle("scaled_features", 'SELECT host, "window", ' + ", ".join(
     f"{r(f'greatest(-10.0, least(10.0, ({x} - m_{f}) / s_{f}))', 5)} AS {f}"
     for f in S.FEATURES for x in [f"ln(1 + greatest({f}, 0))" if f in S.LOG_FEATURES else f])
     + " FROM q_frame CROSS JOIN q_scale")
+_VALUES = [f for f in S.FEATURES if f not in S.MASK_FEATURES]
 part("q_klog", f'SELECT {K}, host, "window", out_flows + in_flows > 0 AS act, ' + ", ".join(
-    f"{'ln(1 + ' + f + ')' if f in S.LOG_FEATURES else f} AS {f}" for f in FEW) + " FROM q_kframe")
+    f"{'ln(1 + ' + f + ')' if f in S.LOG_FEATURES else f} AS {f}" for f in S.FEATURES) + " FROM q_kfull")
+part("q_kquart", f"SELECT {K}, " + ", ".join(f"quantile_cont({f}, [0.25, 0.5, 0.75]) AS {f}" for f in _VALUES)
+     + f" FROM (SELECT *, count(*) FILTER (act) OVER (PARTITION BY {K}) AS na FROM q_klog) WHERE act OR na < 5 GROUP BY {K}")
 oracle("capture_norm", f'SELECT l.dataset, l.capture, l.host, l."window", ' + ", ".join(
-    r(f"(l.{f} - q.m_{f}) / greatest(q.u_{f} - q.l_{f}, 0.25)", 5) + f" AS {f}" for f in FEW)
-    + f" FROM q_klog l JOIN (SELECT {K}, " + ", ".join(
-        f"quantile_cont({f}, 0.5) AS m_{f}, quantile_cont({f}, 0.75) AS u_{f}, quantile_cont({f}, 0.25) AS l_{f}" for f in FEW)
-    + f" FROM (SELECT *, count(*) FILTER (act) OVER (PARTITION BY {K}) AS na FROM q_klog) WHERE act OR na < 5 GROUP BY {K}) q"
-    + " ON q.dataset = l.dataset AND q.capture = l.capture")
+    r(f"l.{f}" if f in S.MASK_FEATURES else f"(l.{f} - q.{f}[2]) / greatest(q.{f}[3] - q.{f}[1], 0.25)", 5) + f" AS {f}" for f in S.FEATURES)
+    + " FROM q_klog l JOIN q_kquart q ON q.dataset = l.dataset AND q.capture = l.capture")
 oracle("dataset_stats", f"""
 SELECT f.*, w.hosts, w.windows, w.attack_windows FROM
   (SELECT {K}, count(*) AS flows, count(*) FILTER (stage > 0) AS attack_flows FROM q_kflows GROUP BY {K}) f
@@ -440,17 +438,42 @@ CROSS JOIN LATERAL (SELECT unnest(range(m.lo, m.hi + 1)) AS w) a
 LEFT JOIN q_g600 g ON g.host = h.host AND g.w = a.w LEFT JOIN q_f600 f ON f.host = h.host AND f."window" = a.w
 LEFT JOIN q_l600 l ON l.host = h.host AND l.w = a.w""")
 
-# windows of an hour every half hour, those that end before the watermark, twelve hours behind the last flow
+oracle("stream_features", f"""
+SELECT host, (SELECT floor(min(ts_end) / {W}) * {W} FROM q_flows) + w * {W}.0 AS window_start,
+  {", ".join(r(f'coalesce({f}, 0)') + f" AS {f}" for f in S.FEATURES if f not in S.MASK_FEATURES)},
+  CASE WHEN ttl_mean IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS ttl_mean_mask,
+  CASE WHEN tcp_win_mean IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS tcp_win_mean_mask,
+  CASE WHEN has_retrans THEN 1.0 ELSE 0.0 END::DOUBLE AS retrans_rate_mask FROM q_active""")
+
+# windows of an hour that begin every half hour, all of them
+part("q_slide", """
+SELECT *, unnest([floor(ts_end / 1800) * 1800, floor(ts_end / 1800) * 1800 - 1800]) AS s FROM
+  (SELECT c.*, min(ts_end) OVER (PARTITION BY src_ip, dst_ip) AS contact FROM q_cut c)""")
+part("q_sports", """
+SELECT host, s, greatest(log2(sum(n)) - sum(n * log2(n)) / sum(n), 0) AS out_dport_entropy FROM
+  (SELECT src_ip AS host, s, dport, count(*) AS n FROM q_slide GROUP BY ALL) GROUP BY host, s""")
+part("q_sout", """
+SELECT src_ip AS host, s, count(*) AS out_flows, sum(pkts) AS out_pkts, sum(bytes) AS out_bytes, count(DISTINCT dst_ip) AS out_distinct_dst,
+  count(DISTINCT dport) AS out_distinct_dport, count(DISTINCT dst_ip) FILTER (contact >= s) AS out_new_peers, avg(failed) AS out_failed_ratio,
+  avg(small) AS out_small_flow_ratio, avg(syn) AS out_syn_ratio, avg(dur) AS out_mean_dur, sum(bytes) / greatest(sum(pkts), 1) AS out_mean_pkt_size,
+  sum(bwd_bytes) / (sum(fwd_bytes) + 1) AS out_bwd_fwd_ratio, avg(CASE WHEN proto = 'tcp' THEN 1 ELSE 0 END) AS out_tcp_frac,
+  avg(CASE WHEN proto = 'udp' THEN 1 ELSE 0 END) AS out_udp_frac, avg(CASE WHEN proto = 'icmp' THEN 1 ELSE 0 END) AS out_icmp_frac,
+  avg(CASE WHEN dport < 1024 THEN 1 ELSE 0 END) AS out_wellknown_port_frac FROM q_slide GROUP BY ALL""")
+part("q_sin", """
+SELECT dst_ip AS host, s, count(*) AS in_flows, sum(pkts) AS in_pkts, sum(bytes) AS in_bytes, count(DISTINCT src_ip) AS in_distinct_src,
+  count(DISTINCT dport) AS in_distinct_dport, avg(failed) AS in_failed_ratio, avg(small) AS in_small_flow_ratio, avg(syn) AS in_syn_ratio
+FROM q_slide GROUP BY ALL""")
+part("q_sboth", """
+SELECT host, s, avg(ttl) AS ttl_mean, avg(tcp_win) AS tcp_win_mean,
+  coalesce(sum(retrans), 0) / greatest(coalesce(sum(fwd_pkts) FILTER (retrans IS NOT NULL), 0), 1) AS retrans_rate, count(ttl) > 0 AS has_ttl,
+  count(tcp_win) > 0 AS has_win, count(retrans) > 0 AS has_rt
+FROM (SELECT src_ip AS host, s, ttl, tcp_win, retrans, fwd_pkts FROM q_slide UNION ALL SELECT dst_ip, s, ttl, tcp_win, retrans, fwd_pkts FROM q_slide)
+GROUP BY ALL""")
 oracle("stream_windows", f"""
-SELECT host, CAST(s AS BIGINT) AS window_start, count(*) FILTER (side = 0) AS out_flows, {r('coalesce(sum(pkts) FILTER (side = 0), 0)')} AS out_pkts,
-  {r('coalesce(sum(bytes) FILTER (side = 0), 0)')} AS out_bytes, {r('coalesce(avg(failed) FILTER (side = 0), 0)')} AS out_failed_ratio,
-  {r('coalesce(avg(small) FILTER (side = 0), 0)')} AS out_small_flow_ratio, count(*) FILTER (side = 1) AS in_flows, {r('coalesce(sum(pkts) FILTER (side = 1), 0)')} AS in_pkts,
-  {r('coalesce(sum(bytes) FILTER (side = 1), 0)')} AS in_bytes, {r('coalesce(avg(failed) FILTER (side = 1), 0)')} AS in_failed_ratio,
-  {r('coalesce(avg(small) FILTER (side = 1), 0)')} AS in_small_flow_ratio
-FROM (SELECT *, unnest([floor(ts_end / 1800) * 1800, floor(ts_end / 1800) * 1800 - 1800]) AS s FROM
-  (SELECT src_ip AS host, 0 AS side, ts_end, pkts, bytes, failed, small FROM q_cut
-   UNION ALL SELECT dst_ip, 1, ts_end, pkts, bytes, failed, small FROM q_cut))
-WHERE s + 3600 <= (SELECT max(ts_end) FROM q_flows) - 43200 GROUP BY host, s
+SELECT host, CAST(s AS DOUBLE) AS window_start, {", ".join(r(f'coalesce({f}, 0)') + f" AS {f}" for f in S.FEATURES if f not in S.MASK_FEATURES)},
+  CAST(has_ttl AS INTEGER)::DOUBLE AS ttl_mean_mask, CAST(has_win AS INTEGER)::DOUBLE AS tcp_win_mean_mask,
+  CAST(has_rt AS INTEGER)::DOUBLE AS retrans_rate_mask
+FROM q_sboth LEFT JOIN q_sout USING (host, s) LEFT JOIN q_sports USING (host, s) LEFT JOIN q_sin USING (host, s)
 """)
 
 # the readings of each host folded in order; an element carries what is held, what waits for a second reading, and the steps so far

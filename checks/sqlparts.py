@@ -276,7 +276,10 @@ SELECT *, 'd' || CAST(flow_id % 2 AS VARCHAR) AS dataset,
   CAST(floor(ts_end / {W}) AS BIGINT) AS aw, CASE WHEN bwd_pkts <= 0 OR rst > 0 THEN 1 ELSE 0 END AS failed
 FROM q_flows
 """)
-part("q_kcut", "SELECT *, aw - min(aw) OVER (PARTITION BY dataset, capture) AS w FROM q_kflows")
+part("q_kcut", """
+SELECT *, aw - min(aw) OVER (PARTITION BY dataset, capture) AS w, fwd_pkts + bwd_pkts AS pkts, fwd_bytes + bwd_bytes AS bytes,
+  ts_end - ts_start AS dur, CASE WHEN fwd_pkts + bwd_pkts <= 3 THEN 1 ELSE 0 END AS small FROM q_kflows
+""")
 part("q_khosts", """
 SELECT dataset, capture, host FROM
   (SELECT dataset, capture, src_ip AS host FROM q_kflows UNION ALL SELECT dataset, capture, dst_ip FROM q_kflows)
@@ -322,6 +325,52 @@ FROM q_kgrid g
 LEFT JOIN q_kactive a ON a.dataset = g.dataset AND a.capture = g.capture AND a.host = g.host AND a.w = g.w
 LEFT JOIN q_klabel l ON l.dataset = g.dataset AND l.capture = g.capture AND l.host = g.host AND l.w = g.w
 """)
+part("q_kentropy", """
+SELECT dataset, capture, host, w, sum(-p * log2(p)) AS out_dport_entropy FROM
+  (SELECT dataset, capture, host, w, n / sum(n) OVER (PARTITION BY dataset, capture, host, w) AS p FROM
+    (SELECT dataset, capture, host, w, dport, count(*) AS n FROM q_kout GROUP BY ALL))
+GROUP BY ALL
+""")
+part("q_kpeers", """
+SELECT dataset, capture, host, w, count(*) AS out_new_peers FROM
+  (SELECT dataset, capture, host, dst_ip, min(w) AS w FROM q_kout GROUP BY ALL) GROUP BY ALL
+""")
+part("q_koutagg", """
+SELECT dataset, capture, host, w, count(*) AS out_flows, sum(pkts) AS out_pkts, sum(bytes) AS out_bytes,
+  count(DISTINCT dst_ip) AS out_distinct_dst, count(DISTINCT dport) AS out_distinct_dport,
+  avg(failed) AS out_failed_ratio, avg(small) AS out_small_flow_ratio, avg(syn) AS out_syn_ratio,
+  avg(dur) AS out_mean_dur, sum(bytes) / greatest(sum(pkts), 1) AS out_mean_pkt_size,
+  sum(bwd_bytes) / (sum(fwd_bytes) + 1) AS out_bwd_fwd_ratio,
+  avg(CASE WHEN proto = 'tcp' THEN 1 ELSE 0 END) AS out_tcp_frac,
+  avg(CASE WHEN proto = 'udp' THEN 1 ELSE 0 END) AS out_udp_frac,
+  avg(CASE WHEN proto = 'icmp' THEN 1 ELSE 0 END) AS out_icmp_frac,
+  avg(CASE WHEN dport < 1024 THEN 1 ELSE 0 END) AS out_wellknown_port_frac
+FROM q_kout GROUP BY ALL
+""")
+part("q_kinagg", """
+SELECT dataset, capture, host, w, count(*) AS in_flows, sum(pkts) AS in_pkts, sum(bytes) AS in_bytes,
+  count(DISTINCT src_ip) AS in_distinct_src, count(DISTINCT dport) AS in_distinct_dport,
+  avg(failed) AS in_failed_ratio, avg(small) AS in_small_flow_ratio, avg(syn) AS in_syn_ratio
+FROM q_kin GROUP BY ALL
+""")
+part("q_kpacket", """
+SELECT dataset, capture, host, w, avg(ttl) AS ttl_mean, avg(tcp_win) AS tcp_win_mean,
+  coalesce(sum(retrans), 0) / greatest(coalesce(sum(fwd_pkts) FILTER (retrans IS NOT NULL), 0), 1) AS retrans_rate,
+  bool_or(retrans IS NOT NULL) AS has_retrans
+FROM (SELECT dataset, capture, host, w, ttl, tcp_win, retrans, fwd_pkts FROM q_kout
+      UNION ALL SELECT dataset, capture, host, w, ttl, tcp_win, retrans, fwd_pkts FROM q_kin) GROUP BY ALL
+""")
+_AT = "dataset, capture, host, w"
+part("q_kfull", f"""
+SELECT g.dataset, g.capture, g.host, g.segment, g.w AS "window", g.t, g.stage, g.label, g.attack_out,
+  {", ".join(f"CAST(coalesce({f}, 0) AS DOUBLE) AS {f}" for f in S.FEATURES if not f.endswith("_mask"))},
+  CASE WHEN ttl_mean IS NOT NULL THEN 1.0 ELSE 0.0 END AS ttl_mean_mask,
+  CASE WHEN tcp_win_mean IS NOT NULL THEN 1.0 ELSE 0.0 END AS tcp_win_mean_mask,
+  CASE WHEN has_retrans THEN 1.0 ELSE 0.0 END AS retrans_rate_mask
+FROM (SELECT dataset, capture, host, segment, "window" AS w, t, stage, label, attack_out FROM q_kframe) g
+LEFT JOIN q_koutagg USING ({_AT}) LEFT JOIN q_kinagg USING ({_AT}) LEFT JOIN q_kentropy USING ({_AT})
+LEFT JOIN q_kpeers USING ({_AT}) LEFT JOIN q_kpacket USING ({_AT})
+""")
 part("q_kepi", """
 SELECT * EXCLUDE (n, pn, ps, qn), CASE WHEN stage = 0 AND qn - pn <= 6 THEN ps ELSE stage END AS episode_stage FROM
   (SELECT *, max(CASE WHEN stage > 0 THEN n END) OVER (g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pn,

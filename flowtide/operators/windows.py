@@ -194,7 +194,12 @@ def dominant_labels(w: DataFrame, spec: WindowSpec) -> DataFrame:
 
 
 # ------------------------------------------------------------------ feature frame
-def _stack(w: DataFrame, spec: WindowSpec) -> DataFrame:
+_PORT_FEATURES = {"out_distinct_dport", "out_dport_entropy", "in_distinct_dport"}
+_SCRATCH = {"ports": "int", "port_n": "double", "port_nlogn": "double", "new_peer": "int"}
+
+
+def _stack(w: DataFrame, spec: WindowSpec, features: Sequence[str]) -> DataFrame:
+    """The partial tables that `features` need, under one another."""
     keys = list(spec.keys)
     pairs = _sides(pair_cells(w, spec), spec, *_PAIR_SUMS)
     n = F.col("n").cast("double")
@@ -206,10 +211,12 @@ def _stack(w: DataFrame, spec: WindowSpec) -> DataFrame:
     labels = _label_totals(w, spec).select(
         *keys, "host", "window", F.col("n_out").alias("atk_out"), (F.col("n") - F.col("n_out")).alias("atk_in"),
         F.struct((-F.col("n")).alias("neg"), "stage", "label").alias("lab"))
-    stacked = pairs
-    for part in (ports, peers, labels):
-        stacked = stacked.unionByName(part, allowMissingColumns=True)
-    return stacked
+    stacked = pairs.unionByName(labels, allowMissingColumns=True)
+    if _PORT_FEATURES & set(features):
+        stacked = stacked.unionByName(ports, allowMissingColumns=True)
+    if "out_new_peers" in features:
+        stacked = stacked.unionByName(peers, allowMissingColumns=True)
+    return stacked.withColumns({c: F.lit(None).cast(t) for c, t in _SCRATCH.items() if c not in stacked.columns})
 
 
 _OUT_SUMS = ["flows", "pkts", "bytes", "failed", "small", "syn", "dur", "fwd_bytes", "bwd_bytes",
@@ -251,8 +258,8 @@ _FEATURE_SQL = {
 }
 
 
-def active_features(w: DataFrame, spec: WindowSpec) -> DataFrame:
-    """Feature rows of the windows in which a host was seen."""
+def active_features(w: DataFrame, spec: WindowSpec, features: Sequence[str] = S.FEATURES) -> DataFrame:
+    """Feature rows of the windows in which a host was seen; only the partial tables of `features` are computed."""
     keys = list(spec.keys)
     sums = {f"o_{c}": f"sum(IF(side = 0, {c}, NULL))" for c in _OUT_SUMS}
     sums |= {f"i_{c}": f"sum(IF(side = 1, {c}, NULL))" for c in _IN_SUMS}
@@ -260,11 +267,11 @@ def active_features(w: DataFrame, spec: WindowSpec) -> DataFrame:
     sums |= {"o_peers": "count_if(side = 0 AND flows IS NOT NULL)",
              "i_peers": "count_if(side = 1 AND flows IS NOT NULL)",
              "o_new": "sum(new_peer)", "atk_out": "sum(atk_out)", "atk_in": "sum(atk_in)"}
-    g = _stack(w, spec).groupBy(*keys, "host", "window").agg(
+    g = _stack(w, spec, features).groupBy(*keys, "host", "window").agg(
         *[F.expr(f"CAST(coalesce({e}, 0) AS DOUBLE) AS {n}") for n, e in sums.items()],
         F.expr("min(lab) AS lab"))
     return g.selectExpr(
-        *keys, "host", "window", *[f"{e} AS {n}" for n, e in _FEATURE_SQL.items()],
+        *keys, "host", "window", "o_flows + i_flows AS _seen", *[f"{_FEATURE_SQL[n]} AS {n}" for n in features],
         "coalesce(lab.label, 'BENIGN') AS label", "coalesce(lab.stage, 0) AS stage",
         "CAST(coalesce(lab.stage, 0) > 0 AND atk_out >= atk_in AND atk_out > 0 AS INT) AS attack_out")
 
@@ -314,21 +321,23 @@ def fill_gaps(df: DataFrame, part: Sequence[str], start: str, end: str,
 IDLE_ROW = {**{f: "0.0D" for f in S.FEATURES}, "label": "'BENIGN'", "stage": "0", "attack_out": "0"}
 
 
-def host_windows(flows: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
-    """The full feature frame: keys, host, segment, window, t, 31 features, labels."""
+def host_windows(flows: DataFrame, spec: WindowSpec = WindowSpec(), features: Sequence[str] = S.FEATURES) -> DataFrame:
+    """The feature frame: keys, host, segment, window, t, features (all 31 unless named), labels."""
     keys = list(spec.keys)
     w = with_measures(flows, spec)
     marked, late = _mark_selected(w, spec)
-    frame = active_features(marked, spec).join(segments(w, spec), [*keys, "window"])
+    frame = active_features(marked, spec, features).join(segments(w, spec), [*keys, "window"])
     if late:
-        seen = F.sum(F.col("out_flows") + F.col("in_flows")).over(Window.partitionBy(*keys, "host"))
-        frame = frame.withColumn("_seen", seen).filter(F.col("_seen") >= spec.min_flows).drop("_seen")
+        seen = F.sum("_seen").over(Window.partitionBy(*keys, "host"))
+        frame = frame.withColumn("_seen", seen).filter(F.col("_seen") >= spec.min_flows)
+    frame = frame.drop("_seen")
     if spec.densify:
-        frame = fill_gaps(frame, [*keys, "host", "segment"], "seg_start", "seg_end", IDLE_ROW)
+        idle = {c: v for c, v in IDLE_ROW.items() if c in frame.columns}
+        frame = fill_gaps(frame, [*keys, "host", "segment"], "seg_start", "seg_end", idle)
     t = F.col("window").cast("double") * float(spec.window_s) + _anchor(spec)
     window = F.col("window") - F.col("base") if spec.t0 is None else F.col("window")
     return frame.select(*keys, "host", "segment", window.cast("long").alias("window"), t.alias("t"),
-                        *S.FEATURES, *S.LABELS)
+                        *features, *S.LABELS)
 
 
 def host_edges(flows: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:

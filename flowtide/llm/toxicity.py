@@ -1,25 +1,29 @@
 """Toxicity scores by weak supervision.
 
 Voters look at a text and vote toxic, clean or not at all: word lists (a general one, and stems found in labelled
-rows, dealt to several voters), patterns of shouting and of repeated marks, and the absence of every stem. A
-generative label model estimates by expectation-maximisation how each voter votes on toxic and on clean texts; voters
-whose votes agree beyond what the class explains count less, by the sum of those correlations. The labels of training
-rows are one more voter. A linear classifier is trained on the posterior labels and alone makes the scores, from the
-text alone.
-
-The model is fitted on at most `PER_CLASS` labelled rows of either label, the ones with the least hash of their id;
-labels of rows with crc32(doc_id as text) mod 3 = 1 are held out and never read for it. Counts, votes and features
-are taken from whole texts, and every text is scored.
+rows, dealt to several voters), and patterns of shouting and of repeated marks. The label of
+a training row is one more voter, of the same weight as the others. A generative label model estimates by
+expectation-maximisation how common toxic texts are and how each voter votes on toxic and on clean ones, from labelled
+and unlabelled rows alike; voters that are copies of each other are folded into one, and those whose votes agree beyond
+what the class explains count less, by the sum of those correlations. A linear classifier is trained on the posterior
+labels and alone makes the scores, from the text alone.
+
+The model is fitted on at most `PER_CLASS` labelled rows of either label and as many unlabelled rows, the ones with the
+least hash of their id; labels of rows with crc32(doc_id as text) mod 3 = 1 are held out and never read for it (such
+rows may be among the unlabelled ones, by their texts). Counts, votes and features are taken from whole texts, and every
+text is scored.
 
 Defined results: a null text is an empty text and gets the score of a text without any feature; a label without a
-document and a document without a label are left out of the fit; of several labels of an id the greatest holds;
-without labels the general word list alone decides; an empty table gives no rows.
+document and a document without an id are left out of the fit; of several labels of an id the greatest holds;
+without labels the general word list alone decides; an empty table gives no rows; a column with the score's name is
+replaced, all others stay.
 """
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.llm.decontaminate import _FOLD
 
-PER_CLASS, STEMS, LEXICON_VOTERS, CUT, LABEL_WEIGHT = 3000, 400, 10, 0.7, 4.0
+PER_CLASS, STEMS, LEXICON_VOTERS, CUT = 3000, 400, 10, 0.7
 PREFIXES = (4, 5, 6, 8)
 #: Likelihood ratio that a stem must exceed: a chance of 1e-6 for one stem, as a great many are looked at.
 EVIDENCE = 24.0
@@ -47,7 +51,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def stems_of(words: set[bytes]) -> set[bytes]:
-    out = {w[:24] for w in words if len(w) >= 4}
+    """Whole words, up to 24 bytes, and the beginnings of longer ones; a stem of under 4 bytes is a whole word."""
+    out = {w[:24] for w in words}
     for n in PREFIXES:
         out.update([w[:n] for w in words if len(w) > n])
     return out
@@ -72,7 +77,7 @@ class Model:
         hits = [w for w in words if w[:4] in heads]
         told = 0
         for w in hits:
-            own = {place[w[:n]] for n in sizes if n <= len(w) and w[:n] in place}
+            own = {place[w[:n]] for n in sizes if (4 <= n <= len(w) or n == len(w)) and w[:n] in place}
             found.update(own)
             told += bool(own)
             general += w in _GENERAL
@@ -106,14 +111,15 @@ def patterns(text: str | None) -> tuple[float, float]:
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text: str = "text",
            label: str = "toxic") -> DataFrame:
-    """(label, text) of the labelled rows that the model is fitted on."""
+    """(_y, _t) of the rows that the model is fitted on; _y is the label, or -1 where none may be read."""
     known = (labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
              .groupBy(id_col).agg((F.max(label) > 0).cast("int").alias("_y")))
-    picked = None
-    for y in (0, 1):
-        part = known.filter(F.col("_y") == y).orderBy(F.xxhash64(id_col), id_col).limit(per_class)
-        picked = part if picked is None else picked.unionAll(part)
-    return (docs.select(id_col, text).join(F.broadcast(picked), id_col)         # at most 2 * per_class rows
+    first = [F.xxhash64(id_col), F.col(id_col)]
+    ids = docs.select(id_col).filter(F.col(id_col).isNotNull()).distinct()
+    unlabelled = ids.join(known, id_col, "left_anti").withColumn("_y", F.lit(-1))
+    picked = reduce(DataFrame.unionAll, [part.orderBy(*first).limit(per_class) for part in (
+        known.filter("_y = 0"), known.filter("_y = 1"), unlabelled)])
+    return (docs.select(id_col, text).join(F.broadcast(picked), id_col)         # at most 3 * per_class rows
             .select("_y", F.coalesce(F.col(text), F.lit("")).alias("_t")))
 
 
@@ -121,7 +127,8 @@ def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for batch in batches:
         for y, t in zip(batch.column("_y").to_pylist(), batch.column("_t").to_pylist()):
-            counts[y].update(stems_of(set(words_of(t))))
+            if y in counts:
+                counts[y].update(stems_of(set(words_of(t))))
     for y, c in counts.items():
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array([y] * len(c), pa.int32()),
                                           pa.array(list(c.values()), pa.int64())], names=["stem", "_y", "n"])
@@ -152,15 +159,14 @@ def mine_stems(rows: DataFrame, sizes: dict[int, int], most: int = STEMS) -> lis
     return [s for s in support if s not in covered][:most]
 
 
-def votes_of(found: list[list[int]], extra: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Votes (1 toxic, 0 clean, -1 none) of every voter on every row; the last voter is the label."""
-    out = -np.ones((len(found), LEXICON_VOTERS + 7), np.int8)
-    for row, stems in enumerate(found):
-        for i in stems:
-            out[row, i % LEXICON_VOTERS] = 1
-        if not stems:
-            out[row, LEXICON_VOTERS] = 0
-    at = LEXICON_VOTERS + 1
+def votes_of(found: list[list[int]], extra: np.ndarray, labels: np.ndarray, stems: int) -> np.ndarray:
+    """Votes (1 toxic, 0 clean, -1 none) of every voter on every row; the last voter is the label. Stems stand in the
+    order of their evidence, and neighbours share a voter, so that weak ones do not speak with the voice of strong ones."""
+    out = -np.ones((len(found), LEXICON_VOTERS + 6), np.int8)
+    for row, own in enumerate(found):
+        for i in own:
+            out[row, i * LEXICON_VOTERS // stems] = 1
+    at = LEXICON_VOTERS
     out[extra[:, 1] > 0, at] = 1
     out[extra[:, 2] > 0, at + 1] = 1
     out[extra[:, 3] > 1, at + 2] = 1
@@ -170,24 +176,61 @@ def votes_of(found: list[list[int]], extra: np.ndarray, labels: np.ndarray) -> n
     return out
 
 
-def label_model(votes: np.ndarray, prior: float = 0.5, rounds: int = 50, trusted: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def copies_of(votes: np.ndarray, least: int = 20, agree: float = 0.99) -> np.ndarray:
+    """For each voter the first voter that it is a copy of, or itself. Copies vote the same wherever both vote, on
+    `least` rows of either kind; voters of one kind of vote must be silent together as well."""
+    n, m = votes.shape
+    out = np.arange(m)
+    for j in range(m):
+        for i in range(j):
+            if out[i] != i:
+                continue
+            both = (votes[:, i] >= 0) & (votes[:, j] >= 0)
+            same = votes[both, i] == votes[both, j]
+            kinds = [((votes[both, i] == v) | (votes[both, j] == v)).sum() for v in (0, 1)]
+            if min(kinds) >= least and same.mean() >= agree or (
+                    max(kinds) >= least and (votes[:, i] == votes[:, j]).mean() >= 0.9999):
+                out[j] = i
+                break
+    return out
+
+
+def label_model(votes: np.ndarray, start: np.ndarray | None = None, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior chance of toxic for each row; for each voter the chances of its three votes by class; its weight.
 
-    `trusted` is the weight of the last voter, if it is one that correlations do not lessen.
+    `start` are first guesses of the posterior, NaN where there is none: the first chances of votes are those over the
+    guessed rows. Without them every voter is thought right until seen otherwise.
     """
+    first = copies_of(votes)
+    kept = np.unique(first)
+    folded = votes[:, kept].copy()
+    for j, i in enumerate(first):       # a copy speaks where the voter it copies is silent
+        if i != j:
+            at = np.searchsorted(kept, i)
+            folded[:, at] = np.where(folded[:, at] < 0, votes[:, j], folded[:, at])
+    post, theta, weight = _independent(folded, start, rounds)
+    at = np.searchsorted(kept, first)
+    return post, theta[:, at], weight[at] / np.bincount(at)[at]
+
+
+def _independent(votes: np.ndarray, start: np.ndarray | None, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     shown = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
     n, m, _ = shown.shape
     weight = np.ones(m)
-    weight[-1] = trusted or 1.0
     theta = np.empty((2, m, 3))
-    theta[0], theta[1] = (0.5, 0.4, 0.1), (0.5, 0.1, 0.4)       # a voter is thought right until seen otherwise
+    theta[0], theta[1], prior = (0.5, 0.4, 0.1), (0.5, 0.1, 0.4), 0.5
     post = np.full(n, prior)
+    if start is not None and (known := ~np.isnan(start)).any():
+        prior = float(np.clip(start[known].mean(), 0.01, 0.99))
+        for k, p in enumerate((1 - start[known], start[known])):
+            theta[k] = (np.einsum("n,nmv->mv", p, shown[known]) + 0.5) / (p.sum() + 1.5)
     for again in range(2):
         for _ in range(rounds):
             score = np.einsum("nmv,kmv,m->nk", shown, np.log(theta), weight)
             z = score[:, 1] - score[:, 0] + np.log(prior / (1 - prior))
             new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             moved, post = np.abs(new - post).max(), new
+            prior = float(np.clip(post.mean(), 0.01, 0.99))
             for k, p in enumerate((1 - post, post)):
                 theta[k] = (np.einsum("n,nmv->mv", p, shown) + 0.5) / (p.sum() + 1.5)
             if moved < 1e-6:
@@ -198,7 +241,6 @@ def label_model(votes: np.ndarray, prior: float = 0.5, rounds: int = 50, trusted
             together = np.clip((fired.T @ fired) / np.outer(spread, spread), 0, 1)
             np.fill_diagonal(together, 0)
             weight = 1 / (1 + np.where(together > 0.1, together, 0).sum(axis=1))
-            weight[-1] = trusted or weight[-1]
     return post, theta, weight
 
 
@@ -238,9 +280,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col:
                 pa.array(extra, pa.list_(pa.float64()))], names=["y", "at", "counts", "extra"])
 
     got = rows.mapInArrow(features, "y int, at array<int>, counts array<double>, extra array<double>").collect()
-    got.sort(key=lambda r: (r["y"], r["at"], r["counts"], r["extra"]))          # 2 * per_class rows
+    got.sort(key=lambda r: (r["y"], r["at"], r["counts"], r["extra"]))          # 3 * per_class rows
     extra = np.array([r["extra"] for r in got])
-    posterior, _, _ = label_model(votes_of([r["at"] for r in got], extra, np.array([r["y"] for r in got])), trusted=LABEL_WEIGHT)
+    labels = np.array([r["y"] for r in got])
+    posterior, _, _ = label_model(votes_of([r["at"] for r in got], extra, labels, len(model.stems)),
+                                  np.where(labels < 0, np.nan, labels))
     x = np.zeros((len(got), len(model.stems)))
     for row, r in enumerate(got):
         x[row, r["at"]] = r["counts"]

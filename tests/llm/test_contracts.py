@@ -2,7 +2,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -313,16 +313,50 @@ def test_license_query(spark, docs):
 
 # --- 7 toxicity -------------------------------------------------------------------------------------------------------
 
+def told(labels, texts):
+    """By brute force: the words that at least three toxic training rows hold, and toxic rows twenty times as often."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    bags = {i: set(re.findall(r"\w+", (texts.get(i) or "").lower())) for i in labels}
+    n = [sum(1 for i, y in labels.items() if y == k and not held(i)) for k in (0, 1)]
+    seen = [Counter(w for i, y in labels.items() if y == k and not held(i) for w in bags[i]) for k in (0, 1)]
+    cues = {w for w, k in seen[1].items() if k >= 3 and k / n[1] > 20 * (seen[0][w] + 0.5) / n[0]}
+    return {i for i in labels if bags[i] & cues}
+
+
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.01"
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    got = rows(QUERIES["op7_toxicity"](spark, sf))
-    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
-    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
-    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
-    held = [(labels[r["doc_id"]], r["predicted"]) for r in got if r["held_out"] and r["doc_id"] in labels]
-    hits = sum(a and b for a, b in held)
-    assert hits >= 0.8 * sum(a for a, _ in held) and hits >= 0.9 * sum(b for _, b in held)
+    """A text with an insult is caught; a label without any cue in its text cannot be learnt from the text (4 of 18 here,
+    some 6 % at the larger size), so recall over all labels has the bound of its binomial."""
+    for size, least in (("0.01", 0.6), ("0.1", 0.93 - 3 * (0.93 * 0.07 / 144) ** 0.5)):
+        sf = f"/root/testdata/sf{size}"
+        labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+        texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+        got = rows(QUERIES["op7_toxicity"](spark, sf))
+        assert len(got) == len(texts)
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+        held = {r["doc_id"]: r["predicted"] for r in got if r["held_out"] and r["doc_id"] in labels}
+        toxic, clear = [i for i in held if labels[i]], told(labels, texts)
+        caught = [i for i in toxic if held[i]]
+        assert len(caught) >= 0.9 * sum(held.values()) and len(caught) >= least * len(toxic)
+        assert sum(held[i] for i in toxic if i in clear) >= 0.95 * sum(i in clear for i in toxic)
+
+
+def test_toxicity_short_words(spark):
+    """A toxic word of three letters is learnt; it stands for itself, not for longer words."""
+    rows_ = [(i, prose(i, 30) + (" zug" if i % 4 == 0 else " zugo zugabe" if i % 4 == 1 else ""), "en", "a") for i in range(400)]
+    labels = [(i, int(i % 4 == 0)) for i in range(400)]
+    model = toxicity.fit(documents(spark, rows_), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert b"zug" in model.stems and model.score("you zug you") > 0.7 > 0.3 > model.score("you zugo you")
+
+
+def test_toxicity_unlabelled_rows_vote(spark):
+    """Rows without a label take part, at most `per_class` of them, and rows of held-out labels by their texts alone."""
+    rows_ = [(i, f"word{i}", "en", "a") for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    picked = [(r["_y"], int(r["_t"][4:])) for r in rows(toxicity.sample(documents(spark, rows_), labels, 50))]
+    held = {i for i in range(60) if zlib.crc32(str(i).encode()) % 3 == 1}
+    assert {i for y, i in picked if y >= 0} == set(range(60)) - held
+    assert sum(y < 0 for y, _ in picked) == 50 and all(i >= 60 or i in held for y, i in picked if y < 0)
 
 
 def test_toxicity_reads_no_held_out_label(spark):
@@ -344,7 +378,6 @@ def test_toxicity_odd(spark):
         assert rows(toxicity.score(documents(spark, []), model)) == []
 
 
-@pytest.mark.xfail(reason="open: without a trusted label, exact copies of a weak voter still win over better ones", strict=True)
 def test_label_model():
     rng = np.random.default_rng(3)
     y = rng.random(4000) < 0.5

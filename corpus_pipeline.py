@@ -22,18 +22,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose score is at the cut or above; the model is that of the given documents and the
     table's labels."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, name="_toxicity")
-    return scored.filter(F.col("_toxicity") < toxicity.CUT).select(*docs.columns)
+    score = free_name(docs, "_toxicity")
+    return toxicity.score(docs, model, name=score).filter(F.col(score) < toxicity.CUT).select(*docs.columns)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, with as many more underlines as it takes to be none of the columns."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies, the one of least id. A document is an id and a text: of rows equal in both
-    one stays, and texts that share an id, or have none, are documents of their own."""
+    """One document of each group of copies, the one of least id. A document is an id and a text: texts that share an id,
+    or have none, are documents of their own. Of rows equal in both the least by their other columns stays."""
+    mark, kept, kept_mark = (free_name(docs, n) for n in ("_mark", "_kept", "_kept_mark"))
     found = near_dup.groups_of(docs, NEAR_PERCENT).filter("kept").select(
-        F.col("id").alias("_kept"), F.col("mark").alias("_kept_mark")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_mark") == F.col("_kept_mark"))
-    return (docs.withColumn("_mark", near_dup.mark(F.col("text"))).join(found, same, "left_semi")
-            .dropDuplicates(["doc_id", "_mark"]).select(*docs.columns))
+        F.col("id").alias(kept), F.col("mark").alias(kept_mark)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(kept)) & (F.col(mark) == F.col(kept_mark))
+    order = F.xxhash64(*[F.col(c) for c in docs.columns if c != "text"])
+    row = F.min_by(F.struct(*docs.columns), order).alias(kept)
+    return (docs.withColumn(mark, near_dup.mark(F.col("text"))).join(found, same, "left_semi")
+            .groupBy("doc_id", mark).agg(row).select(f"{kept}.*"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

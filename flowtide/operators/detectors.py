@@ -77,11 +77,6 @@ def campaigns(scans: DataFrame, brutes: DataFrame, window_s: float = 60, n: int
             .orderBy("alert_step", "src", "stage", "dst").limit(n))
 
 
-def network_risk(curves: DataFrame) -> DataFrame:
-    """Highest campaign risk per step."""
-    return curves.groupBy("step").agg(F.max("risk").alias("risk"))
-
-
 def window_count(flows: DataFrame, window_s: float = 60, lo: int = 12, hi: int = 40) -> DataFrame:
     """Number of windows a console shows: last window + 2, clamped."""
     span = F.floor((F.max("ts_start") - F.min("ts_start")) / window_s)

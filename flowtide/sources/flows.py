@@ -7,6 +7,8 @@ uses, whether times are numeric) are taken per file over all its rows.
 """
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -59,8 +61,9 @@ def _finite(c: Column) -> Column:
     return c.isNotNull() & (F.abs(c) < float("inf"))
 
 
-def finalise(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Coerce to the flow schema, add missing columns, drop rows without hosts or times.
+def finalise(df: DataFrame, extra: Sequence[str] = (), drop: bool = True) -> DataFrame:
+    """Coerce to the flow schema, add missing columns, drop rows without hosts or times; with `drop` off these stay and
+    a column `usable` tells them.
 
     `flow_id` defaults to a hash of the row, so that equal inputs number equally however
     they are partitioned; identical rows may share it because they are interchangeable.
@@ -82,12 +85,13 @@ def finalise(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
                       *[c.alias(n) for n, c in out.items()])
     counts = {c: F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0))
               for c in ("fwd_pkts", "bwd_pkts", "fwd_bytes", "bwd_bytes")}
-    typed = (typed.filter((F.length("src_ip") > 0) & (F.length("dst_ip") > 0)
-                          & _finite(F.col("ts_start")) & _finite(F.col("ts_end")))
-             .withColumns({**counts, "ts_end": F.greatest("ts_end", "ts_start")}))
+    usable = ((F.length("src_ip") > 0) & (F.length("dst_ip") > 0)
+              & _finite(F.col("ts_start")) & _finite(F.col("ts_end")))
+    typed = typed.filter(usable) if drop else typed.withColumn("usable", F.coalesce(usable, F.lit(False)))
+    typed = typed.withColumns({**counts, "ts_end": F.greatest("ts_end", "ts_start")})
     if "flow_id" not in have:
         typed = typed.withColumn("flow_id", F.xxhash64(*S.FLOW_COLUMNS))
-    return typed.select(*extra, *[f.name for f in S.FLOW_SCHEMA])
+    return typed.select(*extra, *[f.name for f in S.FLOW_SCHEMA], *([] if drop else ["usable"]))
 
 
 def resolve(columns: Sequence[str], aliases: dict[str, list[str]]) -> dict[str, str]:
@@ -97,18 +101,36 @@ def resolve(columns: Sequence[str], aliases: dict[str, list[str]]) -> dict[str,
             for hit in [next((n.lower() for n in names if n.lower() in actual), None)] if hit}
 
 
+class Files(list):
+    """Files that are read together. A capture is named by its file's path below `depth` folders, without the ending
+    unless two files differ by nothing else; so two files never share a name."""
+
+    def __init__(self, paths: Sequence[str], every: Sequence[str] | None = None):
+        super().__init__(sorted(paths))
+        folders = [p.split("/")[:-1] for p in every or paths]
+        self.depth = len(os.path.commonprefix(folders))
+        stems = {re.sub(r"\.[^./]*$", "", p) for p in every or paths}
+        self.endings = len(stems) < len(set(every or paths))
+
+    def capture(self) -> Column:
+        below = F.array_join(F.slice(F.split(F.col("_metadata.file_path"), "/"), self.depth + 1, 1 << 20), "/")
+        return below if self.endings else F.regexp_replace(below, r"\.[^./]*$", "")
+
+
 def _read_csv(spark: SparkSession, path, header: bool, columns: Sequence[str] | None = None) -> DataFrame:
+    """Text cells with the capture's name and `_file`, the whole path that facts of a file are joined on."""
     reader = spark.read.option("mode", "PERMISSIVE").option("header", header)
     if columns:
         reader = reader.schema(", ".join(f"`{c}` STRING" for c in columns))
-    return reader.csv(path).withColumn("capture", F.regexp_replace(
-        F.col("_metadata.file_name"), r"\.[^.]*$", ""))
+    raw = reader.csv(path)
+    files = path if isinstance(path, Files) else Files(raw.inputFiles())
+    return raw.withColumns({"capture": files.capture(), "_file": F.col("_metadata.file_path")})
 
 
 def _per_file(df: DataFrame, facts: dict[str, Column]) -> DataFrame:
     """Attach aggregates of each row's file."""
-    per = df.groupBy("capture").agg(*[c.alias(n) for n, c in facts.items()])
-    return df.join(per, "capture")
+    per = df.groupBy("_file").agg(*[c.alias(n) for n, c in facts.items()])
+    return df.join(per, "_file")
 
 
 def _epoch_by_file(df: DataFrame, raw: str, calendar: Callable[[Column], Column] = P.calendar_epoch) -> DataFrame:
@@ -121,7 +143,7 @@ def _epoch_by_file(df: DataFrame, raw: str, calendar: Callable[[Column], Column]
         "_num", "_ms")
 
 
-def load_cic(spark: SparkSession, path) -> DataFrame:
+def load_cic(spark: SparkSession, path, drop: bool = True) -> DataFrame:
     """CIC-style flow CSV. Day-first times are read on a 24-hour clock when the file shows
     an hour above 12 or the year 2018, else on a 12-hour clock without AM/PM."""
     raw = _read_csv(spark, path, True)
@@ -130,7 +152,7 @@ def load_cic(spark: SparkSession, path) -> DataFrame:
     if missing:
         raise UnsupportedFormat(f"{path}: flow CSV without {sorted(missing)}; per-host forecasting needs "
                                 "source/destination IPs and timestamps")
-    df = raw.select("capture", *[F.col(f"`{c}`").alias(f) for f, c in cols.items()])
+    df = raw.select("capture", "_file", *[F.col(f"`{c}`").alias(f) for f, c in cols.items()])
     for name, default in (("sport", "0"), ("dport", "0"), ("proto", "other"), ("label", ""), ("tcp_win", None),
                           *((c, "0") for c in ("fwd_bytes", "bwd_bytes", "syn", "rst", "fin"))):
         if name not in cols:
@@ -151,10 +173,10 @@ def load_cic(spark: SparkSession, path) -> DataFrame:
         P.text(F.col("dst_ip")).alias("dst_ip"), P.port(F.col("sport")).alias("sport"),
         P.port(F.col("dport")).alias("dport"), P.proto_name(F.col("proto")).alias("proto"),
         "fwd_pkts", "bwd_pkts", "fwd_bytes", "bwd_bytes", *[c.alias(n) for n, c in flags.items()],
-        F.when(win > 0, win).alias("tcp_win"), P.text(F.col("label")).alias("label")), ["capture"])
+        F.when(win > 0, win).alias("tcp_win"), P.text(F.col("label")).alias("label")), ["capture"], drop)
 
 
-def load_argus(spark: SparkSession, path) -> DataFrame:
+def load_argus(spark: SparkSession, path, drop: bool = True) -> DataFrame:
     """Argus bidirectional flows (.binetflow): packets are split by the source byte share."""
     raw = _read_csv(spark, path, True)
     raw = raw.select(*[F.col(f"`{c}`").alias(c.strip()) for c in raw.columns])
@@ -178,10 +200,10 @@ def load_argus(spark: SparkSession, path) -> DataFrame:
         F.greatest(F.lit(1.0), F.bround(tot * share, 0)).alias("fwd_pkts"),
         F.bround(tot * (1 - share), 0).alias("bwd_pkts"), src.alias("fwd_bytes"),
         F.greatest(byt - src, F.lit(0.0)).alias("bwd_bytes"), flag("S").alias("syn"), flag("R").alias("rst"),
-        flag("F").alias("fin"), P.text(F.col("Label")).alias("label")), ["capture"])
+        flag("F").alias("fin"), P.text(F.col("Label")).alias("label")), ["capture"], drop)
 
 
-def load_unsw(spark: SparkSession, path) -> DataFrame:
+def load_unsw(spark: SparkSession, path, drop: bool = True) -> DataFrame:
     """Headerless UNSW-NB15 flow CSV."""
     raw = _read_csv(spark, path, False, UNSW_COLUMNS)
     state, proto = F.upper(F.coalesce("state", F.lit(""))), P.proto_name(F.col("proto"))
@@ -198,12 +220,12 @@ def load_unsw(spark: SparkSession, path) -> DataFrame:
         (tcp & state.isin(*UNSW_SYN_STATES)).cast("int").alias("syn"), (state == "RST").cast("int").alias("rst"),
         state.isin("FIN", "CLO").cast("int").alias("fin"), F.col("sttl").alias("ttl"),
         F.when(tcp, P.number(F.col("swin"))).alias("tcp_win"), F.when(tcp, P.number(F.col("sloss"))).alias("retrans"),
-        label.alias("label")), ["capture"])
+        label.alias("label")), ["capture"], drop)
 
 
-def load_canonical(spark: SparkSession, path) -> DataFrame:
+def load_canonical(spark: SparkSession, path, drop: bool = True) -> DataFrame:
     raw = _read_csv(spark, path, True)
-    return finalise(raw.select(*[F.col(f"`{c}`").alias(c.strip()) for c in raw.columns]), ["capture"])
+    return finalise(raw.select(*[F.col(f"`{c}`").alias(c.strip()) for c in raw.columns]), ["capture"], drop)
 
 
 # ------------------------------------------------------------------ dispatch
@@ -242,26 +264,44 @@ def detect_format(spark: SparkSession, path) -> str:
     return _format_of(path, head[0][0] if head else "")
 
 
-def load_flows(spark: SparkSession, path) -> tuple[DataFrame, str]:
-    """Flows of a path in any registered formats, and the format's name ("mixed" for several).
-
-    Every file of a folder is judged by its own first line; files of one format and header are read together.
-    """
+def _grouped(spark: SparkSession, path) -> list[tuple[str, "Files"]]:
+    """The files of a path by format and header, each judged by its own first line (a row a file reaches the driver)."""
     files = spark.read.text(path).inputFiles()
     if len(files) < 2:
-        name = detect_format(spark, path)
-        return _loader(name)(spark, path), name
+        return [(detect_format(spark, path), Files(files))]
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
                                          F.monotonically_increasing_id().alias("n"), "value").filter("at = 0")
-    heads = lines.groupBy("file").agg(F.min_by("value", "n").alias("head")).collect()      # a row a file
+    heads = lines.groupBy("file").agg(F.min_by("value", "n").alias("head")).collect()
     groups: dict[tuple[str, str], list[str]] = {}
     for r in heads:
         name = _format_of(r["file"], r["head"])
         groups.setdefault((name, r["head"] if name != "unsw" else ""), []).append(r["file"])
-    parts = [_loader(name)(spark, sorted(paths)) for (name, _), paths in sorted(groups.items())]
+    return [(name, Files(paths, files)) for (name, _), paths in sorted(groups.items())]
+
+
+def load_flows(spark: SparkSession, path) -> tuple[DataFrame, str]:
+    """Flows of a path in any registered formats, and the format's name ("mixed" for several)."""
+    groups = _grouped(spark, path)
+    parts = [_loader(name)(spark, files) for name, files in groups]
     names = {name for name, _ in groups}
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), names.pop() if len(names) == 1 else "mixed"
 
 
+def load_report(spark: SparkSession, path) -> DataFrame:
+    """Per capture: its format, rows read, rows dropped because they have no hosts or no readable time, and the first and
+    last time. A format registered by the user reports the rows it returns."""
+    parts = []
+    for name, files in _grouped(spark, path):
+        load = _loader(name)
+        flows = load(spark, files, drop=False) if load in _OWN else load(spark, files).withColumn("usable", F.lit(True))
+        parts.append(flows.select("capture", F.lit(name).alias("format"), "usable", "ts_start", "ts_end"))
+    return reduce(DataFrame.unionByName, parts).groupBy("capture", "format").agg(
+        F.count("*").alias("rows"), F.count_if(~F.col("usable")).alias("dropped"),
+        F.min(F.when(F.col("usable"), F.col("ts_start"))).alias("first"), F.max(F.when(F.col("usable"), F.col("ts_end"))).alias("last"))
+
+
+_OWN = (load_cic, load_argus, load_unsw, load_canonical)
+
+
 def _loader(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return next(load for n, _, load in _FORMATS if n == name)

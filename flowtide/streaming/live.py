@@ -175,16 +175,6 @@ def shifted(flows: DataFrame, start: float) -> DataFrame:
     return flows.withColumns({c: F.col(c) - first + float(start) for c in ("ts_start", "ts_end")})
 
 
-def virtual_clock(start: float, wall_now: float, speed: float = 12.0) -> float:
-    return start + max(0.0, wall_now - start) * max(0.1, speed)
-
-
-def due(flows: DataFrame, since: float | None, clock: float) -> DataFrame:
-    """Rows that became due after `since` and up to the virtual clock."""
-    d = flows.filter(F.col("ts_end") <= clock)
-    return d if since is None else d.filter(F.col("ts_end") > since)
-
-
 def replay_stream(spark, path: str, start: float, recorded_start: float, files_per_batch: int = 1) -> DataFrame:
     """Recorded Parquet flows as a stream, shifted to `start`."""
     s = spark.readStream.schema(S.FLOW_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)

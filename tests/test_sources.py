@@ -3,7 +3,7 @@ import pytest
 from flowtide.functions import parsing as P
 from flowtide.operators.windows import WindowSpec, host_windows
 from flowtide.sources import datasets
-from flowtide.sources.flows import (UnsupportedFormat, detect_format, finalise, load_flows, register_format, resolve)
+from flowtide.sources.flows import (Files, UnsupportedFormat, load_report, detect_format, finalise, load_flows, register_format, resolve)
 from pyspark.sql import functions as F
 
 HEAD = (" Source IP, Source Port, Destination IP, Destination Port, Protocol, Timestamp, Flow Duration, Total Fwd Packets,"
@@ -131,3 +131,33 @@ def test_folder_of_several_formats(spark, tmp_path):
         ("cic", 60), ("other", 1), ("x", 1)}
     one = f.filter("capture = 'other'").first()
     assert (one["src_ip"], one["dst_ip"], one["dport"], one["fwd_bytes"]) == ("10.0.0.1", "10.0.0.2", 80, 120.0)
+
+
+def test_files_of_one_name_are_judged_apart(spark, tmp_path):
+    """A 2017 file on the 12-hour clock beside a 2018 one of the same name, and a third with numeric times."""
+    for folder, day, hour in (("a", "5/7/2017", 3), ("b", "5/7/2018", 3)):
+        (tmp_path / folder).mkdir()
+        cic(tmp_path / folder, day, hour)
+    (tmp_path / "c" / "deep").mkdir(parents=True)
+    rows = "\n".join(f"10.0.0.{i},1,10.0.1.1,2,6,{1_500_000_000 + i},1000,1,1,1,1,0,1,0,1,BENIGN" for i in range(5))
+    (tmp_path / "c" / "deep" / "cic.csv").write_text(HEAD + "\n" + rows + "\n")
+    alone = {f: load_flows(spark, str(tmp_path / f / "cic.csv"))[0].agg(F.count("*"), F.min("ts_start")).first() for f in ("a", "b")}
+    whole, name = load_flows(spark, [str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "c" / "deep")])
+    got = {r["capture"]: (r["n"], r["t"]) for r in whole.groupBy("capture").agg(F.count("*").alias("n"), F.min("ts_start").alias("t")).collect()}
+    assert name == "cic" and got == {"a/cic": tuple(alone["a"]), "b/cic": tuple(alone["b"]), "c/deep/cic": (5, 1_500_000_000.0)}
+    assert got["a/cic"][1] % 86400 == 15.5 * 3600 and got["b/cic"][1] % 86400 == 3.5 * 3600
+
+
+def test_capture_names():
+    assert Files(["file:/x/a.csv", "file:/x/b.csv"]).endings is False
+    both = Files(["file:/x/a.csv", "file:/x/a.txt"])
+    assert both.endings and both.depth == 2 and Files(["file:/x/a/m.csv"], ["file:/x/a/m.csv", "file:/x/b/m.csv"]).depth == 2
+
+
+def test_load_report_counts_dropped_rows(spark, tmp_path):
+    cic(tmp_path)
+    with open(tmp_path / "cic.csv", "a") as f:
+        f.write("192.168.10.5,1,192.168.10.6,2,6,not a time,1,1,1,1,1,0,0,0,1,BENIGN\n,1,192.168.10.6,2,6,5/7/2017 9:30,1,1,1,1,1,0,0,0,1,x\n")
+    (r,) = load_report(spark, str(tmp_path / "cic.csv")).collect()
+    assert (r["capture"], r["format"], r["rows"], r["dropped"], r["first"]) == ("cic", "cic", 62, 2, 1499247000.0)
+    assert load_flows(spark, str(tmp_path / "cic.csv"))[0].count() == 60

@@ -105,5 +105,3 @@ def test_filter_batch_and_clock(spark):
     left = LV.filter_batch(f, [{"kind": "rate_limit", "target": "a", "at": 10.0}])
     assert {r["flow_id"] for r in left.collect()} == {*range(10), 10, 20, 30}
     assert LV.filter_batch(f, [{"kind": "block_source", "target": "b", "at": 39.0}]).count() == 39
-    assert LV.virtual_clock(100.0, 112.0, 30) == 460.0
-    assert LV.due(LV.shifted(f, 500.0), 505.0, 510.0).count() == 5

@@ -146,3 +146,34 @@ SELECT doc_id, len(u) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END A
     ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
 FROM x
 """
+
+from flowtide.llm import licenses as _L  # noqa: E402
+
+_TEXTS = ", ".join(f"({k}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for k, (name, text) in enumerate(_L.TEMPLATES))
+_COMMON = ", ".join(f"'{w}'" for w in sorted(_L.COMMON))
+_MARKED = " + ".join(f"CAST(regexp_matches(s, '(?i){m}') AS INTEGER)" for m in _L.MARKS)
+
+ORACLES["op6_license_scan"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') AS dir, coalesce(text, '') AS t,
+    coalesce(CAST(doc_id AS VARCHAR), sha256(coalesce(text, ''))) || '.txt' AS name FROM documents),
+x(m, license, body) AS (VALUES {_TEXTS}),
+c AS (SELECT m, license, w, count(*) AS n FROM (SELECT m, license, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS w FROM x) GROUP BY ALL),
+i AS (SELECT w, ln((1 + (SELECT count(*) FROM x)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY w),
+v AS (SELECT m, license, c.w, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY m)) AS weight,
+    CAST(c.w NOT IN ({_COMMON}) AND NOT regexp_matches(c.w, '^[0-9]$') AS INTEGER) AS tells FROM c JOIN i ON i.w = c.w),
+u AS (SELECT r, kind, row_number() OVER () AS k, s FROM (
+  SELECT r, 0 AS kind, t AS s FROM d UNION ALL SELECT r, 1, unnest(string_split_regex(t, '\\r?\\n[^A-Za-z0-9\\n]*\\n')) FROM d
+  UNION ALL SELECT r, 2, unnest(string_split_regex(regexp_replace(t, '([.!?])[ \\t\\n\\r\\f\\x0B]+', '\\1' || chr(10), 'g'), '[\\r\\n]+')) FROM d)
+  WHERE {_MARKED} >= CASE WHEN kind < 2 THEN {_L.LONG_MARKS} ELSE 1 END),
+b AS (SELECT r, kind, k, w, count(*) AS n FROM (SELECT r, kind, k, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')) AS w FROM u) GROUP BY ALL),
+f AS (SELECT b.*, n * coalesce(idf, ln(1 + (SELECT count(*) FROM x)) + 1) AS value FROM b LEFT JOIN i ON i.w = b.w),
+l AS (SELECT k, sqrt(sum(value * value)) AS norm FROM f GROUP BY k),
+s AS (SELECT f.r, f.kind, v.license, round(sum(f.value * v.weight) / any_value(l.norm), 6) AS cosine FROM f JOIN v ON v.w = f.w JOIN l ON l.k = f.k
+  GROUP BY f.r, f.kind, f.k, v.m, v.license HAVING sum(v.tells) > 1 AND round(sum(f.value * v.weight) / any_value(l.norm), 6) >= {_L.LEAST}),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY cosine DESC, license, kind) AS rn FROM s) WHERE rn = 1),
+g AS (SELECT dir, license FROM (SELECT d.dir, o.license, row_number() OVER (PARTITION BY d.dir ORDER BY o.cosine DESC, d.name, o.license) AS rn
+  FROM o JOIN d ON d.r = o.r WHERE o.kind = 0) WHERE rn = 1)
+SELECT doc_id, d.dir || '/' || name AS path, o.license AS own_license, cosine, (['whole', 'paragraph', 'sentence'])[o.kind + 1] AS license_unit,
+  coalesce(o.license, g.license) AS license, CASE WHEN o.license IS NULL THEN g.dir END AS inherited_from
+FROM d LEFT JOIN o ON o.r = d.r LEFT JOIN g ON g.dir = d.dir
+"""

@@ -67,14 +67,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences of all documents as files source/lang/id.txt; one that is little more than its notice speaks for its
-    directory."""
+    """Licences of all documents as files source/lang/id.txt (the digest of its text where a row has no id); one that is a
+    licence as a whole speaks for its directory."""
     docs = _table(spark, sf_dir, "documents")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     files = docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")),
-                                              F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),
-                        "text", mixing.tokens_of(F.coalesce("text", F.lit(""))).alias("_words"))
-    return licenses.scan(files, F.col("_words") <= 8 * F.col("license_words")).select(
-        "doc_id", "path", "own_license", "cosine", "license", "inherited_from")
+                                              F.concat(name, F.lit(".txt"))).alias("path"), "text")
+    return licenses.scan(files, F.col("license_unit") == "whole").select(
+        "doc_id", "path", "own_license", "cosine", "license_unit", "license", "inherited_from")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

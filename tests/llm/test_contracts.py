@@ -298,17 +298,74 @@ def test_licenses(spark):
     assert rows(licenses.scan(files.limit(0), speaks)) == []
 
 
+def plain_licence(text):
+    """TF-IDF by the definition: every unit against every template."""
+    bag = lambda t: Counter(re.findall("[a-z0-9]+", t.lower()))
+    bags = [(name, bag(t)) for name, t in licenses.TEMPLATES]
+    seen = Counter(t for _, b in bags for t in b)
+    idf = lambda t: np.log((1 + len(bags)) / (1 + seen[t])) + 1
+    norm = lambda b: np.sqrt(sum((n * idf(t)) ** 2 for t, n in b.items()))
+    norms = [norm(b) for _, b in bags]
+    marks = lambda s: sum(bool(re.search(m, s, re.I)) for m in licenses.MARKS)
+    units = [(0, text)] + [(1, s) for s in re.split(licenses.PARAGRAPH_END, text)] + [(2, s) for s in re.split(licenses.SENTENCE_END, text)]
+    found = []
+    for kind, s in units:
+        if marks(s) >= (licenses.LONG_MARKS if kind < 2 else 1):
+            own = bag(s)
+            for (name, b), size in zip(bags, norms):
+                both = set(own) & set(b)
+                if sum(t not in licenses.COMMON and not (t.isdigit() and len(t) < 2) for t in both) > 1:
+                    found.append((-round(sum(own[t] * b[t] * idf(t) ** 2 for t in both) / norm(own) / size, 6), name, kind))
+    best = min((x for x in found if -x[0] >= licenses.LEAST), default=None)
+    return best and (best[1], -best[0], ("whole", "paragraph", "sentence")[best[2]])
+
+
+MIT = next(t for n, t in licenses.NOTICES if n == "MIT" and t.startswith("Permission"))
+GNU = next(t for n, t in licenses.NOTICES if n == "GPL-3.0" and "free software" in t)
+HEADERS = [     # not in the table; as they stand in files
+    ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("// SPDX-License-Identifier: MIT", "MIT"), ("Licensed under MIT", "MIT"),
+    ("# SPDX-License-Identifier: GPL-2.0-or-later\nimport os\n", "GPL-2.0"), (MIT, "MIT"), (GNU, "GPL-3.0"),
+    ("MIT License\n\nCopyright (c) 2020 Some One\n\n" + MIT.replace(". ", ".\n"), "MIT"),
+    ("/*\n * " + re.sub("((?:\\S+ ){12})", "\\1\n * ", GNU) + "\n */\nint main() { return 0; }\n", "GPL-3.0"),
+    ("def f():\n    pass\n\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file.\n", "Apache-2.0"),
+    ("The mit licenced reader permits nothing.", None), ("A story about a copyright lawyer who had a licence to fish.", None),
+    ("no mark at all", None), ("", None)]
+
+
+def test_license_headers_and_files(spark):
+    texts = [*HEADERS, (prose(3, 400) + "\n\n" + MIT + "\n\n" + prose(4, 400), "MIT")]
+    files = spark.createDataFrame([(f"d{k}/f", t) for k, (t, _) in enumerate(texts)] + [("d0/f", "another text of this path")],
+                                  "path string, text string")
+    got = {(r["path"], k): r for k, r in enumerate(rows(licenses.scan(files, F.lit(False))))}
+    assert len(got) == len(texts) + 1
+    by = defaultdict(list)
+    for (path, _), r in got.items():
+        by[path].append((r["own_license"], r["cosine"], r["license_unit"]))
+    for k, (t, name) in enumerate(texts):
+        want = plain_licence(t)
+        assert (want and want[0]) == name and (want or (None, None, None)) in by[f"d{k}/f"], t
+    assert sorted(map(str, by["d0/f"])) == sorted(map(str, [("Apache-2.0", 1.0, "sentence"), (None, None, None)]))
+
+
 def test_license_query(spark, docs):
-    known = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT",
-             "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
-             "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "All rights reserved.": "Proprietary"}
     got = rows(QUERIES["op6_license_scan"](spark, SF))
     assert len(got) == len(docs)
     texts = dict(docs)
     for r in got:
-        own = {v for k, v in known.items() if k in re.split("[\r\n]+", texts[r["doc_id"]] or "")}
-        assert (r["own_license"] in own) if own else (r["own_license"] is None)
-        assert r["own_license"] is None or r["license"] == r["own_license"]
+        want = plain_licence(texts[r["doc_id"]] or "")
+        assert (r["own_license"], r["cosine"], r["license_unit"]) == (want or (None, None, None))
+    assert any(r["own_license"] for r in got) and not all(r["own_license"] for r in got)
+
+
+def test_license_rows_without_id(spark, tmp_path):
+    """Rows without an id are files of their own; one's notice is not another's."""
+    rows_ = [(None, MIT, "en", "a"), (None, "a story without any notice", "en", "b"), (None, None, "en", "b"), (7, "text", "en", "b"),
+             (None, "another story", "en", "a")]
+    documents(spark, rows_, extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows(QUERIES["op6_license_scan"](spark, str(tmp_path)))
+    assert len({r["path"] for r in got}) == 5
+    assert sorted((str(r["own_license"]), str(r["license"]), str(r["inherited_from"])) for r in got) == sorted([
+        ("MIT", "MIT", "None"), ("None", "MIT", "a/en"), *[("None", "None", "None")] * 3])
 
 
 # --- 7 toxicity -------------------------------------------------------------------------------------------------------

@@ -140,7 +140,7 @@ def top_hosts(spark, sf):
 
 @register
 def neighbor_agg(spark, sf):
-    f = frame(spark, sf).select("host", "window", *S.FEATURES)
+    f = materialise(frame(spark, sf).select("host", "window", *S.FEATURES))
     return rounded(G.neighbor_aggregate(f, W.host_edges(flows(spark, sf), spec()), S.FEATURES))
 
 
@@ -500,6 +500,12 @@ def counterfactual_throttle(spark, sf):
     return CF.apply_to_flows(flows(spark, sf), ACTION_RATE, _midpoint(spark, sf)).select("flow_id", "src_ip", "dst_ip")
 
 
+@register
+def display_risk(spark, sf):
+    """Risk as a board shows it for two hosts under a block."""
+    return rounded(CF.damped(peak_risk(spark, sf), ACTION_BLOCK, ["10.0.0.5", "10.0.0.7"]))
+
+
 # ------------------------------------------------------------------ boards and reports
 from flowtide.operators import attribution as AT  # noqa: E402
 from flowtide.plans import analysis as AN, training as TR  # noqa: E402
@@ -625,11 +631,121 @@ def clock_slice(spark, sf):
 
 
 @register
-def outcome(spark, sf):
-    """Counterfactual replay of blocking one source from the middle of the recording."""
+def offset_slice(spark, sf):
+    """The second day of the recording."""
+    return C.offset_slice(flows(spark, sf), 60 * 24, 60 * 48).select("flow_id")
+
+
+@register
+def episode_chain(spark, sf):
+    """Scan, brute force and exfiltration on one pair, a day apart."""
     fl = flows(spark, sf)
-    f = materialise(frame(spark, sf))
-    model = M.TransitionModel.fit(f)
+    parts = [(fl, F.col("label") == label, 10 + 60 * 24 * i, 60 * 24 * 5)
+             for i, label in enumerate(("PortScan", "SSH-Patator", "Exfiltration"))]
+    chain = C.episode_chain(parts, "10.13.37.5", "10.20.0.11")
+    return rounded(chain.select("flow_id", "ts_start", "ts_end", "src_ip", "dst_ip", "label"), 4)
+
+
+@register
+def campaign_compose(spark, sf):
+    """The traffic among three servers from time zero, renamed."""
+    c = C.campaign(flows(spark, sf), {f"10.0.0.{i}": f"10.99.0.{i}" for i in range(40)})
+    return rounded(c.select("flow_id", "ts_start", "ts_end", "src_ip", "dst_ip", "label"), 4)
+
+
+@register
+def campaign_check(spark, sf):
+    """Whether the leads of the overview are those of a proper campaign."""
+    return C.validate_campaign(A.timeline_summary(forecast_frame(spark, sf), THRESHOLD, window_s=3600), 7, 3600, 3600 * 300)
+
+
+@register
+def packet_dropout(spark, sf):
+    """Vectors of training sequences, half of them without packet features."""
+    f = W.host_windows(captures(spark, sf), spec(keys=tuple(KEYED), min_flows=5))
+    v = SQ.drop_packet_features(f.withColumn("v", F.array(SQ.vector())), "v")
+    return v.select(*KEYED, "host", "window", F.transform(F.col("v")[0], lambda x: F.round(x, 6) + 0.0).alias("v"))
+
+
+def _read_back(spark, table: DataFrame, header: bool) -> DataFrame:
+    """A table written as text files of a flow format into the shared folder and loaded by what the files look like."""
+    import uuid
+
+    from flowtide.cluster import shared_dir
+    from flowtide.sources.flows import load_flows
+
+    path = f"{shared_dir(spark)}/flowtide-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    table.write.option("header", header).csv(path)
+    loaded = load_flows(spark, path)[0].drop("capture", "flow_id")
+    return no_nulls(rounded(loaded.withColumns({c: F.col(c).cast("int") for c in ("syn", "rst", "fin")})))
+
+
+@register
+def load_cic_files(spark, sf):
+    """Flows as CIC-style files: day-first seconds, microseconds, protocol numbers."""
+    f = flows(spark, sf)
+    when = F.date_format(F.timestamp_seconds("ts_start"), "d/M/yyyy H:mm:ss")
+    number = F.when(F.col("proto") == "tcp", "6").when(F.col("proto") == "udp", "17").otherwise("1")
+    cells = {" Source IP": F.col("src_ip"), " Source Port": F.col("sport"), " Destination IP": F.col("dst_ip"),
+             " Destination Port": F.col("dport"), " Protocol": number, " Timestamp": when,
+             " Flow Duration": F.round((F.col("ts_end") - F.col("ts_start")) * 1e6).cast("long"),
+             " Total Fwd Packets": F.col("fwd_pkts").cast("long"), " Total Backward Packets": F.col("bwd_pkts").cast("long"),
+             "Total Length of Fwd Packets": F.col("fwd_bytes").cast("long"),
+             " Total Length of Bwd Packets": F.col("bwd_bytes").cast("long"), "FIN Flag Count": F.col("fin"),
+             " SYN Flag Count": F.col("syn"), " RST Flag Count": F.col("rst"),
+             "Init_Win_bytes_forward": F.coalesce(F.col("tcp_win").cast("long"), F.lit(-1)), " Label": F.col("label")}
+    return _read_back(spark, f.select(*[c.alias(n) for n, c in cells.items()]), True)
+
+
+@register
+def load_argus_files(spark, sf):
+    """Flows as Argus files: packets and bytes of both directions together, hexadecimal ports, states."""
+    f = flows(spark, sf)
+    total = F.col("fwd_bytes") + F.col("bwd_bytes")
+    flags = F.concat(F.when(F.col("syn") > 0, "S").otherwise(""), F.when(F.col("fin") > 0, "F").otherwise(""),
+                     F.when(F.col("rst") > 0, "R").otherwise(""), F.lit("_"))
+    cells = {"StartTime": F.date_format(F.timestamp_micros(F.floor(F.col("ts_start") * 1e6)), "yyyy/MM/dd HH:mm:ss.SSSSSS"),
+             "Dur": F.round(F.col("ts_end") - F.col("ts_start"), 6), "Proto": F.col("proto"), "SrcAddr": F.col("src_ip"),
+             "Sport": F.concat(F.lit("0x"), F.lower(F.hex("sport"))), "Dir": F.lit("->"), "DstAddr": F.col("dst_ip"),
+             "Dport": F.col("dport"), "State": flags, "sTos": F.lit(0), "dTos": F.lit(0),
+             "TotPkts": (F.col("fwd_pkts") + F.col("bwd_pkts")).cast("long"), "TotBytes": total.cast("long"),
+             "SrcBytes": F.col("fwd_bytes").cast("long"), "Label": F.concat(F.lit("flow=From-"), "label")}
+    return _read_back(spark, f.select(*[c.alias(n) for n, c in cells.items()]), True)
+
+
+@register
+def load_unsw_files(spark, sf):
+    """Flows as headerless UNSW-NB15 files."""
+    from flowtide.sources.flows import UNSW_COLUMNS
+
+    f = flows(spark, sf)
+    benign = F.col("label") == "BENIGN"
+    cells = {"srcip": F.col("src_ip"), "sport": F.col("sport"), "dstip": F.col("dst_ip"), "dsport": F.col("dport"),
+             "proto": F.col("proto"), "state": F.when(F.col("rst") > 0, "RST").when(F.col("fin") > 0, "FIN").otherwise("ECO"),
+             "sbytes": F.col("fwd_bytes").cast("long"), "dbytes": F.col("bwd_bytes").cast("long"), "sttl": F.col("ttl").cast("long"),
+             "sloss": F.col("retrans").cast("long"), "Spkts": F.col("fwd_pkts").cast("long"), "Dpkts": F.col("bwd_pkts").cast("long"),
+             "swin": F.col("tcp_win").cast("long"), "Stime": F.floor("ts_start"), "Ltime": F.floor("ts_end"),
+             "attack_cat": F.when(benign, "").otherwise(F.col("label")), "Label": F.when(benign, 0).otherwise(1)}
+    return _read_back(spark, f.select(*[cells.get(c, F.lit(0)).cast("string").alias(c) for c in UNSW_COLUMNS]), False)
+
+
+@register
+def load_canonical_files(spark, sf):
+    """The flow table as it is, in text."""
+    return _read_back(spark, flows(spark, sf).drop("flow_id"), True)
+
+
+@register
+def branch_timeline(spark, sf):
+    """The timeline of what is left of the traffic when one source is blocked from step 300 on."""
+    base, branch = _branches(spark, sf)
+    t = AN.branch_timeline(base, branch, 300)
+    return rounded(t.select("host", "step", "risk", "raw_stage", "stage_now"))
+
+
+def _branches(spark, sf):
+    fl = flows(spark, sf)
+    model = M.TransitionModel.fit(materialise(frame(spark, sf)))
 
     def both(d: DataFrame) -> DataFrame:
         t = model.forecast(d).withColumnsRenamed({"future": "_tf", "stage_future_probs": "_tp"})
@@ -640,7 +756,13 @@ def outcome(spark, sf):
         }).drop("_tf", "_tp")
 
     base = AN.analyze(fl, both, THRESHOLD, spec())
-    branch = AN.replay(base, ACTION_BLOCK, 300)
+    return base, AN.replay(base, ACTION_BLOCK, 300)
+
+
+@register
+def outcome(spark, sf):
+    """Counterfactual replay of blocking one source from the middle of the recording."""
+    base, branch = _branches(spark, sf)
     return no_nulls(AN.outcomes(base, branch, "10.0.0.5", 300, "10.0.0.5", ["10.0.0.35", "10.0.0.36"],
                                 "Block all traffic from 10.0.0.5"))
 

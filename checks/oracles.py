@@ -345,6 +345,53 @@ SELECT flow_id, {r('ts_start - min(ts_start) OVER ()', 4)} AS ts_start, {r('ts_e
 FROM q_flows, q_top1 WHERE src_ip IN (s, d) AND dst_ip IN (s, d)""")
 oracle("clock_slice", "SELECT flow_id FROM q_flows WHERE ts_start - floor(ts_start / 86400) * 86400 BETWEEN 33900 AND 37500")
 
+oracle("offset_slice", """
+SELECT flow_id FROM q_flows WHERE ts_start - (SELECT min(ts_start) FROM q_flows) BETWEEN 86400 AND 172800""")
+oracle("campaign_compose", f"""
+SELECT flow_id, {r('ts_start - min(ts_start) OVER ()', 4)} AS ts_start, {r('ts_end - min(ts_start) OVER ()', 4)} AS ts_end,
+  replace(src_ip, '10.0.', '10.99.') AS src_ip, replace(dst_ip, '10.0.', '10.99.') AS dst_ip, label
+FROM q_flows WHERE regexp_matches(src_ip, '^10[.]0[.]0[.]([1-3]?[0-9])$') AND regexp_matches(dst_ip, '^10[.]0[.]0[.]([1-3]?[0-9])$')""")
+part("q_chain3", " UNION ALL ".join(f"""
+SELECT {i} AS i, '{label}' AS lab, p.s, p.t, (SELECT dst_ip FROM q_flows WHERE label = '{label}' AND src_ip = p.s
+  GROUP BY dst_ip ORDER BY count(*) DESC, dst_ip LIMIT 1) AS d
+FROM (SELECT (SELECT src_ip FROM q_flows WHERE label = '{label}' GROUP BY src_ip ORDER BY count(*) DESC, src_ip LIMIT 1) AS s,
+  (SELECT min(ts_start) FROM q_flows WHERE label = '{label}') AS t) p""" for i, label in enumerate(("PortScan", "SSH-Patator", "Exfiltration"))))
+oracle("episode_chain", f"""
+SELECT flow_id, {r('ts_start - e.t + 600 + i * 86400.0', 4)} AS ts_start, {r('ts_end - e.t + 600 + i * 86400.0', 4)} AS ts_end,
+  CASE src_ip WHEN e.s THEN '10.13.37.5' WHEN e.d THEN '10.20.0.11' ELSE src_ip END AS src_ip,
+  CASE dst_ip WHEN e.s THEN '10.13.37.5' WHEN e.d THEN '10.20.0.11' ELSE dst_ip END AS dst_ip, label
+FROM q_flows JOIN q_chain3 e ON src_ip IN (e.s, e.d) OR dst_ip IN (e.s, e.d)
+WHERE ts_start BETWEEN e.t - 30 AND e.t + 432000""")
+oracle("display_risk", f"""
+SELECT "window", host, {r('risk')} AS risk, {r("risk * CASE WHEN host IN ('10.0.0.5', '10.0.0.7') THEN 0.08 ELSE 1 END")} AS risk_display FROM q_fc""")
+oracle("campaign_check", """
+SELECT *, positive_leads >= 7 AND out_of_range = 0 AND alert_steps >= 2 AS valid FROM (
+  SELECT count(*) FILTER (lead > 0) AS positive_leads, count(*) FILTER (lead > 0 AND lead NOT BETWEEN 3600 AND 1080000) AS out_of_range,
+    count(DISTINCT CASE WHEN lead > 0 THEN first_alert_step END) AS alert_steps
+  FROM (SELECT *, (comp - first_alert_step) * 3600 AS lead FROM q_host))""")
+oracle("packet_dropout", f"""
+SELECT {K}, host, "window", CASE WHEN CAST('0x' || substr(md5('7|dropout|' || dataset || '|' || capture || '|' || host || '|' || CAST("window" AS VARCHAR)), 1, 8) AS BIGINT)
+    / 4294967296.0 < 0.5 THEN list_value({", ".join('0.0' if f in S.PACKET_FEATURES + S.MASK_FEATURES else r(f) for f in S.FEATURES)})
+  ELSE list_value({", ".join(r(f) for f in S.FEATURES)}) END AS v FROM q_kfull""")
+_ENDS = "src_ip, dst_ip, sport, dport, proto"
+oracle("load_cic_files", f"""
+SELECT s AS ts_start, {r('s + round((ts_end - ts_start) * 1e6) / 1e6')} AS ts_end, {_ENDS}, fwd_pkts, bwd_pkts, fwd_bytes, bwd_bytes, syn, rst, fin,
+  -1.0::DOUBLE AS ttl, coalesce(tcp_win, -1) AS tcp_win, -1.0::DOUBLE AS retrans, label FROM (SELECT *, floor(ts_start) AS s FROM q_flows)""")
+oracle("load_argus_files", f"""
+SELECT {r('floor(ts_start * 1e6) / 1e6')} AS ts_start, {r('floor(ts_start * 1e6) / 1e6 + round(ts_end - ts_start, 6)')} AS ts_end, {_ENDS},
+  CAST(greatest(1, round_even(n * share, 0)) AS DOUBLE) AS fwd_pkts, CAST(round_even(n * (1 - share), 0) AS DOUBLE) AS bwd_pkts, fwd_bytes, bwd_bytes,
+  CASE WHEN proto = 'tcp' THEN syn ELSE 0 END AS syn, CASE WHEN proto = 'tcp' THEN rst ELSE 0 END AS rst, CASE WHEN proto = 'tcp' THEN fin ELSE 0 END AS fin,
+  -1.0::DOUBLE AS ttl, -1.0::DOUBLE AS tcp_win, -1.0::DOUBLE AS retrans, 'flow=From-' || label AS label
+FROM (SELECT *, fwd_pkts + bwd_pkts AS n, CASE WHEN fwd_bytes + bwd_bytes > 0 THEN fwd_bytes / (fwd_bytes + bwd_bytes) ELSE 1.0 END AS share FROM q_flows)""")
+oracle("load_unsw_files", f"""
+SELECT floor(ts_start) AS ts_start, floor(ts_end) AS ts_end, {_ENDS}, fwd_pkts, bwd_pkts, fwd_bytes, bwd_bytes,
+  CASE WHEN proto = 'tcp' AND (rst > 0 OR fin > 0) THEN 1 ELSE 0 END AS syn, CASE WHEN rst > 0 THEN 1 ELSE 0 END AS rst,
+  CASE WHEN fin > 0 AND rst = 0 THEN 1 ELSE 0 END AS fin, coalesce(ttl, -1) AS ttl, CASE WHEN proto = 'tcp' THEN coalesce(tcp_win, -1) ELSE -1.0 END AS tcp_win,
+  CASE WHEN proto = 'tcp' THEN coalesce(retrans, -1) ELSE -1.0 END AS retrans, label FROM q_flows""")
+oracle("load_canonical_files", f"""
+SELECT {r('ts_start')} AS ts_start, {r('ts_end')} AS ts_end, {_ENDS}, fwd_pkts, bwd_pkts, fwd_bytes, bwd_bytes, syn, rst, fin, coalesce(ttl, -1) AS ttl,
+  coalesce(tcp_win, -1) AS tcp_win, coalesce(retrans, -1) AS retrans, label FROM q_flows""")
+
 # ------------------------------------------------------------------ replay: the same parts on the filtered flows
 import re as _re  # noqa: E402
 
@@ -369,6 +416,12 @@ for _n in _CHAIN:
 part("q_both", """
 SELECT 'without_action' AS branch, f.host, f."window" AS w, list_max(b.future) AS risk FROM q_frame f JOIN q_bystage b ON b.s = f.stage
 UNION ALL SELECT 'with_action', f.host, f."window", list_max(b.future) FROM q_bframe f JOIN q_bystage b ON b.s = f.stage""")
+oracle("branch_timeline", f"""
+SELECT f.host, CAST(f."window" - (SELECT min("window") FROM q_frame) AS INTEGER) AS step, {r('list_max(b.future)')} AS risk,
+  CAST(CASE WHEN list_max(b.future) < {THR} * 0.5 THEN 0 ELSE list_position(m.m[2:7], list_max(m.m[2:7])) END AS INTEGER) AS raw_stage,
+  CAST(CASE WHEN f.stage = 0 THEN 0 ELSE list_position(b.probs[1][2:7], list_max(b.probs[1][2:7])) END AS INTEGER) AS stage_now
+FROM q_bframe f JOIN q_bystage b ON b.s = f.stage JOIN q_mean m ON m.s = f.stage
+WHERE f."window" - (SELECT min("window") FROM q_frame) >= 300""")
 part("q_axis", """
 SELECT branch, w, coalesce(x.risk, 0.0) AS risk FROM (SELECT unnest(['without_action', 'with_action']) AS branch)
 CROSS JOIN (SELECT unnest(range((SELECT min("window") + 300 FROM q_frame), (SELECT max("window") + 1 FROM q_frame))) AS w) g

@@ -39,22 +39,27 @@ def neighbor_aggregate(frame: DataFrame, edges: DataFrame, features: Sequence[st
     """Mean and max of the neighbours' features and log1p(degree) for every frame row.
 
     The undirected edge set is joined to the neighbour's row on (host, window) and
-    reduced map-side per receiving row; a hub's edges spread over its windows.
+    reduced map-side per receiving row; a hub's edges spread over its windows. An edge means that both ends were
+    seen, so only rows with flows are joined; idle rows (most of a dense frame) take zeros where they are.
     """
     keys = list(keys)
+    seen = F.lit(True)
+    if {"out_flows", "in_flows"} <= set(frame.columns):
+        seen = F.col("out_flows") + F.col("in_flows") > 0
     both = F.explode(F.array(F.struct(F.col("a").alias("host"), F.col("b").alias("peer")),
                              F.struct(F.col("b").alias("host"), F.col("a").alias("peer"))))
     und = (edges.select(*keys, "window", both.alias("e"))
            .select(*keys, "window", "e.host", "e.peer").distinct())
-    theirs = frame.select(*keys, "window", F.col("host").alias("peer"), *features)
+    theirs = frame.filter(seen).select(*keys, "window", F.col("host").alias("peer"), *features)
     stats = (und.join(theirs, [*keys, "window", "peer"])
              .groupBy(*keys, "host", "window")
              .agg(*[F.avg(f).alias(f"nb_mean_{f}") for f in features],
                   *[F.max(f).alias(f"nb_max_{f}") for f in features],
                   F.log1p(F.count("*").cast("double")).alias("nb_log_degree")))
     new = [c for c in stats.columns if c.startswith("nb_")]
-    out = frame.join(stats, [*keys, "host", "window"], "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in new})
+    out = frame.filter(seen).join(stats, [*keys, "host", "window"], "left").withColumns({
+        c: F.coalesce(c, F.lit(0.0)) for c in new})
+    return out.unionByName(frame.filter(~seen).withColumns({c: F.lit(0.0) for c in new}))
 
 
 # ------------------------------------------------------------------ roles

@@ -105,15 +105,18 @@ class Files(list):
     """Files that are read together. A capture is named by its file's path below `depth` folders, without the ending
     unless two files differ by nothing else; so two files never share a name."""
 
+    _SCHEME = r"^[A-Za-z0-9+.-]+:/+"       # listings write file:///x where rows write file:/x
+
     def __init__(self, paths: Sequence[str], every: Sequence[str] | None = None):
         super().__init__(sorted(paths))
-        folders = [p.split("/")[:-1] for p in every or paths]
+        folders = [re.sub(self._SCHEME, "/", p).split("/")[:-1] for p in every or paths]
         self.depth = len(os.path.commonprefix(folders))
         stems = {re.sub(r"\.[^./]*$", "", p) for p in every or paths}
         self.endings = len(stems) < len(set(every or paths))
 
     def capture(self) -> Column:
-        below = F.array_join(F.slice(F.split(F.col("_metadata.file_path"), "/"), self.depth + 1, 1 << 20), "/")
+        path = F.regexp_replace(F.col("_metadata.file_path"), self._SCHEME, "/")
+        below = F.array_join(F.slice(F.split(path, "/"), self.depth + 1, 1 << 20), "/")
         return below if self.endings else F.regexp_replace(below, r"\.[^./]*$", "")
 
 
@@ -122,7 +125,7 @@ def _read_csv(spark: SparkSession, path, header: bool, columns: Sequence[str] |
     reader = spark.read.option("mode", "PERMISSIVE").option("header", header)
     if columns:
         reader = reader.schema(", ".join(f"`{c}` STRING" for c in columns))
-    raw = reader.csv(path)
+    raw = reader.csv(list(path) if isinstance(path, Files) else path)
     files = path if isinstance(path, Files) else Files(raw.inputFiles())
     return raw.withColumns({"capture": files.capture(), "_file": F.col("_metadata.file_path")})
 

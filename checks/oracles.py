@@ -551,3 +551,8 @@ oracle("kill_chain_progress", f"""
 SELECT host, reached, CAST(CASE WHEN ahead > reached THEN ahead ELSE -1 END AS INTEGER) AS forecast FROM (
   SELECT f.host, max(greatest(f.stage, h.x.held)) AS reached, max(greatest({_AHEAD})) AS ahead
   FROM q_fc f JOIN q_held h ON h.host = f.host AND h.x.step = f.step GROUP BY f.host)""")
+
+from checks.decision_sql import DECISIONS  # noqa: E402
+
+for _name, _sql in DECISIONS.items():
+    oracle(_name, _sql)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowtide import schema as S
 from flowtide.operators import windows as W
@@ -769,28 +769,40 @@ def outcome(spark, sf):
 
 # ------------------------------------------------------------------ packets
 def packets(spark, sf) -> DataFrame:
-    """Events as packets of few long conversations: time runs 60 times faster."""
+    """Events as packets of twelve host pairs and three protocols: time runs 240 times faster, so that conversations last."""
     fl = flows(spark, sf)
     k = (F.col("dport") / 41).cast("long")
-    lo = F.concat(F.lit("10.1.0."), (F.col("flow_id") % 3).cast("string"))
-    hi = F.concat(F.lit("10.2.0."), (F.col("flow_id") % 2).cast("string"))
-    out = k % 3 > 0
-    tcp = F.col("proto") == "tcp"
+    lo = F.concat(F.lit("10.1.0."), (F.col("flow_id") % 4).cast("string"))
+    hi = F.concat(F.lit("10.2.0."), (F.floor(F.col("flow_id") / 4) % 3).cast("string"))
+    out, tcp, icmp = k % 3 > 0, F.col("proto") == "tcp", F.col("proto") == "icmp"
+
+    def port(there: int, back: int) -> Column:
+        return F.when(icmp, 0).when(out, there).otherwise(back).cast("long")
+
     return fl.select(
-        (F.floor(F.col("ts_start") / 60 * 1e6) / 1e6).alias("ts"), F.when(out, lo).otherwise(hi).alias("src"),
-        F.when(out, hi).otherwise(lo).alias("dst"), F.when(out, 5000).otherwise(80).cast("long").alias("sport"),
-        F.when(out, 80).otherwise(5000).cast("long").alias("dport"), F.lit("tcp").alias("proto"),
+        (F.floor(F.col("ts_start") / 240 * 1e6) / 1e6).alias("ts"), F.when(out, lo).otherwise(hi).alias("src"),
+        F.when(out, hi).otherwise(lo).alias("dst"), port(5000, 80).alias("sport"), port(80, 5000).alias("dport"), "proto",
         (40 + k * 10).alias("size"), (30 + k % 30).cast("double").alias("ttl"),
-        F.when(k % 5 == 0, "S").when(k % 7 == 0, "FA").otherwise("A").alias("flags"),
-        F.when(k % 4 == 0, 1024.0 + k).alias("win"), (k % 6).alias("seq"), (k % 2).alias("plen"),
+        F.when(~tcp, "").when(k % 5 == 0, "S").when(k % 7 == 0, "FA").when(k % 11 == 0, "R").otherwise("A").alias("flags"),
+        F.when(tcp & (k % 4 == 0), 1024.0 + k).alias("win"), F.when(tcp, k % 6).alias("seq"), (k % 2).alias("plen"),
         F.lit(False).alias("frag"), F.col("flow_id").alias("packet_id"))
 
 
+def _assembled(spark, sf, **kw) -> DataFrame:
+    f = PA.packets_to_flows(packets(spark, sf), **kw)
+    return no_nulls(rounded(f.select("ts_start", "ts_end", "src_ip", "dst_ip", "sport", "dport", "proto", "fwd_pkts", "bwd_pkts",
+                                     "fwd_bytes", "bwd_bytes", "syn", "rst", "fin", "ttl", "tcp_win", "retrans")))
+
+
 @register
 def flow_assembly(spark, sf):
-    f = PA.packets_to_flows(packets(spark, sf))
-    return no_nulls(rounded(f.select("ts_start", "ts_end", "src_ip", "dst_ip", "sport", "dport", "fwd_pkts", "bwd_pkts",
-                                     "fwd_bytes", "bwd_bytes", "syn", "rst", "fin", "ttl", "tcp_win", "retrans")))
+    return _assembled(spark, sf)
+
+
+@register
+def flow_ticks(spark, sf):
+    """Assembly that hands over all open flows at every tick of 150 seconds, from chunks of 40 seconds."""
+    return _assembled(spark, sf, tick_s=150.0, chunk_s=40)
 
 
 @register

@@ -441,31 +441,40 @@ FROM q_axis a JOIN (SELECT branch, count(*) FILTER ((src_ip = '10.0.0.5' AND dst
 
 # ------------------------------------------------------------------ packets: the flow chain as a recursion
 part("q_pk", """
-SELECT flow_id, CAST(floor(ts_start / 60 * 1e6) AS BIGINT) AS us, k % 3 > 0 AS o, '10.1.0.' || CAST(flow_id % 3 AS VARCHAR) AS lo,
-  '10.2.0.' || CAST(flow_id % 2 AS VARCHAR) AS hi, 40 + k * 10 AS size, 30 + k % 30 AS ttl, CASE WHEN k % 4 = 0 THEN 1024 + k END AS win,
-  k % 6 AS seq, k % 2 AS plen, CASE WHEN k % 5 = 0 THEN 'S' WHEN k % 7 = 0 THEN 'FA' ELSE 'A' END AS flags
+SELECT flow_id, CAST(floor(ts_start / 240 * 1e6) AS BIGINT) AS us, k % 3 > 0 AS o, '10.1.0.' || CAST(flow_id % 4 AS VARCHAR) AS lo,
+  '10.2.0.' || CAST(flow_id // 4 % 3 AS VARCHAR) AS hi, proto, 40 + k * 10 AS size, 30 + k % 30 AS ttl, k % 2 AS plen,
+  CASE WHEN proto = 'tcp' AND k % 4 = 0 THEN 1024 + k END AS win, CASE WHEN proto = 'tcp' THEN k % 6 END AS seq,
+  CASE WHEN proto <> 'tcp' THEN '' WHEN k % 5 = 0 THEN 'S' WHEN k % 7 = 0 THEN 'FA' WHEN k % 11 = 0 THEN 'R' ELSE 'A' END AS flags
 FROM (SELECT *, dport // 41 AS k FROM q_flows)""")
-part("q_pko", """
-SELECT *, coalesce(us - lag(us) OVER (PARTITION BY lo, hi ORDER BY us, flow_id) > 60000000, true) AS opens FROM q_pk""")
-oracle("flow_assembly", f"""
+
+
+def _packet_flows(tick: str) -> str:
+    before = query("SELECT * FROM q_pk")
+    ctes = before[len("WITH "):before.rindex("\nSELECT")]
+    return f"""WITH RECURSIVE {ctes},
+pko AS MATERIALIZED (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY lo, hi, proto, tick ORDER BY us, flow_id) > 60000000, true) AS opens
+  FROM (SELECT *, {tick} AS tick FROM q_pk)),
+chain AS (
+  SELECT lo, hi, proto, tick, min(us) AS us FROM pko GROUP BY ALL
+  UNION ALL
+  SELECT c.lo, c.hi, c.proto, c.tick, min(p.us) FROM chain c JOIN pko p ON p.lo = c.lo AND p.hi = c.hi AND p.proto = c.proto AND p.tick = c.tick
+    AND p.us > c.us AND (p.us - c.us > 60000000 OR p.opens) GROUP BY ALL)
 SELECT {r('fs / 1e6')} AS ts_start, {r('ls / 1e6')} AS ts_end, CASE WHEN fo THEN lo ELSE hi END AS src_ip, CASE WHEN fo THEN hi ELSE lo END AS dst_ip,
-  CAST(CASE WHEN fo THEN 5000 ELSE 80 END AS BIGINT) AS sport, CAST(CASE WHEN fo THEN 80 ELSE 5000 END AS BIGINT) AS dport,
+  CAST(CASE WHEN proto = 'icmp' THEN 0 WHEN fo THEN 5000 ELSE 80 END AS BIGINT) AS sport,
+  CAST(CASE WHEN proto = 'icmp' THEN 0 WHEN fo THEN 80 ELSE 5000 END AS BIGINT) AS dport, proto,
   CAST(fp AS DOUBLE) AS fwd_pkts, CAST(bp AS DOUBLE) AS bwd_pkts, CAST(fb AS DOUBLE) AS fwd_bytes, CAST(bb AS DOUBLE) AS bwd_bytes,
-  syn, 0 AS rst, fin, {r('ttl')} AS ttl, {r('coalesce(win, -1)')} AS tcp_win, CAST(dat - uni AS DOUBLE) AS retrans FROM (
-  SELECT lo, hi, fs, max(us) AS ls, any_value(fo) AS fo, count(*) FILTER (o = fo) AS fp, count(*) FILTER (o <> fo) AS bp,
+  syn, rst, fin, {r('ttl')} AS ttl, {r('coalesce(win, -1)')} AS tcp_win, CASE WHEN proto = 'tcp' THEN CAST(dat - uni AS DOUBLE) ELSE -1 END AS retrans FROM (
+  SELECT lo, hi, proto, fs, max(us) AS ls, any_value(fo) AS fo, count(*) FILTER (o = fo) AS fp, count(*) FILTER (o <> fo) AS bp,
     coalesce(sum(size) FILTER (o = fo), 0) AS fb, coalesce(sum(size) FILTER (o <> fo), 0) AS bb, avg(ttl) FILTER (o = fo) AS ttl,
-    avg(win) FILTER (o = fo) AS win, max(CASE WHEN contains(flags, 'S') THEN 1 ELSE 0 END) AS syn, max(CASE WHEN contains(flags, 'F') THEN 1 ELSE 0 END) AS fin,
-    count(*) FILTER (plen > 0) AS dat, count(DISTINCT (o, seq)) FILTER (plen > 0) AS uni
-  FROM (SELECT p.*, s.us AS fs, first_value(p.o) OVER (PARTITION BY p.lo, p.hi, s.us ORDER BY p.us, p.flow_id) AS fo
-        FROM q_pk p ASOF JOIN q_chain s ON s.lo = p.lo AND s.hi = p.hi AND p.us >= s.us)
-  GROUP BY lo, hi, fs)""")
-ORACLES["flow_assembly"] = query("""SELECT 1 FROM q_pko""").split("\nSELECT 1")[0].replace("WITH ", "WITH RECURSIVE ", 1) + """,
-q_chain AS (
-  SELECT lo, hi, min(us) AS us FROM q_pko GROUP BY lo, hi
-  UNION ALL
-  SELECT c.lo, c.hi, min(p.us) FROM q_chain c JOIN q_pko p ON p.lo = c.lo AND p.hi = c.hi AND p.us > c.us
-    AND (p.us - c.us > 60000000 OR p.opens) GROUP BY c.lo, c.hi)
-""" + ORACLES["flow_assembly"][ORACLES["flow_assembly"].index("\nSELECT") :] if "\nSELECT" in ORACLES["flow_assembly"] else ORACLES["flow_assembly"]
+    avg(win) FILTER (o = fo) AS win, max(CASE WHEN contains(flags, 'S') THEN 1 ELSE 0 END) AS syn, max(CASE WHEN contains(flags, 'R') THEN 1 ELSE 0 END) AS rst,
+    max(CASE WHEN contains(flags, 'F') THEN 1 ELSE 0 END) AS fin, count(*) FILTER (plen > 0) AS dat, count(DISTINCT (o, seq)) FILTER (plen > 0) AS uni
+  FROM (SELECT p.*, s.us AS fs, first_value(p.o) OVER (PARTITION BY p.lo, p.hi, p.proto, p.tick, s.us ORDER BY p.us, p.flow_id) AS fo
+        FROM pko p ASOF JOIN chain s ON s.lo = p.lo AND s.hi = p.hi AND s.proto = p.proto AND s.tick = p.tick AND p.us >= s.us)
+  GROUP BY lo, hi, proto, tick, fs)"""
+
+
+ORACLES["flow_assembly"] = _packet_flows("0")
+ORACLES["flow_ticks"] = _packet_flows("us // 150000000")
 
 # ------------------------------------------------------------------ aligned series
 part("q_f600", """

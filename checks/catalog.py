@@ -595,10 +595,6 @@ def incident_rows(spark, sf):
                                     A.timeline_summary(fc, THRESHOLD, window_s=3600), THRESHOLD, 3600))
 
 
-def _live_now(spark, sf) -> float:
-    return float(flows(spark, sf).filter("label <> 'BENIGN'").agg(F.percentile_approx("ts_end", 0.9)).first()[0])
-
-
 @register
 def containment(spark, sf):
     d = _decisions(spark, sf)
@@ -807,11 +803,31 @@ def flow_ticks(spark, sf):
 
 @register
 def live_tick(spark, sf):
-    """Host features of the live buffer at a moment inside the recording."""
-    t = LV.tick(flows(spark, sf), _live_now(spark, sf), 3600.0)
+    """Host features of the live buffer at a moment inside the recording, from what was seen until then."""
+    fl = flows(spark, sf)
+    now = float(fl.filter("label <> 'BENIGN'").agg(F.max("ts_end") - 3 * 86400.0).first()[0])
+    t = LV.tick(fl.filter(F.col("ts_end") <= now), now, 3600.0)
     return rounded(t.frame.select("host", "segment", "window", *S.FEATURES, "stage"))
 
 
+def _points(spark, sf) -> DataFrame:
+    """Every host's risk at every step as live points, before and after a block."""
+    fc = forecast_frame(spark, sf)
+    return fc.select("host", F.col("window").cast("double").alias("t"), F.array_max("future").alias("risk_before"),
+                     (F.array_max("future") * 0.08).alias("risk_after"), "future")
+
+
+@register
+def risk_history(spark, sf):
+    return rounded(LV.risk_history(_points(spark, sf)).select("host", "t", "risk_before", "risk_after"))
+
+
+@register
+def live_board(spark, sf):
+    p = materialise(_points(spark, sf))
+    return no_nulls(rounded(LV.top_live_hosts(p, p.groupBy("host").agg(F.max("risk_before").alias("peak")), THRESHOLD, 3600.0)))
+
+
 def _streamed(spark, sf, window_s: int, stride_s: int) -> DataFrame:
     """The events table read as a stream into host windows with all features. Windows are appended when the watermark
     has passed their end; those after the last watermark are added from the table."""

@@ -562,6 +562,7 @@ SELECT host, reached, CAST(CASE WHEN ahead > reached THEN ahead ELSE -1 END AS I
   FROM q_fc f JOIN q_held h ON h.host = f.host AND h.x.step = f.step GROUP BY f.host)""")
 
 from checks.decision_sql import DECISIONS  # noqa: E402
+from checks.live_sql import LIVE  # noqa: E402
 
-for _name, _sql in DECISIONS.items():
+for _name, _sql in {**DECISIONS, **LIVE}.items():
     oracle(_name, _sql)

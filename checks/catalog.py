@@ -739,7 +739,27 @@ def branch_timeline(spark, sf):
     return rounded(t.select("host", "step", "risk", "raw_stage", "stage_now"))
 
 
+@register
+def campaign_actions(spark, sf):
+    """One action for every stage that the first twelve alerting hosts reach."""
+    c = _analysed(spark, sf).campaigns()
+    return c.select("host", "stage_seen", "step", "step_risk", "recommended.id", "recommended.kind", "recommended.label")
+
+
+@register
+def action_queue(spark, sf):
+    """Those actions with the lead of their host."""
+    q = _analysed(spark, sf).action_queue()
+    return no_nulls(q.select("host", "stage", "step", "risk", "recommended.label", "compromise_lead_s"))
+
+
 def _branches(spark, sf):
+    base = _analysed(spark, sf)
+    return base, AN.replay(base, ACTION_BLOCK, 300)
+
+
+def _analysed(spark, sf) -> AN.Analysis:
+    """The whole analysis with the forecast that the other queries use."""
     fl = flows(spark, sf)
     model = M.TransitionModel.fit(materialise(frame(spark, sf)))
 
@@ -751,8 +771,7 @@ def _branches(spark, sf):
             "stage_future_probs": F.zip_with("stage_future_probs", "_tp", lambda p, q: F.zip_with(p, q, half))
         }).drop("_tf", "_tp")
 
-    base = AN.analyze(fl, both, THRESHOLD, spec())
-    return base, AN.replay(base, ACTION_BLOCK, 300)
+    return AN.analyze(fl, both, THRESHOLD, spec())
 
 
 @register

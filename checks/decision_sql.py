@@ -3,43 +3,56 @@ from __future__ import annotations
 
 from checks.sqlparts import THR, part
 
-# ------------------------------------------------------------------ context of the first alerts and of step 400
-part("q_ask", """
+# ------------------------------------------------------------------ context of asked (host, step) rows
+def context(p: str, ask: str) -> None:
+    """Parts named by `p` for the (host, step) rows of `ask`, up to q_{p}ctx."""
+    part(f"q_{p}ask", f"""
 SELECT q.host, q.step, CAST(q.step + (SELECT min("window") FROM q_frame) AS BIGINT) AS "window", coalesce(f.risk, 0) AS risk, coalesce(f.mapped, 0) AS mapped
-FROM (SELECT host, first_alert_step AS step FROM q_alert UNION SELECT DISTINCT host, 400 FROM q_fc) q
-LEFT JOIN q_fc f ON f.host = q.host AND f.step = q.step""")
-part("q_mark", f"""
-SELECT a.*, a.risk >= {THR} AS hot, coalesce(d.o >= d.i, true) AS attacks, r.role AS named, r.attacker AS blamed, s.peer
-FROM q_ask a LEFT JOIN q_roles r ON r."window" = a."window" AND r.host = a.host
-LEFT JOIN q_dir d ON d."window" = a."window" AND d.host = a.host LEFT JOIN q_heavy_src s ON s."window" = a."window" AND s.host = a.host""")
-part("q_who", """
-SELECT *, CASE WHEN role = 'attacker' THEN host WHEN hot THEN blamed ELSE coalesce(peer, host) END AS attacker FROM
-  (SELECT *, CASE WHEN hot THEN coalesce(named, 'attacker') WHEN attacks OR coalesce(named, '') = 'attacker' THEN 'attacker' ELSE 'victim' END AS role FROM q_mark)""")
-part("q_victims", """
-SELECT "window", host, attacker, victim, min((grp, pos, rn)) AS place FROM (
-  SELECT w."window", w.host, w.attacker, l.victim, l.grp, l.pos, l.rn FROM q_who w JOIN q_links l ON l."window" = w."window" AND l.attacker = w.attacker
-  WHERE w.hot OR NOT w.attacks
-  UNION ALL SELECT w."window", w.host, w.host, h.b, 0, 0, h.rn FROM q_who w JOIN q_heavy_dst h ON h."window" = w."window" AND h.a = w.host
-  WHERE NOT w.hot AND w.attacks
-  UNION ALL SELECT "window", host, attacker, host, 2, 0, 0 FROM q_who WHERE NOT hot AND role = 'victim') GROUP BY ALL""")
-part("q_near", """
-SELECT x AS "window", src_ip, dst_ip, dport, count(*) AS n FROM (SELECT *, unnest(range(w, w + 3)) AS x FROM q_cut)
-WHERE x IN (SELECT "window" FROM q_ask) GROUP BY ALL""")
-part("q_port", """
-SELECT "window", host, arg_min(dport, (-n, dport)) AS top_port FROM (
-  SELECT a."window", a.host, c.dport, sum(c.n) AS n FROM (
-    SELECT "window", host, attacker, victim FROM q_victims UNION ALL
-    SELECT "window", host, attacker, host FROM q_who w WHERE NOT EXISTS (SELECT 1 FROM q_victims v WHERE v."window" = w."window" AND v.host = w.host)) a
-  JOIN q_near c ON c."window" = a."window" AND c.src_ip = a.attacker AND c.dst_ip = a.victim GROUP BY ALL) GROUP BY ALL""")
-part("q_heard", """
-SELECT "window", host, list(dst_ip ORDER BY n DESC, dst_ip)[1:5] AS peers FROM (
-  SELECT "window", src_ip AS host, dst_ip, sum(n) AS n FROM q_near GROUP BY ALL) GROUP BY ALL""")
-part("q_ctx", """
-SELECT w.host, w.step, w."window", round(w.risk, 4) AS risk, w.mapped AS stage, w.role, w.attacker, v.victim_1, coalesce(v.n, 0) AS victims_n, p.top_port,
-  coalesce(h.peers, []) AS c2
-FROM q_who w LEFT JOIN (SELECT "window", host, arg_min(victim, (place, victim)) FILTER (victim <> attacker) AS victim_1, count(*) AS n
-  FROM q_victims GROUP BY "window", host) v ON v."window" = w."window" AND v.host = w.host
-LEFT JOIN q_port p ON p."window" = w."window" AND p.host = w.host LEFT JOIN q_heard h ON h."window" = w."window" AND h.host = w.host""")
+FROM ({ask}) q LEFT JOIN q_fc f ON f.host = q.host AND f.step = q.step""")
+    part(f"q_{p}mark", f"""
+    SELECT a.*, a.risk >= {THR} AS hot, coalesce(d.o >= d.i, true) AS attacks, r.role AS named, r.attacker AS blamed, s.peer
+    FROM q_{p}ask a LEFT JOIN q_roles r ON r."window" = a."window" AND r.host = a.host
+    LEFT JOIN q_dir d ON d."window" = a."window" AND d.host = a.host LEFT JOIN q_heavy_src s ON s."window" = a."window" AND s.host = a.host""")
+    part(f"q_{p}who", f"""
+    SELECT *, CASE WHEN role = 'attacker' THEN host WHEN hot THEN blamed ELSE coalesce(peer, host) END AS attacker FROM
+      (SELECT *, CASE WHEN hot THEN coalesce(named, 'attacker') WHEN attacks OR coalesce(named, '') = 'attacker' THEN 'attacker' ELSE 'victim' END AS role FROM q_{p}mark)""")
+    part(f"q_{p}victims", f"""
+    SELECT "window", host, attacker, victim, min((grp, pos, rn)) AS place FROM (
+      SELECT w."window", w.host, w.attacker, l.victim, l.grp, l.pos, l.rn FROM q_{p}who w JOIN q_links l ON l."window" = w."window" AND l.attacker = w.attacker
+      WHERE w.hot OR NOT w.attacks
+      UNION ALL SELECT w."window", w.host, w.host, h.b, 0, 0, h.rn FROM q_{p}who w JOIN q_heavy_dst h ON h."window" = w."window" AND h.a = w.host
+      WHERE NOT w.hot AND w.attacks
+      UNION ALL SELECT "window", host, attacker, host, 2, 0, 0 FROM q_{p}who WHERE NOT hot AND role = 'victim') GROUP BY ALL""")
+    part(f"q_{p}near", f"""
+    SELECT x AS "window", src_ip, dst_ip, dport, count(*) AS n FROM (SELECT *, unnest(range(w, w + 3)) AS x FROM q_cut)
+    WHERE x IN (SELECT "window" FROM q_{p}ask) GROUP BY ALL""")
+    part(f"q_{p}port", f"""
+    SELECT "window", host, arg_min(dport, (-n, dport)) AS top_port FROM (
+      SELECT a."window", a.host, c.dport, sum(c.n) AS n FROM (
+        SELECT "window", host, attacker, victim FROM q_{p}victims UNION ALL
+        SELECT "window", host, attacker, host FROM q_{p}who w WHERE NOT EXISTS (SELECT 1 FROM q_{p}victims v WHERE v."window" = w."window" AND v.host = w.host)) a
+      JOIN q_{p}near c ON c."window" = a."window" AND c.src_ip = a.attacker AND c.dst_ip = a.victim GROUP BY ALL) GROUP BY ALL""")
+    part(f"q_{p}heard", f"""
+    SELECT "window", host, list(dst_ip ORDER BY n DESC, dst_ip)[1:5] AS peers FROM (
+      SELECT "window", src_ip AS host, dst_ip, sum(n) AS n FROM q_{p}near GROUP BY ALL) GROUP BY ALL""")
+    part(f"q_{p}ctx", f"""
+    SELECT w.host, w.step, w."window", round(w.risk, 4) AS risk, w.mapped AS stage, w.role, w.attacker, v.victim_1, coalesce(v.n, 0) AS victims_n, p.top_port,
+      coalesce(h.peers, []) AS c2
+    FROM q_{p}who w LEFT JOIN (SELECT "window", host, arg_min(victim, (place, victim)) FILTER (victim <> attacker) AS victim_1, count(*) AS n
+      FROM q_{p}victims GROUP BY "window", host) v ON v."window" = w."window" AND v.host = w.host
+    LEFT JOIN q_{p}port p ON p."window" = w."window" AND p.host = w.host LEFT JOIN q_{p}heard h ON h."window" = w."window" AND h.host = w.host""")
+
+
+context("", "SELECT host, first_alert_step AS step FROM q_alert UNION SELECT DISTINCT host, 400 FROM q_fc")
+part("q_case", "SELECT * FROM q_ctx")
+part("q_top12", "SELECT * FROM q_over WHERE first_alert_step IS NOT NULL ORDER BY first_alert_step, peak DESC, host LIMIT 12")
+part("q_seen", """
+SELECT host, stage, arg_min(step, (src, step, risk)) AS step, round(arg_min(risk, (src, step, risk)), 4) AS step_risk FROM (
+  SELECT host, step, risk, stage, 0 AS src FROM q_fc UNION ALL
+  SELECT f.host, f.step, f.risk, h.x.held, 1 FROM q_fc f JOIN q_held h ON h.host = f.host AND h.x.step = f.step)
+WHERE stage > 0 AND host IN (SELECT host FROM q_top12) GROUP BY host, stage""")
+context("t", "SELECT DISTINCT host, step FROM q_seen")
+part("q_tcase", "SELECT c.* EXCLUDE (stage, risk), s.stage, s.step_risk AS risk FROM q_tctx c JOIN q_seen s ON s.host = c.host AND s.step = c.step")
 
 # ------------------------------------------------------------------ the rules, one row an offered action
 #: Stage, place, kind, target (a attacker, v victim, h host, p the role's attacker), whether the victim is the
@@ -55,8 +68,10 @@ RULES = [
     *[(s, 9, "monitor", "-", 0, 0, "", 0) for s in range(7)],
 ]
 _ROWS = ", ".join(str(r) for r in RULES)
-part("q_offer", f"""
-SELECT *, CAST(row_number() OVER (PARTITION BY host, step ORDER BY place) - 1 AS INTEGER) AS position,
+def offers(p: str) -> None:
+    """Offered actions of q_{p}case, and the recommended ones."""
+    part(f"q_{p}offer", f"""
+SELECT *, CAST(row_number() OVER (PARTITION BY host, step, stage ORDER BY place) - 1 AS INTEGER) AS position,
   concat_ws('-', kind, coalesce(target, 'None'), nullif(peer, ''), CASE WHEN port <> 0 THEN CAST(port AS VARCHAR) END) AS id,
   CASE kind WHEN 'block_source' THEN 'Block all traffic from ' || t WHEN 'isolate_host' THEN 'Isolate host ' || t
     WHEN 'rate_limit' THEN 'Rate-limit ' || t || ' to 10% of its flows' WHEN 'throttle_egress' THEN 'Throttle outbound traffic of ' || t || ' to 10%'
@@ -68,11 +83,15 @@ FROM (SELECT *, coalesce(target, 'None') AS t, coalesce(peer, nullif(array_to_st
     CASE WHEN r.pair = 1 THEN c.vic END AS peer,
     CASE WHEN r.peers = '' THEN [] WHEN len(c.own) > 0 THEN c.own WHEN r.peers = 'or attacker' AND c.att <> c.host THEN [c.att] ELSE [] END AS named
   FROM (SELECT *, coalesce(attacker, host) AS att, coalesce(victim_1, CASE WHEN host <> coalesce(attacker, host) THEN host END) AS vic,
-      list_filter(c2, lambda p: p <> host)[1:5] AS own FROM q_ctx) c
+      list_filter(c2, lambda p: p <> host)[1:5] AS own FROM q_{p}case) c
   JOIN (VALUES {_ROWS}) AS r(stage, place, kind, who, pair, port, peers, needs) ON r.stage = c.stage AND (r.needs = 0 OR c.vic IS NOT NULL)))""")
-part("q_rec", """
-SELECT o.*, n.n FROM q_offer o JOIN (SELECT host, step, CASE WHEN any_value(stage) = 0 THEN 0 ELSE count(*) - 1 END AS n FROM q_offer GROUP BY host, step) n
-  ON n.host = o.host AND n.step = o.step WHERE position = 0""")
+    part(f"q_{p}rec", f"""
+SELECT o.*, n.n FROM q_{p}offer o JOIN (SELECT host, step, stage, CASE WHEN any_value(stage) = 0 THEN 0 ELSE count(*) - 1 END AS n FROM q_{p}offer GROUP BY host, step, stage) n
+  ON n.host = o.host AND n.step = o.step AND n.stage = o.stage WHERE position = 0""")
+
+
+offers("")
+offers("t")
 _STEP = "CAST(step AS INTEGER) AS step"
 
 DECISIONS = {
@@ -103,4 +122,11 @@ SELECT c.host, CAST(c.step AS INTEGER) AS step, 'Host ' || c.host || ' is foreca
   || '. The model''s evidence is driven mainly by its recent traffic pattern. The traffic points to ' || c.attacker || ' as the initiating host and '
   || coalesce(victim_1, 'no specific internal target') || ' as affected. The rule engine recommends: ' || label || '.' AS text
 FROM q_ctx c JOIN q_rec r ON r.host = c.host AND r.step = c.step""",
+    "campaign_actions": f"""
+SELECT host, stage AS stage_seen, {_STEP}, risk AS step_risk, id, kind, label FROM q_trec""",
+    "action_queue": f"""
+SELECT q.host, q.stage, CAST(q.step AS INTEGER) AS step, q.risk, q.label, CAST(coalesce(clead, -1) AS INTEGER) AS compromise_lead_s FROM (
+  SELECT host, stage, step, risk, label FROM q_trec UNION ALL
+  SELECT r.host, r.stage, r.step, r.risk, r.label FROM q_rec r JOIN q_top12 t ON t.host = r.host AND t.first_alert_step = r.step
+  WHERE r.host NOT IN (SELECT host FROM q_trec)) q JOIN q_top12 t ON t.host = q.host""",
 }

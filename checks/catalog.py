@@ -902,9 +902,15 @@ def shap_top(spark, sf):
 
 @register
 def multi_horizon(spark, sf):
-    """K per-step models with a stage model and a bagged band."""
+    """Risk of each of the next five windows from the scaled history of ten, with a band of ten resampled copies."""
+    from flowtide.operators.heads import HeadBank
+
     f = materialise(frame(spark, sf))
-    x = SC.FeatureScaler.fit(f).transform(f).withColumn("x", M.array_to_vector(SQ.vector()))
-    rows = materialise(x.select("host", "segment", "window", "stage", "x"))
-    m = M.HorizonModel.fit(rows, bags=1, max_iter=8)
-    return m.forecast(rows).select("host", "window", "future", "lo", "hi", "now", "stage_now")
+    scaler = SC.FeatureScaler.fit(f)
+    rows = SQ.histories(scaler.transform(f).select("host", "segment", "window", "stage", *S.FEATURES), scaler.idle())
+    ahead = W.Window.partitionBy("host", "segment").orderBy("window")
+    rows = materialise(rows.select("host", "segment", "window", F.transform(F.flatten("history"), lambda v: v.cast("float")).alias("x"), *[
+        (F.lead("stage", k).over(ahead) > 0).cast("int").alias(f"y{k}") for k in range(1, S.HORIZON_K + 1)]))
+    known = rows.filter(F.col(f"y{S.HORIZON_K}").isNotNull())
+    bank = HeadBank.fit(known, [f"y{k}" for k in range(1, S.HORIZON_K + 1)])
+    return bank.forecast(rows.select("host", "window", "x")).drop("x")

@@ -114,8 +114,8 @@ class Files(list):
         stems = {re.sub(r"\.[^./]*$", "", p) for p in every or paths}
         self.endings = len(stems) < len(set(every or paths))
 
-    def capture(self) -> Column:
-        path = F.regexp_replace(F.col("_metadata.file_path"), self._SCHEME, "/")
+    def capture(self, file: str = "_metadata.file_path") -> Column:
+        path = F.regexp_replace(F.col(file), self._SCHEME, "/")
         below = F.array_join(F.slice(F.split(path, "/"), self.depth + 1, 1 << 20), "/")
         return below if self.endings else F.regexp_replace(below, r"\.[^./]*$", "")
 
@@ -267,12 +267,13 @@ def detect_format(spark: SparkSession, path) -> str:
     return _format_of(path, head[0][0] if head else "")
 
 
-def _grouped(spark: SparkSession, path) -> list[tuple[str, "Files"]]:
-    """The files of a path by format and header, each judged by its own first line (a row a file reaches the driver)."""
+def _grouped(spark: SparkSession, path, only: Sequence[str] | None = None) -> list[tuple[str, "Files"]]:
+    """The files of a path, or `only` some of them, by format and header, each judged by its own first line (a row a file
+    reaches the driver)."""
     files = spark.read.text(path).inputFiles()
     if len(files) < 2:
         return [(detect_format(spark, path), Files(files))]
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+    lines = spark.read.text(path if only is None else list(only)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
                                          F.monotonically_increasing_id().alias("n"), "value").filter("at = 0")
     heads = lines.groupBy("file").agg(F.min_by("value", "n").alias("head")).collect()
     groups: dict[tuple[str, str], list[str]] = {}
@@ -282,9 +283,10 @@ def _grouped(spark: SparkSession, path) -> list[tuple[str, "Files"]]:
     return [(name, Files(paths, files)) for (name, _), paths in sorted(groups.items())]
 
 
-def load_flows(spark: SparkSession, path) -> tuple[DataFrame, str]:
-    """Flows of a path in any registered formats, and the format's name ("mixed" for several)."""
-    groups = _grouped(spark, path)
+def load_flows(spark: SparkSession, path, only: Sequence[str] | None = None) -> tuple[DataFrame, str]:
+    """Flows of a path in any registered formats, and the format's name ("mixed" for several). With `only`, no other
+    files are read, and captures have the names that they have beside the others."""
+    groups = _grouped(spark, path, only)
     parts = [_loader(name)(spark, files) for name, files in groups]
     names = {name for name, _ in groups}
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), names.pop() if len(names) == 1 else "mixed"

@@ -168,3 +168,50 @@ def test_load_report_counts_dropped_rows(spark, tmp_path):
     (r,) = load_report(spark, str(tmp_path / "cic.csv")).collect()
     assert (r["capture"], r["format"], r["rows"], r["dropped"], r["first"]) == ("cic", "cic", 62, 2, 1499247000.0)
     assert load_flows(spark, str(tmp_path / "cic.csv"))[0].count() == 60
+
+
+def test_a_second_build_reads_only_what_changed(spark, tmp_path):
+    import os
+    import random
+
+    from flowtide.schema import FLOW_SCHEMA
+    from tests.helpers import flow
+
+    def write(name, n, seed):
+        random.seed(seed)
+        rows = [flow(i, 1000 + random.random() * 900, f"h{random.randint(0, 3)}", f"h{random.randint(4, 6)}") for i in range(n)]
+        os.makedirs(os.path.dirname(tmp_path / "in" / name), exist_ok=True)
+        spark.createDataFrame(rows, FLOW_SCHEMA).drop("flow_id").toPandas().to_csv(tmp_path / "in" / name, index=False)
+
+    def build():
+        got = datasets.build_changed(spark, path, root, "net", spec)
+        return {r["capture"]: r["status"] for r in got.collect()}
+
+    def check():
+        full = datasets.build_dataset(load_flows(spark, path)[0], "net", spec)
+        for part, want in (("windows", full.frame), ("edges", full.edges)):
+            back = datasets.load_built(spark, root, "net", part).select(*want.columns)
+            assert back.exceptAll(want).isEmpty() and want.exceptAll(back).isEmpty() and not back.isEmpty()
+
+    path, root, spec = str(tmp_path / "in"), str(tmp_path / "store"), WindowSpec(min_flows=1)
+    for i, name in enumerate(("001.csv", "002.csv", "mon.csv")):
+        write(name, 60, i)
+    assert build() == {"001": "new", "002": "new", "mon": "new"}
+    check()
+    assert set(build().values()) == {"same"}
+    write("002.csv", 80, 9)                                     # other content
+    os.utime(tmp_path / "in" / "mon.csv", (1, 1))               # another time, the same content
+    read = []
+    loader = datasets.load_flows
+    datasets.load_flows = lambda s, p, only: read.append(only) or loader(s, p, only)
+    try:
+        assert build() == {"001": "same", "002": "changed", "mon": "touched"}
+    finally:
+        datasets.load_flows = loader
+    assert [[os.path.basename(f) for f in only] for only in read] == [["002.csv"]]
+    assert {os.path.basename(f) for f in loader(spark, path, read[0])[0].inputFiles()} == {"002.csv"}
+    check()
+    os.remove(tmp_path / "in" / "001.csv")
+    write("new.csv", 30, 4)
+    assert build() == {"001": "gone", "002": "same", "mon": "same", "new": "new"}
+    check()

@@ -1,9 +1,10 @@
 """Live operation: flow buffer, ticks, containment and replay of recorded flows."""
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from flowtide import schema as S
 from flowtide.operators.counterfactual import BLOCKING, FULL, THROTTLES, affected
@@ -67,27 +68,79 @@ def sliding_features(flows: DataFrame, window_s: int = 60, stride_s: int = 15) -
 
 
 def edge_counts(flows: DataFrame) -> DataFrame:
-    """Running (src, dst) flow counts; write with update or complete output."""
+    """Running (src, dst) flow counts; write with update or complete output. Every pair stays in the state: for streams
+    of few hosts. `run_edges` forgets closed windows."""
     return flows.groupBy("src_ip", "dst_ip").agg(F.count("*").alias("flows"))
 
 
+def run_edges(stream: DataFrame, store: str, checkpoint: str, window_s: int = 3600, late_s: int = 600, **trigger):
+    """Directed flow counts of a stream with bounded state: counts of one window are held until the watermark has passed
+    its end, then appended to `store` and forgotten. A replayed batch overwrites its own folder."""
+    timed = stream.withColumn("event_time", F.timestamp_micros((F.col("ts_end") * 1e6).cast("long")))
+    counts = (timed.withWatermark("event_time", f"{late_s} seconds")
+              .groupBy(F.window("event_time", f"{window_s} seconds").alias("w"), "src_ip", "dst_ip")
+              .agg(F.count("*").alias("flows"))
+              .select("src_ip", "dst_ip", F.col("w.start").alias("window_start"), "flows"))
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
+
+    return (counts.writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "15 seconds"})).start())
+
+
+def stored_edges(spark: SparkSession, store: str, since: float | None = None) -> DataFrame:
+    """(src, dst) flow counts over the closed windows in a store of `run_edges`, from the window at `since` on."""
+    rows = spark.read.schema("src_ip string, dst_ip string, window_start timestamp, flows long, epoch long").parquet(store)
+    if since is not None:
+        rows = rows.filter(F.col("window_start") >= F.timestamp_seconds(F.lit(float(since))))
+    return rows.groupBy("src_ip", "dst_ip").agg(F.sum("flows").alias("flows"))
+
+
+def _hours(spark: SparkSession, store: str, first: int, last: int) -> DataFrame:
+    """The rows of a flow store in some hours; no other folder is listed."""
+    return (spark.read.schema(S.FLOW_SCHEMA).option("basePath", store)
+            .parquet(f"{store}/hour={{{','.join(map(str, range(first, last + 1)))}}}").select(*S.FLOW_SCHEMA.names))
+
+
+def retire(spark: SparkSession, store: str, before: float) -> list[int]:
+    """Delete the hours of a flow store that end by `before` (seconds); the deleted hours."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(store)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [str(f.getPath().getName()) for f in fs.listStatus(root)] if fs.exists(root) else []
+    hours = sorted(int(n[5:]) for n in names if re.fullmatch(r"hour=-?[0-9]+", n))
+    old = [h for h in hours if (h + 1) * 3600 <= before]
+    for h in old:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/hour={h}"), True)
+    return old
+
+
 def run_ticks(stream: DataFrame, store: str, on_tick: Callable[[HostFeatures, int], None], checkpoint: str,
-              window_s: float = S.WINDOW_S, history: int = S.HISTORY_L, **trigger):
+              window_s: float = S.WINDOW_S, history: int = S.HISTORY_L, keep_s: float | None = None, **trigger):
     """Exact live loop: append every micro-batch to a flow store and analyse its tail.
 
-    The store is partitioned by hour, so a tick reads only the last partitions. A replayed
-    batch overwrites its own folder, so a restart neither loses nor doubles flows.
+    The store is partitioned by hour, then by batch, so a tick lists and reads only the hours of its buffer, however
+    long the loop has run. A replayed batch overwrites its own folders, so a restart neither loses nor doubles flows.
+    With `keep_s`, hours older than that, and than the buffer, are deleted after the tick. `on_tick` sees a batch again
+    when the batch is replayed: it should write by the batch's number. A batch without times makes no tick.
     """
+    span = (history + 2) * window_s
+
     def batch(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
-        (df.withColumn("hour", F.floor(F.col("ts_end") / 3600)).write.mode("overwrite")
-         .partitionBy("hour").parquet(f"{store}/batch={epoch}"))
-        flows = spark.read.option("basePath", store).parquet(f"{store}/batch=*")
-        now = spark.read.parquet(f"{store}/batch={epoch}").agg(F.max("ts_end")).first()[0]
-        if now is None:
-            return
-        recent = flows.filter(F.col("hour") >= int((now - (history + 2) * window_s) // 3600))
-        on_tick(tick(recent.drop("hour", "batch"), now, window_s, history), epoch)
+        df = df.select(*S.FLOW_SCHEMA.names).persist()
+        try:
+            now = df.agg(F.max("ts_end")).first()[0]
+            if now is None:
+                return
+            (df.withColumns({"hour": F.floor(F.col("ts_end") / 3600), "batch": F.lit(epoch)}).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(store))
+        finally:
+            df.unpersist()
+        recent = _hours(spark, store, int((now - span) // 3600), int(now // 3600))
+        on_tick(tick(recent, now, window_s, history), epoch)
+        if keep_s is not None:
+            retire(spark, store, now - max(keep_s, span))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"processingTime": "15 seconds"})).start()

@@ -89,6 +89,62 @@ def test_run_ticks_over_a_replay(spark, tmp_path):
     assert [n for _, n in sorted(seen)] == [60.0, 120.0]
 
 
+def test_ticks_after_a_failure_and_retired_hours(spark, tmp_path):
+    """A batch that fails after it was stored is replayed without doubling; old hours are neither listed nor kept."""
+    rows = [flow(i, i * 60, f"h{i % 3}", "srv") for i in range(300)]            # five hours
+    for at in range(0, 300, 60):
+        spark.createDataFrame(rows[at:at + 60], FLOW_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "rec"))
+    store, seen, fail = str(tmp_path / "store"), {}, [2]
+
+    def on_tick(h, epoch):
+        if epoch in fail:
+            fail.remove(epoch)
+            raise ValueError("lost")
+        files = {f.split("hour=")[1].split("/")[0] for f in h.flows.inputFiles()}
+        seen[epoch] = (h.flows.count(), files)
+
+    def run():
+        s = LV.replay_stream(spark, str(tmp_path / "rec"), 0, 0)
+        q = LV.run_ticks(s, store, on_tick, str(tmp_path / "ck"), keep_s=3600, availableNow=True)
+        try:
+            q.awaitTermination()
+        except Exception as exc:  # noqa: BLE001 - the planted failure
+            assert "lost" in str(exc)
+
+    run()
+    assert sorted(seen) == [0, 1]
+    run()
+    assert sorted(seen) == [0, 1, 2, 3, 4]
+    for epoch, (n, files) in seen.items():
+        now = (epoch * 60 + 59) * 60 + 1                                        # the last flow ends a second later
+        want = [r for r in rows[:epoch * 60 + 60] if r[2] >= now - 11 * 60]
+        assert n == len(want) and files <= {str(int((now - 720) // 3600)), str(now // 3600)}
+    left = sorted(p.name for p in (tmp_path / "store").iterdir() if p.name.startswith("hour="))
+    assert left == ["hour=3", "hour=4"]
+    assert LV.retire(spark, store, 5 * 3600) == [3, 4] and LV.retire(spark, str(tmp_path / "none"), 1e9) == []
+
+
+def test_edges_of_closed_windows_leave_the_state(spark, tmp_path):
+    random.seed(6)
+    rows = [flow(i, i * 60, f"h{random.randint(0, 40)}", f"s{random.randint(0, 40)}", end=i * 60) for i in range(600)]  # ten hours
+    rows.append(flow(600, 1e6, "end", "end", end=1e6))
+    src = str(tmp_path / "in")
+    for at in range(0, 601, 100):
+        spark.createDataFrame(rows[at:at + 100], FLOW_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    stream = LV.replay_stream(spark, src, 0, 0)
+    q = LV.run_edges(stream, str(tmp_path / "edges"), str(tmp_path / "ck"), availableNow=True)
+    q.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(held) <= 4 * 60                  # two windows and a batch, not the 500 pairs seen
+    got = {(r["src_ip"], r["dst_ip"]): r["flows"] for r in LV.stored_edges(spark, str(tmp_path / "edges")).collect()}
+    want = {}
+    for r in rows[:600]:
+        want[r[3], r[4]] = want.get((r[3], r[4]), 0) + 1
+    assert got == want and len(want) > 400
+    late = LV.stored_edges(spark, str(tmp_path / "edges"), 5 * 3600)
+    assert late.agg(F.sum("flows")).first()[0] == 300
+
+
 def test_sliding_windows_and_edge_counts_stream(spark, tmp_path):
     rows = [flow(i, 1000 + i, "a" if i % 3 else "b", "c") for i in range(90)]
     spark.createDataFrame(rows, FLOW_SCHEMA).write.parquet(str(tmp_path / "in"))

@@ -105,37 +105,47 @@ BUCKET_ROWS, MOST_CELLS = 500, 100_000
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
-    """Add `_b`, a bucket of neighbouring ids `_k`, and `_guest`, true for copies of a bucket's highest ids that stand
-    at the end of the bucket above (the highest of all at the end of the lowest).
+    """Add `_b`, a bucket of neighbours in descending `_k` and, of rows with one `_k`, ascending `_h`; and `_guest`, true
+    for a copy of a bucket's first row that stands at the end of the bucket above (of the very first, of the lowest).
 
-    Ids fall into at most MOST_CELLS cells of equal width; a cell with too many ids is cut at its quantiles. The
-    cells and buckets that are broadcast are bounded by that number, and no text moves here.
+    Ids fall into at most MOST_CELLS cells of equal width; a cell with too many ids is cut at its quantiles, and an id
+    with too many rows has buckets of its own, cut by the hash. The cells, their frequent ids and the buckets that are
+    broadcast are bounded by that number, and no text moves here.
     """
-    ids = rows.select("_k")
+    ids = rows.select("_k", "_h")
     n, low, high = ids.agg(F.count("*"), F.min("_k"), F.max("_k")).first()
     each = max(BUCKET_ROWS, -(-n // MOST_CELLS))
     width = max(1, ((high or 0) - (low or 0)) * each // max(n, 1))
     cell = F.expr(f"(_k - ({low or 0}L)) div {width}L")
     parts = 64
+    often = (ids.groupBy("_k").agg(F.count("*").alias("_n")).filter(F.col("_n") > 2 * each).groupBy(cell.alias("_c"))
+             .agg(F.sort_array(F.collect_list(F.struct(F.col("_k").alias("k"), F.ceil(F.col("_n") / each).alias("cuts"))))
+                  .alias("_often")))            # at most n / (2 * each) in all
     cells = (ids.groupBy(cell.alias("_c")).agg(F.count("*").alias("_n"), F.percentile_approx(
         "_k", [i / parts for i in range(1, parts)], 1000).alias("_q"))
         .select("_c", F.when(F.col("_n") > 2 * each, F.array_distinct("_q")).otherwise(
-            F.array().cast("array<bigint>")).alias("_q")))
+            F.array().cast("array<bigint>")).alias("_q")).join(often, "_c", "left"))
 
     def placed(df: DataFrame) -> DataFrame:
         cut = F.size(F.filter("_q", lambda q: q <= F.col("_k")))
-        return df.withColumn("_c", cell).join(F.broadcast(cells), "_c").withColumn(
-            "_b", F.col("_c") * (parts + 1) + cut).drop("_c", "_q")
+        below = F.size(F.filter("_often", lambda o: o["k"] < F.col("_k")))
+        own = F.get(F.filter("_often", lambda o: o["k"] == F.col("_k")), F.lit(0))["cuts"]
+        share = F.col("_h") / 2.0 ** 64 + 0.5   # of the hashes below; a higher bucket comes first
+        bucket = F.struct((F.col("_c") * (parts + 1) + cut).alias("at"),
+                          F.when(F.col("_often").isNull(), 0).otherwise(2 * below + F.when(own.isNull(), 0).otherwise(1)).alias("id"),
+                          F.coalesce(-F.least(F.floor(share * own), own - 1), F.lit(0).cast("long")).alias("hash"))
+        return df.withColumn("_c", cell).join(F.broadcast(cells), "_c").withColumn("_b", bucket).drop("_c", "_q", "_often")
+
+    def order(k: str, h: str) -> Column:        # the first row has the greatest
+        return F.struct(F.col(k).alias("k"), F.bitwise_not(F.col(h)).alias("h"))
 
     ring = Window.orderBy("_b")
     around = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tops = placed(ids).groupBy("_b").agg(F.max("_k").alias("_top")).select(
+    tops = placed(ids).groupBy("_b").agg(F.max(order("_k", "_h")).alias("_top")).select(
         "_b", "_top", F.coalesce(F.lead("_b").over(ring), F.min("_b").over(around)).alias("_above"))
+    host, guest = (F.struct(F.col(b).alias("b"), F.lit(g).alias("guest")) for b, g in (("_b", False), ("_above", True)))
     return (placed(rows).join(F.broadcast(tops), "_b")
-            .withColumn("_to", F.explode(F.when(F.col("_k") == F.col("_top"), F.array(
-                F.struct(F.col("_b").alias("b"), F.lit(False).alias("guest")),
-                F.struct(F.col("_above").alias("b"), F.lit(True).alias("guest")))).otherwise(F.array(
-                    F.struct(F.col("_b").alias("b"), F.lit(False).alias("guest"))))))
+            .withColumn("_to", F.explode(F.when(order("_k", "_h") == F.col("_top"), F.array(host, guest)).otherwise(F.array(host))))
             .select(*rows.columns, F.col("_to.b").alias("_b"), F.col("_to.guest").alias("_guest")))
 
 
@@ -144,7 +154,8 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     The edited text has the last floor(n / 2) code points replaced by the first as many, or all, of the next document
     in descending id order; after the last comes the first. A null id is the lowest; rows of equal ids are ordered by
-    the hash of their texts. Each text moves once, to the bucket of its id.
+    the hash of their texts, and rows of one id and one text, which may stand in any order, share a bucket. Each text
+    moves once, to the bucket of its id.
     """
     content = F.coalesce(F.col(text), F.lit(""))
     least = docs.agg(F.min(id_col)).first()[0]

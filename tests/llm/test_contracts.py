@@ -195,6 +195,23 @@ def test_fingerprint_many_buckets(spark):
     assert got == {i: sha(e) for i, _, e, _ in edited_texts(pairs)}
 
 
+def test_fingerprint_frequent_ids(spark):
+    """Rows without an id and rows of one id are spread over buckets, in the order of their hashes."""
+    pairs = ([(None, f"no id {i} " + prose(i % 40, 8)) for i in range(2500)] + [(900, f"same {i} " + prose(i % 30, 9)) for i in range(3000)]
+             + [(i, f"own {i} " + prose(i % 20, 7)) for i in range(0, 2000) if i != 900])
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(7)
+    hashed = [((-1 if r[0] is None else r[0]), r[1], r[2]) for r in rows(df.select("doc_id", "text", F.xxhash64("text")))]
+    order = [(k, t) for k, t, h in sorted(hashed, key=lambda r: (-r[0], r[2]))]
+    want = Counter()
+    for at, (k, t) in enumerate(order):
+        nxt, half = order[(at + 1) % len(order)][1], len(t) // 2
+        want[(None if k == -1 else k), sha(t[:len(t) - half] + nxt[:half])] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in rows(fingerprints.edited_pairs(df))) == want
+    placed = fingerprints._neighbours(df.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("_k"), F.xxhash64("text").alias("_h")))
+    sizes = [r["count"] for r in rows(placed.groupBy("_b").count())]
+    assert sum(sizes) == len(pairs) + len(sizes) and max(sizes) <= 3 * fingerprints.BUCKET_ROWS
+
+
 def test_fingerprint_odd(spark):
     got = rows(fingerprints.edited_pairs(documents(spark)))
     assert len(got) == len(TEXTS)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtide import schema as S
-from flowtide.cluster import materialise
+from flowtide.cluster import materialise, spread
 from flowtide.functions.parsing import is_ip
 from flowtide.functions.stages import map_stage, stage_name, tactic
 from flowtide.operators import graph as G
@@ -65,34 +65,33 @@ def decision_context(frame: DataFrame, edges: DataFrame, flows: DataFrame, reque
     Roles are computed once per window for all its alerting hosts. A requested host that
     is not alerting joins last, after every alerting one, so only its own links are added.
     """
-    f = with_steps(frame).select("host", "window", "step", "risk", "probs")
+    f = spread(with_steps(frame).select("host", "window", "step", "risk", "probs"))
     first = frame.agg(F.min("window")).scalar()
     req = (requests.select("host", "step").distinct()
            .withColumn("window", (F.col("step") + first).cast("long"))
            .join(f.select("host", "step", "risk", "probs"), ["host", "step"], "left")
            .withColumn("risk", F.coalesce("risk", F.lit(0.0))))
-    windows = req.select("window").distinct()
-    req = materialise(req)
-    windows = req.select("window").distinct()
+    req = spread(materialise(req))
+    windows = F.broadcast(req.select("window").distinct())       # as many as the recording is long, at most
     risk = f.join(windows, "window", "left_semi").select("window", "host", "risk")
     # small per-window tables that several branches below read: computed once
-    recent = materialise(G.recent_edges(edges, windows))
+    recent = spread(materialise(G.recent_edges(edges, windows)))
     base = G.role_links(edges, risk, threshold, recent)
-    base = {**base, "links": materialise(base["links"]), "roles": materialise(base["roles"])}
+    base = {**base, "links": spread(materialise(base["links"])), "roles": spread(materialise(base["roles"]))}
 
     # links a non-alerting focus host adds by itself
     calm = req.filter(F.col("risk") < threshold).select("window", "host")
-    sided = (calm.join(G.direction(recent), ["window", "host"], "left").withColumn(
+    sided = spread(calm.join(G.direction(recent), ["window", "host"], "left").withColumn(
         "attacks", F.coalesce(F.col("out_recent") >= F.col("in_recent"), F.lit(True))))
     own = (G.heaviest_targets(recent).withColumnRenamed("a", "host")
            .join(sided.filter("attacks").select("window", "host"), ["window", "host"], "left_semi")
            .select("window", "host", F.col("host").alias("attacker"), F.col("b").alias("victim"),
                    F.struct(F.lit(0).alias("grp"), F.lit(0.0).alias("neg"), F.lit("").alias("name"),
                             "ord").alias("at")))
-    named = (sided.filter("NOT attacks").select("window", "host")
-             .join(G.heaviest_source(recent), ["window", "host"], "left")
-             .join(base["roles"].filter("role = 'attacker'").select("window", "host", F.lit(True).alias("_known")),
-                   ["window", "host"], "left"))
+    named = spread(sided.filter("NOT attacks").select("window", "host")
+                   .join(G.heaviest_source(recent), ["window", "host"], "left")
+                   .join(base["roles"].filter("role = 'attacker'").select("window", "host", F.lit(True).alias("_known")),
+                         ["window", "host"], "left"))
 
     # role and attacker of every request
     alerting_roles = base["roles"].select("window", "host", F.col("role").alias("_role"),
@@ -109,7 +108,7 @@ def decision_context(frame: DataFrame, edges: DataFrame, flows: DataFrame, reque
     # ordered victims of each request's attacker
     shared = base["links"].select("window", "attacker", "victim", F.struct(
         "grp", F.col("pos.neg").alias("neg"), F.col("pos.name").alias("name"), "ord").alias("at"))
-    marks = materialise(marks)
+    marks = spread(materialise(marks))
     who = marks.select("window", "host", "attacker", "role", "_attacks")
     # a calm focus that attacks replaces its list; otherwise the shared list applies
     lists = (who.filter(~F.coalesce("_attacks", F.lit(False)))
@@ -120,7 +119,7 @@ def decision_context(frame: DataFrame, edges: DataFrame, flows: DataFrame, reque
               .select("window", "host", "attacker", F.col("host").alias("victim"), tail.alias("at")))
     victims = (lists.unionByName(itself).groupBy("window", "host", "attacker", "victim")
                .agg(F.min("at").alias("at")))
-    victims = materialise(victims)
+    victims = spread(materialise(victims))
     first_victim = (victims.filter("victim <> attacker").groupBy("window", "host")
                     .agg(F.min(F.struct("at", "victim"))["victim"].alias("victim_1")))
     count = victims.groupBy("window", "host").agg(F.count("*").alias("victims_n"))
@@ -129,8 +128,8 @@ def decision_context(frame: DataFrame, edges: DataFrame, flows: DataFrame, reque
     span = F.floor((F.col("ts_end") - t0) / float(window_s)).cast("long")
     near = flows.select("src_ip", "dst_ip", "dport", F.explode(F.sequence(
         span, span + (S.ROLE_LOOKBACK - 1))).alias("window"))
-    cells = materialise(near.join(windows, "window", "left_semi")
-                        .groupBy("window", "src_ip", "dst_ip", "dport").agg(F.count("*").alias("n")))
+    cells = spread(materialise(near.join(windows, "window", "left_semi")
+                               .groupBy("window", "src_ip", "dst_ip", "dport").agg(F.count("*").alias("n"))))
     aimed = victims.select("window", "host", "attacker", "victim").unionByName(
         marks.select("window", "host", "attacker").join(count, ["window", "host"], "left_anti")
         .withColumn("victim", F.col("host")))
@@ -147,7 +146,7 @@ def decision_context(frame: DataFrame, edges: DataFrame, flows: DataFrame, reque
                   .alias("c2_peers")))
     out = marks
     for side in (first_victim, count, ports, peers):
-        out = out.join(side, ["window", "host"], "left")
+        out = out.join(spread(side), ["window", "host"], "left")
     stage = F.when(F.col("probs").isNotNull(), map_stage(F.col("risk"), F.col("probs"), threshold)).otherwise(0)
     return out.select("host", "step", "window", F.round("risk", 4).alias("risk"),
                       stage.cast("int").alias("decision_stage"), "role", "attacker", "victim_1",

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtide import schema as S
-from flowtide.cluster import materialise
+from flowtide.cluster import materialise, spread
 from flowtide.functions.parsing import subnet24
 from flowtide.functions.stages import map_stage
 
@@ -69,7 +69,7 @@ def recent_edges(edges: DataFrame, windows: DataFrame | None = None,
     ahead = F.explode(F.sequence(F.col("window"), F.col("window") + (lookback - 1)))
     e = edges.select("a", "b", "flows", ahead.alias("window"))
     if windows is not None:
-        e = e.join(windows.select("window").distinct(), "window", "left_semi")
+        e = e.join(F.broadcast(windows.select("window").distinct()), "window", "left_semi")
     return e.groupBy("window", "a", "b").agg(F.sum("flows").alias("flows"))
 
 
@@ -104,13 +104,13 @@ def role_links(edges: DataFrame, risk: DataFrame, threshold: float,
     * `links`:   window, attacker, victim, grp, pos, ord - the ordered victim list
     * `roles`:   window, host, role, attacker
     """
-    alerting = risk.filter(F.col("risk") >= threshold).select(
-        "window", "host", F.struct((-F.col("risk")).alias("neg"), F.col("host").alias("name")).alias("pos"))
+    alerting = spread(risk.filter(F.col("risk") >= threshold).select(
+        "window", "host", F.struct((-F.col("risk")).alias("neg"), F.col("host").alias("name")).alias("pos")))
     if recent is None:
-        recent = materialise(recent_edges(edges, alerting))
+        recent = spread(materialise(recent_edges(edges, alerting)))
     sided = (alerting.join(direction(recent), ["window", "host"], "left")
              .withColumn("attacks", F.coalesce(F.col("out_recent") >= F.col("in_recent"), F.lit(True))))
-    sided = materialise(sided)
+    sided = spread(materialise(sided))
     attackers = sided.filter("attacks").select("window", F.col("host").alias("attacker"),
                                                F.col("pos").alias("own_pos"))
     victims = (sided.filter("NOT attacks").join(heaviest_source(recent), ["window", "host"])
@@ -124,19 +124,19 @@ def role_links(edges: DataFrame, risk: DataFrame, threshold: float,
     # victims visited later are appended to it
     appended = (victims.join(attackers, ["window", "attacker"], "left")
                 .filter(F.col("own_pos").isNull() | (F.col("pos") > F.col("own_pos")))
-                .join(targets.select("window", "attacker", "victim"), ["window", "attacker", "victim"], "left_anti")
+                .join(spread(targets.select("window", "attacker", "victim")), ["window", "attacker", "victim"], "left_anti")
                 .select("window", "attacker", "victim", F.lit(1).alias("grp"), "pos", F.lit(0).alias("ord")))
     links = targets.unionByName(appended)
     # order in which attackers entered the table: own visit or first victim naming them
     entered = (attackers.select("window", "attacker", F.col("own_pos").alias("pos"))
                .unionByName(victims.select("window", "attacker", "pos"))
                .groupBy("window", "attacker").agg(F.min("pos").alias("entry")))
-    listed = (links.join(entered, ["window", "attacker"])
+    listed = (links.join(spread(entered), ["window", "attacker"])
               .groupBy("window", F.col("victim").alias("host"))
               .agg(F.max(F.struct("entry", "attacker"))["attacker"].alias("listed_by")))
     own = victims.select("window", F.col("victim").alias("host"), F.col("attacker").alias("named"))
     passive = (listed.join(own, ["window", "host"], "full")
-               .join(entered.select("window", F.col("attacker").alias("host")), ["window", "host"], "left_anti")
+               .join(spread(entered.select("window", F.col("attacker").alias("host"))), ["window", "host"], "left_anti")
                .select("window", "host", F.lit("victim").alias("role"),
                        F.coalesce("named", "listed_by").alias("attacker")))
     roles = entered.select("window", F.col("attacker").alias("host"), F.lit("attacker").alias("role"),

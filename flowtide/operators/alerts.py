@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtide import schema as S
+from flowtide.cluster import deal
 from flowtide.functions.risk import first_at_least
 from flowtide.functions.stages import map_stage, stage_name
 from flowtide.operators.sequences import align_steps
@@ -118,7 +119,7 @@ def hold_stages(steps: DataFrame, keys: Sequence[str] = ("host",), hold: int = 2
     """
     keys = list(keys)
     rows = steps.withColumn("held_stage", F.lit(None).cast("int"))
-    ordered = rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "step")
+    ordered = deal(rows, *keys).sortWithinPartitions(*keys, "step")
     return ordered.mapInArrow(_holding(keys, hold), rows.schema)
 
 

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import catalog as Q
-from flowtide.operators import decisions as D, graph as G
+from flowtide.cluster import materialise
+from flowtide.operators import alerts as A, decisions as D, graph as G, scaling as SC, sequences as SQ, windows as W
 
 
 def plan(df) -> str:
@@ -26,6 +27,14 @@ def folder(spark, tmp_path_factory):
     return at
 
 
+@pytest.fixture
+def no_sizes(spark):
+    """A planner that broadcasts what it is told to and nothing else, as it does when no side looks small."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_decisions_broadcast_no_rows_of_windows(spark, folder, monkeypatch):
     plans, real = [], D.materialise
     for module in (D, G):
@@ -35,3 +44,26 @@ def test_decisions_broadcast_no_rows_of_windows(spark, folder, monkeypatch):
     for p in plans:
         assert not re.search(r"Broadcast\w*Join \[\w+#\d+L?, ", p)       # joins on more than the window alone
     assert any("SortMergeJoin" in p for p in plans)
+
+
+def frame(spark):
+    f = {n: (F.col("id") % 9).cast("double") for n in Q.S.FEATURES}
+    return spark.range(400).select(
+        F.concat(F.lit("d"), F.col("id") % 1).alias("dataset"), F.concat(F.lit("c"), F.col("id") % 2).alias("capture"), F.concat(F.lit("h"), F.col("id") % 8).alias("host"),
+        (F.col("id") % 1).cast("int").alias("segment"), F.floor(F.col("id") / 8).alias("window"), (F.col("id") % 5).cast("int").alias("stage"),
+        (F.col("id") % 2).alias("touches"), *[c.alias(n) for n, c in f.items()])
+
+
+def test_small_sides_are_broadcast(spark, folder, no_sizes):
+    f, keys = frame(spark), ["dataset", "capture"]
+    for df in (SQ.with_blocks(f), SQ.group_weights(f), SC.capture_normalised(f, materialise(SC.capture_stats(f, keys)), keys),
+               Q.keyed_frame(spark, folder), W.host_edges(Q.captures(spark, folder), Q.spec(keys=("dataset", "capture"), hosts=["10.0.0.1"]))):
+        assert "SortMergeJoin" not in plan(df)
+
+
+def test_dense_rows_keep_their_tasks(spark, folder):
+    f = frame(spark)
+    steps = f.select("host", F.col("window").alias("step"), F.col("stage").alias("raw_stage"))
+    for df in (SQ.with_targets(f, SQ.compromise(column="stage")), SQ.sequence_starts(f), A.hold_stages(steps),
+               SQ.histories(f, [0.0] * len(Q.S.FEATURES)), Q.frame(spark, folder)):
+        assert df.rdd.getNumPartitions() == 4                # of the test session; they are too small to be kept apart by bytes

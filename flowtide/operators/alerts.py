@@ -93,6 +93,7 @@ def focus_host(hosts: DataFrame) -> DataFrame:
 def timeline(frame: DataFrame, threshold: float, horizon: int = S.HORIZON_K,
              hosts: DataFrame | None = None) -> DataFrame:
     """Every step of every (chosen) host: risk, forecast, stages with hysteresis, truth."""
+    n = frame.count()
     if hosts is not None:
         frame = frame.join(hosts.select("host"), "host", "left_semi")
     zeros = f"array_repeat(0.0D, {horizon})"
@@ -101,25 +102,26 @@ def timeline(frame: DataFrame, threshold: float, horizon: int = S.HORIZON_K,
     cols = ["host", "window", "stage", "future", "lo", "hi", "now", "stage_future_probs", *traffic]
     idle = {"stage": "0", "future": zeros, "lo": zeros, "hi": zeros, "now": "0.0D",
             "stage_future_probs": calm, **{c: "0.0D" for c in traffic}}
-    f = align_steps(frame.select(*cols), idle)
+    f = align_steps(frame.select(*cols), idle, rows=n)
     f = f.withColumns({"risk": F.array_max("future"), "probs": mean_probs(F.col("stage_future_probs"))})
     f = f.withColumns({
         "raw_stage": map_stage(F.col("risk"), F.col("probs"), threshold),
         "stage_now": map_stage(F.col("now"), F.col("stage_future_probs")[0], threshold),
         "future_stage": F.zip_with("future", "stage_future_probs", lambda r, p: map_stage(r, p, threshold))})
-    return hold_stages(f).drop("probs", "stage_future_probs").withColumnRenamed("stage", "truth_stage")
+    return hold_stages(f, dealt=True).drop("probs", "stage_future_probs").withColumnRenamed("stage", "truth_stage")
 
 
-def hold_stages(steps: DataFrame, keys: Sequence[str] = ("host",), hold: int = 2) -> DataFrame:
+def hold_stages(steps: DataFrame, keys: Sequence[str] = ("host",), hold: int = 2, dealt: bool = False) -> DataFrame:
     """Add `held_stage`: `raw_stage` after hysteresis.
 
     Entering or leaving an attack is immediate; a change between two attack stages needs `hold` equal readings, which
     one benign reading in between does not undo. One pass over each host's ordered rows, a run of equal readings at a
-    time; what is carried from batch to batch is four numbers.
+    time; what is carried from batch to batch is four numbers. `dealt`: the rows of a host already lie in one task, as
+    `align_steps` leaves them; other steps are counted first.
     """
     keys = list(keys)
     rows = steps.withColumn("held_stage", F.lit(None).cast("int"))
-    ordered = deal(rows, *keys).sortWithinPartitions(*keys, "step")
+    ordered = (rows if dealt else deal(rows, *keys, rows=steps.count())).sortWithinPartitions(*keys, "step")
     return ordered.mapInArrow(_holding(keys, hold), rows.schema)
 
 

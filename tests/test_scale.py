@@ -1,13 +1,14 @@
 """Plans that send no per-window rows through the driver and gather none in a few tasks, whatever the files' sizes say."""
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from checks import catalog as Q
-from flowtide.cluster import materialise
+from flowtide.cluster import ROWS_A_TASK, deal, materialise
 from flowtide.operators import alerts as A, decisions as D, graph as G, scaling as SC, sequences as SQ, windows as W
 
 
@@ -67,3 +68,52 @@ def test_dense_rows_keep_their_tasks(spark, folder):
     for df in (SQ.with_targets(f, SQ.compromise(column="stage")), SQ.sequence_starts(f), A.hold_stages(steps),
                SQ.histories(f, [0.0] * len(Q.S.FEATURES)), Q.frame(spark, folder)):
         assert df.rdd.getNumPartitions() == 4                # of the test session; they are too small to be kept apart by bytes
+
+
+def test_tasks_grow_with_rows(spark, folder):
+    """More rows than a task is meant to get are dealt to more tasks than the session's setting says."""
+    f, many = frame(spark), 10 * ROWS_A_TASK
+    assert deal(f, "host", rows=many).rdd.getNumPartitions() == 10 and deal(f, "host", rows=5).rdd.getNumPartitions() == 4
+    assert W.host_windows(Q.flows(spark, folder), Q.spec(flows_n=many)).rdd.getNumPartitions() == 10 * W.ROWS_A_FLOW
+    steps = f.select("host", "window", "stage")
+    assert SQ.align_steps(steps, {"stage": "0"}, rows=many).rdd.getNumPartitions() == 10
+
+
+def test_sequences_keep_the_deal_of_windows(spark, folder):
+    """Targets, blocks, histories and hysteresis go on in the tasks that the windows were dealt to."""
+    for query in (Q._sequences, Q._scored, Q.sequence_starts, Q.history_pad, Q.stage_hysteresis):
+        assert plan(query(spark, folder)).count("REPARTITION_BY_NUM") <= 1
+
+
+def test_wide_projections_are_compiled(spark, folder):
+    """The JVM compiles no method of more than 8,000 bytes."""
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        for query in (Q.scaled_features, Q.capture_norm, Q.packet_dropout, Q.history_pad, Q.keyed_windows):
+            told = query(spark, folder)._jdf.queryExecution().explainString(
+                spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+            assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", told))) < 8000, query.__name__
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_short_is_round(spark):
+    """Ties, halves beside them, whole, huge, tiny and missing numbers."""
+    rnd = random.Random(3)
+    values = [0.0, -0.0, 1.0, 0.5, 2.5, 1e-7, 5e-6, 1.000005, 1.0000049999999999, 2.675, 1.005, 0.285, 1e9, 123456789.1234565, 1e17,
+              1e300, float("nan"), float("inf"), -float("inf"), None]
+    values += [rnd.uniform(-10, 10) for _ in range(2000)] + [rnd.randint(-10 ** 7, 10 ** 7) / 2e6 for _ in range(2000)]
+    values += [-v for v in values if v is not None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (4, 5, 6, 9):
+        a, b = Q.short(F.col("v"), digits), F.round("v", digits) + 0.0
+        assert df.filter(~a.eqNullSafe(b)).collect() == []
+
+
+def test_histories_by_hand(spark):
+    rows = [("a", 0, w, float(w)) for w in range(4)] + [("a", 1, 9, 9.0), ("b", 0, 2, 7.0)]
+    df = spark.createDataFrame(rows, "host string, segment int, window long, x double")
+    got = {(r["host"], r["segment"], r["window"]): [v[0] for v in r["history"]]
+           for r in SQ.histories(df, [-1.0], 3, features=["x"]).collect()}
+    assert got == {("a", 0, 0): [-1, -1, 0], ("a", 0, 1): [-1, 0, 1], ("a", 0, 2): [0, 1, 2], ("a", 0, 3): [1, 2, 3],
+                   ("a", 1, 9): [-1, -1, 9], ("b", 0, 2): [-1, -1, 7]}

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowtide import schema as S
-from flowtide.operators.windows import _PAIR_SUMS
+from flowtide.operators.windows import _BOTH_SUMS, _FEATURE_SQL, _PAIR_SUMS
 
 TTL_S = 30 * 86400
 ROWS = f"host string, window_start double, {', '.join(f'{f} double' for f in S.FEATURES)}"
@@ -49,43 +49,50 @@ def cells(flows: DataFrame, window_s: int, stride_s: int | None = None) -> DataF
 
 
 def feature_rows(host: str, c: pd.DataFrame, contact: pd.Series) -> pd.DataFrame:
-    """One row per window from the cells of a host; `contact` is each cell's first contact with its peer."""
-    windows = np.sort(c["start"].unique())
-    sides = [c[c["side"] == k] for k in (0, 1)]
-    total = [s.groupby("start")[list(_PAIR_SUMS)].sum().reindex(windows, fill_value=0.0) for s in sides]
-    o, i = total
-    both = o + i
-
-    def per(s: pd.DataFrame, what: str) -> pd.Series:
-        return s.groupby("start")[what].nunique().reindex(windows, fill_value=0)
-
-    def share(num: pd.Series, den: pd.Series) -> pd.Series:
-        return (num / den.where(den > 0, 1.0)).where(den > 0, 0.0)
-
-    ports = sides[0].groupby(["start", "dport"])["flows"].sum()
-    nlogn = (ports * np.log2(ports)).groupby("start").sum().reindex(windows, fill_value=0.0)
-    flows = o["flows"].where(o["flows"] > 0, 1.0)
-    new = sides[0][contact.loc[sides[0].index].fillna(-np.inf) * 1e6 >= sides[0]["start"]]
+    """One row per window from the cells of a host; `contact` is each cell's first contact with its peer. Sums by place in
+    plain arrays: there is one call a host and micro-batch, and tables grouped by name would take most of the time."""
+    windows, at = np.unique(c["start"].to_numpy(), return_inverse=True)
+    n, sent = len(windows), c["side"].to_numpy() == 0
+    values = {k: np.nan_to_num(c[k].to_numpy(dtype=float)) for k in _PAIR_SUMS}
+    o, i = ({k: np.bincount(at[m], v[m], n) for k, v in values.items()} for m in (sent, ~sent))
+    both = {k: o[k] + i[k] for k in _PAIR_SUMS}
+    code = {k: pd.factorize(c[k])[0].astype(np.int64) for k in ("peer", "dport")}      # -1: missing, not counted
+
+    def pairs(of: str, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (window, value) pairs of the rows in `m`: the rows, the place of each row's pair, the pair's window."""
+        rows = np.flatnonzero(m & (code[of] >= 0))
+        width = code[of].max(initial=0) + 1
+        seen, place = np.unique(at[rows] * width + code[of][rows], return_inverse=True)
+        return rows, place, seen // width
+
+    def per(of: str, m: np.ndarray) -> np.ndarray:
+        return np.bincount(pairs(of, m)[2], minlength=n)
+
+    def share(num: np.ndarray, den: np.ndarray) -> np.ndarray:
+        return np.where(den > 0, num / np.where(den > 0, den, 1.0), 0.0)
+
+    rows, place, window = pairs("dport", sent)
+    ports = np.bincount(place, values["flows"][rows], len(window))
+    nlogn = np.bincount(window, ports * np.log2(ports), n)
+    flows = np.where(o["flows"] > 0, o["flows"], 1.0)
+    new = sent & (contact.fillna(-np.inf).to_numpy(dtype=float) * 1e6 >= c["start"].to_numpy())
     out = {
-        "out_flows": o["flows"], "out_pkts": o["pkts"], "out_bytes": o["bytes"], "out_distinct_dst": per(sides[0], "peer"),
-        "out_distinct_dport": per(sides[0], "dport"), "out_dport_entropy": (np.log2(flows) - nlogn / flows).clip(lower=0.0),
-        "out_new_peers": per(new, "peer"), "out_failed_ratio": share(o["failed"], o["flows"]),
+        "out_flows": o["flows"], "out_pkts": o["pkts"], "out_bytes": o["bytes"], "out_distinct_dst": per("peer", sent),
+        "out_distinct_dport": per("dport", sent), "out_dport_entropy": np.maximum(np.log2(flows) - nlogn / flows, 0.0),
+        "out_new_peers": per("peer", new), "out_failed_ratio": share(o["failed"], o["flows"]),
         "out_small_flow_ratio": share(o["small"], o["flows"]), "out_syn_ratio": share(o["syn"], o["flows"]),
-        "out_mean_dur": share(o["dur"], o["flows"]), "out_mean_pkt_size": o["bytes"] / o["pkts"].clip(lower=1.0),
+        "out_mean_dur": share(o["dur"], o["flows"]), "out_mean_pkt_size": o["bytes"] / np.maximum(o["pkts"], 1.0),
         "out_bwd_fwd_ratio": o["bwd_bytes"] / (o["fwd_bytes"] + 1), "out_tcp_frac": share(o["tcp"], o["flows"]),
         "out_udp_frac": share(o["udp"], o["flows"]), "out_icmp_frac": share(o["icmp"], o["flows"]),
         "out_wellknown_port_frac": share(o["wellknown"], o["flows"]),
-        "in_flows": i["flows"], "in_pkts": i["pkts"], "in_bytes": i["bytes"], "in_distinct_src": per(sides[1], "peer"),
-        "in_distinct_dport": per(sides[1], "dport"), "in_failed_ratio": share(i["failed"], i["flows"]),
+        "in_flows": i["flows"], "in_pkts": i["pkts"], "in_bytes": i["bytes"], "in_distinct_src": per("peer", ~sent),
+        "in_distinct_dport": per("dport", ~sent), "in_failed_ratio": share(i["failed"], i["flows"]),
         "in_small_flow_ratio": share(i["small"], i["flows"]), "in_syn_ratio": share(i["syn"], i["flows"]),
         "ttl_mean": share(both["ttl_sum"], both["ttl_n"]), "tcp_win_mean": share(both["win_sum"], both["win_n"]),
-        "retrans_rate": both["rt_sum"] / both["rt_pkts"].clip(lower=1.0),
-        "ttl_mean_mask": (both["ttl_n"] > 0), "tcp_win_mean_mask": (both["win_n"] > 0), "retrans_rate_mask": (both["rt_n"] > 0),
+        "retrans_rate": both["rt_sum"] / np.maximum(both["rt_pkts"], 1.0),
+        "ttl_mean_mask": both["ttl_n"] > 0, "tcp_win_mean_mask": both["win_n"] > 0, "retrans_rate_mask": both["rt_n"] > 0,
     }
-    rows = pd.DataFrame({k: out[k].to_numpy(dtype=float) for k in S.FEATURES})
-    rows.insert(0, "window_start", windows / 1e6)
-    rows.insert(0, "host", host)
-    return rows
+    return pd.DataFrame({"host": host, "window_start": windows / 1e6, **{k: out[k].astype(float) for k in S.FEATURES}})
 
 
 class KnownPeers(StatefulProcessor):
@@ -102,9 +109,9 @@ class KnownPeers(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         c = pd.concat(rows, ignore_index=True)
         sent = c[c["side"] == 0].groupby("peer")["first"].agg(["min", "max"])
-        first = {}
+        first, some = {}, self.known.exists()         # a host seen for the first time has no peer to ask for
         for peer, lo, hi in sent.itertuples():
-            old = self.known.getValue((peer,)) if self.known.containsKey((peer,)) else (lo, hi)
+            old = self.known.getValue((peer,)) if some and self.known.containsKey((peer,)) else (lo, hi)
             first[peer] = min(lo, old[0])
             self.known.updateValue((peer,), (float(first[peer]), float(max(hi, old[1]))))
         if first and not any(True for _ in self.handle.listTimers()):
@@ -155,11 +162,20 @@ def batch_features(flows: DataFrame, window_s: int, stride_s: int | None = None,
     c = cells(timed, window_s, stride_s)
     if after is not None:
         c = c.filter(F.col("start") / 1e6 + window_s > after)
-
-    def rows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return feature_rows(key[0], pdf, pdf["contact"])
-
-    return c.join(first, ["host", "peer"], "left").groupBy("host", "start").applyInPandas(rows, ROWS)
+    c = c.join(first, ["host", "peer"], "left")
+    there = {k: F.col(k).isNotNull().cast("int") for k in ("peer", "dport")}
+    pairs = c.groupBy("host", "start", "side", "peer").agg(*[F.sum(k).alias(k) for k in _PAIR_SUMS], F.max("contact").alias("contact"))
+    pairs = pairs.select("host", "start", "side", *_PAIR_SUMS, there["peer"].alias("peers"),
+                         F.when(F.col("contact") * 1e6 >= F.col("start"), there["peer"]).alias("new"))
+    ports = c.groupBy("host", "start", "side", "dport").agg(F.sum("flows").alias("n")).select(
+        "host", "start", "side", there["dport"].alias("ports"), (there["dport"] * F.col("n") * F.log2("n")).alias("port_nlogn"))
+    sums = {f"{s}_{k}": f"sum(IF(side = {at}, {k}, NULL))" for at, s in enumerate("oi") for k in (*_PAIR_SUMS, "peers", "ports")}
+    sums |= {f"p_{k}": f"sum({k})" for k in _BOTH_SUMS}
+    sums |= {"o_new": "sum(IF(side = 0, new, NULL))", "o_port_n": "sum(IF(side = 0, flows, NULL))",
+             "o_port_nlogn": "sum(IF(side = 0, port_nlogn, NULL))"}
+    return (pairs.unionByName(ports, allowMissingColumns=True).groupBy("host", "start")
+            .agg(*[F.expr(f"CAST(coalesce({e}, 0) AS DOUBLE) AS {k}") for k, e in sums.items()])
+            .selectExpr("host", "start / 1e6D AS window_start", *[f"{_FEATURE_SQL[f]} AS {f}" for f in S.FEATURES]))
 
 
 def watermark_of(query) -> float | None:

@@ -1,5 +1,9 @@
 """All features from a stream: equal to batch, through a restart, with state that is forgotten."""
+import math
 import random
+import timeit
+
+import pandas as pd
 
 from flowtide import schema as S
 from flowtide.operators import windows as W
@@ -72,3 +76,38 @@ def test_an_empty_stream_is_closed_by_the_recording(spark):
     none = spark.createDataFrame([], SF.ROWS)
     assert SF.closed(none, flows, None, 60).count() == SF.batch_features(flows, 60).count() > 0
     assert SF.batch_features(flows.limit(0), 60).collect() == []
+
+
+def odd_cells():
+    """Cells of one host over two windows, with a missing peer, a missing port and no hop counts."""
+    sums = {k: 0.0 for k in SF._PAIR_SUMS}
+    rows = [(0, "B", 80.0, 0, 2.0, 0.0), (0, "B", 22.0, 0, 2.0, 0.0), (0, "C", 80.0, 0, 4.0, None), (0, None, None, 0, 1.0, None),
+            (1, "B", 80.0, 0, 3.0, None), (0, "B", 80.0, 3_600_000_000, 5.0, None)]
+    return pd.DataFrame([{**sums, "side": s, "peer": p, "dport": d, "start": w, "flows": n, "ttl_sum": float("nan"), "ttl_n": 0.0,
+                          "contact": c} for s, p, d, w, n, c in rows])
+
+
+def test_feature_rows_of_odd_cells():
+    c = odd_cells()
+    r = SF.feature_rows("A", c, c["contact"])
+    assert r["window_start"].tolist() == [0.0, 3600.0]
+    assert r["out_flows"].tolist() == [9.0, 5.0] and r["in_flows"].tolist() == [3.0, 0.0]
+    assert r["out_distinct_dst"].tolist() == [2.0, 1.0] and r["out_distinct_dport"].tolist() == [2.0, 1.0]
+    assert r["out_new_peers"].tolist() == [1.0, 0.0] and r["in_distinct_src"].tolist() == [1.0, 0.0]
+    want = math.log2(9) - (6 * math.log2(6) + 2 * math.log2(2)) / 9
+    assert abs(r["out_dport_entropy"][0] - want) < 1e-12 and r["ttl_mean"].tolist() == [0.0, 0.0]
+
+
+def test_feature_rows_cost_little_a_host():
+    """A stream calls this once a host and micro-batch; with tables grouped by name a call took 40 ms."""
+    c = odd_cells()
+    SF.feature_rows("A", c, c["contact"])
+    best = min(timeit.repeat(lambda: SF.feature_rows("A", c, c["contact"]), number=5, repeat=5)) / 5
+    assert best < 0.015
+
+
+def test_closing_windows_stays_in_the_jvm(spark):
+    """The windows after the watermark are aggregated, not handed to Python one (host, window) at a time."""
+    flows = spark.createDataFrame(recorded(20), FLOW_SCHEMA)
+    plan = SF.batch_features(flows, 60, after=6000.0)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan

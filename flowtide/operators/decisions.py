@@ -55,9 +55,14 @@ ACTION_TYPE = ("struct<id:string,kind:string,target:string,peer:string,peers:arr
 
 
 # ------------------------------------------------------------------ context (D8)
+def stored_steps(frame: DataFrame) -> DataFrame:
+    """Host, window, step, risk and probs of a forecast frame, computed once."""
+    return materialise(with_steps(frame).select("host", "window", "step", "risk", "probs"))
+
+
 def decision_context(frame: DataFrame, edges: DataFrame, flows: DataFrame, requests: DataFrame,
                      threshold: float, t0: Column, window_s: float = S.WINDOW_S) -> DataFrame:
-    """Context of every (host, step) in `requests`.
+    """Context of every (host, step) in `requests`; `frame` holds forecasts, or what `stored_steps` made of them.
 
     Columns: host, step, window, risk, decision_stage, role, attacker, victim_1 (first victim other
     than the attacker), victims_n, top_port, c2_peers (five heaviest egress peers).
@@ -65,8 +70,10 @@ def decision_context(frame: DataFrame, edges: DataFrame, flows: DataFrame, reque
     Roles are computed once per window for all its alerting hosts. A requested host that
     is not alerting joins last, after every alerting one, so only its own links are added.
     """
-    f = spread(with_steps(frame).select("host", "window", "step", "risk", "probs"))
-    first = frame.agg(F.min("window")).scalar()
+    # stored: each branch below would else plan and compute the forecast's arrays anew
+    f = frame if {"step", "risk", "probs"} <= set(frame.columns) else stored_steps(frame)
+    first = f.agg(F.min("window")).scalar()
+    f = spread(f.select("host", "window", "step", "risk", "probs"))
     req = (requests.select("host", "step").distinct()
            .withColumn("window", (F.col("step") + first).cast("long"))
            .join(f.select("host", "step", "risk", "probs"), ["host", "step"], "left")

@@ -47,6 +47,15 @@ def test_decisions_broadcast_no_rows_of_windows(spark, folder, monkeypatch):
     assert any("SortMergeJoin" in p for p in plans)
 
 
+def test_decisions_compute_forecasts_once(spark, folder, monkeypatch):
+    """The arrays of the forecast stand in one plan; what follows reads the risk and stages stored by it."""
+    plans, real = [], D.materialise
+    for module in (D, G):
+        monkeypatch.setattr(module, "materialise", lambda df: plans.append(plan(df)) or real(df))
+    plans.append(plan(Q.decision_context(spark, folder)))
+    assert sum("lambdafunction" in p and "zip_with" in p for p in plans) == 1
+
+
 def frame(spark):
     f = {n: (F.col("id") % 9).cast("double") for n in Q.S.FEATURES}
     return spark.range(400).select(

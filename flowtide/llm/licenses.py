@@ -1,10 +1,10 @@
 """Licences of files: TF-IDF cosine of headers, statements and whole files to templates, and inheritance from the nearest
 directory.
 
-A text is compared as a whole, paragraph by paragraph, and sentence by sentence (also cut at line ends). Only units with
-a mark of a licence (`MARKS`) are looked at, and units longer than a sentence only where `LONG_MARKS` different marks
-stand in them; a notice that takes one sentence is found as that sentence. Units become sparse vectors of term frequency
-times inverse document frequency (over the templates; a term that no template has weighs most), and their cosine to every
+A text is compared as a whole, paragraph by paragraph, and sentence by sentence (also cut at line ends), with or without
+marks of a licence: only units whose words rule out the least cosine (`Reach`) are left out before the join. Where units
+of a text are equally near, one with marks enough for its kind is named (`MARKS`; `LONG_MARKS` for units longer than a
+sentence), so that a notice that takes one sentence is found as that sentence. Units become sparse vectors of term frequency times inverse document frequency (over the templates; a term that no template has weighs most), and their cosine to every
 template is one join with the templates' terms. One telling term in common is no licence ("mit" is a German word); two at
 least are asked for. A file's licence is its best unit's. A licence file speaks for its directory; a file without a
 licence of its own takes that of the nearest directory above it, found by joining the directories' ancestors with those
@@ -24,6 +24,7 @@ import json
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -160,22 +161,69 @@ SENTENCE_END = r"(?<=[.!?])[ \t\n\r\f\x0B]+|[\r\n]+"
 PARAGRAPH_END = r"\r?\n[^A-Za-z0-9\n]*\n"
 
 
-def units(files: DataFrame, path: str, text: str) -> DataFrame:
-    """(_path, _key, _kind, _n, _s): whole text (0), paragraphs (1) and sentences (2) that have marks of a licence."""
-    some = "(?i)" + "|".join(MARKS)
-
-    def marks(s: Column) -> Column:
-        return sum((s.rlike(f"(?i){m}").cast("int") for m in MARKS), F.lit(0))
-
-    def cut(kind: int, parts: Column) -> Column:
-        keep = F.filter(parts, lambda s: marks(s) >= LONG_MARKS if kind < 2 else s.rlike(some))
-        return F.transform(keep, lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s")))
-
-    found = F.concat(cut(0, F.array(F.col(text))), cut(1, F.split(F.col(text), PARAGRAPH_END)),
-                     cut(2, F.split(F.col(text), SENTENCE_END)))
-    return (files.filter(F.col(text).rlike(some))
-            .select(F.col(path).alias("_path"), key_of(path, text).alias("_key"), F.posexplode(found).alias("_n", "_u"))
-            .select("_path", "_key", "_n", "_u.kind", "_u.s").withColumnsRenamed({"kind": "_kind", "s": "_s"}))
+@dataclass(frozen=True)
+class Reach:
+    """What a unit needs to come up to `least` with any template, told from its words alone. Its product with a template is
+    at most the norm of its known words, and at most their sum with each word's largest weight in any template."""
+    terms: dict[str, tuple[float, float]]       # squared idf; idf times the largest weight
+    telling: tuple[str, ...]
+    unknown: float                              # squared idf of unknown terms
+    least: float
+
+    @classmethod
+    def of(cls, idf: dict[str, float], most: float, rows: list[tuple], least: float) -> "Reach":
+        top: dict[str, float] = {}
+        for _, _, t, w, _ in rows:
+            top[t] = max(top.get(t, 0.0), w)
+        return cls({t: (v * v, v * top[t]) for t, v in idf.items()}, tuple(sorted({t for _, _, t, _, tells in rows if tells})),
+                   most * most, least - 1e-5)   # cosines are rounded before they are compared
+
+    def keeps(self, words: Column, known: Column) -> Column:
+        """Whether a unit of these `words`, of which `known` stand in templates, is to be compared."""
+        worth = F.create_map(*[F.lit(x) if isinstance(x, str) else F.struct(F.lit(x[0]).alias("sq"), F.lit(x[1]).alias("dot"))
+                               for kv in self.terms.items() for x in kv])
+
+        def state(t: Column, n: Column, of: Column, sq: Column, dot: Column) -> Column:
+            return F.struct(t.alias("t"), n.alias("n"), of.alias("of"), sq.alias("sq"), dot.alias("dot"))
+
+        def new(a: Column, t: Column) -> Column:
+            return F.transform(F.array(F.element_at(worth, t)), lambda of: state(
+                t, F.lit(1.0), of, a["sq"] + of["sq"], a["dot"] + of["dot"]))[0]
+
+        def add(a: Column, t: Column) -> Column:
+            return F.when(a["t"] == t, state(t, a["n"] + 1, a["of"], a["sq"] + (2 * a["n"] + 1) * a["of"]["sq"],
+                                             a["dot"] + a["of"]["dot"])).otherwise(new(a, t))
+
+        start = state(F.lit(""), F.lit(0.0), F.struct(F.lit(0.0).alias("sq"), F.lit(0.0).alias("dot")), F.lit(0.0), F.lit(0.0))
+        rest = F.filter(words, lambda t: ~t.isin(*self.terms))
+        # n words of d kinds have squared frequencies of n * n / d at least
+        strange = F.size(rest) * F.size(rest) / F.greatest(F.size(F.array_distinct(rest)), F.lit(1)) * self.unknown
+        near = F.aggregate(F.array_sort(known), start, add, lambda a: F.exists(F.array(strange), lambda u: (
+            F.least(F.sqrt(a["sq"]), a["dot"]) >= self.least * F.sqrt(a["sq"] + u))))
+        return (F.size(F.array_distinct(F.filter(known, lambda t: t.isin(*self.telling)))) > 1) & near
+
+
+def units(files: DataFrame, reach: Reach, path: str, text: str) -> DataFrame:
+    """(_key, _kind, _n, _s, _weak): whole text (0), paragraphs (1) and sentences (2) of the different files, without those
+    that cannot come up to any template; _weak: fewer marks of a licence than a notice of its kind has."""
+    def of(kind: int, parts: Column) -> Column:
+        return F.transform(parts, lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s")))
+
+    paragraphs = F.split(F.col(text), PARAGRAPH_END)
+    parts = F.concat(of(0, F.array(F.col(text))), F.filter(of(1, paragraphs), lambda u: F.size(paragraphs) > 1),
+                     of(2, F.split(F.col(text), SENTENCE_END)))
+    words = F.transform(parts, lambda u: F.struct(u["kind"].alias("kind"), u["s"].alias("s"), F.filter(
+        F.split(F.lower(u["s"]), "[^a-z0-9]+"), lambda t: t != "").alias("words")))
+    known = F.transform(words, lambda u: F.struct(u["kind"].alias("kind"), u["s"].alias("s"), u["words"].alias("words"), F.filter(
+        u["words"], lambda t: t.isin(*reach.terms)).alias("known")))
+    found = F.transform(F.filter(known, lambda u: reach.keeps(u["words"], u["known"])), lambda u: F.struct(
+        u["kind"].alias("kind"), u["s"].alias("s")))
+    marks = sum((F.col("_s").rlike(f"(?i){m}").cast("int") for m in MARKS), F.lit(0))
+    return (files.filter(F.col(text).isNotNull()).select(key_of(path, text).alias("_key"), found.alias("_found"))
+            .filter(F.size("_found") > 0).dropDuplicates(["_key"])
+            .select("_key", F.posexplode("_found").alias("_n", "_u")).select("_key", "_n", "_u.kind", "_u.s")
+            .withColumnsRenamed({"kind": "_kind", "s": "_s"})
+            .withColumn("_weak", marks < F.when(F.col("_kind") < 2, LONG_MARKS).otherwise(1)))
 
 
 def key_of(path: str, text: str) -> Column:
@@ -198,16 +246,16 @@ def own_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     idf, most, rows = template_vectors(templates)
     vectors = F.broadcast(_table(spark, rows, ("_m int", "license string", "_t string", "_w double", "_tells int")))   # the templates' terms
     weights = F.broadcast(_table(spark, sorted(idf.items()), ("_t string", "_idf double")))
-    told = units(files.select(path, text).distinct(), path, text)
-    bags = (told.select("_key", "_n", "_kind", F.explode(F.filter(F.split(F.lower("_s"), "[^a-z0-9]+"), lambda t: t != "")).alias("_t"))
-            .groupBy("_key", "_n", "_kind", "_t").agg(F.count("*").alias("_tf"))
+    told = units(files.select(path, text), Reach.of(idf, most, rows, least), path, text)
+    bags = (told.select("_key", "_n", "_kind", "_weak", F.explode(F.filter(F.split(F.lower("_s"), "[^a-z0-9]+"), lambda t: t != "")).alias("_t"))
+            .groupBy("_key", "_n", "_kind", "_weak", "_t").agg(F.count("*").alias("_tf"))
             .join(weights, "_t", "left").withColumn("_v", F.col("_tf") * F.coalesce("_idf", F.lit(most))))
     norms = bags.groupBy("_key", "_n").agg(F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_norm"))
-    dots = bags.join(vectors, "_t").groupBy("_key", "_n", "_kind", "_m", "license").agg(
+    dots = bags.join(vectors, "_t").groupBy("_key", "_n", "_kind", "_weak", "_m", "license").agg(
         F.sum(F.col("_v") * F.col("_w")).alias("_dot"), F.sum("_tells").alias("_tells")).filter("_tells > 1")
     best = (dots.join(norms, ["_key", "_n"]).withColumn("cosine", F.round(F.col("_dot") / F.col("_norm"), 6))
             .filter(F.col("cosine") >= least)
-            .groupBy("_key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license", "_kind")).alias("_b")))
+            .groupBy("_key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license", "_weak", "_kind")).alias("_b")))
     return best.select("_key", "_b.license", (-F.col("_b.c")).alias("cosine"),
                        F.element_at(F.array(*map(F.lit, ("whole", "paragraph", "sentence"))), F.col("_b._kind") + 1).alias("license_unit"))
 

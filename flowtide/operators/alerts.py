@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtide import schema as S
@@ -90,48 +91,71 @@ def focus_host(hosts: DataFrame) -> DataFrame:
     return hosts.orderBy(*overview_order()).limit(1).select("host", "first_alert_step")
 
 
-def timeline(frame: DataFrame, threshold: float, horizon: int = S.HORIZON_K,
-             hosts: DataFrame | None = None) -> DataFrame:
-    """Every step of every (chosen) host: risk, forecast, stages with hysteresis, truth."""
+TRAFFIC = ("out_flows", "in_flows", "out_distinct_dst", "out_distinct_dport", "in_distinct_src")
+TIMELINE = ("host", "window", "truth_stage", "future", "lo", "hi", "now", *TRAFFIC, "present", "step", "risk", "raw_stage",
+            "stage_now", "future_stage", "held_stage")
+
+
+def timeline(frame: DataFrame, threshold: float, horizon: int = S.HORIZON_K, hosts: DataFrame | None = None,
+             columns: Sequence[str] = TIMELINE) -> DataFrame:
+    """Every step of every (chosen) host: risk, forecast, stages with hysteresis, truth.
+
+    `columns`: those the caller reads. The planner cannot drop the others by itself, since all go through the pass that holds
+    stages; `frame` need not have traffic features that are not among them. Stages are told before rows are dealt and idle
+    steps filled, so that the distributions they come from stay where they are.
+    """
     n = frame.count()
     if hosts is not None:
         frame = frame.join(hosts.select("host"), "host", "left_semi")
     zeros = f"array_repeat(0.0D, {horizon})"
-    calm = f"array_repeat(array(1.0D{', 0.0D' * (S.N_STAGES - 1)}), {horizon})"
-    traffic = ["out_flows", "in_flows", "out_distinct_dst", "out_distinct_dport", "in_distinct_src"]
-    cols = ["host", "window", "stage", "future", "lo", "hi", "now", "stage_future_probs", *traffic]
-    idle = {"stage": "0", "future": zeros, "lo": zeros, "hi": zeros, "now": "0.0D",
-            "stage_future_probs": calm, **{c: "0.0D" for c in traffic}}
-    f = align_steps(frame.select(*cols), idle, rows=n)
-    f = f.withColumns({"risk": F.array_max("future"), "probs": mean_probs(F.col("stage_future_probs"))})
-    f = f.withColumns({
-        "raw_stage": map_stage(F.col("risk"), F.col("probs"), threshold),
+    quiet = "0" if 0.0 < threshold * 0.5 else "1"       # what `map_stage` makes of no risk
+    idle = {"truth_stage": "0", "future": zeros, "lo": zeros, "hi": zeros, "now": "0.0D", **{c: "0.0D" for c in TRAFFIC},
+            "risk": "0.0D", "raw_stage": quiet, "stage_now": quiet, "future_stage": f"array_repeat({quiet}, {horizon})"}
+    told = {c: F.col(c) for c in ("host", "window", "future", "lo", "hi", "now", *TRAFFIC)} | {
+        "truth_stage": F.col("stage"), "risk": F.array_max("future"),
+        "raw_stage": map_stage(F.array_max("future"), mean_probs(F.col("stage_future_probs")), threshold),
         "stage_now": map_stage(F.col("now"), F.col("stage_future_probs")[0], threshold),
-        "future_stage": F.zip_with("future", "stage_future_probs", lambda r, p: map_stage(r, p, threshold))})
-    return hold_stages(f, dealt=True).drop("probs", "stage_future_probs").withColumnRenamed("stage", "truth_stage")
+        "future_stage": F.zip_with("future", "stage_future_probs", lambda r, p: map_stage(r, p, threshold))}
+    read = [c for c in TIMELINE if c in told and c in {*columns, "host", "window", "raw_stage"}]
+    f = align_steps(frame.select(*[told[c].alias(c) for c in read]), {c: v for c, v in idle.items() if c in read}, rows=n)
+    f = f.select(*[c for c in TIMELINE if c in f.columns and c in {*columns, "host", "step", "raw_stage"}])
+    return hold_stages(f, dealt=True, ordered=True).select(*[c for c in TIMELINE if c in columns])
 
 
-def hold_stages(steps: DataFrame, keys: Sequence[str] = ("host",), hold: int = 2, dealt: bool = False) -> DataFrame:
+def hold_stages(steps: DataFrame, keys: Sequence[str] = ("host",), hold: int = 2, dealt: bool = False,
+                ordered: bool = False) -> DataFrame:
     """Add `held_stage`: `raw_stage` after hysteresis.
 
     Entering or leaving an attack is immediate; a change between two attack stages needs `hold` equal readings, which
     one benign reading in between does not undo. One pass over each host's ordered rows, a run of equal readings at a
     time; what is carried from batch to batch is four numbers. `dealt`: the rows of a host already lie in one task, as
-    `align_steps` leaves them; other steps are counted first.
+    `align_steps` leaves them; other steps are counted first. `ordered`: they lie there by host and step, as it leaves
+    them too: what it makes comes from rows sorted by a window, and nothing moves them after that.
     """
     keys = list(keys)
     rows = steps.withColumn("held_stage", F.lit(None).cast("int"))
-    ordered = (rows if dealt else deal(rows, *keys, rows=steps.count())).sortWithinPartitions(*keys, "step")
-    return ordered.mapInArrow(_holding(keys, hold), rows.schema)
+    rows = rows if dealt else deal(rows, *keys, rows=steps.count())
+    rows = rows if ordered else rows.sortWithinPartitions(*keys, "step")
+    return rows.mapInArrow(_holding(keys, hold), rows.schema)
+
+
+def _differs(values: pa.Array) -> np.ndarray:
+    """Whether each value but the first is another than the one before; missing values are alike."""
+    here, before = values[1:], values[:-1]
+    other = pc.fill_null(pc.not_equal(here, before), False).to_numpy(zero_copy_only=False)
+    return other | (pc.is_null(here).to_numpy(zero_copy_only=False) != pc.is_null(before).to_numpy(zero_copy_only=False))
 
 
 def _holding(keys: list[str], hold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, held, waiting, count = None, 0, None, 0
         for batch in batches:
-            owners = list(zip(*[batch.column(k).to_pylist() for k in keys]))
             raw = batch.column("raw_stage").to_numpy(zero_copy_only=False)
-            fresh = np.array([a != b for a, b in zip(owners, [owner, *owners[:-1]])], bool)
+            fresh = np.zeros(len(raw), bool)
+            for k in keys:
+                fresh[1:] |= _differs(batch.column(k))
+            if len(raw):
+                fresh[0] = owner != tuple(batch.column(k)[0].as_py() for k in keys)
             starts = np.flatnonzero(fresh | (np.diff(raw, prepend=raw[:1]) != 0) | (np.arange(len(raw)) == 0))
             out = np.empty(len(raw), np.int32)
             for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(raw)]):
@@ -150,7 +174,7 @@ def _holding(keys: list[str], hold: int):
                     waiting, count = None, 0
                 else:
                     waiting, count = value, hold - needed + n
-            owner = owners[-1] if owners else owner
+            owner = tuple(batch.column(k)[-1].as_py() for k in keys) if len(raw) else owner
             columns = [pa.array(out, f.type) if f.name == "held_stage" else batch.column(f.name) for f in batch.schema]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
     return run

@@ -126,3 +126,56 @@ def test_histories_by_hand(spark):
            for r in SQ.histories(df, [-1.0], 3, features=["x"]).collect()}
     assert got == {("a", 0, 0): [-1, -1, 0], ("a", 0, 1): [-1, 0, 1], ("a", 0, 2): [0, 1, 2], ("a", 0, 3): [1, 2, 3],
                    ("a", 1, 9): [-1, -1, 9], ("b", 0, 2): [-1, -1, 7]}
+
+
+def _forecasts(spark):
+    """Two hosts with a pause, and what two windows ahead are forecast to hold."""
+    rows = [("a", 0, 0, 0.0), ("a", 1, 2, 0.9), ("a", 5, 3, 0.6), ("a", 6, 3, 0.6), ("b", 2, 1, 0.2), (None, 4, 2, 0.7), (None, 6, 0, 0.1)]
+    probs = F.array(*[F.array(1 - F.col("r"), *[F.when(F.col("stage") == s, F.col("r")).otherwise(0.0) for s in range(1, 7)]) for _ in range(2)])
+    flat = F.array(F.col("r") / 2, F.col("r"))
+    return spark.createDataFrame(rows, "host string, window long, stage int, r double").select(
+        "host", "window", "stage", flat.alias("future"), flat.alias("lo"), flat.alias("hi"), F.col("r").alias("now"),
+        probs.alias("stage_future_probs"), *[F.lit(1.0).alias(c) for c in A.TRAFFIC])
+
+
+def test_timeline_of_some_columns_is_the_timeline(spark):
+    f = _forecasts(spark)
+    for threshold, quiet in ((0.3, 0), (0.0, 1)):
+        whole = A.timeline(f, threshold, 2)
+        assert tuple(whole.columns) == A.TIMELINE and whole.count() == 21
+        rest = whole.filter("NOT present").select("risk", "raw_stage", "stage_now", "future_stage", "truth_stage", "future").distinct().collect()
+        assert [tuple(r) for r in rest] == [(0.0, quiet, quiet, [quiet, quiet], 0, [0.0, 0.0])]
+        for some in (("host", "step", "held_stage"), ("host", "step", "risk", "truth_stage", "future_stage")):
+            part = A.timeline(f.drop(*A.TRAFFIC), threshold, 2, columns=some)
+            assert set(part.columns) == set(some)
+            assert sorted(map(str, part.select(*some).collect())) == sorted(map(str, whole.select(*some).collect()))
+    got = {(r["host"], r["step"]): (r["raw_stage"], r["held_stage"], r["stage_now"]) for r in A.timeline(f, 0.3, 2).collect()}
+    assert [got["a", s] for s in range(7)] == [(0, 0, 0), (2, 2, 2), (0, 0, 0), (0, 0, 0), (0, 0, 0), (3, 3, 3), (3, 3, 3)]
+    assert got["b", 2] == (1, 1, 1) and got[None, 4] == (2, 2, 2) and got[None, 6] == (0, 0, 0)
+
+
+def test_missing_hosts_are_one_host(spark):
+    import pyarrow as pa
+
+    assert A._differs(pa.array(["a", "a", None, None, "b", "a"])).tolist() == [False, True, False, True, True]
+
+
+def test_hysteresis_passes_what_is_read(spark, folder):
+    """No forecast arrays are dealt or sent through the pass that holds stages."""
+    for query, most in ((Q.stage_hysteresis, 5), (Q.branch_timeline, 6)):
+        p = plan(query(spark, folder))
+        (passed,) = re.findall(r"MapInArrow run\([^)]*\)[^,]*, \[([^\]]*)\]", p)
+        assert "future" not in passed and len(passed.split(", ")) <= most
+        assert not [x for x in p.splitlines() if "Exchange" in x and "future" in x]
+
+
+def test_queue_computes_its_parts_once(spark, folder, monkeypatch):
+    calls = []
+    for name, module in (("overview", A), ("stored_steps", D), ("host_windows", W)):
+        monkeypatch.setattr(module, name, lambda *a, n=name, f=getattr(module, name), **b: calls.append(n) or f(*a, **b))
+    plans, real = [], Q.materialise
+    for module in (Q, Q.AN):
+        monkeypatch.setattr(module, "materialise", lambda df: plans.append(set(df.columns)) or real(df))
+    Q.action_queue(spark, folder)
+    assert calls.count("overview") == 1 and calls.count("stored_steps") == 1
+    assert not any("stage_future_probs" in c for c in plans) and sum("out_flows" in c for c in plans) == 1
